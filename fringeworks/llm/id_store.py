@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,8 +151,6 @@ def joined_crc(first: int, second: int, n_bytes: int) -> int:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32: one row per stored document."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def crc_of(parts: pd.Series) -> pd.Series:
         def one(segments) -> int:
