@@ -13,6 +13,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fringeworks.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fringeworks.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fringeworks.llm.id_store import read_documents, write_ids
 
@@ -41,7 +53,7 @@ from (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents) d
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_token_id_output, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op5_token_id_output, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,7 +43,7 @@ class ChunkIds(dict):
         self.tok, self.made, self.spaced, self.most = Tokenizer.from_file(path), made, spaced, most
         self.pieces: dict[str, list[int]] = {}
         self.letters = dict(enumerate(_byte_letters()))
-        self.special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        self.special = special_strings(path)
         self.heads: dict[str, object] = {}
 
     def library(self, text: str) -> list[int]:
@@ -90,6 +90,21 @@ class ChunkIds(dict):
         return [self.head(first), *[self[c] for c in rest]]
 
 
+def special_strings(path: str) -> set[str]:
+    """The strings that the vocabulary takes as one id wherever they stand."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return {t["content"] for t in json.load(f)["added_tokens"]}
+
+
+def split_plain(unit: str, spaced: bool, special: set[str]) -> list[str]:
+    """The pre-tokens of a chunk; one with other than plain characters or a special string stays whole."""
+    if _PLAIN.match(unit) and not any(s in unit for s in special):
+        return _PATTERNS[spaced].findall(unit)
+    return [unit] if unit else []
+
+
 def chunks(text: str, spaced: bool) -> list[str]:
     if not spaced:
         return text.replace("\n", " ").split(" ")
