@@ -25,6 +25,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fringeworks.llm.decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fringeworks.llm.id_store import read_documents, write_ids
 
@@ -52,9 +58,25 @@ from (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents) d
 """
 
 
+OP4_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+items as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+sizes as (select *, least(10, len(ws)) as w from items where len(ws) > 0),
+wins as (select item_id, w, array_to_string(ws[s:s + w - 1], ' ') as phrase from (select *, unnest(range(1, len(ws) - w + 2)) as s from sizes) x),
+grams as (select doc_id, w, p, array_to_string(ws[p:p + w - 1], ' ') as phrase
+          from (select doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) as p from docs, (select distinct w from sizes) y where len(ws) >= w) x),
+found as (select g.doc_id, g.p, g.w, wins.item_id from grams g join wins using (w, phrase)),
+hits as (select doc_id, count(distinct h) as n_hit from (select doc_id, unnest(range(p, p + w)) as h from found) x group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id collate "C") as ids from (select distinct doc_id, item_id from found) x group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from docs left join hits using (doc_id) left join named using (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op5_token_id_output, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op10_exact_dedup": OP10_SQL}
