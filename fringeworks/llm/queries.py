@@ -39,6 +39,12 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fringeworks.llm.jaccard_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fringeworks.llm.packing import pack
 
@@ -75,7 +81,7 @@ from docs left join hits using (doc_id) left join named using (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op7_jaccard_join, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
