@@ -45,6 +45,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fringeworks.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fringeworks.llm.packing import pack
 
@@ -81,7 +87,7 @@ from docs left join hits using (doc_id) left join named using (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op7_jaccard_join, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

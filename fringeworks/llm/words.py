@@ -47,7 +47,7 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds of its texts) of an Arrow string column; nulls are empty."""
     import pyarrow as pa
 
@@ -66,7 +66,7 @@ def slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         bounds = np.r_[0, np.cumsum(lengths)]
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + SLICE, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + size, "right")) - 1)
         yield row, data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row]
         row = end
 
