@@ -39,6 +39,16 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from fringeworks.llm.quality import quality
+
+    # a source is a site, and its first path segment is the language, as in the urls of ``pages``
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.concat_ws("/", "source", "lang").alias("path"))
+    return quality(docs, table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fringeworks.llm.jaccard_join import similar_groups
 
@@ -87,7 +97,7 @@ from docs left join hits using (doc_id) left join named using (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
