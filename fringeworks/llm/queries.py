@@ -13,6 +13,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from fringeworks.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("path"), "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fringeworks.llm.language_id import identify
 
@@ -97,7 +105,7 @@ from docs left join hits using (doc_id) left join named using (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
