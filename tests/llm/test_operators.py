@@ -1,0 +1,317 @@
+"""Every operator against a plain version, on awkward rows, repeated rows and empty tables."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tests.llm import cases
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+TEXTS = dict(enumerate(cases.texts()))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return cases.documents(spark).cache()
+
+
+def library(path, text):
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
+def test_chunks_give_the_librarys_ids(path, spaced):
+    from fringeworks.llm.tokens import ChunkIds, id_bytes
+
+    r, tok = random.Random(2), Tokenizer.from_file(path)
+    alphabet = [*"aZ é ß\n\n\t  ' '' 's't12._-$%|<>İΣσς̈中文١½²ªº　\x1c\x85​ŉſ", "<|endoftext|>", " the", "  ", "'ll"]
+    ids = ChunkIds(path, id_bytes, spaced, most=50)
+    for text in [*(t or "" for t in TEXTS.values()), *("".join(r.choice(alphabet) for _ in range(r.randrange(30))) for _ in range(3000))]:
+        assert b"".join(ids.of(text)) == id_bytes(tok.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_token_counts(spark, docs):
+    from fringeworks.llm import token_counts as m
+
+    found = {r.doc_id: r for r in m.token_counts(docs, BYTE).collect()}
+    for d, t in TEXTS.items():
+        n = len(library(BYTE, t))
+        assert (found[d].n_bytes, found[d].n_tokens, found[d].over_limit) == (len((t or "").encode()), n, n > 512)
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
+    assert Counter(tuple(r)[:3] for r in m.token_counts(twice, BYTE).collect()) == {(1, 3, 2): 2, (None, 1, 1): 1}
+    assert m.token_counts(cases.nothing(spark), BYTE).collect() == []
+
+
+def test_token_count_blocks(spark, docs, monkeypatch):
+    from fringeworks.llm import token_counts as m
+
+    monkeypatch.setattr(m, "BLOCK_DOCS", 2)  # in the driver's process only: blocks are cut in _Block.add's caller
+    assert m.token_counts(docs, BYTE).agg(F.sum("n_tokens")).first()[0] == sum(len(library(BYTE, t)) for t in TEXTS.values())
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+def test_id_store(spark, docs, bits):
+    from fringeworks.llm import id_store as m
+    from fringeworks.llm.common import new_path
+
+    path = new_path(spark, "ids")
+    m.write_ids(docs, path, WORD, block=1000, bits=bits)
+    found = sorted(m.read_documents(spark, path).collect())
+    start = 0
+    for r, (d, t) in zip(found, TEXTS.items(), strict=True):
+        ids = [*library(WORD, t), 1]
+        assert tuple(r) == (d, start, len(ids), cases.crc(ids))
+        start += len(ids)
+    read = defaultdict(list)
+    for r in sorted(m.read_segments(spark, path).collect(), key=lambda r: (r.part, r.at)):
+        read[r.doc_id] += r.ids
+    assert all(read[d] == [*library(WORD, t), 1] for d, t in TEXTS.items())
+    empty = new_path(spark, "ids")
+    m.write_ids(cases.nothing(spark), empty, WORD)
+    assert m.read_documents(spark, empty).collect() == []
+
+
+def test_planes():
+    from fringeworks.llm.id_store import from_planes, joined_crc, to_planes
+    import zlib
+
+    for ids in (np.array([], np.uint32), np.array([0, 0]), np.arange(100_000, dtype=np.uint32), np.array([2**32 - 1, 5], np.uint32)):
+        for bits in (1, 8):
+            assert (from_planes(to_planes(ids, bits), bits, len(ids)) == ids).all()
+    assert joined_crc(zlib.crc32(b"abc"), zlib.crc32(b"defg"), 4) == zlib.crc32(b"abcdefg")
+
+
+def test_packing(spark, docs):
+    from fringeworks.llm import packing as m
+
+    found = m.pack(docs, BYTE, window=128, piece=16, windows_per_group=8).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in found:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for d, t in TEXTS.items():
+        ids, at = [*library(BYTE, t), 1], 0
+        for r in sorted(by_doc[d], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), cases.crc(ids[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 128
+    assert m.pack(cases.nothing(spark), BYTE).collect() == []
+
+
+def test_differencing_fills_windows():
+    from fringeworks.llm.packing import cuts, even_windows
+
+    r = random.Random(3)
+    sizes = [n for _ in range(400) for _, n in cuts(r.randrange(1, 2048), 2048, 256)]
+    window_of = even_windows(sizes, 2048)
+    held = Counter()
+    for w, s in zip(window_of, sizes, strict=True):
+        held[w] += s
+    assert max(held.values()) <= 2048
+    assert len(held) <= 1.02 * sum(sizes) / 2048 + 1
+    assert even_windows([], 10) == [] and even_windows([10, 10], 10) in ([0, 1], [1, 0])
+
+
+def test_exact_dedup(spark, docs):
+    from fringeworks.llm import exact_dedup as m
+
+    groups = defaultdict(list)
+    for d, t in TEXTS.items():
+        groups[t or ""].append(d)
+    for support in (0.001, 0.2):
+        for r in m.decisions(docs, support).collect():
+            own = groups[TEXTS[r.doc_id] or ""]
+            sha = hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
+            assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(own), len(own), r.doc_id == max(own), sha)
+    kept = m.drop_exact_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {max(g) for g in groups.values()}
+    same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, None), (None, "")], "doc_id long, text string")
+    assert sorted(r.doc_id or -1 for r in m.drop_exact_copies(same).collect()) == [-1, 1]
+    assert m.decisions(cases.nothing(spark)).collect() == []
+    with pytest.raises(ValueError):
+        m.decisions(docs.withColumn("_dd_row", F.lit(1)))
+
+
+@pytest.mark.parametrize(("words", "num", "most"), [(3, 90, 4000), (5, 80, 4000), (3, 90, 3), (2, 50, 2)])
+def test_jaccard_join(spark, docs, words, num, most):
+    from fringeworks.llm import jaccard_join as m
+
+    expected = cases.components(TEXTS, words, num, 100)
+    found = m.similar_groups(docs, words, num, 100, most).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected and len(found) == len(TEXTS)
+    assert sorted(r.doc_id for r in found if r.first) == sorted({c for _, c in expected.values()})
+
+
+def test_jaccard_join_odd_tables(spark):
+    from fringeworks.llm import jaccard_join as m
+
+    assert m.similar_groups(cases.nothing(spark)).collect() == []
+    same = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None), (2, "")], "doc_id long, text string")
+    assert m.drop_near_copies(same).count() == 3
+
+
+def test_divide_skip_connects_what_pairs_do():
+    from fringeworks.llm.jaccard_join import divide_skip
+
+    r = random.Random(4)
+    for _ in range(60):
+        base = sorted(r.sample(range(10_000), r.randrange(5, 60)))
+        sets = [np.unique(np.array([r.randrange(10_000) if r.random() < 0.06 else x for x in base], np.uint64)) for _ in range(14)]
+        up = list(range(len(sets)))
+        root = lambda k: k if up[k] == k else root(up[k])  # noqa: B023, E731
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                    up[root(a)] = root(b)
+        want = {frozenset(k for k in range(14) if root(k) == c) for c in {root(k) for k in range(14)}}
+        up = list(range(14))
+        for a, b in divide_skip(sets, 8, 10):
+            up[root(a)] = root(b)
+        assert {frozenset(k for k in range(14) if root(k) == c) for c in {root(k) for k in range(14)}} == want
+
+
+def test_components(spark):
+    from fringeworks.llm.components import components
+
+    edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 200)]
+    found = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize(("least", "hot"), [(100, 50_000), (60, 1), (40, 2)])
+def test_repeats(spark, docs, least, hot):
+    from fringeworks.llm import repeats as m
+
+    expected = cases.repeats(TEXTS, least)
+    for r in m.remove_repeats(docs, least, gram=24, hot=hot).collect():
+        data, gone = expected[r.doc_id]
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        spans = sum(a < b for a, b in zip(b"\0" + gone, gone))
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept) == (len(data), sum(gone), spans, kept), r.doc_id
+    assert m.remove_repeats(cases.nothing(spark)).collect() == []
+
+
+def test_repeats_of_repeated_rows(spark):
+    from fringeworks.llm import repeats as m
+
+    r = random.Random(6)
+    text = "".join(r.choice("abcdefgh") for _ in range(150))
+    same = spark.createDataFrame([(5, text), (5, text), (None, text), (9, "aa" + text)], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.n_removed) for r in m.remove_repeats(same).collect()) == [(-1, 0), (5, 150), (5, 150), (9, 150)]
+
+
+def test_maximal_repeats(spark, docs):
+    from fringeworks.llm import repeats as m
+
+    groups = m.maximal_repeats(docs, 60, 24).collect()
+    assert groups
+    for g in groups:
+        places = [((TEXTS[o.doc_id] or "").encode(), o.begin) for o in g.occurrences]
+        assert len(places) > 1 and len({t[b : b + g.length] for t, b in places}) == 1
+        assert [(o.doc_id, o.begin) for o in g.occurrences] == sorted((o.doc_id, o.begin) for o in g.occurrences)
+
+
+def test_interval_tree():
+    from fringeworks.llm.repeats import interval_tree
+
+    # suffixes aaXX, aaXY, aaY, with common prefixes 3, 2; the last is the first occurrence
+    groups = []
+    settled = interval_tree([0, 3, 2], [2, 1, 0], [97, 98, 98], 2, groups)
+    assert sorted(settled) == [(0, 3), (1, 2)]
+    assert sorted(groups) == [(2, 0, 2, True), (3, 0, 1, True)]
+
+
+def test_decontamination(spark, docs):
+    from fringeworks.llm import decontamination as m
+
+    items = {0: TEXTS[15][100:260], 1: "one two three", 2: None, 3: "...", 4: TEXTS[8][:200].upper(), 5: "never seen anywhere at all in these few texts of ours"}
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    expected = cases.hits(TEXTS, items)
+    for r in m.contamination(docs, bench).collect():
+        n, hit, found = expected[r.doc_id]
+        sha = hashlib.sha256(",".join(found).encode()).hexdigest()
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), sha, hit > 0), r.doc_id
+    kept = m.drop_contaminated(docs, bench)
+    assert {r.doc_id for r in kept.collect()} == {d for d, x in expected.items() if not x[1]} and kept.columns == docs.columns
+    none = bench.where("false")
+    assert not any(r.contaminated for r in m.contamination(docs, none).collect())
+    assert m.contamination(cases.nothing(spark), bench).collect() == []
+
+
+def test_positions_and_proximity(spark):
+    from fringeworks.llm import decontamination as m
+
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "a b z c d e f q g h i j"), (3, "j i h g f e d c b a")], "doc_id long, text string")
+    items = m.item_words(spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string"))
+    index = m.build_index(docs, m.vocabulary_of(items))
+    assert [(r.row, r.begin, r.length) for r in m.phrase_matches(index, items).collect()] == [(index.where("doc_id = 1").first().row, 1, 10)]
+    near = {r.row for r in m.proximity_matches(index, items, slop=2, share=0.9).collect()}
+    assert near == {r.row for r in index.where("doc_id in (1, 2)").collect()}
+    assert m.build_index(docs).agg(F.sum(F.size("terms"))).first()[0] == 12 + 12 + 10  # without a vocabulary every word is stored
+
+
+def test_language_id(spark):
+    from fringeworks.llm import language_id as m
+
+    r = random.Random(1)
+    made = lambda lang: " ".join(r.choice({"aa": ["bam", "tok", "rin"], "bb": ["ülü", "öre", "sää"]}[lang]) for _ in range(r.randrange(3, 200)))
+    some = [(k, made("ab"[k % 2] * 2), "ab"[k % 2] * 2) for k in range(300)] + [(300, None, "aa"), (301, "", "bb"), (302, "12 34", "aa"), (303, "bam tok rin " * 3000, None)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    found = {x.doc_id: x for x in m.identify(docs).collect()}
+    import zlib
+
+    assert all(x.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= x.score <= 1 for d, x in found.items())
+    assert sum(found[d].lang_pred == lang for d, _, lang in some[:300]) >= 297
+    assert [found[d].lang_pred for d in (300, 301, 302, 303)] == ["und", "und", "und", "aa"]
+    assert m.keep_identified(docs).where("doc_id >= 300").select("doc_id").collect() == [(303,)]
+    assert m.identify(cases.nothing(spark)).collect() == []
+    assert {x.lang_pred for x in m.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert m.predict(cases.documents(spark), m.train([])).columns == ["_li_doc", "lang_pred", "score"]
+
+
+def test_quality(spark):
+    from fringeworks.llm import quality as m
+
+    r = random.Random(1)
+    good = lambda: " ".join(r.choice(["plain", "words", "here", "and", "there"]) + str(r.randrange(50)) for _ in range(60))
+    bad = lambda: " | ".join("###" for _ in range(40))
+    some = [(k, bad() if k % 3 == 0 else good(), f"h{k % 5}", f"h{k % 5}/{k % 2}") for k in range(240)] + [(240, None, None, None), (241, "", "h1", None)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(0, 240, 2)] + [(9999, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    found = {x.doc_id: x for x in m.quality(docs, labels).collect()}
+    assert len(found) == 242 and all(found[k].keep == (k % 3 != 0) for k in range(240))
+    # a sparse site lies nearer to the prior than its own mean
+    p = m.posteriors(spark.createDataFrame([("a", "a/1", 1.0, k) for k in range(200)] + [("a", "a/2", 0.0, 0)], "host string, path string, p double, doc_id long")).where("path = 'a/2'").first()
+    assert 0.0 < p.path_posterior < p.host_posterior
+    assert m.quality(docs.where("false"), labels).collect() == []
+    assert m.quality(docs, labels.where("false")).count() == 242
+
+
+def test_secret_scan(spark):
+    from fringeworks.llm import secret_scan as m
+
+    r = random.Random(1)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    some = [(k, f"long ordinary text extraordinarilylongwords here {'x' * 3}", "a/en") for k in range(60)]
+    some += [(k, f'before it token = "{key()}" and interdisciplinarity after', "a/en") for k in range(60, 120)]
+    some += [(120, None, None), (121, "", "a"), (122, f"no name here {key()} but hex", "a/en")]
+    docs = spark.createDataFrame(some, "doc_id long, text string, path string")
+    found = m.scan(docs).collect()
+    assert {x.doc_id for x in found} >= set(range(60, 120)) and all(60 <= x.doc_id != 121 for x in found)
+    assert all(x.length == 40 for x in found)
+    assert m.scan(docs.where("false")).collect() == []
+    assert m.scan(docs.where("doc_id < 60")).collect() == []
