@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _beside(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with its key's row of ``found``; without keys that is one row."""
+    return df.join(found, keys) if keys else df.crossJoin(F.broadcast(found))
+
+
 def skip_first(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("sample_idx") >= n)
 
@@ -20,7 +25,7 @@ def summary(df: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
 def moments(df: DataFrame, keys: list[str], value: str = "x", orders: tuple[int, ...] = (3, 4, 5, 6)) -> DataFrame:
     """mean, std_dev and standardised central moments m3..: from one pass of sums about each key's first-pass mean."""
     first = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std_dev"))
-    centred = df.join(first, keys).withColumn("_z", (F.col(value) - F.col("mean")) / F.nullif(F.col("std_dev"), F.lit(0.0)))
+    centred = _beside(df, first, keys).withColumn("_z", (F.col(value) - F.col("mean")) / F.nullif(F.col("std_dev"), F.lit(0.0)))
     return centred.groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("std_dev").alias("std_dev"), *[F.avg(F.pow("_z", F.lit(k))).alias(f"m{k}") for k in orders])
 
 
@@ -38,7 +43,7 @@ def mode_flag(df: DataFrame, keys: list[str], value: str = "x", tolerance: float
 def histogram(df: DataFrame, keys: list[str], value: str = "x", bins: int = 100) -> DataFrame:
     """bin, low, n: widths are (max - min) / bins, edges begin one width under the minimum, the last bin holds its upper edge."""
     edges = df.groupBy(*keys).agg(F.min(value).alias("_least"), ((F.max(value) - F.min(value)) / bins).alias("_width"))
-    placed = df.join(edges, keys).where(F.col(value).isNotNull())
+    placed = _beside(df, edges, keys).where(F.col(value).isNotNull())
     number = F.when(F.col("_width") == 0, F.lit(1)).otherwise(F.least(F.floor((F.col(value) - F.col("_least")) / F.nullif(F.col("_width"), F.lit(0.0))) + 1, F.lit(bins)))
     counted = placed.withColumn("bin", number.cast("int")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("_least").alias("_least"), F.first("_width").alias("_width"))
     return counted.select(*keys, "bin", (F.col("_least") + (F.col("bin") - 1) * F.col("_width")).alias("low"), "n")
@@ -53,7 +58,7 @@ def merged_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean, var of the union of parts given by (n, mean, var): mergeable in any order."""
     about = parts.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
     spread = F.col("n") * F.col("var") + F.col("n") * (F.col("mean") - F.col("_mean")) ** 2
-    return parts.join(about, keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.first("_mean").alias("mean"), (F.sum(spread) / F.sum("n")).alias("var"))
+    return _beside(parts, about, keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.first("_mean").alias("mean"), (F.sum(spread) / F.sum("n")).alias("var"))
 
 
 def same_shape(df: DataFrame, keys: list[str], array: str) -> DataFrame:
