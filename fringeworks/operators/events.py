@@ -5,29 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringeworks.operators.stats import haloed
 
-def sta_lta(df: DataFrame, short: int, long: int, key: str = "trace_id", value: str = "x") -> DataFrame:
+BLOCK = 1 << 17
+
+
+def sta_lta(df: DataFrame, short: int, long: int, key: str = "trace_id", value: str = "x", block: int = BLOCK) -> DataFrame:
     """key, sample_idx, ratio of the mean energies of the last ``short`` and ``long`` samples; 0 where the long window isn't full."""
-    order = Window.partitionBy(key).orderBy("sample_idx")
+    rows = haloed(df, key, max(block, long), long - 1, 0)
+    order = Window.partitionBy(key, "block").orderBy("sample_idx")
     energy = F.col(value) * F.col(value)
     ratio = F.avg(energy).over(order.rowsBetween(1 - short, 0)) / F.nullif(F.avg(energy).over(order.rowsBetween(1 - long, 0)), F.lit(0.0))
-    return df.select(key, "sample_idx", F.when(F.col("sample_idx") < long - 1, 0.0).otherwise(F.coalesce(ratio, F.lit(0.0))).alias("ratio"))
+    return rows.withColumn("ratio", F.when(F.col("sample_idx") < long - 1, 0.0).otherwise(F.coalesce(ratio, F.lit(0.0)))).where("_own").select(key, "sample_idx", "ratio")
 
 
-def z_detect(df: DataFrame, n: int, key: str = "trace_id", value: str = "x") -> DataFrame:
+def z_detect(df: DataFrame, n: int, key: str = "trace_id", value: str = "x", block: int = BLOCK) -> DataFrame:
     """key, sample_idx, z: the energy of the last ``n`` samples, standardised over the trace."""
-    s = F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(key).orderBy("sample_idx").rowsBetween(1 - n, 0))
-    sums = df.select(key, "sample_idx", s.alias("s"))
+    rows = haloed(df, key, max(block, n), n - 1, 0)
+    s = F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(key, "block").orderBy("sample_idx").rowsBetween(1 - n, 0))
+    sums = rows.withColumn("s", s).where("_own").select(key, "sample_idx", "s")
     about = sums.groupBy(key).agg(F.avg("s").alias("_m"), F.stddev_pop("s").alias("_d"))
     return sums.join(about, key).select(key, "sample_idx", ((F.col("s") - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0))).alias("z"))
 
 
-def triggers(df: DataFrame, on: float, off: float, key: str = "trace_id", value: str = "ratio") -> DataFrame:
-    """key, onset, end (sample indices): stretches at ``off`` or above, from their first sample above ``on``."""
-    order = Window.partitionBy(key).orderBy("sample_idx")
-    high = df.where(F.col(value) >= off)
-    islands = high.withColumn("_island", F.col("sample_idx") - F.row_number().over(order))
-    found = islands.groupBy(key, "_island").agg(F.min(F.when(F.col(value) > on, F.col("sample_idx"))).alias("onset"), F.max("sample_idx").alias("end"))
+def triggers(df: DataFrame, on: float, off: float, key: str = "trace_id", value: str = "ratio", block: int = BLOCK) -> DataFrame:
+    """key, onset, end (sample indices): stretches at ``off`` or above, from their first sample above ``on``.
+
+    Stretches are found within blocks, and those that touch across an edge, a row each, are put together along the trace.
+    """
+    high = df.where(F.col(value) >= off).withColumn("block", F.expr(f"sample_idx div {block}"))
+    inside = Window.partitionBy(key, "block").orderBy("sample_idx")
+    islands = high.withColumn("_island", F.col("sample_idx") - F.row_number().over(inside))
+    parts = islands.groupBy(key, "block", "_island").agg(F.min("sample_idx").alias("begin"), F.max("sample_idx").alias("end"), F.min(F.when(F.col(value) > on, F.col("sample_idx"))).alias("onset"))
+    order = Window.partitionBy(key).orderBy("begin")
+    parts = parts.withColumn("_fresh", F.when(F.col("begin") == F.lag("end").over(order) + 1, 0).otherwise(1)).withColumn("_group", F.sum("_fresh").over(order))
+    found = parts.groupBy(key, "_group").agg(F.min("onset").alias("onset"), F.max("end").alias("end"))
     return found.where("onset is not null").select(key, "onset", "end")
 
 

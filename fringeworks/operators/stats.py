@@ -68,7 +68,7 @@ def same_shape(df: DataFrame, keys: list[str], array: str) -> DataFrame:
     return df.join(checked.where("_ok").select(*keys), keys)
 
 
-def _haloed(df: DataFrame, key: str, block: int, before: int, after: int) -> DataFrame:
+def haloed(df: DataFrame, key: str, block: int, before: int, after: int) -> DataFrame:
     """Each sample in its block, and again in neighbouring blocks that need it: _own tells which is which."""
     cut = df.withColumn("block", F.expr(f"sample_idx div {block}"))
     copies = [cut.withColumn("_own", F.lit(True))]
@@ -92,7 +92,7 @@ def moving_mean(df: DataFrame, n: int = 32, key: str = "trace_id", value: str =
     # shifted by half a window, indices of mirrored samples are not negative
     every = joined.unionByName(low).unionByName(high).withColumn("sample_idx", F.col("sample_idx") + before)
     frame = Window.partitionBy(key, "block").orderBy("sample_idx").rowsBetween(-before, after)
-    made = _haloed(every, key, block, before, after).withColumn("moving", F.avg(value).over(frame)).where("_own")
+    made = haloed(every, key, block, before, after).withColumn("moving", F.avg(value).over(frame)).where("_own")
     made = made.withColumn("sample_idx", F.col("sample_idx") - before)
     return made.where((F.col("sample_idx") >= 0) & (F.col("sample_idx") < F.col("_n"))).drop("_n", "_own", "block")
 
@@ -103,5 +103,5 @@ def sliding_rms(df: DataFrame, n: int = 32, key: str = "trace_id", value: str =
     ends = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     rest = moving_mean(df, n, key, value, block).withColumn("_r2", F.pow(F.col(value) - F.col("moving"), F.lit(2))).join(ends, key)
     frame = Window.partitionBy(key, "block").orderBy("sample_idx").rowsBetween(-before, after)
-    made = _haloed(rest, key, block, before, after).withColumn("rms", F.sqrt(F.avg("_r2").over(frame))).where("_own")
+    made = haloed(rest, key, block, before, after).withColumn("rms", F.sqrt(F.avg("_r2").over(frame))).where("_own")
     return made.where((F.col("sample_idx") >= before) & (F.col("sample_idx") < F.col("_n") - after)).select(key, "sample_idx", "rms")

@@ -19,11 +19,11 @@ SECOND = times.SECOND
 DROP, BLOCK, TOLERANCE, FS, F1, F2, NFFT = 100, 64, 4000, 40.0, 1.5, 50.0, 64
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return add
@@ -64,7 +64,7 @@ def rollovers(spark, d):
     return unwrap.rollovers(_iqm(spark, d), BLOCK)
 
 
-@query(_DECODED + "select trace_id, sample_idx, m_true, mu as m_unwrapped, mu as m_from_rollovers from u")
+@query(_DECODED + "select trace_id, sample_idx, m_true, mu as m_unwrapped, mu as m_from_rollovers from u", "unwrap")
 def unwrap_turns(spark, d):
     iqm = _iqm(spark, d)
     found = unwrap.unwrap(iqm, BLOCK).select("trace_id", "sample_idx", "m_true", "m_unwrapped")
@@ -256,17 +256,17 @@ _STA = _SIGNAL + ", r as (select trace_id, sample_idx, case when sample_idx < 49
 
 @query(_STA + " select trace_id, sample_idx, round(ratio, 6) as ratio from r")
 def sta_lta(spark, d):
-    return events.sta_lta(fx.signal(spark, d), 5, 50).withColumn("ratio", F.round("ratio", 6))
+    return events.sta_lta(fx.signal(spark, d), 5, 50, block=BLOCK).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(_SIGNAL + ", s as (select trace_id, sample_idx, sum(x * x) over (partition by trace_id order by sample_idx rows between 69 preceding and current row) as s from g) select trace_id, sample_idx, round((s - avg(s) over (partition by trace_id)) / nullif(stddev_pop(s) over (partition by trace_id), 0), 6) as z from s")
 def z_detect(spark, d):
-    return events.z_detect(fx.signal(spark, d), 70).withColumn("z", F.round("z", 6))
+    return events.z_detect(fx.signal(spark, d), 70, block=BLOCK).withColumn("z", F.round("z", 6))
 
 
 @query(_STA + ", h as (select *, sample_idx - row_number() over (partition by trace_id order by sample_idx) as island from r where ratio >= 0.8) select trace_id, min(sample_idx) filter (ratio > 1.5) as onset, max(sample_idx) as \"end\" from h group by trace_id, island having count(*) filter (ratio > 1.5) > 0")
 def trigger_onset(spark, d):
-    return events.triggers(events.sta_lta(fx.signal(spark, d), 5, 50), 1.5, 0.8)
+    return events.triggers(events.sta_lta(fx.signal(spark, d), 5, 50, block=BLOCK), 1.5, 0.8, block=BLOCK)
 
 
 @query(_SPANS + """, p as (select *, case when b > lag(f) over w + 600 then 1 else 0 end as fresh from e window w as (partition by user_id, event_type order by b, f)),

@@ -155,9 +155,10 @@ def test_events(spark):
     e = x**2
     expected = [0 if k < 9 else e[k - 2 : k + 1].mean() / e[k - 9 : k + 1].mean() for k in range(len(x))]
     assert np.allclose(ratio, expected)
-    found = events.triggers(events.sta_lta(trace(spark, x), 3, 10), 2.0, 1.0).collect()
+    assert np.allclose(ordered(events.sta_lta(trace(spark, x), 3, 10, block=10), "ratio"), expected)
     onset = next(k for k, v in enumerate(expected) if v > 2)
-    assert found[0].onset == onset
+    found = {block: sorted((r.onset, r.end) for r in events.triggers(trace(spark, expected), 2.0, 1.0, value="x", block=block).collect()) for block in (2, 7, 1000)}
+    assert found[2] == found[7] == found[1000] and found[2][0][0] == onset
     rows = spark.createDataFrame([(0.0, 1.0), (2.5, 3.0), (10.0, 11.0)], "begin double, end double").withColumn("k", F.lit(1))
     assert sorted((r.begin, r.end, r.n) for r in events.merge_events(rows, 2.0, ["k"]).collect()) == [(0.0, 3.0, 2), (10.0, 11.0, 1)]
     other = spark.createDataFrame([(0.5, 4.0, 1), (9.5, 11.5, 1), (100.0, 101.0, 1), (-200.0, 300.0, 1)], "begin double, end double, k int")
