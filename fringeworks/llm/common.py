@@ -1,4 +1,4 @@
-"""What the training-data operators share: the shared work folder, written tables, test for letters."""
+"""What the training-data operators share: the shared work folder, written tables."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A-Z and a-z, for lower-casing that touches ASCII letters only.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

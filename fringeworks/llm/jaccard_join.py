@@ -12,8 +12,9 @@ any order of the shingles that is the same for all documents. The order here is
 3. In a shard, each class asks the inverted lists of the shard for documents that occur T times: the short lists are merged
    (by a heap, or by sorting where they hold much), and the candidates reaching T minus the number of long lists are probed in
    these by binary search. Classes already known to be connected are not probed, so a group of many near copies costs
-   about a query for each, not a probe for each pair. A shard above ``MOST`` classes is cut into blocks, and each two blocks
-   are one task; so no task grows with the largest group.
+   about a query for each, not a probe for each pair. A shard above ``MOST`` classes is cut into blocks, a task each. What
+   the blocks leave unconnected to the shard's largest part so far is then searched against every block; two classes of
+   the largest part need no search. So no task grows with the largest group, and a group of near copies costs what its size does.
 4. The links found, a spanning forest of each shard, give the components.
 
 No link between different texts is lost: the filters are exact. Shingles are compared as 64-bit numbers.
@@ -38,7 +39,7 @@ from fringeworks.llm.components import components
 from fringeworks.llm.words import NOT_BLANK, mixed, numbered_words, slices
 
 #: Documents and postings of a block; classes of a shard that one task searches; classes whose rows are broadcast.
-BLOCK_DOCS, BLOCK_POSTINGS, MOST, MOST_SENT = 16384, 3_000_000, 20_000, 2_000_000
+BLOCK_DOCS, BLOCK_POSTINGS, MOST, MOST_SENT = 8192, 1_000_000, 4000, 2_000_000
 _ROW = "bucket int, block long, kind int, a binary, b binary, c binary"
 
 
@@ -77,6 +78,7 @@ def _packed(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Da
         block = TaskContext.get().partitionId() << 24
         about: list[tuple] = []
         found: list[np.ndarray] = []
+        seen: set[bytes] = set()
         size = 0
 
         def flushed():
@@ -97,13 +99,17 @@ def _packed(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Da
                 first = tokens[: int(np.searchsorted(tokens, pool))]
                 s = len(tokens)
                 everything = len(first) < s - needed(s, num, den) + 1
-                sent = tokens if everything else first
-                about.append((uids[k], ids[k] is not None, ids[k] or 0, s, len(first), everything, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()))
+                digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+                # of equal sets in a block one speaks for all
+                sent = tokens[:0] if digest in seen else tokens if everything else first
+                seen.add(digest)
+                about.append((uids[k], ids[k] is not None, ids[k] or 0, s, len(first), everything, digest))
                 found.append(sent)
                 size += len(sent)
                 if len(about) >= BLOCK_DOCS or size >= BLOCK_POSTINGS:
                     yield from flushed()
                     block, about, found, size = block + 1, [], [], 0
+                    seen.clear()
         if about:
             yield from flushed()
 
@@ -198,10 +204,16 @@ class _Forest:
         return True
 
 
-def divide_skip(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (a, b) that connect all of ``sets`` that Jaccard >= num / den connects: a spanning forest."""
+def divide_skip(sets: list[np.ndarray], num: int, den: int, parts: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (a, b) that connect all of ``sets`` that Jaccard >= num / den connects: a spanning forest.
+
+    ``parts``: sets with the same number are known to be connected.
+    """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     forest, links, sizes = _Forest(len(sets)), [], [len(sets[k]) for k in order]
+    known: dict[int, int] = {}
+    for at, k in enumerate(order if parts else ()):
+        forest.join(known.setdefault(parts[k], at), at)
     token = np.concatenate([sets[k] for k in order])
     by = np.argsort(token, kind="stable")
     holder = np.repeat(np.arange(len(order)), sizes)[by]  # the inverted lists in a row, each ascending
@@ -260,51 +272,67 @@ def shingle_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFram
     return written(blocks, "classes")
 
 
-def links_of(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, most: int = MOST) -> DataFrame:
+def stands_for(classes: DataFrame) -> DataFrame:
+    """digest, s (doc_id and row that stand for the class, the smallest), live: a row per class of equal sets that aren't empty."""
+    live = F.max(F.struct(F.size("live").alias("n"), "live")).alias("l")
+    return written(classes.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("s"), live).select("digest", "s", "l.live"), "stands")
+
+
+def links_of(docs: DataFrame, stands: DataFrame, words: int, num: int, den: int, most: int = MOST) -> DataFrame:
     """a, b (rows that stand for their classes): links that connect what the join connects."""
-    first = F.min(F.struct("doc_id", "row", "live")).alias("first")
-    stands = written(classes.where("n_shingles > 0 and size(live) > 0").groupBy("digest").agg(first).select("first.row", "first.live"), "stands")
-    lists = stands.select("row", F.explode("live").alias("token"))
+    lists = stands.select("s.row", F.explode("live").alias("token"))
     stars = lists.join(lists.groupBy("token").agg(F.min("row").alias("b")), "token").where("row != b")
     shards = components(stars.select(F.col("row").alias("a"), "b"))
     sizes = shards.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    cut = F.ceil(F.col("n") / most).cast("int")
-    placed = shards.join(sizes, "component").withColumn("k", cut).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int"))
-    # a shard in k blocks is searched for each two of them, (i, j) with i < j; a whole one once
-    other = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j != F.col("own"))))
-    placed = placed.withColumn("other", other).select(F.col("node").alias("_jj_row"), "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    k = F.ceil(F.col("n") / most)
+    placed = shards.join(sizes, "component").select(F.col("node").alias("row"), "component", k.alias("k"), F.pmod(F.xxhash64("node"), k).alias("block"))
     placed = written(placed, "shards")
-    count = placed.count()
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = _searched(docs, placed.withColumn("part", F.col("row")), words, num, den)
+    cut = placed.where("k > 1")
+    if cut.isEmpty():
+        return links
+    # second round: what isn't in the largest part of its shard meets every block
+    parts = components(links.join(cut.select(F.col("row").alias("a")), "a", "left_semi"))
+    cut = written(cut.join(parts.withColumnsRenamed({"node": "row", "component": "part"}), "row", "left").withColumn("part", F.coalesce("part", "row")), "cut")
+    largest = cut.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    others = cut.join(largest, "component").where("part != largest").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("at != block")
+    again = cut.unionByName(others.drop("largest", "block").withColumnRenamed("at", "block"))
+    return links.unionByName(_searched(docs, again, words, num, den))
+
+
+def _searched(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links within each (component, block) of ``placed`` (row, component, block, part)."""
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def with_sets(batches) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             out = [s.tobytes() for _, s in shingle_sets(b.column(4), words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out, pa.binary())], names=["row", "component", "i", "j", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out, pa.binary())], names=["row", "component", "block", "part", "tokens"])
 
     def search(table):
         import pyarrow as pa
 
         groups: dict[tuple, list[int]] = {}
-        keys = zip(*(table.column(c).to_pylist() for c in ("component", "i", "j")), strict=True)
+        keys = zip(*(table.column(c).to_pylist() for c in ("component", "block")), strict=True)
         for at, key in enumerate(keys):
             groups.setdefault(key, []).append(at)
-        rows, tokens = table.column("row").to_pylist(), table.column("tokens")
+        rows, parts, tokens = table.column("row").to_pylist(), table.column("part").to_pylist(), table.column("tokens")
         a, b = [], []
         for members in groups.values():
             members = sorted(members, key=lambda k: rows[k])
             sets = [np.frombuffer(tokens[k].as_buffer(), np.uint64) for k in members]
-            for x, y in divide_skip(sets, num, den):
+            for x, y in divide_skip(sets, num, den, [parts[k] for k in members]):
                 a.append(rows[members[x]])
                 b.append(rows[members[y]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    chosen = F.broadcast(placed) if count <= MOST_SENT else placed
-    texts = docs.select("_jj_row", "text").join(chosen, "_jj_row").select("_jj_row", "component", "i", "j", "text")
-    sets = texts.mapInArrow(with_sets, "row long, component long, i int, j int, tokens binary")
-    bucket = F.pmod(F.xxhash64("component", "i", "j"), F.lit(4 * buckets)).alias("bucket")
+    placed = placed.select(F.col("row").alias("_jj_row"), "component", "block", "part")
+    chosen = F.broadcast(placed) if placed.count() <= MOST_SENT else placed
+    texts = docs.select("_jj_row", "text").join(chosen, "_jj_row").select("_jj_row", "component", "block", "part", "text")
+    sets = texts.mapInArrow(with_sets, "row long, component long, block long, part long, tokens binary")
+    bucket = F.pmod(F.xxhash64("component", "block"), F.lit(buckets)).alias("bucket")
     return written(sets.select("*", bucket).groupBy("bucket").applyInArrow(search, "a long, b long"), "links")
 
 
@@ -316,10 +344,10 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     """row, doc_id, n_shingles, component_id (smallest doc_id that links reach), first (whether this row is the one that stays)."""
     docs = _rows(docs)
     classes = shingle_classes(docs, words, num, den)
-    joined = components(links_of(docs, classes, words, num, den, most))
+    stands = stands_for(classes)
+    joined = components(links_of(docs, stands, words, num, den, most))
     # the row that stands for a class links it to its component; equal sets share a digest
-    stands = classes.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row", "live")).alias("s"))
-    stands = stands.select("digest", F.struct("s.doc_id", "s.row").alias("s")).join(joined, F.col("s.row") == F.col("node"), "left")
+    stands = stands.join(joined, F.col("s.row") == F.col("node"), "left")
     stands = stands.select("digest", "s", F.coalesce("component", "s.row").alias("component"))
     least = stands.groupBy("component").agg(F.min("s").alias("least"))
     group = stands.join(least, "component").select("digest", "least")

@@ -1,7 +1,7 @@
 """Words of many texts at once as 64-bit numbers, from the bytes of an Arrow string column.
 
 A word's number is a polynomial over a fixed random value for each byte, taken from prefix sums, and then mixed. Texts are
-worked on in slices of a few MB, so memory doesn't depend on the batch; a longer text is a slice of its own.
+worked on in slices of about a MB, so memory doesn't depend on the batch; a longer text is a slice of its own.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 _VALUES = np.random.default_rng(20240601).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
