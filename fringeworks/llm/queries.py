@@ -103,10 +103,20 @@ select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from docs left join hits using (doc_id) left join named using (doc_id)
 """
 
+OP7_SQL = r"""
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+shingles as (select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as s from (select *, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from docs where len(ws) > 0) x),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select x, y from pairs join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * pairs.n >= 90 * (a.n + b.n - pairs.n)),
+reach as (select doc_id, doc_id as c from docs union select links.y, reach.c from reach join links on links.x = reach.doc_id)
+select doc_id, coalesce(max(n), 0) as n_shingles, min(c) as component_id from reach left join sizes using (doc_id) group by doc_id
+"""
+
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op10_exact_dedup": OP10_SQL}
