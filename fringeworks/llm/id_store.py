@@ -70,7 +70,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
 
         from fringeworks.llm.tokens import chunk_ids, id_bytes
 
-        ids, end = chunk_ids(vocabulary, id_bytes, False), id_bytes([end_id])
+        ids, end = chunk_ids(vocabulary, False), id_bytes([end_id])
         part, chunk, first, ordinal = TaskContext.get().partitionId(), 0, 0, 0
         held, size = [], 0  # (ordinal, doc_id, begin, bytes of ids)
 

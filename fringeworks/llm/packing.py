@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, piece: int =
 
         from fringeworks.llm.tokens import chunk_ids, id_bytes
 
-        ids, end = chunk_ids(vocabulary, id_bytes, True), id_bytes([end_id])
+        ids, end = chunk_ids(vocabulary, True), id_bytes([end_id])
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 LIMIT = 512
 #: A block ends at so many documents, or so many distinct chunks.
-BLOCK_DOCS, BLOCK_CHUNKS = 16384, 500_000
+BLOCK_DOCS, BLOCK_CHUNKS = 8192, 200_000
 _ROW = "bucket int, block long, docs binary, strings binary, lengths binary, df binary, doc binary, n binary"
 
 
@@ -154,7 +154,8 @@ def token_counts(docs: DataFrame, vocabulary: str, spaced: bool = True, limit: i
 
         from fringeworks.llm.tokens import chunk_ids
 
-        size_of, encode = {}, chunk_ids(vocabulary, len, spaced).encode
+        # distinct in the bucket, so nothing is gained from keeping their ids
+        size_of, encode = {}, chunk_ids(vocabulary, spaced, 0).encode
         out: list[tuple] = []
         for batch in table.to_batches():
             for row in batch.to_pylist():
@@ -166,7 +167,7 @@ def token_counts(docs: DataFrame, vocabulary: str, spaced: bool = True, limit: i
                 for end in ends:
                     piece = data[begin:end]
                     if (k := size_of.get(piece)) is None:
-                        k = size_of[piece] = len(encode(piece.decode()))
+                        k = size_of[piece] = len(encode(piece.decode())) // 4
                     sizes.append(k)
                     begin = end
                 weight = np.repeat(np.array(sizes, np.int64), _wide(row["df"])) * _wide(row["n"])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -27,6 +28,10 @@ _PATTERNS = {
 }
 
 
+#: Chunks that a worker remembers in either of two generations; pre-tokens are a third of that.
+MOST = 300_000
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     shown = {b for a, z in ((33, 126), (161, 172), (174, 255)) for b in range(a, z + 1)}
@@ -35,43 +40,53 @@ def _byte_letters() -> list[str]:
 
 
 class ChunkIds(dict):
-    """chunk -> ``made(list of ids)``; at ``most`` entries the memory is emptied, which only costs time."""
+    """chunk -> its ids as little-endian uint32 bytes.
 
-    def __init__(self, path: str, made, spaced: bool, most: int = 900_000):
+    At ``most`` entries they become the old generation, from which what is asked for again is taken back; forgetting only costs time.
+    """
+
+    def __init__(self, path: str, spaced: bool, most: int = MOST):
         from tokenizers import Tokenizer
 
-        self.tok, self.made, self.spaced, self.most = Tokenizer.from_file(path), made, spaced, most
-        self.pieces: dict[str, list[int]] = {}
+        self.tok, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.letters = dict(enumerate(_byte_letters()))
         self.special = special_strings(path)
-        self.heads: dict[str, object] = {}
-
-    def library(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+        self.heads: dict[str, bytes] = {}
 
-    def plain(self, text: str) -> list[int]:
-        found: list[int] = []
+    def plain(self, text: str) -> bytes:
+        found: list[bytes] = []
         for piece in _PATTERNS[self.spaced].findall(text if self.spaced else text.lower()):
             ids = self.pieces.get(piece)
             if ids is None:
-                if len(self.pieces) >= self.most:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            found += ids
-        return found
-
-    def encode(self, text: str) -> list[int]:
+                ids = self.old_pieces.get(piece)
+                if ids is None:
+                    ids = id_bytes([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+                if self.most:
+                    if len(self.pieces) >= self.most // 3:
+                        self.old_pieces, self.pieces = self.pieces, {}
+                    self.pieces[piece] = ids
+            found.append(ids)
+        return b"".join(found)
+
+    def encode(self, text: str) -> bytes:
         if _PLAIN.match(text) and not any(s in text for s in self.special):
             return self.plain(text)
-        return self.library(text)
+        return id_bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, chunk: str):
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.encode(" " + chunk if self.spaced else chunk)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[chunk] = self.made(self.encode(" " + chunk if self.spaced else chunk))
+        self[chunk] = value
         return value
 
-    def head(self, chunk: str):
+    def head(self, chunk: str) -> bytes:
         """The first chunk of a text has no space before it."""
         if not self.spaced:
             return self[chunk]
@@ -79,11 +94,11 @@ class ChunkIds(dict):
         if value is None:
             if len(self.heads) >= self.most // 8:
                 self.heads.clear()
-            value = self.heads[chunk] = self.made(self.encode(chunk))
+            value = self.heads[chunk] = self.encode(chunk)
         return value
 
-    def of(self, text: str) -> list:
-        """The values of the text's chunks, in order."""
+    def of(self, text: str) -> list[bytes]:
+        """The ids of the text's chunks, in order."""
         if not text:
             return []
         first, *rest = chunks(text, self.spaced)
@@ -116,17 +131,15 @@ def chunks(text: str, spaced: bool) -> list[str]:
 _KEPT: dict = {}
 
 
-def chunk_ids(path: str, made, spaced: bool) -> ChunkIds:
-    """One memory per worker process, vocabulary and kind of value."""
-    key = (path, made)
+def chunk_ids(path: str, spaced: bool, most: int = MOST) -> ChunkIds:
+    """One memory per worker process, for the vocabulary used last."""
+    key = (path, most)
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = ChunkIds(path, made, spaced)
+        _KEPT[key] = ChunkIds(path, spaced, most)
     return _KEPT[key]
 
 
 def id_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit."""
-    import struct
-
     return struct.pack(f"<{len(ids)}I", *ids)

@@ -31,7 +31,7 @@ def test_chunks_give_the_librarys_ids(path, spaced):
 
     r, tok = random.Random(2), Tokenizer.from_file(path)
     alphabet = [*"aZ é ß\n\n\t  ' '' 's't12._-$%|<>İΣσς̈中文١½²ªº　\x1c\x85​ŉſ", "<|endoftext|>", " the", "  ", "'ll"]
-    ids = ChunkIds(path, id_bytes, spaced, most=50)
+    ids = ChunkIds(path, spaced, most=50)
     for text in [*(t or "" for t in TEXTS.values()), *("".join(r.choice(alphabet) for _ in range(r.randrange(30))) for _ in range(3000))]:
         assert b"".join(ids.of(text)) == id_bytes(tok.encode(text, add_special_tokens=False).ids), repr(text)
 
@@ -51,7 +51,7 @@ def test_token_counts(spark, docs):
 def test_token_count_blocks(spark, docs, monkeypatch):
     from fringeworks.llm import token_counts as m
 
-    monkeypatch.setattr(m, "BLOCK_DOCS", 2)  # in the driver's process only: blocks are cut in _Block.add's caller
+    monkeypatch.setattr(m, "BLOCK_DOCS", 2)  # goes to the tasks with the function that reads it
     assert m.token_counts(docs, BYTE).agg(F.sum("n_tokens")).first()[0] == sum(len(library(BYTE, t)) for t in TEXTS.values())
 
 
