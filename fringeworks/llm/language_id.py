@@ -115,9 +115,12 @@ def probabilities(net: Network, tables, x: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, train_rows, per_lang: int = PER_LANG, window: int = WINDOW) -> list[tuple[str, bytes]]:
     """At most ``per_lang`` documents of each label under the condition ``train_rows``, as at most WINDOWS windows each."""
     labelled = docs.where(train_rows & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # the limit is applied by each task before the shuffle; ids and labels only
-    chosen = labelled.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= per_lang).select("doc_id").distinct()
+    # counts first: then only about four times as many rows of a label as are wanted meet in a task, whatever its share
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_li_n"))
+    few = labelled.select("doc_id", "lang", draw.alias("draw")).join(counts, "lang").where(F.col("draw") * F.col("_li_n") < 4 * per_lang)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
 
     def spread(batches) -> Iterator:
         import pyarrow as pa
