@@ -54,7 +54,7 @@ def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, most: int = MOST_WORDS) -> list[str]:
-    """The ``most`` words of 3 to 12 letters in most documents; each task counts its own before anything is shuffled."""
+    """At most ``most`` words of 3 to 12 letters, those in most documents (ties at the edge stay out); each task counts its own first."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -68,8 +68,15 @@ def dictionary(docs: DataFrame, most: int = MOST_WORDS) -> list[str]:
                 seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = written(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the least count that at most ``most`` words reach: counts' own table is small, and only those words are sent
+    room, least = most, None
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(most).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    return [] if least is None else sorted(r["word"] for r in counts.where(F.col("n") >= least).select("word").collect())
 
 
 def labelled_findings(found: DataFrame) -> DataFrame:
