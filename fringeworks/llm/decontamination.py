@@ -59,7 +59,7 @@ def vocabulary_of(items: DataFrame, most: int = MOST_TERMS):
     terms = items.select("term").distinct()
     if terms.count() > most:
         return None
-    return np.sort(np.array([r["term"] for r in terms.collect()], np.int64).view(np.uint64))
+    return np.sort(terms.toArrow().column("term").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def build_index(docs: DataFrame, vocabulary=None, run: int = 1) -> DataFrame:
