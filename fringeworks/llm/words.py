@@ -34,7 +34,7 @@ class _Powers:
     """Powers of the base and of its inverse modulo 2**64, grown as needed."""
 
     def __init__(self):
-        self.n, self.up, self.down = 0, None, None
+        self.n, self.up, self.down = -1, None, None
 
     def get(self, n: int):
         if n > self.n:
