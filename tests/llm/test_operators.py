@@ -315,3 +315,23 @@ def test_secret_scan(spark):
     assert all(x.length == 40 for x in found)
     assert m.scan(docs.where("false")).collect() == []
     assert m.scan(docs.where("doc_id < 60")).collect() == []
+
+
+def test_only_empty_texts(spark):
+    from fringeworks.llm import decontamination, exact_dedup, id_store, jaccard_join, language_id, packing, quality, repeats, secret_scan, token_counts
+    from fringeworks.llm.common import new_path
+
+    docs = spark.createDataFrame([(1, None, "aa"), (2, "", None), (None, "", "aa")], "doc_id long, text string, lang string").repartition(2)
+    bench = spark.createDataFrame([(1, None), (None, "a b")], "item_id long, text string")
+    assert [r.n_tokens for r in token_counts.token_counts(docs, BYTE).collect()] == [0, 0, 0]
+    path = new_path(spark, "ids")
+    id_store.write_ids(docs, path, WORD)
+    assert sorted((r.start, r.n_tokens) for r in id_store.read_documents(spark, path).collect()) == [(0, 1), (1, 1), (2, 1)]
+    assert sorted(r.offset for r in packing.pack(docs, BYTE).collect()) == [0, 1, 2]
+    assert exact_dedup.drop_exact_copies(docs).select("doc_id").collect() == [(2,)]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.similar_groups(docs).collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert [(r.n_bytes, r.n_removed) for r in repeats.remove_repeats(docs).collect()] == [(0, 0)] * 3
+    assert not any(r.contaminated for r in decontamination.contamination(docs, bench).collect())
+    assert {r.lang_pred for r in language_id.identify(docs).collect()} == {"und"}
+    assert quality.quality(docs.selectExpr("doc_id", "text", "lang as host", "lang as path"), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 3
+    assert secret_scan.scan(docs.selectExpr("doc_id", "lang as path", "text")).count() == 0
