@@ -16,8 +16,8 @@ import struct
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-#: Blanks of str.split that are followed by a space: then a run of white space must stay whole.
-_RUN = re.compile(r"\s ")
+#: A space after white space: then a run must stay whole. The space leads, so that the search runs from space to space.
+_RUN = re.compile(r" (?<=\s )")
 _CUT = re.compile(r"(?<=\S) ")
 #: ASCII but for the separators 1C-1F (white space in Python only), Latin-1 letters and Latin Extended-A but for the one whose lower case is two characters.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-įı-ſ]*\Z")
@@ -29,7 +29,7 @@ _PATTERNS = {
 
 
 #: Chunks that a worker remembers in either of two generations; pre-tokens are a third of that.
-MOST = 300_000
+MOST = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -63,7 +63,7 @@ class ChunkIds(dict):
             if ids is None:
                 ids = self.old_pieces.get(piece)
                 if ids is None:
-                    ids = id_bytes([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+                    ids = id_bytes([t.id for t in self.tok.model.tokenize(self.lettered(piece))])
                 if self.most:
                     if len(self.pieces) >= self.most // 3:
                         self.old_pieces, self.pieces = self.pieces, {}
@@ -71,9 +71,21 @@ class ChunkIds(dict):
             found.append(ids)
         return b"".join(found)
 
+    def lettered(self, piece: str) -> str:
+        """The letters that stand for the piece's bytes; marks, digits and ASCII letters stand for themselves."""
+        if piece.isascii():
+            bare = piece[1:] if piece[0] == " " else piece
+            if bare.isprintable() and " " not in bare:
+                return self.letters[32] + bare if piece[0] == " " else piece
+        return piece.encode().decode("latin-1").translate(self.letters)
+
     def encode(self, text: str) -> bytes:
-        if _PLAIN.match(text) and not any(s in text for s in self.special):
-            return self.plain(text)
+        if _PLAIN.match(text):
+            for s in self.special:
+                if s in text:
+                    break
+            else:
+                return self.plain(text)
         return id_bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> bytes:
@@ -102,7 +114,7 @@ class ChunkIds(dict):
         if not text:
             return []
         first, *rest = chunks(text, self.spaced)
-        return [self.head(first), *[self[c] for c in rest]]
+        return [self.head(first), *map(self.__getitem__, rest)]
 
 
 def special_strings(path: str) -> set[str]:
@@ -123,12 +135,13 @@ def split_plain(unit: str, spaced: bool, special: set[str]) -> list[str]:
 def chunks(text: str, spaced: bool) -> list[str]:
     if not spaced:
         return text.replace("\n", " ").split(" ")
-    if "  " in text or "\n " in text or _RUN.search(text):
+    if _RUN.search(text):
         return _CUT.split(text)
     return text.split(" ")
 
 
 _KEPT: dict = {}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 def chunk_ids(path: str, spaced: bool, most: int = MOST) -> ChunkIds:
@@ -142,4 +155,4 @@ def chunk_ids(path: str, spaced: bool, most: int = MOST) -> ChunkIds:
 
 def id_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
