@@ -500,14 +500,15 @@ def stream_captures(spark, d):
 
 @query()
 def stream_bins(spark, d):
-    """Bins that the watermark has passed."""
+    """All bins of all events: files arrive in any order, so the last update of a bin stands."""
     from fringeworks.streaming import stream
 
     chunks, out = work_path(spark, "chunks"), work_path(spark, "binned")
     fx.table(spark, d, "events").select("ts", "value").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").write.parquet(chunks)
     source = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(chunks)
-    stream.run_available(stream.binned(source, "ts"), work_path(spark, "checkpoint"), path=out)
-    return spark.read.parquet(out).withColumn("bin_start", F.col("bin_start").cast("timestamp_ntz"))
+    stream.run_available(stream.binned(source, "ts"), work_path(spark, "checkpoint"), lambda b, k: b.withColumn("batch", F.lit(k)).write.mode("append").parquet(out), mode="update")
+    latest = spark.read.parquet(out).groupBy("bin_start").agg(F.max_by(F.struct("n", "mean"), "batch").alias("s"))
+    return latest.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "s.n", "s.mean")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

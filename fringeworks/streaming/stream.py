@@ -16,9 +16,13 @@ def running_moments(stream: DataFrame, keys: list[str], value: str = "x") -> Dat
     return stream.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
 
 
-def binned(stream: DataFrame, ts: str, width: str = "15 minutes", late: str = "1 hour", value: str = "value") -> DataFrame:
-    """bin_start, n, mean: fixed bins; a bin is final once the watermark has passed it."""
-    rows = stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+def binned(stream: DataFrame, ts: str, width: str = "15 minutes", late: str | None = None, value: str = "value") -> DataFrame:
+    """bin_start, n, mean: fixed bins, for update mode: a bin's row comes again as events reach it, in whatever order they arrive.
+
+    State holds a row for each bin. With ``late`` bins are final, and their state is dropped, once the watermark has passed them; later events are lost.
+    """
+    timed = stream if late is None else stream.withWatermark(ts, late)
+    rows = timed.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     return rows.select(F.col("w.start").alias("bin_start"), "n", "mean")
 
 

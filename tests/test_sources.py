@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fringeworks.functions import decode
+from fringeworks.plans.queries import QUERIES
 from fringeworks.sources import catalog as catalogs
 from fringeworks.sources.phase_trace import register, write_traces
 from fringeworks.sources.sinks import append_bins, upsert_cells, write_bins
@@ -93,3 +94,28 @@ def test_stream_refuses_gaps(spark, tmp_path):
     spark.createDataFrame([(1, 7, 9)], "trace_id long, sample_idx long, m long").write.mode("append").parquet(f"{tmp_path}/in")
     with pytest.raises(Exception, match="missing"):
         stream.run_available(stream.unwrapped(read()), f"{tmp_path}/ck", path=f"{tmp_path}/out")
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stream_bins_in_any_order(spark, tmp_path):
+    """The latest range is read first, and what follows is far behind it."""
+    for k in (2, 0, 1):
+        rows = spark.range(100).selectExpr(f"timestamp_seconds({k} * 864000 + id * 60) as ts", "cast(id as double) as value")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    part = next(f for f in sorted(os.listdir(f"{tmp_path}/in")) if f.endswith(".parquet"))
+    spark.read.parquet(f"{tmp_path}/in/{part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")  # bins that come again
+    source = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    last = {}
+    stream.run_available(stream.binned(source, "ts"), f"{tmp_path}/ck", lambda b, k: last.update({r.bin_start: (r.n, r["mean"]) for r in b.collect()}), mode="update")
+    want = spark.read.parquet(f"{tmp_path}/in").groupBy(F.window("ts", "15 minutes")["start"].alias("bin_start")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    assert last == {r.bin_start: (r.n, r["mean"]) for r in want.collect()} and sum(n for n, _ in last.values()) == 400
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_stream_bins_hold_all_events(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = events.groupBy(F.window("ts", "15 minutes")["start"].cast("timestamp_ntz").alias("bin_start")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    got = QUERIES["stream_bins"](spark, DATA).select("bin_start", "n", F.round("mean", 6).alias("mean"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.agg(F.sum("n")).first()[0] == events.count()
