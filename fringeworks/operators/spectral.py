@@ -146,10 +146,21 @@ def full_spectrogram(df: DataFrame, fs: float, win_s: float | None = None, overl
     return _long(rows, [key, "win_idx"], "spectrum", (F.col("freq_idx") + 1) * (fs / nfft))
 
 
-def segments(df: DataFrame, key: str = "trace_id", value: str = "x", length: int = 1 << 20) -> DataFrame:
-    """key, segment, samples: stretches of at most ``length`` samples, so an array stays bounded."""
-    rows = df.groupBy(key, F.expr(f"sample_idx div {length}").alias("segment")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", F.col(value).alias("v")))).alias("s"))
-    return rows.select(key, "segment", F.col("s.v").alias("samples"))
+def segments(df: DataFrame, key: str = "trace_id", value: str = "x", length: int = 1 << 20, halo: int = 0) -> DataFrame:
+    """key, segment, samples: stretches of at most ``length`` samples, so an array stays bounded.
+
+    With ``halo`` up to so many samples of the neighbours lie on either side; before (samples of them ahead) and own tell which are the stretch.
+    """
+    pair = F.struct("sample_idx", F.col(value).alias("v"))
+    if not halo:
+        rows = df.groupBy(key, F.expr(f"sample_idx div {length}").alias("segment")).agg(F.array_sort(F.collect_list(pair)).alias("s"))
+        return rows.select(key, "segment", F.col("s.v").alias("samples"))
+    dealt = df.withColumn("segment", F.explode(F.expr(f"sequence(greatest(sample_idx - {halo}, 0) div {length}, (sample_idx + {halo}) div {length})")))
+    begin = F.col("segment") * length
+    rows = dealt.groupBy(key, "segment").agg(
+        F.array_sort(F.collect_list(pair)).alias("s"), F.count_if(F.col("sample_idx") < begin).cast("int").alias("before"), F.count_if(F.col("sample_idx").between(begin, begin + length - 1)).cast("int").alias("own"),
+    )
+    return rows.where("own > 0").select(key, "segment", F.col("s.v").alias("samples"), "before", "own")
 
 
 def periodogram(rows: DataFrame, keys: list[str], fs: float) -> DataFrame:
@@ -215,8 +226,23 @@ def _filtered(x: np.ndarray, sections: list[np.ndarray]) -> np.ndarray:
     return x
 
 
+def settling(low: float, high: float, fs: float, corners: int = 4, tolerance: float = 1e-10) -> int:
+    """Samples after which what the band-pass began with has faded to ``tolerance``: by its slowest pole, so by the low corner or a narrow band."""
+    slowest = max(float(np.sqrt(s[5])) for s in butterworth_bandpass(low, high, fs, corners))
+    return int(np.ceil(np.log(tolerance) / np.log(slowest)))
+
+
 def bandpass(rows: DataFrame, keys: list[str], low: float, high: float, fs: float, corners: int = 4) -> DataFrame:
-    """keys, samples: each array filtered forwards and backwards, so its phase stays."""
+    """keys, samples: each array filtered forwards and backwards, so its phase stays.
+
+    An array is a whole trace, or one of ``segments`` with a halo of ``settling`` samples, which is dropped after filtering: the values
+    are then those of the whole trace to 1e-8 of its largest sample, whatever the segments' length. Later segments without halo are refused.
+    """
     sections = butterworth_bandpass(low, high, fs, corners)
     both = lambda x: _filtered(_filtered(x, sections)[::-1], sections)[::-1]
-    return _by_row(rows, keys, "samples", lambda x: np.stack([both(r) for r in x]), "filtered").withColumnRenamed("filtered", "samples")
+    halo = ["before", "own"] if {"before", "own"} <= set(rows.columns) else []
+    if not halo and "segment" in rows.columns:
+        refused = F.raise_error(F.lit("segments of a longer trace need a halo")).cast("array<double>")
+        rows = rows.withColumn("samples", F.when(F.col("segment") > 0, refused).otherwise(F.col("samples")))
+    found = _by_row(rows, [*keys, *halo], "samples", lambda x: np.stack([both(r) for r in x]), "filtered")
+    return found.select(*keys, (F.slice("filtered", F.col("before") + 1, F.col("own")) if halo else F.col("filtered")).alias("samples"))

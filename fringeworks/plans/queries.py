@@ -245,7 +245,8 @@ def specgram(spark, d):
 
 @query()
 def bandpass(spark, d):
-    return spectral.bandpass(spectral.segments(fx.signal(spark, d)), ["trace_id", "segment"], 0.5, 15.0, FS)
+    low, high = 0.5, 15.0
+    return spectral.bandpass(spectral.segments(fx.signal(spark, d), halo=spectral.settling(low, high, FS)), ["trace_id", "segment"], low, high, FS)
 
 
 # --- events

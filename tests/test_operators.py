@@ -149,6 +149,21 @@ def test_a_sine_peaks_where_it_should(spark):
     assert np.allclose(out[100:300], np.sin(2 * np.pi * f0 * np.arange(400) / fs)[100:300], atol=0.05)
 
 
+@pytest.mark.parametrize(("low", "high", "length"), [(2.0, 10.0, 1000), (2.0, 10.0, 37), (0.5, 15.0, 400), (4.8, 5.2, 900)])
+def test_bandpass_is_the_same_in_any_segments(spark, low, high, length):
+    fs, x = 40.0, np.random.default_rng(3).normal(100, 5, 2500)
+    df, halo = trace(spark, x), spectral.settling(low, high, fs)
+    whole = np.array(spectral.bandpass(spectral.segments(df), ["trace_id", "segment"], low, high, fs).first().samples)
+    cut = spectral.bandpass(spectral.segments(df, length=length, halo=halo), ["trace_id", "segment"], low, high, fs).orderBy("segment").collect()
+    assert [r.segment for r in cut] == list(range(-(-2500 // length)))
+    assert np.abs(np.concatenate([r.samples for r in cut]) - whole).max() < 1e-8 * np.abs(x).max()
+
+
+def test_bandpass_refuses_segments_without_halo(spark):
+    with pytest.raises(Exception, match="need a halo"):
+        spectral.bandpass(spectral.segments(trace(spark, np.zeros(20)), length=10), ["trace_id", "segment"], 2.0, 10.0, 40.0).collect()
+
+
 def test_events(spark):
     x = np.r_[np.zeros(20), np.ones(5) * 5, np.zeros(20)] + 0.1
     ratio = ordered(events.sta_lta(trace(spark, x), 3, 10), "ratio")
