@@ -13,8 +13,10 @@ any order of the shingles that is the same for all documents. The order here is
    (by a heap, or by sorting where they hold much), and the candidates reaching T minus the number of long lists are probed in
    these by binary search. Classes already known to be connected are not probed, so a group of many near copies costs
    about a query for each, not a probe for each pair. A shard above ``MOST`` classes is cut into blocks, a task each. What
-   the blocks leave unconnected to the shard's largest part so far is then searched against every block; two classes of
-   the largest part need no search. So no task grows with the largest group, and a group of near copies costs what its size does.
+   the blocks leave unconnected to the shard's largest part so far is cut into groups of ``MOST``, and each group is searched
+   against each block in a task of its own, which gets only classes that share a first shingle with the other side; two classes
+   of the largest part need no search. So a task has about 2 ``MOST`` classes however large the shard and few its links. A group of
+   near copies costs what its size does; n classes that are hardly linked cost at most 2 n n / ``MOST`` sets sent, fewer where lists are short.
 4. The links found, a spanning forest of each shard, give the components.
 
 No link between different texts is lost: the filters are exact. Shingles are compared as 64-bit numbers.
@@ -291,18 +293,29 @@ def links_of(docs: DataFrame, stands: DataFrame, words: int, num: int, den: int,
     cut = placed.where("k > 1")
     if cut.isEmpty():
         return links
-    # second round: what isn't in the largest part of its shard meets every block
+    # second round: what isn't in the largest part of its shard (the others) meets every block
     parts = components(links.join(cut.select(F.col("row").alias("a")), "a", "left_semi"))
     cut = written(cut.join(parts.withColumnsRenamed({"node": "row", "component": "part"}), "row", "left").withColumn("part", F.coalesce("part", "row")), "cut")
     largest = cut.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-    others = cut.join(largest, "component").where("part != largest").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("at != block")
-    again = cut.unionByName(others.drop("largest", "block").withColumnRenamed("at", "block"))
-    return links.unionByName(_searched(docs, again, words, num, den))
+    sides = cut.join(largest, "component").withColumn("other", F.col("part") != F.col("largest"))
+    dealt = sides.where("other").groupBy("component").agg(F.ceil(F.count(F.lit(1)) / most).alias("m"))
+    sides = sides.join(dealt, "component").withColumn("group", F.pmod(F.xxhash64("row", F.lit(1)), F.col("m")))
+    # a task for each group of others and block, of those in either that share a first shingle with some in the other
+    held = written(lists.join(sides, "row").select("row", "token", "component", "k", "block", "part", "other", "group"), "held")
+    blocks = held.select("token", F.col("block").alias("b")).distinct()
+    groups = held.where("other").select("token", F.col("group").alias("g")).distinct()
+    ours = held.where("other").join(blocks, "token").withColumnRenamed("group", "g")
+    theirs = held.join(groups, "token").withColumnRenamed("block", "b")
+    columns = ["row", "component", (F.col("g") * F.col("k") + F.col("b")).alias("block"), "part"]
+    again = written(ours.select(*columns).unionByName(theirs.select(*columns)).distinct(), "again")
+    return links if again.isEmpty() else links.unionByName(_searched(docs, again, words, num, den))
 
 
 def _searched(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links within each (component, block) of ``placed`` (row, component, block, part)."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = placed.count()
+    # a bucket is held as a whole: about MOST / 2 sets and one (component, block) more
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total // MOST)
 
     def with_sets(batches) -> Iterator:
         import pyarrow as pa
@@ -329,7 +342,7 @@ def _searched(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     placed = placed.select(F.col("row").alias("_jj_row"), "component", "block", "part")
-    chosen = F.broadcast(placed) if placed.count() <= MOST_SENT else placed
+    chosen = F.broadcast(placed) if total <= MOST_SENT else placed
     texts = docs.select("_jj_row", "text").join(chosen, "_jj_row").select("_jj_row", "component", "block", "part", "text")
     sets = texts.mapInArrow(with_sets, "row long, component long, block long, part long, tokens binary")
     bucket = F.pmod(F.xxhash64("component", "block"), F.lit(buckets)).alias("bucket")

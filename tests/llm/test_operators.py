@@ -162,6 +162,28 @@ def test_jaccard_join_odd_tables(spark):
     assert m.drop_near_copies(same).count() == 3
 
 
+def test_jaccard_join_shard_of_unlinked_classes(spark, monkeypatch):
+    """One shard, few links: no task gets more than a block and a group of others."""
+    from fringeworks.llm import jaccard_join as m
+
+    r, most, sizes = random.Random(8), 40, []
+    names = [f"w{k}" for k in range(60)]
+    texts = [r.sample(names, 30) for _ in range(400)]
+    texts += [[*t[1:], "other"] for t in texts[::20]]
+    texts = {k: " ".join(t) for k, t in enumerate(texts)}
+    search = m._searched
+
+    def seen(docs, placed, *rest):
+        sizes.append(placed.groupBy("component", "block").count().agg(F.max("count")).first()[0])
+        return search(docs, placed, *rest)
+
+    monkeypatch.setattr(m, "_searched", seen)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in m.similar_groups(docs, 1, 80, 100, most).collect()}
+    assert found == cases.components(texts, 1, 80, 100)
+    assert len(sizes) == 2 and max(sizes) < 3 * most  # blocks are dealt by hash
+
+
 def test_divide_skip_connects_what_pairs_do():
     from fringeworks.llm.jaccard_join import divide_skip
 
