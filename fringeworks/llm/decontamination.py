@@ -137,12 +137,25 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW) ->
     return runs.where(F.col("length") >= F.least("n", F.lit(window))).select("row", "item", "item_id", (F.col("q") + F.col("d")).alias("begin"), "length")
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 5, share: float = 0.8, window: int = WINDOW) -> DataFrame:
-    """row, item, item_id, d, n_terms: alignments at which ``share`` of the item's words lie within ``slop`` of their place.
+def near_alignments(index: DataFrame, items: DataFrame, slop: int, share: float) -> DataFrame:
+    """item, row, d: every place of the item's first word at which ``share`` of its words can lie within ``slop`` of theirs.
+
+    Of n words at most n - ceil(share n) may be away, so one of the rarest n - ceil(share n) + 1 is there; those that the index doesn't know are the rarest.
+    """
+    lists = postings(index)
+    known = lists.join(items.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("positions")).alias("known"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("known", F.lit(0)), "q"))
+    probes = items.join(known, "term", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1)
+    at = probes.where("known > 0").select("item", "q", "term").join(lists, "term").select("item", "row", "q", F.explode("positions").alias("p"))
+    return at.select("item", "row", F.explode(F.sequence(F.col("p") - F.col("q") - slop, F.col("p") - F.col("q") + slop)).alias("d")).distinct()
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 5, share: float = 0.8) -> DataFrame:
+    """row, item, item_id, d, n_terms: all alignments at which ``share`` (above 0) of the item's words lie within ``slop`` of their place.
 
     It needs an index with all positions of the vocabulary (``run=1``).
     """
-    expected = alignments(index, items, window).join(items, "item").select("item", "item_id", "row", "d", "q", "term", "n")
+    expected = near_alignments(index, items, slop, share).join(items, "item").select("item", "item_id", "row", "d", "q", "term", "n")
     near = F.exists("positions", lambda p: F.abs(p - F.col("q") - F.col("d")) <= slop)
     found = expected.join(postings(index), ["row", "term"]).where(near).groupBy("row", "item", "d")
     found = found.agg(F.count(F.lit(1)).alias("n_terms"), F.first("n").alias("n"), F.first("item_id").alias("item_id"))

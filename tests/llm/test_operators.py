@@ -184,6 +184,27 @@ def test_jaccard_join_shard_of_unlinked_classes(spark, monkeypatch):
     assert len(sizes) == 2 and max(sizes) < 3 * most  # blocks are dealt by hash
 
 
+def test_proximity_with_each_word_replaced(spark):
+    """Every word of an item away in turn, and one known but elsewhere, against all alignments by hand."""
+    from fringeworks.llm import decontamination as m
+
+    item, slop, share = "one two three four five six seven eight nine ten".split(), 2, 0.8
+    texts = [["pad"] * 3 + [*item[:k], "other", *item[k + 1 :]] for k in range(10)]
+    texts += [[*item[:4], "x", *item[4:]], [*item[:3], *item[6:]], item[:7], [*item[5:], *item[:5]], ["one"] * 30]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    items = m.item_words(spark.createDataFrame([("a", " ".join(item))], "item_id string, text string"))
+    index = m.build_index(docs, m.vocabulary_of(items))
+    ids = {r.row: r.doc_id for r in index.collect()}
+    want = set()
+    for k, t in enumerate(texts):
+        for d in range(-20, len(t) + 20):
+            n = sum(any(abs(p - q - d) <= slop for p, w in enumerate(t) if w == own) for q, own in enumerate(item))
+            if n >= share * len(item):
+                want.add((k, d, n))
+    assert {(ids[r.row], r.d, r.n_terms) for r in m.proximity_matches(index, items, slop, share).collect()} == want
+    assert {k for k, _, _ in want} == set(range(11))
+
+
 def test_divide_skip_connects_what_pairs_do():
     from fringeworks.llm.jaccard_join import divide_skip
 
