@@ -1,4 +1,4 @@
-"""What the training-data operators share: the shared work folder, written tables."""
+"""What the training-data operators share: the shared work folder, written tables, numbered rows."""
 
 from __future__ import annotations
 
@@ -8,15 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns of this prefix are the operators' own; an input that has one is refused.
+OWN = "_fw_"
+ROW = OWN + "row"
+#: Bytes of text behind one bucket of a shuffle that a Python worker reads as a whole.
+BUCKET_TEXT = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` or, where that is unset (tests), a temporary one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one, but only on a local master."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-fringeworks-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -34,5 +42,28 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def refuse_own(docs: DataFrame) -> DataFrame:
+    if own := [c for c in docs.columns if c.lower().startswith(OWN)]:
+        raise ValueError(f"columns that start with {OWN} are reserved: {own}")
+    return docs
+
+
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` (or its ``columns``) with a number for each row, written once.
+
+    Whatever joins on the number later reads this table, so all jobs see the same numbers, however the input is planned
+    or recomputed.
+    """
+    refuse_own(docs)
+    rows = docs.select(*columns) if columns else docs
+    return written(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered", "lz4")
+
+
+def buckets_for(docs: DataFrame, share: float = 1.0) -> int:
+    """Buckets of a shuffle by the bytes of text: one for each BUCKET_TEXT / ``share``, at least ``spark.sql.shuffle.partitions``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(share * size / BUCKET_TEXT))
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))

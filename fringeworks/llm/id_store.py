@@ -68,9 +68,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
         import numpy as np
         import pyarrow as pa
 
-        from fringeworks.llm.tokens import chunk_ids, id_bytes
+        from fringeworks.llm.tokens import id_bytes, piece_ids
 
-        ids, end = chunk_ids(vocabulary, False), id_bytes([end_id])
+        ids, end = piece_ids(vocabulary, False), id_bytes([end_id])
         part, chunk, first, ordinal = TaskContext.get().partitionId(), 0, 0, 0
         held, size = [], 0  # (ordinal, doc_id, begin, bytes of ids)
 
@@ -106,10 +106,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = memoryview(b"".join([*ids.of(text or ""), end]))
+                data = memoryview(ids.of(text or "") + end)
                 held.append((ordinal, doc_id, 0, data))
                 ordinal, size = ordinal + 1, size + len(data) // 4
-                if size >= 16 * block:
+                if size >= 4 * block:
                     yield table(flush(False))
         yield table(flush(True))
 
@@ -128,6 +128,9 @@ def read_segments(spark: SparkSession, path: str, with_ids: bool = True) -> Data
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        from fringeworks.llm.worker import kept
+
+        kept("planes")
         for batch in batches:
             for row in batch.to_pylist():
                 ids = from_planes(row["planes"], row["bits"], row["n_ids"])

@@ -2,14 +2,14 @@
 
 A document is its ids and then the end id. Whole windows are cut off its front; the rest, under one window, is cut into
 pieces of ``piece`` tokens and a remainder: small against a window, and of many sizes, so differencing can even them out.
-Pieces go to groups of about ``windows_per_group`` windows by a hash, and each group is one task's work: partial
+Pieces go to groups of about ``windows_per_group`` windows by a hash of their number in the table of pieces (so null or repeated ids make no large group), and each group is one task's work: partial
 partitions with the largest imbalance are merged, the fullest window of one with the emptiest of the other, until one
 partition is left. If a window then exceeds its capacity the group takes one window more and starts again.
 
 Ids are made once and never shuffled: a piece's row holds its place, length and checksum. Windows are nearly even, so a
 group's padding is about what the rounding up to whole windows leaves, half a window in ``windows_per_group``.
 
-Cases: null and empty texts are the end id alone; texts of any length are cut; repeated rows are packed as often as they
+Cases: null and empty texts are the end id alone; texts of any length are cut; null doc_ids are packed like others; repeated rows as often as they
 occur; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -42,13 +42,13 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, piece: int =
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        from fringeworks.llm.tokens import chunk_ids, id_bytes
+        from fringeworks.llm.tokens import id_bytes, piece_ids
 
-        ids, end = chunk_ids(vocabulary, True), id_bytes([end_id])
+        ids, end = piece_ids(vocabulary, True), id_bytes([end_id])
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = memoryview(b"".join([*ids.of(text or ""), end]))
+                data = memoryview(ids.of(text or "") + end)
                 n = len(data) // 4
                 for start, length in cuts(n, window, piece):
                     for column, value in zip(out, (doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n), strict=True):
@@ -116,7 +116,7 @@ def even_windows(sizes: list[int], window: int) -> list[int]:
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, piece: int = PIECE, end_id: int = END_ID, windows_per_group: int = WINDOWS_PER_GROUP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
-    made = written(pieces(docs, vocabulary, window, piece, end_id), "pieces")
+    made = written(pieces(docs, vocabulary, window, piece, end_id).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     total = made.agg(F.sum("length").alias("n")).first()["n"] or 0
     groups = max(1, round(total / (window * windows_per_group)))
 
@@ -141,5 +141,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, piece: int = PI
         group = table.column("group").to_numpy() << 32
         return table.drop_columns(["group"]).append_column("sequence_id", pa.array(group + sequence)).append_column("offset", pa.array(offset))
 
-    group = F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("group")
-    return made.select("*", group).groupBy("group").applyInArrow(place, f"{PIECE_SCHEMA}, sequence_id long, offset long")
+    group = F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("group")
+    return made.select(*[c for c in made.columns if c != "piece"], group).groupBy("group").applyInArrow(place, f"{PIECE_SCHEMA}, sequence_id long, offset long")

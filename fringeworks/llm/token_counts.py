@@ -152,10 +152,10 @@ def token_counts(docs: DataFrame, vocabulary: str, spaced: bool = True, limit: i
         import numpy as np
         import pyarrow as pa
 
-        from fringeworks.llm.tokens import chunk_ids
+        from fringeworks.llm.tokens import piece_ids
 
         # distinct in the bucket, so nothing is gained from keeping their ids
-        size_of, encode = {}, chunk_ids(vocabulary, spaced, 0).encode
+        size_of, encode = {}, piece_ids(vocabulary, spaced, 0).encode
         out: list[tuple] = []
         for batch in table.to_batches():
             for row in batch.to_pylist():

@@ -1,11 +1,12 @@
-"""Ids of whole texts by the tokenizers library, each distinct piece encoded once per worker.
+"""Ids of whole texts by the tokenizers library, each distinct pre-token encoded once in a while per worker.
 
-Both byte-level vocabularies split a text at spaces before they merge anything, so the ids of a text are the ids of its
-space-separated chunks in a row. ``ChunkIds`` remembers the library's ids for a chunk and, within it, for a pre-token.
+Both vocabularies split a text into pre-tokens before they merge anything, so the ids of a text are the ids of its
+pre-tokens in a row. ``PieceIds`` remembers the library's ids of a pre-token, in two generations of bounded bytes.
 
-Where a chunk may be cut off: at a space whose left neighbour is not white space (``spaced=True``: the space belongs to
-the chunk on its right, and a run of several blanks stays whole), or at any space or line feed where the tokenizer drops
-white space (``spaced=False``). Chunks with characters outside ASCII and Latin letters go to the library whole.
+A text of plain characters (ASCII and Latin letters) is split by the pattern that the vocabulary file names. Other texts are cut into
+chunks first: at a space whose left neighbour is not white space (``spaced=True``: the space belongs to the chunk on its
+right, and a run of several blanks stays whole), or at any space or line feed where the tokenizer drops white space
+(``spaced=False``). Chunks that aren't plain, or hold a special string, go to the library whole.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ _RUN = re.compile(r" (?<=\s )")
 _CUT = re.compile(r"(?<=\S) ")
 #: ASCII but for the separators 1C-1F (white space in Python only), Latin-1 letters and Latin Extended-A but for the one whose lower case is two characters.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-įı-ſ]*\Z")
-#: The split patterns that the two vocabulary files name, for plain characters.
+#: The split patterns that the two vocabulary files name, written for plain characters only; letters first, as most pieces are.
+_LETTERS, _BLANKS = "A-Za-zÀ-ÖØ-öø-ſ", r" \t\n\x0b\x0c\r"
+_SHORT = "'(?:s|t|re|ve|m|ll|d)"
 _PATTERNS = {
-    True: re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
-    False: re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
+    True: re.compile(rf" ?[{_LETTERS}]+|{_SHORT}| ?[0-9]+| ?[^{_BLANKS}0-9{_LETTERS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"),
+    False: re.compile(rf"[{_LETTERS}]+|{_SHORT}|[0-9]|[^{_BLANKS}0-9{_LETTERS}]+"),
 }
 
-
-#: Chunks that a worker remembers in either of two generations; pre-tokens are a third of that.
-MOST = 400_000
+#: Bytes that a generation of a worker's memory may hold (an entry counts as its strings and ENTRY), and the longest piece that is kept.
+MOST, ENTRY, LONGEST = 40 << 20, 160, 64
 
 
 def _byte_letters() -> list[str]:
@@ -39,82 +41,71 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-class ChunkIds(dict):
-    """chunk -> its ids as little-endian uint32 bytes.
+class PieceIds(dict):
+    """pre-token, or chunk that isn't plain -> its ids as little-endian uint32 bytes.
 
-    At ``most`` entries they become the old generation, from which what is asked for again is taken back; forgetting only costs time.
+    At ``most`` bytes the entries become the old generation, from which what is asked for again is taken back; forgetting only costs time.
     """
 
     def __init__(self, path: str, spaced: bool, most: int = MOST):
         from tokenizers import Tokenizer
 
-        self.tok, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
-        self.pieces: dict[str, bytes] = {}
+        self.tok, self.spaced, self.most, self.size = Tokenizer.from_file(path), spaced, most, 0
+        self.model, self.find = self.tok.model, _PATTERNS[spaced].findall
         self.old: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
         self.letters = dict(enumerate(_byte_letters()))
+        self.blank = self.letters[32]
         self.special = special_strings(path)
-        self.heads: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        found: list[bytes] = []
-        for piece in _PATTERNS[self.spaced].findall(text if self.spaced else text.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.old_pieces.get(piece)
-                if ids is None:
-                    ids = id_bytes([t.id for t in self.tok.model.tokenize(self.lettered(piece))])
-                if self.most:
-                    if len(self.pieces) >= self.most // 3:
-                        self.old_pieces, self.pieces = self.pieces, {}
-                    self.pieces[piece] = ids
-            found.append(ids)
-        return b"".join(found)
 
-    def lettered(self, piece: str) -> str:
-        """The letters that stand for the piece's bytes; marks, digits and ASCII letters stand for themselves."""
-        if piece.isascii():
-            bare = piece[1:] if piece[0] == " " else piece
-            if bare.isprintable() and " " not in bare:
-                return self.letters[32] + bare if piece[0] == " " else piece
-        return piece.encode().decode("latin-1").translate(self.letters)
-
-    def encode(self, text: str) -> bytes:
-        if _PLAIN.match(text):
-            for s in self.special:
-                if s in text:
-                    break
+    def __missing__(self, piece: str) -> bytes:
+        """Of a pre-token of plain characters: the model alone."""
+        ids = self.old.get(piece)
+        if ids is None:
+            if piece.isascii() and piece.isprintable():
+                word = piece.replace(" ", self.blank)  # all others stand for themselves
             else:
-                return self.plain(text)
-        return id_bytes(self.tok.encode(text, add_special_tokens=False).ids)
-
-    def __missing__(self, chunk: str) -> bytes:
-        value = self.old.get(chunk)
-        if value is None:
-            value = self.encode(" " + chunk if self.spaced else chunk)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = value
-        return value
-
-    def head(self, chunk: str) -> bytes:
-        """The first chunk of a text has no space before it."""
-        if not self.spaced:
-            return self[chunk]
-        value = self.heads.get(chunk)
-        if value is None:
-            if len(self.heads) >= self.most // 8:
-                self.heads.clear()
-            value = self.heads[chunk] = self.encode(chunk)
-        return value
-
-    def of(self, text: str) -> list[bytes]:
-        """The ids of the text's chunks, in order."""
+                word = piece.encode().decode("latin-1").translate(self.letters)
+            ids = id_bytes([t.id for t in self.model.tokenize(word)])
+        return self.remembered(piece, ids)
+
+    def remembered(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= LONGEST:
+            if self.size >= self.most:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[piece] = ids
+            self.size += len(piece) + len(ids) + ENTRY
+        return ids
+
+    def whole(self, unit: str) -> bytes:
+        """Of a chunk that isn't plain: the library's whole way."""
+        if ids := self.get(unit):
+            return ids
+        return self.remembered(unit, self.old.get(unit) or id_bytes(self.tok.encode(unit, add_special_tokens=False).ids))
+
+    def plain(self, text: str) -> bool:
+        return bool(_PLAIN.match(text)) and not any(s in text for s in self.special)
+
+    def pieces(self, text: str) -> list[str]:
+        return self.find(text if self.spaced else text.lower())
+
+    def encode(self, unit: str) -> bytes:
+        """Of a chunk, or of a pre-token."""
+        return b"".join(map(self.__getitem__, self.pieces(unit))) if self.plain(unit) else self.whole(unit)
+
+    def of(self, text: str) -> bytes:
         if not text:
-            return []
-        first, *rest = chunks(text, self.spaced)
-        return [self.head(first), *map(self.__getitem__, rest)]
+            return b""
+        if self.plain(text):
+            return b"".join(map(self.__getitem__, self.pieces(text)))
+        found = []
+        for k, chunk in enumerate(chunks(text, self.spaced)):
+            unit = " " + chunk if self.spaced and k else chunk
+            if self.plain(unit):
+                found += map(self.__getitem__, self.pieces(unit))
+            else:
+                found.append(self.whole(unit))
+        return b"".join(found)
 
 
 def special_strings(path: str) -> set[str]:
@@ -140,17 +131,14 @@ def chunks(text: str, spaced: bool) -> list[str]:
     return text.split(" ")
 
 
-_KEPT: dict = {}
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
-def chunk_ids(path: str, spaced: bool, most: int = MOST) -> ChunkIds:
-    """One memory per worker process, for the vocabulary used last."""
-    key = (path, most)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = ChunkIds(path, spaced, most)
-    return _KEPT[key]
+def piece_ids(path: str, spaced: bool, most: int = MOST) -> PieceIds:
+    """The memory of this worker process for the vocabulary."""
+    from fringeworks.llm.worker import kept
+
+    return kept(("ids", path, spaced, most), lambda: PieceIds(path, spaced, most))
 
 
 def id_bytes(ids: list[int]) -> bytes:
