@@ -1,16 +1,19 @@
 """Words of many texts at once as 64-bit numbers, from the bytes of an Arrow string column.
 
-A word's number is a polynomial over a fixed random value for each byte, taken from prefix sums, and then mixed. Texts are
-worked on in slices of about a MB, so memory doesn't depend on the batch; a longer text is a slice of its own.
+A word's number is made eight bytes at a time: each eight are added to what came before and go through a bijection that
+spreads every bit, so no family of words (periodic ones, say) collides by its structure; a word over ``LONG`` bytes takes
+64 bits of its BLAKE2b digest. Of n different words, n * n / 2**65 pairs are expected to share a number: none for a billion.
+Texts are worked on in slices of about a MB, so memory doesn't depend on the batch; a longer text is a slice of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE, LONG = 1 << 20, 64
 _VALUES = np.random.default_rng(20240601).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -71,6 +74,24 @@ def slices(column, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndar
         row = end
 
 
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # of eight bytes, the first k
+
+
+def numbers(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int = LONG) -> np.ndarray:
+    """Of the strings from ``starts`` to ``ends``."""
+    size = ends - starts
+    number = mixed(size.astype(np.uint64) + np.uint64(_BASE))
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[: len(low)] = low
+    eight = np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    for k in range(0, min(long, int(size.max(initial=0))), 8):
+        own = slice(None) if not k else np.flatnonzero(size > k)
+        number[own] = mixed(number[own] ^ (eight[starts[own] + k] & _KEEP[np.minimum(size[own] - k, 8)]))
+    for w in np.flatnonzero(size > long).tolist():
+        number[w] = int.from_bytes(hashlib.blake2b(low[starts[w] : ends[w]].tobytes(), digest_size=8).digest(), "little")
+    return number
+
+
 def numbered_words(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray):
     """(number of each word, rows' first words): A-Z lower-cased; the words of row k are first[k] to first[k + 1]."""
     low = _LOWER[data]
@@ -86,7 +107,4 @@ def numbered_words(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray):
     last = cut[cut > 0] - 1
     closed[last] |= inside[last]
     ends = np.flatnonzero(closed) + 1
-    up, down = _POWERS.get(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[low] * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, bounds)
+    return numbers(low, starts, ends), np.searchsorted(starts, bounds)
