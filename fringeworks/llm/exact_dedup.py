@@ -1,6 +1,7 @@
 """Exact deduplication with a heavy-hitter split (DataFrame functions only).
 
-1. One narrow pass over the texts writes (row, doc_id, SHA-256) to the shared folder; later steps never touch text.
+1. One narrow pass over the texts writes (row, doc_id, SHA-256) to the shared folder; later steps never touch text. Where rows
+   are to be dropped, the table is first written once with the numbers of its rows, so no second job can number them anew.
 2. ``DataFrame.stat.freqItems`` (the Misra-Gries summary of Karp, Shenker and Papadimitriou, merged over tasks) proposes
    at most ``1 / support`` frequent digests; an exact count verifies them. Its partial sums leave one row a task.
 3. The verified winners, at most ``1 / support`` rows of known width, are broadcast: rows of frequent digests are
@@ -9,7 +10,7 @@
 
 Cases: a null text counts as empty; of equal texts the row with the largest doc_id stays (null ids rank lowest), and of
 rows repeated with the same id exactly one; an empty table gives an empty result; other columns are left alone, and a
-column of the input whose name starts with ``_dd_`` is refused.
+column of the input whose name starts with ``_fw_`` is refused.
 """
 
 from __future__ import annotations
@@ -17,22 +18,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import text_or_empty, written
+from fringeworks.llm.common import ROW, numbered, refuse_own, text_or_empty, written
 
 #: A digest is frequent above this share of the rows; 1 / SUPPORT bounds what is broadcast.
 SUPPORT = 0.001
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    if any(c.startswith("_dd_") for c in docs.columns):
-        raise ValueError("columns that start with _dd_ are reserved")
-    return docs.withColumn("_dd_row", F.monotonically_increasing_id())
+def decisions(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """One row per document: _fw_row, doc_id, keep_id, group_size, kept, text_sha256."""
+    return _decided(refuse_own(docs).withColumn(ROW, F.monotonically_increasing_id()), support)
 
 
-def decisions(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """One row per document: _dd_row, doc_id, keep_id, group_size, kept, text_sha256."""
-    narrow = written(_numbered(docs).select("_dd_row", "doc_id", F.sha2(text_or_empty(), 256).alias("text_sha256")), "digests")
-    last = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "_dd_row")).alias("last")
+def _decided(rows: DataFrame, support: float) -> DataFrame:
+    narrow = written(rows.select(ROW, "doc_id", F.sha2(text_or_empty(), 256).alias("text_sha256")), "digests")
+    last = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", ROW)).alias("last")
     size = F.count(F.lit(1)).alias("group_size")
 
     frequent = narrow.stat.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
@@ -46,11 +45,12 @@ def decisions(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     cold = narrow.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
     cold = cold.join(cold.groupBy("text_sha256").agg(last, size), "text_sha256")
     return hot.unionByName(cold).select(
-        "_dd_row", "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("_dd_row") == F.col("last._dd_row")).alias("kept"), "text_sha256",
+        ROW, "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"last.{ROW}")).alias("kept"), "text_sha256",
     )
 
 
 def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns as given."""
-    dropped = written(decisions(docs, support).where(~F.col("kept")).select("_dd_row"), "copies")
-    return _numbered(docs).join(dropped, "_dd_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    dropped = written(_decided(rows, support).where(~F.col("kept")).select(ROW), "copies")
+    return rows.join(dropped, ROW, "left_anti").drop(ROW)

@@ -78,7 +78,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fringeworks.llm.exact_dedup import decisions
 
-    return decisions(table(spark, sf_dir, "documents")).drop("_dd_row")
+    return decisions(table(spark, sf_dir, "documents")).drop("_fw_row")
 
 
 OP10_SQL = """
