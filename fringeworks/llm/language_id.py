@@ -7,11 +7,13 @@ label (those with the smallest hash of doc_id) and at most ``WINDOWS`` windows s
 driver. The trained filters are folded into tables over byte pairs, so a window costs five table rows for each byte.
 
 Cases: ``und`` with score 0 if a text is null or has no letter, or if there was nothing to learn from; empty and very long
-texts, repeated rows and an empty table need nothing special; null doc_ids are never learned from and not held out.
+texts, repeated rows and an empty table need nothing special, and of rows with the same doc_id one is learned from; null doc_ids are
+never learned from and not held out. ``keep_identified`` refuses columns that start with ``_fw_``; others pass through.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringeworks.llm.common import ROW, numbered, written
+
+#: Labels whose counts are broadcast.
+MOST_LABELS = 10_000
 #: Bytes in a window, filters for each width, and the bounds of the training sample.
 WINDOW, WIDTHS, FILTERS, PER_LANG, WINDOWS = 256, (2, 3, 4), 16, 400, 4
 UNKNOWN = "und"
@@ -115,12 +121,13 @@ def probabilities(net: Network, tables, x: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, train_rows, per_lang: int = PER_LANG, window: int = WINDOW) -> list[tuple[str, bytes]]:
     """At most ``per_lang`` documents of each label under the condition ``train_rows``, as at most WINDOWS windows each."""
     labelled = docs.where(train_rows & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    # counts first: then only about four times as many rows of a label as are wanted meet in a task, whatever its share
+    # counts first, sent to all tasks: then only about four times as many rows of a label as are wanted meet in a task, whatever its share
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_li_n"))
+    counts = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_li_n")), "labels")
+    counts = F.broadcast(counts) if counts.count() <= MOST_LABELS else counts
     few = labelled.select("doc_id", "lang", draw.alias("draw")).join(counts, "lang").where(F.col("draw") * F.col("_li_n") < 4 * per_lang)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
+    chosen = few.groupBy("lang", "doc_id").agg(F.min("draw").alias("draw")).withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
 
     def spread(batches) -> Iterator:
         import pyarrow as pa
@@ -136,19 +143,22 @@ def sample(docs: DataFrame, train_rows, per_lang: int = PER_LANG, window: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "k", "lang", "data"])
 
     rows = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(spread, "doc_id long, k int, lang string, data binary")
-    return [(r["lang"], bytes(r["data"])) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["k"], bytes(r["data"])))]
+    rows = rows.groupBy("doc_id", "k").agg(F.min(F.struct("lang", "data")).alias("one"))  # however often an id is repeated
+    return [(r["lang"], bytes(r["data"])) for r in rows.select("one.lang", "one.data", "doc_id", "k").orderBy("lang", "doc_id", "k").collect()]
 
 
-def predict(docs: DataFrame, net: Network, window: int = WINDOW) -> DataFrame:
-    """``docs`` with lang_pred and score; every other column is passed through."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
-    schema = "_li_doc struct<%s>, lang_pred string, score double" % ", ".join(f"`{c}`: {t}" for c, t in docs.dtypes)
+def predict(docs: DataFrame, net: Network, key: str, window: int = WINDOW) -> DataFrame:
+    """``key`` (a column of ``docs``), lang_pred, score: nothing but the key and the text goes to the workers."""
+    sent, mark = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
+    kind = dict(docs.dtypes)[key]
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        from fringeworks.llm.worker import kept
+
         net = sent.value
-        tables = net.tables()
+        tables = kept(mark, net.tables)
         for b in batches:
             lang, score = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows
             held: list[tuple[int, bytes]] = []
@@ -165,7 +175,7 @@ def predict(docs: DataFrame, net: Network, window: int = WINDOW) -> DataFrame:
 
             size = 0
             if net.langs:
-                for row, (text, letter) in enumerate(zip(b.column(0).field("text").to_pylist(), b.column(1).to_pylist(), strict=True)):
+                for row, (text, letter) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                     if letter:
                         held.append((row, text.encode()))
                         size += len(held[-1][1])
@@ -174,10 +184,10 @@ def predict(docs: DataFrame, net: Network, window: int = WINDOW) -> DataFrame:
                         held, size = [], 0
                 if held:
                     settle(held, lang, score)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["_li_doc", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
-    sent_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_li_doc"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return sent_rows.mapInArrow(run, schema)
+    rows = docs.select(key, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    return rows.mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
 
 
 def held_out(column: str = "doc_id", fold: int = 2):
@@ -188,11 +198,12 @@ def held_out(column: str = "doc_id", fold: int = 2):
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     net = train(sample(docs, ~held_out()))
-    return predict(docs.select("doc_id", "text"), net).select("_li_doc.doc_id", held_out("_li_doc.doc_id").alias("held_out"), "lang_pred", "score")
+    return predict(docs, net, "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose language is unknown or less likely than ``least``; columns as given."""
-    net = train(sample(docs, ~held_out()))
-    found = predict(docs, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select("_li_doc.*")
+    rows = numbered(docs)
+    net = train(sample(rows, ~held_out()))
+    unknown = written(predict(rows, net, ROW).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(ROW), "unknown")
+    return rows.join(unknown, ROW, "left_anti").drop(ROW)
