@@ -10,8 +10,8 @@ any order of the shingles that is the same for all documents. The order here is
 2. Documents with equal sets form a class. Classes that share a first shingle are joined to shards (connected components of
    the candidate graph, from one star for each inverted list, never its pairs).
 3. In a shard, each class asks the inverted lists of the shard for documents that occur T times: the short lists are merged
-   (by a heap, or by sorting where they hold much), and the candidates reaching T minus the number of long lists are probed in
-   these by binary search. Classes already known to be connected are not probed, so a group of many near copies costs
+   by a heap, and the candidates reaching T minus the number of long lists are probed in these by binary search. Whoever
+   is known to be connected to the class leaves the lists, after each link anew, so a group of many near copies costs
    about a query for each, not a probe for each pair. A shard above ``MOST`` classes is cut into blocks, a task each. What
    the blocks leave unconnected to the shard's largest part so far is cut into groups of ``MOST``, and each group is searched
    against each block in a task of its own, which gets only classes that share a first shingle with the other side; two classes
@@ -19,10 +19,12 @@ any order of the shingles that is the same for all documents. The order here is
    near copies costs what its size does; n classes that are hardly linked cost at most 2 n n / ``MOST`` sets sent, fewer where lists are short.
 4. The links found, a spanning forest of each shard, give the components.
 
-No link between different texts is lost: the filters are exact. Shingles are compared as 64-bit numbers.
+No link between different texts is lost: the filters are exact. Shingles are compared as 64-bit numbers without structure (``words``).
+The rows are numbered in one written table that all passes read.
 
 Cases: null and empty texts, or those without words, have an empty set and are linked with nothing; fewer words than a
-shingle are one shingle; repeated rows are equal sets; an empty table gives an empty result; other columns are ignored.
+shingle are one shingle; repeated rows are equal sets; a null doc_id is the largest, so a group's id is null only where all its
+ids are; an empty table gives an empty result; other columns are ignored, and one whose name starts with ``_fw_`` is refused.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import written
+from fringeworks.llm.common import ROW, buckets_for, numbered, written
 from fringeworks.llm.components import components
 from fringeworks.llm.words import NOT_BLANK, mixed, numbered_words, slices
 
@@ -75,6 +77,9 @@ def _packed(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Da
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        from fringeworks.llm.worker import kept
+
+        kept("shingles")
         kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
         names = [x.split(" ")[0] for x in _ROW.split(", ")]
         block = TaskContext.get().partitionId() << 24
@@ -115,7 +120,7 @@ def _packed(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> Da
         if about:
             yield from flushed()
 
-    return docs.select("_jj_row", "doc_id", "text").mapInArrow(run, _ROW)
+    return docs.select(ROW, "doc_id", "text").mapInArrow(run, _ROW)
 
 
 def _shared(table):
@@ -187,88 +192,65 @@ def _first_shared(num: int, den: int, pool_share: float):
     return run
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up, self.left = list(range(n)), n
-
-    def root(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        self.left -= 1
-        return True
-
-
 def divide_skip(sets: list[np.ndarray], num: int, den: int, parts: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (a, b) that connect all of ``sets`` that Jaccard >= num / den connects: a spanning forest.
 
     ``parts``: sets with the same number are known to be connected.
     """
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    forest, links, sizes = _Forest(len(sets)), [], [len(sets[k]) for k in order]
-    known: dict[int, int] = {}
-    for at, k in enumerate(order if parts else ()):
-        forest.join(known.setdefault(parts[k], at), at)
+    sizes, links = [len(sets[k]) for k in order], []
+    part = np.arange(len(order)) if parts is None else np.unique([parts[k] for k in order], return_inverse=True)[1]
+    left = len(np.unique(part))
     token = np.concatenate([sets[k] for k in order])
     by = np.argsort(token, kind="stable")
     holder = np.repeat(np.arange(len(order)), sizes)[by]  # the inverted lists in a row, each ascending
     names, begins, lengths = np.unique(token[by], return_index=True, return_counts=True)
+    entry = np.repeat(np.arange(len(names)), lengths) * len(order) + holder  # (list, set) as one ascending number
     for q in range(1, len(order)):
-        if forest.left == 1:
+        if left == 1:
             break
-        own, s = sets[order[q]], sizes[q]
-        at = np.searchsorted(names, own)
+        s, at = sizes[q], np.searchsorted(names, sets[order[q]])
         t = needed(s, num, den)
-        rare = np.argsort(lengths[at], kind="stable")
-        longest = int(lengths[at].max())
-        n_long = min(t - 1, int(t / (0.0085 * np.log2(max(2, longest)) + 1)))
-        short, long = at[rare[: s - n_long]], np.sort(own[rare[s - n_long :]])
-        short = short[lengths[short] > 1]  # a list of one is the query's own
-        lists = [holder[i : i + n] for i, n in zip(begins[short].tolist(), lengths[short].tolist(), strict=True)]
-        counts = _merged(lists, q, int(np.searchsorted(sizes, t)), t - n_long)
-        for c, n in counts:
-            if forest.root(c) == forest.root(q):
-                continue
-            other = sets[order[c]]
-            place = np.minimum(np.searchsorted(other, long), len(other) - 1)
-            n += int((other[place] == long).sum())
-            if den * n >= num * (s + len(other) - n):
-                forest.join(q, c)
-                links.append((order[q], order[c]))
+        rare = at[np.argsort(lengths[at], kind="stable")]
+        n_long = min(t - 1, int(t / (0.0085 * np.log2(max(2, int(lengths[rare[-1]]))) + 1)))
+        short, long = rare[: s - n_long], np.sort(rare[s - n_long :]) * len(order)
+        small = int(np.searchsorted(sizes, t))  # sets before it are too small to be linked
+        lists = [holder[b : b + n] for b, n in zip(begins[short].tolist(), lengths[short].tolist(), strict=True) if n > 1]
+        lists = [x[(x >= small) & (x < q)] for x in lists]
+        while lists := [y for x in lists if len(y := x[part[x] != part[q]])]:
+            for c, n in _merged(lists):
+                if n < t - n_long:
+                    continue
+                place = np.searchsorted(entry, long + c)
+                n += int((entry[np.minimum(place, len(entry) - 1)] == long + c).sum())
+                if den * n >= num * (s + sizes[c] - n):
+                    links.append((order[q], order[c]))
+                    part[part == part[c]] = part[q]
+                    left -= 1
+                    lists = [x[x > c] for x in lists]
+                    break
+            else:
+                break
     return links
 
 
-def _merged(lists: list[np.ndarray], below: int, least_doc: int, least: int) -> list[tuple[int, int]]:
-    """(document, occurrences) of those from ``least_doc`` and under ``below`` that occur ``least`` times, most first."""
-    total = sum(map(len, lists))
-    if total > 512:
-        doc, n = np.unique(np.concatenate(lists), return_counts=True)
-        some = (doc < below) & (doc >= least_doc) & (n >= least)
-        found = list(zip(doc[some].tolist(), n[some].tolist(), strict=True))
-    else:
-        found, last, n = [], -1, 0
-        for doc in heapq.merge(*[x.tolist() for x in lists]):
-            if doc == last:
-                n += 1
-                continue
-            if n >= least and least_doc <= last < below:
-                found.append((last, n))
-            last, n = doc, 1
-        if n >= least and least_doc <= last < below:
-            found.append((last, n))
-    return sorted(found, key=lambda x: -x[1])
+def _merged(lists: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(set, occurrences) in ascending order, by a heap over the lists."""
+    last, n = -1, 0
+    for c in heapq.merge(*[memoryview(x) for x in lists]):
+        if c == last:
+            n += 1
+            continue
+        if n:
+            yield last, n
+        last, n = c, 1
+    if n:
+        yield last, n
 
 
 def shingle_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """row, doc_id, n_shingles, digest (of the set), live (its first shingles that others have): one row per document."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(docs)
     packed = _packed(docs, words, num, den, buckets).groupBy("bucket").applyInArrow(_shared, "block long, kind int, a binary, b binary, c binary")
     blocks = packed.groupBy("block").applyInArrow(_first_shared(num, den, 2.5 * (den - num) / den), "row long, doc_id long, n_shingles long, digest binary, live array<long>")
     return written(blocks, "classes")
@@ -277,7 +259,7 @@ def shingle_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFram
 def stands_for(classes: DataFrame) -> DataFrame:
     """digest, s (doc_id and row that stand for the class, the smallest), live: a row per class of equal sets that aren't empty."""
     live = F.max(F.struct(F.size("live").alias("n"), "live")).alias("l")
-    return written(classes.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("s"), live).select("digest", "s", "l.live"), "stands")
+    return written(classes.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s"), live).select("digest", "s", "l.live"), "stands")
 
 
 def links_of(docs: DataFrame, stands: DataFrame, words: int, num: int, den: int, most: int = MOST) -> DataFrame:
@@ -320,6 +302,9 @@ def _searched(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int
     def with_sets(batches) -> Iterator:
         import pyarrow as pa
 
+        from fringeworks.llm.worker import kept
+
+        kept("shingles")
         for b in batches:
             out = [s.tobytes() for _, s in shingle_sets(b.column(4), words)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out, pa.binary())], names=["row", "component", "block", "part", "tokens"])
@@ -341,21 +326,20 @@ def _searched(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int
                 b.append(rows[members[y]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    placed = placed.select(F.col("row").alias("_jj_row"), "component", "block", "part")
+    placed = placed.select(F.col("row").alias(ROW), "component", "block", "part")
     chosen = F.broadcast(placed) if total <= MOST_SENT else placed
-    texts = docs.select("_jj_row", "text").join(chosen, "_jj_row").select("_jj_row", "component", "block", "part", "text")
+    texts = docs.select(ROW, "text").join(chosen, ROW).select(ROW, "component", "block", "part", "text")
     sets = texts.mapInArrow(with_sets, "row long, component long, block long, part long, tokens binary")
     bucket = F.pmod(F.xxhash64("component", "block"), F.lit(buckets)).alias("bucket")
     return written(sets.select("*", bucket).groupBy("bucket").applyInArrow(search, "a long, b long"), "links")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_jj_row", F.monotonically_increasing_id())
-
-
 def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, most: int = MOST) -> DataFrame:
     """row, doc_id, n_shingles, component_id (smallest doc_id that links reach), first (whether this row is the one that stays)."""
-    docs = _rows(docs)
+    return _groups(numbered(docs, "doc_id", "text"), words, num, den, most)
+
+
+def _groups(docs: DataFrame, words: int, num: int, den: int, most: int) -> DataFrame:
     classes = shingle_classes(docs, words, num, den)
     stands = stands_for(classes)
     joined = components(links_of(docs, stands, words, num, den, most))
@@ -371,5 +355,6 @@ def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id; columns as given."""
-    dropped = written(similar_groups(docs, words, num, den).where(~F.col("first")).select(F.col("row").alias("_jj_row")), "near")
-    return _rows(docs).join(dropped, "_jj_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    dropped = written(_groups(rows, words, num, den, MOST).where(~F.col("first")).select(F.col("row").alias(ROW)), "near")
+    return rows.join(dropped, ROW, "left_anti").drop(ROW)
