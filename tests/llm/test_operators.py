@@ -141,7 +141,7 @@ def test_exact_dedup(spark, docs):
     assert sorted(r.doc_id or -1 for r in m.drop_exact_copies(same).collect()) == [-1, 1]
     assert m.decisions(cases.nothing(spark)).collect() == []
     with pytest.raises(ValueError):
-        m.decisions(docs.withColumn("_dd_row", F.lit(1)))
+        m.decisions(docs.withColumn("_fw_row", F.lit(1)))
 
 
 @pytest.mark.parametrize(("words", "num", "most"), [(3, 90, 4000), (5, 80, 4000), (3, 90, 3), (2, 50, 2)])
@@ -194,7 +194,7 @@ def test_proximity_with_each_word_replaced(spark):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     items = m.item_words(spark.createDataFrame([("a", " ".join(item))], "item_id string, text string"))
     index = m.build_index(docs, m.vocabulary_of(items))
-    ids = {r.row: r.doc_id for r in index.collect()}
+    ids = {r.row: r.doc_id for r in index.docs.collect()}
     want = set()
     for k, t in enumerate(texts):
         for d in range(-20, len(t) + 20):
@@ -301,10 +301,10 @@ def test_positions_and_proximity(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "a b z c d e f q g h i j"), (3, "j i h g f e d c b a")], "doc_id long, text string")
     items = m.item_words(spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string"))
     index = m.build_index(docs, m.vocabulary_of(items))
-    assert [(r.row, r.begin, r.length) for r in m.phrase_matches(index, items).collect()] == [(index.where("doc_id = 1").first().row, 1, 10)]
+    assert [(r.row, r.begin, r.length) for r in m.phrase_matches(index, items).collect()] == [(index.docs.where("doc_id = 1").first().row, 1, 10)]
     near = {r.row for r in m.proximity_matches(index, items, slop=2, share=0.9).collect()}
-    assert near == {r.row for r in index.where("doc_id in (1, 2)").collect()}
-    assert m.build_index(docs).agg(F.sum(F.size("terms"))).first()[0] == 12 + 12 + 10  # without a vocabulary every word is stored
+    assert near == {r.row for r in index.docs.where("doc_id in (1, 2)").collect()}
+    assert m.build_index(docs).postings.count() == 12 + 12 + 10  # without a vocabulary every word is stored
 
 
 def test_language_id(spark):
@@ -323,7 +323,7 @@ def test_language_id(spark):
     assert m.keep_identified(docs).where("doc_id >= 300").select("doc_id").collect() == [(303,)]
     assert m.identify(cases.nothing(spark)).collect() == []
     assert {x.lang_pred for x in m.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    assert m.predict(cases.documents(spark), m.train([])).columns == ["_li_doc", "lang_pred", "score"]
+    assert m.predict(cases.documents(spark), m.train([]), "doc_id").columns == ["doc_id", "lang_pred", "score"]
 
 
 def test_quality(spark):
