@@ -1,5 +1,7 @@
 """Exact repeats of at least ``least`` bytes over all texts: enhanced suffix arrays of the places where a repeat can be.
 
+Removal (``remove_repeats``):
+
 1. One pass over the texts cuts each into blocks of windows (``least`` bytes each) that share a minimizer: the smallest
    hash of a ``GRAM``-byte string in the window. Equal windows have equal minimizers, so only blocks whose minimizer occurs
    twice can hold a repeat. Blocks are dealt by minimizer as numbers, not text: about 20 bytes for each 35 of text.
@@ -7,16 +9,28 @@
    first of each kind, the bytes are fetched and dealt by minimizer again: the suffixes that can begin a repeat.
 3. A bucket sorts these suffixes (prefix doubling), takes the common prefixes of neighbours and scans them with a stack: the
    tree of common-prefix intervals of at least ``least`` bytes. Where intervals merge, every member that is not the first
-   occurrence is settled once, with the longest prefix it shares with an earlier one, so the scan is linear. An interval whose members
-   differ in the byte on their left (or begin a block or a text) cannot be extended: a maximal repeat.
+   occurrence is settled once, with the longest prefix it shares with an earlier one, so the scan is linear.
 4. What is covered goes back to the documents as spans.
 
 A minimizer with more than ``HOT`` different blocks is dealt by window instead: each task first settles its own equal windows,
 so no task holds more than a bucket and no bucket grows with the most frequent string. Nothing is capped or left out.
 
+Maximal repeats (``maximal_repeats``): every string of ``least`` bytes or more that occurs twice and whose occurrences neither all follow
+the same byte nor all go before the same byte, with all its occurrences, once and at its full length:
+
+1. Of the blocks as above each different one is kept once, with its number of copies and the range of the bytes on their left;
+   its windows are counted, which gives the windows that occur twice and those whose left bytes differ.
+2. A maximal repeat begins with a window of the second kind and lies in a run of windows of the first kind. So each place of such
+   a window is a suffix, cut where its run ends; nothing that repeats goes beyond it.
+3. Suffixes are dealt by their first window, equal ones as one with its number, and sorted; the stack scan gives the intervals of
+   common prefixes, and those with differing left bytes are the maximal repeats, however many blocks they run over.
+4. Their occurrences are joined back, a row each.
+
+Blocks and windows are told apart by 64 or 128 bits of their bytes, without structure.
+
 "First" is by (doc_id, begin), null ids before all others, and rows repeated with the same doc_id in their order. Null and empty texts have no bytes; texts
 under ``least`` bytes hold no repeat; texts of any length are worked on whole; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored, and one whose name starts with ``_fw_`` is refused. ``least`` is at most 124 for removal, where prefixes are compared up to 192 bytes.
 """
 
 from __future__ import annotations
@@ -29,8 +43,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import written
-from fringeworks.llm.words import _POWERS, _VALUES, mixed, slices
+from fringeworks.llm.common import BUCKET_TEXT, ROW, buckets_for, numbered, written
+from fringeworks.llm.words import _POWERS, _VALUES, mixed, numbers, slices
 
 #: Bytes of a repeat and of a minimizer's string; blocks of one minimizer that a task sorts; bytes of a table that is broadcast.
 LEAST, GRAM, HOT, MOST_SENT = 100, 32, 50_000, 64 << 20
@@ -71,7 +85,7 @@ def blocks_of(data: np.ndarray, bounds: np.ndarray, least: int, gram: int):
     begin = np.flatnonzero(valid & np.r_[True, differ | ~valid[:-1]])
     end = np.flatnonzero(valid & np.r_[differ | ~valid[1:], True])
     at = chosen[begin].astype(np.int64)
-    text = mixed((total[end + least] - total[begin]) * down[begin])
+    text = numbers(data, begin, end + least, least + len(data))
     same = mixed(text + (at - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     row = np.searchsorted(bounds, begin, "right") - 1
     return row, begin - bounds[row], end - begin, h[at], same
@@ -89,14 +103,13 @@ def _squeezed(ids: np.ndarray) -> bytes:
     return zlib.compress(np.diff(ids, prepend=0).astype("<i8").tobytes(), 1)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_rp_row", F.monotonically_increasing_id())
-
-
 def _records(docs: DataFrame, least: int, gram: int, buckets: int) -> DataFrame:
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        from fringeworks.llm.worker import kept
+
+        kept("blocks")
         held, ids, count = [], [], 0
 
         def flushed():
@@ -123,7 +136,7 @@ def _records(docs: DataFrame, least: int, gram: int, buckets: int) -> DataFrame:
         if count:
             yield from flushed()
 
-    return docs.select("_rp_row", "doc_id", "text").mapInArrow(run, "bucket int, rows binary, docs binary, has binary, records binary")
+    return docs.select(ROW, "doc_id", "text").mapInArrow(run, "bucket int, rows binary, docs binary, has binary, records binary")
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
@@ -144,7 +157,7 @@ def _packed_by_part(spans: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(p), spans[order[i:j]].tobytes()) for p, i, j in zip(names, begins, [*begins[1:], len(order)], strict=True)]
 
 
-def _settle(least: int, hot: int, collapse: bool):
+def _settle(least: int, hot: int):
     def run(table):
         """In a bucket: blocks that an earlier equal one covers (kind 1), and those whose bytes must be compared (kind 2)."""
         import pyarrow as pa
@@ -171,11 +184,8 @@ def _settle(least: int, hot: int, collapse: bool):
             r = r[again]
             first_a = np.r_[True, r["a"][1:] != r["a"][:-1]]
             first = first_a | np.r_[True, r["same"][1:] != r["same"][:-1]]
-            kinds = np.diff(np.r_[np.flatnonzero(first_a), len(r)])
             group = np.cumsum(first_a) - 1
             different = np.add.reduceat(first.astype(np.int64), np.flatnonzero(first_a))[group]
-            if not collapse:
-                first[:], different = True, kinds[group]
             spans = np.empty(int((~first).sum()), _SPAN)
             spans["row"], spans["begin"], spans["length"] = r["row"][~first], r["begin"][~first], r["extra"][~first] + np.int64(least)
             out += [(p, 1, data) for p, data in _packed_by_part(spans)]
@@ -206,7 +216,7 @@ def _by_row(table):
     for name in _FETCH.names:
         plain[name] = fetch[name]
     data = [plain[i:j].tobytes() for i, j in zip(begins, [*begins[1:], len(plain)], strict=True)]
-    return pa.table([pa.array(names), pa.array(data, pa.binary())], names=["_rp_row", "fetch"])
+    return pa.table([pa.array(names), pa.array(data, pa.binary())], names=[ROW, "fetch"])
 
 
 def _contexts(least: int, buckets: int):
@@ -324,7 +334,7 @@ def interval_tree(prefix: list[int], order: list[int], left: list[int], least: i
     return settled
 
 
-def _compare(least: int, with_groups: bool):
+def _compare(least: int):
     def run(table):
         import pyarrow as pa
 
@@ -337,7 +347,6 @@ def _compare(least: int, with_groups: bool):
                     texts.append(np.frombuffer(r["texts"], np.uint8))
                 elif r["texts"]:
                     spans.append(np.frombuffer(r["texts"], _SPAN))
-        groups: list[tuple] = []
         if abouts:
             about, flat = np.concatenate(abouts), np.concatenate(texts)
             # eight bytes of the block's own number after each block: a prefix ends where its block does
@@ -361,31 +370,23 @@ def _compare(least: int, with_groups: bool):
             where = about["begin"][block] + offset
             earlier = np.empty(len(at), np.int64)
             earlier[np.lexsort((where, about["row"][block], about["doc"][block], about["has"][block]))] = np.arange(len(at))
-            left = np.where(offset == 0, -1, text[at - 1].astype(np.int64))
+            left = np.where(offset == 0, about["left"][block], text[at - 1].astype(np.int64))
             joined = prefix >= least
             heads = np.flatnonzero(joined & ~np.r_[False, joined[:-1]]) - 1
             ends = np.flatnonzero(joined & ~np.r_[joined[1:], False]) + 1
             member, length = [], []
-            pairs = (ends - heads == 2) & (not with_groups)
+            pairs = ends - heads == 2  # a tree of one interval
             h = heads[pairs]
             member.append(np.where(earlier[h] < earlier[h + 1], h + 1, h))
             length.append(prefix[h + 1])
             for i, j in zip(heads[~pairs].tolist(), ends[~pairs].tolist(), strict=True):
-                found: list | None = [] if with_groups else None
-                settled = interval_tree([0, *prefix[i + 1 : j].tolist()], earlier[i:j].tolist(), left[i:j].tolist(), least, found)
+                settled = interval_tree([0, *prefix[i + 1 : j].tolist()], earlier[i:j].tolist(), left[i:j].tolist(), least)
                 member.append(i + np.array([x for x, _ in settled], np.int64))
                 length.append(np.array([x for _, x in settled], np.int64))
-                for n, first, last, diverse in found or ():
-                    if diverse:
-                        own = range(i + first, i + last + 1)
-                        groups.append((n, [{"row": int(about["row"][block[k]]), "doc_id": int(about["doc"][block[k]]) if about["has"][block[k]] else None, "begin": int(where[k])} for k in sorted(own, key=earlier.__getitem__)]))
             member, length = np.concatenate(member), np.concatenate(length)
             made = np.empty(len(member), _SPAN)
             made["row"], made["begin"], made["length"] = about["row"][block[member]], where[member], length
             spans.append(_merged(made))
-        if with_groups:
-            kind = pa.list_(pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64())]))
-            return pa.table([pa.array([n for n, _ in groups], pa.int64()), pa.array([o for _, o in groups], kind)], names=["length", "occurrences"])
         out = _packed_by_part(np.concatenate(spans)) if spans else []
         return pa.table([pa.array([p for p, _ in out], pa.int64()), pa.array([1] * len(out), pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["part", "kind", "data"])
 
@@ -418,7 +419,7 @@ def _row_spans(table):
     names, begins = np.unique(spans["row"], return_index=True)
     bounds = np.r_[begins, len(spans)].astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(spans[c])) for c in ("begin", "length")]
-    return pa.table([pa.array(names), *lists], names=["_rp_row", "begins", "lengths"])
+    return pa.table([pa.array(names), *lists], names=[ROW, "begins", "lengths"])
 
 
 def _fitting(df: DataFrame, size) -> DataFrame:
@@ -426,36 +427,29 @@ def _fitting(df: DataFrame, size) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= MOST_SENT else df
 
 
-def _suffixes(docs: DataFrame, least: int, gram: int, hot: int, collapse: bool) -> tuple[DataFrame, DataFrame]:
+def _suffixes(docs: DataFrame, least: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """What step 2 settles, and the suffixes for step 3."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    settled = written(_records(docs, least, gram, buckets).groupBy("bucket").applyInArrow(_settle(least, hot, collapse), "part long, kind int, data binary"), "blocks")
-    fetch = written(settled.where("kind = 2").groupBy("part").applyInArrow(_by_row, "_rp_row long, fetch binary"), "fetch")
-    texts = docs.select("_rp_row", "doc_id", "text").join(_fitting(fetch, F.octet_length("fetch") + 32), "_rp_row").select("_rp_row", "doc_id", "text", "fetch")
+    buckets = buckets_for(docs)
+    settled = written(_records(docs, least, gram, buckets).groupBy("bucket").applyInArrow(_settle(least, hot), "part long, kind int, data binary"), "settled")
+    fetch = written(settled.where("kind = 2").groupBy("part").applyInArrow(_by_row, f"{ROW} long, fetch binary"), "fetch")
+    texts = docs.select(ROW, "doc_id", "text").join(_fitting(fetch, F.octet_length("fetch") + 32), ROW).select(ROW, "doc_id", "text", "fetch")
     return settled.where("kind = 1"), texts.mapInArrow(_contexts(least, 4 * buckets), "bucket int, about binary, texts binary")
 
 
-def maximal_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """length, occurrences (row, doc_id, begin; first one first): the maximal repeats with all that they occur at.
-
-    A repeat that runs over several blocks is told in their parts; a part that occurs at more places stands for itself.
-    """
-    _, suffixes = _suffixes(_rows(docs), least, gram, 2**62, False)
-    return suffixes.groupBy("bucket").applyInArrow(_compare(least, True), "length long, occurrences array<struct<row: long, doc_id: long, begin: long>>")
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """_rp_row, begins, lengths: the bytes of each text that lie in a string of ``least`` bytes which also begins earlier, as longest spans."""
-    covered, suffixes = _suffixes(docs, least, gram, hot, True)
-    compared = suffixes.groupBy("bucket").applyInArrow(_compare(least, False), "part long, kind int, data binary")
-    return written(covered.unionByName(compared).groupBy("part").applyInArrow(_row_spans, "_rp_row long, begins array<long>, lengths array<long>"), "spans")
+def _spans(docs: DataFrame, least: int, gram: int, hot: int) -> DataFrame:
+    """_fw_row, begins, lengths: the bytes of each text that lie in a string of ``least`` bytes which also begins earlier, as longest spans."""
+    if least > 124:
+        raise ValueError("removal compares prefixes of up to 192 bytes: least may be 124")
+    covered, suffixes = _suffixes(docs, least, gram, hot)
+    compared = suffixes.groupBy("bucket").applyInArrow(_compare(least), "part long, kind int, data binary")
+    return written(covered.unionByName(compared).groupBy("part").applyInArrow(_row_spans, f"{ROW} long, begins array<long>, lengths array<long>"), "spans")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay): one row per document."""
-    docs = _rows(docs)
-    spans = repeated_spans(docs, least, gram, hot)
-    texts = docs.select("_rp_row", "doc_id", "text").join(_fitting(spans, F.size("begins") * 16 + 32), "_rp_row", "left").select("doc_id", "text", "begins", "lengths")
+    docs = numbered(docs, "doc_id", "text")
+    spans = _spans(docs, least, gram, hot)
+    texts = docs.select(ROW, "doc_id", "text").join(_fitting(spans, F.size("begins") * 16 + 32), ROW, "left").select("doc_id", "text", "begins", "lengths")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -475,3 +469,141 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _rows_of(columns: list[list], schema: str):
+    import pyarrow as pa
+
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    names, types = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def _name(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+_BLOCK_ROWS = f"{ROW} long, minimizer long, block binary, begin long, extra int, left int"
+_WINDOWS = "window binary, block binary, offset int, n long, low int, high int"
+_STARTS = f"window binary, {ROW} long, doc_id long, begin long, left int, context binary"
+_MEMBERS = "repeat string, length long, window binary, key string"
+
+
+def _block_rows(least: int, gram: int):
+    def run(batches) -> Iterator:
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            for first, data, bounds in slices(b.column(1), 1 << 19):
+                at, begin, extra, minimizer, _ = blocks_of(data, bounds, least, gram)
+                whole = data.tobytes()
+                places = (bounds[at] + begin).tolist()
+                names = [_name(whole[p : p + n + least]) for p, n in zip(places, extra.tolist(), strict=True)]
+                left = np.where(begin > 0, data[np.maximum(bounds[at] + begin - 1, 0)].astype(np.int32), -1) if len(at) else np.empty(0, np.int32)
+                yield _rows_of([[rows[first + k] for k in at.tolist()], minimizer.view(np.int64), names, begin, extra.astype(np.int32), left], _BLOCK_ROWS)
+
+    return run
+
+
+def _windows(least: int):
+    """Of each different block, its windows with the number of copies and the range of the bytes on their left."""
+
+    def run(batches) -> Iterator:
+        for b in batches:
+            for text, kinds in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                data, out = text.encode(), [[] for _ in range(6)]
+                for kind in kinds:
+                    for k in range(kind["extra"] + 1):
+                        at = kind["begin"] + k
+                        low, high = (data[at - 1],) * 2 if k else (kind["low"], kind["high"])
+                        for column, value in zip(out, (_name(data[at : at + least]), kind["block"], k, kind["n"], low, high), strict=True):
+                            column.append(value)
+                yield _rows_of(out, _WINDOWS)
+
+    return run
+
+
+def _starts(least: int):
+    """A text's places of windows with differing left bytes, each with the text up to where its run of repeated bytes ends."""
+
+    def run(batches) -> Iterator:
+        for b in batches:
+            for row, doc, text, found in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                data, out = text.encode(), [[] for _ in range(6)]
+                hits = sorted((f["begin"] + h["offset"], h["window"]) for f in found for h in f["hits"])
+                end = after = -1
+                for at, window in reversed(hits):
+                    if at + 1 != after:  # the last window of a run
+                        end = at + least
+                    after = at
+                    if window is not None:
+                        for column, value in zip(out, (window, row, doc, at, data[at - 1] if at else -1, data[at:end]), strict=True):
+                            column.append(value)
+                yield _rows_of(out, _STARTS)
+
+    return run
+
+
+def _tree(least: int):
+    """The maximal repeats among the suffixes of a bucket: each with the suffixes that begin with it."""
+
+    def run(table):
+        import pyarrow as pa
+
+        rows = sorted(table.to_pylist(), key=lambda r: r["context"])
+        member: list[int] = []  # a suffix that occurs several times stands twice
+        prefix: list[int] = []
+        for k, r in enumerate(rows):
+            member.append(k)
+            prefix.append(_common(rows[k - 1]["context"], r["context"]) if k else 0)
+            if r["n"] > 1:
+                member.append(k)
+                prefix.append(len(r["context"]))
+        left = [rows[k]["low"] if rows[k]["low"] == rows[k]["high"] else -1 for k in member]
+        groups: list[tuple] = []
+        interval_tree([n if n >= least else 0 for n in prefix], list(range(len(member))), left, least, groups)
+        out: list[list] = [[] for _ in range(4)]
+        for length, first, last, diverse in groups:
+            if diverse:
+                name = _name(rows[member[first]]["context"][:length]).hex()
+                for k in range(member[first], member[last] + 1):
+                    for column, value in zip(out, (name, length, rows[k]["window"], rows[k]["key"]), strict=True):
+                        column.append(value)
+        return pa.Table.from_batches([_rows_of(out, _MEMBERS)])
+
+    return run
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
+
+
+def maximal_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """repeat_id (of the string's bytes), length, row, doc_id, begin: the occurrences of all maximal repeats, a row each.
+
+    Suffixes that are equal up to the end of their run are one in the tree, so a passage that many documents share is one member; the
+    different ones that begin with the same window are one task's work.
+    """
+    docs = numbered(docs, "doc_id", "text")
+    blocks = written(docs.select(ROW, "text").mapInArrow(_block_rows(least, gram), _BLOCK_ROWS), "blocks")
+    kinds = blocks.groupBy("minimizer", "block").agg(F.min(F.struct(ROW, "begin", "extra")).alias("one"), F.count(F.lit(1)).alias("n"), F.min("left").alias("low"), F.max("left").alias("high"))
+    kinds = written(kinds, "kinds")
+    often = kinds.groupBy("minimizer").agg(F.sum("n").alias("all")).where("all > 1").select("minimizer")
+    wanted = kinds.join(often, "minimizer").select(f"one.{ROW}", F.struct("block", "one.begin", "one.extra", "n", "low", "high").alias("kind"))
+    wanted = wanted.groupBy(ROW).agg(F.collect_list("kind").alias("kinds"))
+    windows = written(docs.join(wanted, ROW).select("text", "kinds").mapInArrow(_windows(least), _WINDOWS), "windows")
+    classes = windows.groupBy("window").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
+    hits = windows.select("window", "block", "offset").join(classes.select("window", F.expr("low < 0 or low <> high").alias("open")), "window")
+    hits = hits.groupBy("block").agg(F.collect_list(F.struct("offset", F.when(F.col("open"), F.col("window")).alias("window"))).alias("hits"))
+    places = blocks.join(hits, "block").groupBy(ROW).agg(F.collect_list(F.struct("begin", "hits")).alias("found"))
+    starts = docs.join(places, ROW).select(ROW, "doc_id", "text", "found").mapInArrow(_starts(least), _STARTS)
+    starts = written(starts.withColumn("key", F.sha2("context", 256)), "starts")
+    suffixes = starts.groupBy("window", "key").agg(F.min("context").alias("context"), F.count(F.lit(1)).alias("n"), F.min("left").alias("low"), F.max("left").alias("high"))
+    suffixes = written(suffixes, "suffixes")
+    size = suffixes.agg(F.sum(F.octet_length("context"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_TEXT)
+    bucket = F.pmod(F.xxhash64("window"), F.lit(buckets)).alias("bucket")
+    members = suffixes.select("*", bucket).groupBy("bucket").applyInArrow(_tree(least), _MEMBERS)
+    found = members.join(starts, ["window", "key"])
+    return found.select(F.col("repeat").alias("repeat_id"), "length", F.col(ROW).alias("row"), "doc_id", "begin")

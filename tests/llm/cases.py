@@ -102,3 +102,23 @@ def hits(docs: dict, items: dict, window: int = 10) -> dict:
 
 def crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def maximal_repeats(docs: list, least: int) -> dict:
+    """string -> its places (row, begin), of every string of a pair of places that can be extended on neither side."""
+    data = [(t or "").encode() for t in docs]
+    places, found = defaultdict(list), set()
+    for d, t in enumerate(data):
+        for i in range(len(t) - least + 1):
+            places[t[i : i + least]].append((d, i))
+    for own in places.values():
+        for x, (d, i) in enumerate(own):
+            for e, j in own[:x]:
+                a, b = data[d], data[e]
+                if i and j and a[i - 1] == b[j - 1]:
+                    continue
+                n = least
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                found.add(a[i : i + n])
+    return {w: sorted((d, i) for d, i in places[w[:least]] if data[d][i : i + len(w)] == w) for w in found}

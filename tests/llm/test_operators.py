@@ -240,7 +240,9 @@ def test_repeats(spark, docs, least, hot):
     from fringeworks.llm import repeats as m
 
     expected = cases.repeats(TEXTS, least)
-    for r in m.remove_repeats(docs, least, gram=24, hot=hot).collect():
+    found = m.remove_repeats(docs, least, gram=24, hot=hot).collect()
+    assert len(found) == len(TEXTS)
+    for r in found:
         data, gone = expected[r.doc_id]
         kept = bytes(b for b, g in zip(data, gone) if not g)
         spans = sum(a < b for a, b in zip(b"\0" + gone, gone))
@@ -257,15 +259,26 @@ def test_repeats_of_repeated_rows(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in m.remove_repeats(same).collect()) == [(-1, 0), (5, 150), (5, 150), (9, 150)]
 
 
-def test_maximal_repeats(spark, docs):
+def test_maximal_repeats(spark):
+    """All maximal repeats at full length with all places, against every pair of places by hand."""
     from fringeworks.llm import repeats as m
 
-    groups = m.maximal_repeats(docs, 60, 24).collect()
-    assert groups
-    for g in groups:
-        places = [((TEXTS[o.doc_id] or "").encode(), o.begin) for o in g.occurrences]
-        assert len(places) > 1 and len({t[b : b + g.length] for t, b in places}) == 1
-        assert [(o.doc_id, o.begin) for o in g.occurrences] == sorted((o.doc_id, o.begin) for o in g.occurrences)
+    r = random.Random(9)
+    made = lambda n: "".join(r.choice("abcdefghijklmnop é") for _ in range(n))
+    short, middle, long = made(100), made(420), made(5000)
+    texts = [None, "", "x" * 99, "ab" * 90, made(300) + long + made(50), long, made(10) + long[:2500] + made(20) + long[2400:]]
+    texts += [made(r.randrange(0, 200)) + middle[k:] + made(r.randrange(0, 90)) for k in (0, 0, 0, 30, 200)] + [middle, middle, short + made(40) + short, made(5) + short]
+    docs = spark.createDataFrame([(k % 17, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3, "doc_id")
+    want = cases.maximal_repeats(texts, 100)
+    found = defaultdict(list)
+    for o in m.maximal_repeats(docs).collect():
+        data = (texts[o.doc_id] or "").encode()
+        found[data[o.begin : o.begin + o.length]].append((o.doc_id, o.begin, o.repeat_id))
+    assert {w: sorted(x[:2] for x in own) for w, own in found.items()} == want and max(map(len, want)) > 5000
+    assert all(len({x[2] for x in own}) == 1 for own in found.values())
+    alone = spark.createDataFrame([(0, made(200) + long[:1000]), (1, long[:1000] + made(200))], "doc_id long, text string")
+    assert sorted((o.length, o.doc_id, o.begin) for o in m.maximal_repeats(alone).collect()) == sorted((len(long[:1000].encode()), d, len(t)) for d, t in ((0, alone.first().text[:200].encode()), (1, b"")))
+    assert m.maximal_repeats(cases.nothing(spark)).collect() == []
 
 
 def test_interval_tree():
