@@ -3,7 +3,7 @@
 1. One pass over the texts makes blocks of documents. A block holds, for each distinct pre-token in it, the documents that
    have it and how often: an inverted list of per-document frequencies, a byte or two for each pair. A text is first cut
    into chunks at spaces, where a pre-token always begins, and only each distinct chunk of a block is cut into pre-tokens.
-2. The lists are dealt to buckets by a hash of the pre-token. A bucket meets every block's list of a pre-token, so each
+2. The lists are dealt to buckets by a hash of the pre-token, one for each 16 MB of text. A bucket meets every block's list of a pre-token, so each
    distinct pre-token is encoded exactly once in the whole job, and a frequent one arrives as one list per block.
 3. Frequencies times piece counts, summed per document in the bucket, go back to the blocks as packed partial sums.
 
@@ -21,6 +21,8 @@ from collections.abc import Iterator
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from fringeworks.llm.common import buckets_for
+
 LIMIT = 512
 #: A block ends at so many documents, or so many distinct chunks.
 BLOCK_DOCS, BLOCK_CHUNKS = 8192, 200_000
@@ -121,15 +123,16 @@ class _Block:
 
 def token_counts(docs: DataFrame, vocabulary: str, spaced: bool = True, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row per document."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(docs)
     names = [x.split(" ")[0] for x in _ROW.split(", ")]
 
     def lists(batches) -> Iterator:
         import pyarrow as pa
 
         from fringeworks.llm.tokens import special_strings
+        from fringeworks.llm.worker import kept
 
+        kept("frequencies")
         special = special_strings(vocabulary)
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         number, held = TaskContext.get().partitionId() << 24, _Block(spaced, special)

@@ -131,7 +131,9 @@ def test_exact_dedup(spark, docs):
     for d, t in TEXTS.items():
         groups[t or ""].append(d)
     for support in (0.001, 0.2):
-        for r in m.decisions(docs, support).collect():
+        found = m.decisions(docs, support).collect()
+        assert len(found) == len(TEXTS)
+        for r in found:
             own = groups[TEXTS[r.doc_id] or ""]
             sha = hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
             assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(own), len(own), r.doc_id == max(own), sha)
@@ -160,6 +162,45 @@ def test_jaccard_join_odd_tables(spark):
     assert m.similar_groups(cases.nothing(spark)).collect() == []
     same = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None), (2, "")], "doc_id long, text string")
     assert m.drop_near_copies(same).count() == 3
+    found = sorted((r.doc_id or 0, r.component_id or 0) for r in m.similar_groups(same).collect())
+    assert found == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 2)]
+
+
+def test_words_of_equal_structure(spark):
+    """Thue-Morse words and their opposites, alike to polynomials modulo powers of two."""
+    from fringeworks.llm import decontamination, jaccard_join
+
+    made = lambda n, a="ab": "".join(a[bin(k).count("1") % 2] for k in range(n))
+    docs = spark.createDataFrame([(k, made(n, a)) for k, (n, a) in enumerate((n, a) for n in (64, 1024, 2048, 4096) for a in ("ab", "ba"))], "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in jaccard_join.similar_groups(docs).collect())
+    items = docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "item_id")
+    assert {r.doc_id for r in decontamination.contamination(docs, items).collect() if r.contaminated} == {0, 2, 4, 6}
+
+
+@pytest.mark.parametrize("operator", ["exact", "near", "benchmark", "language", "repeats"])
+def test_rows_are_numbered_once(spark, operator):
+    """A wide column and a shuffle before the operator: its passes plan the input differently."""
+    from fringeworks.llm import decontamination, exact_dedup, jaccard_join, language_id, repeats
+
+    some = {k: TEXTS[k % len(TEXTS)] for k in range(400)}
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string").withColumn("lang", F.lit("aa"))
+    docs = docs.withColumn("wide", F.repeat(F.sha2(F.col("doc_id").cast("string"), 512), 400)).repartition("doc_id")
+    items = {0: TEXTS[15][100:260]}
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    kept = {
+        "exact": lambda: (exact_dedup.drop_exact_copies(docs), {max(k for k in some if (some[k] or "") == t) for t in {x or "" for x in some.values()}}),
+        "near": lambda: (jaccard_join.drop_near_copies(docs), {c for _, c in cases.components(some, 5, 80, 100).values()}),
+        "benchmark": lambda: (decontamination.drop_contaminated(docs, bench), {d for d, x in cases.hits(some, items).items() if not x[1]}),
+        "language": lambda: (language_id.keep_identified(docs), {d for d, t in some.items() if any(c.isalpha() for c in t or "")}),
+    }
+    if operator == "repeats":
+        expected = {d: sum(gone) for d, (_, gone) in cases.repeats(some, 100).items()}
+        assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()} == expected
+        return
+    out, want = kept[operator]()
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        {"exact": exact_dedup.drop_exact_copies, "near": jaccard_join.drop_near_copies, "language": language_id.keep_identified}.get(operator, lambda d: decontamination.drop_contaminated(d, bench))(docs.withColumn("_fw_row", F.lit(1)))
 
 
 def test_jaccard_join_shard_of_unlinked_classes(spark, monkeypatch):
@@ -297,7 +338,9 @@ def test_decontamination(spark, docs):
     items = {0: TEXTS[15][100:260], 1: "one two three", 2: None, 3: "...", 4: TEXTS[8][:200].upper(), 5: "never seen anywhere at all in these few texts of ours"}
     bench = spark.createDataFrame([*items.items()], "item_id long, text string")
     expected = cases.hits(TEXTS, items)
-    for r in m.contamination(docs, bench).collect():
+    rows = m.contamination(docs, bench).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
         n, hit, found = expected[r.doc_id]
         sha = hashlib.sha256(",".join(found).encode()).hexdigest()
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), sha, hit > 0), r.doc_id
