@@ -407,13 +407,64 @@ def test_secret_scan(spark):
     key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
     some = [(k, f"long ordinary text extraordinarilylongwords here {'x' * 3}", "a/en") for k in range(60)]
     some += [(k, f'before it token = "{key()}" and interdisciplinarity after', "a/en") for k in range(60, 120)]
-    some += [(120, None, None), (121, "", "a"), (122, f"no name here {key()} but hex", "a/en")]
-    docs = spark.createDataFrame(some, "doc_id long, text string, path string")
+    some += [(120, None, None), (121, "", "a"), (122, f"commit {key()} but hex", "a/en"), (None, f'export API_KEY={key()}', None), (60, some[60][1], "a/en")]
+    docs = spark.createDataFrame(some, "doc_id long, text string, path string").withColumns({"value": F.lit("x"), "score": F.lit(1)})
     found = m.scan(docs).collect()
-    assert {x.doc_id for x in found} >= set(range(60, 120)) and all(60 <= x.doc_id != 121 for x in found)
+    assert Counter(x.doc_id for x in found) == Counter([*range(60, 120), 60, None])  # repeated rows are found in each
     assert all(x.length == 40 for x in found)
     assert m.scan(docs.where("false")).collect() == []
     assert m.scan(docs.where("doc_id < 60")).collect() == []
+    only = m.labelled_findings(spark, 20).where("label = 0")
+    assert m.scan(docs, only).collect() == []
+
+
+def test_secret_forest_beats_the_rule():
+    """On findings that it hasn't seen; the forest's own numbers are held against a walk through each tree."""
+    from fringeworks.llm import secret_scan as m
+
+    made = lambda rows: m.features([x[4] for x in rows], [x[5] for x in rows], [x[6] for x in rows], [x[1] for x in rows], {"ban", "banana", "tor"})
+    known, unseen = m.example_findings(1500, 5), m.example_findings(1500, 91)
+    forest = m.grow(made(known), np.array([x[7] for x in known], float))
+    x, y = made(unseen), np.array([x[7] for x in unseen]) == 1
+    score = m.scores(forest, x)
+    for row, want in zip(x[:200], score, strict=False):
+        total = 0.0
+        for tree in forest:
+            at = 0
+            while tree[at][0] >= 0:
+                at = int(tree[at][3] if row[int(tree[at][0])] > tree[at][1] else tree[at][2])
+            total += tree[at][4]
+        assert abs(total / len(forest) - want) < 1e-12
+    rule = np.array([m.by_rule(f[5], f[6]) for f in unseen])
+    right = lambda p: ((p & y).sum() / p.sum(), (p & y).sum() / y.sum())
+    precision, recall = right(score >= 0.5)
+    assert precision > 0.97 and recall > 0.97 and ((score >= 0.5) != rule).sum() > 100
+    assert precision > right(rule)[0] and recall > right(rule)[1]
+
+
+def test_secret_features():
+    from fringeworks.llm import secret_scan as m
+
+    r = random.Random(3)
+    for _ in range(200):
+        v = "".join(r.choice("abcABC012-/_aa") for _ in range(r.randrange(16, 40)))
+        before, after = r.choice(["x token = \"", "sha1: ", "", "id='"]), r.choice(['"', "", " "])
+        row = m.features([v], [before], [after], ["lib/test_a.py"], {"abc", "cab"})[0]
+        kinds = ["l" if c in "abc" else "u" if c in "ABC" else "d" if c in "012" else "o" for c in v]
+        n = len(v)
+        assert np.allclose(row[1:5], [kinds.count(k) / n for k in "ludo"])
+        assert np.isclose(row[5], sum(a != b for a, b in zip(kinds, kinds[1:])) / (n - 1))
+        assert np.isclose(row[6], sum({a, b} in ({"l", "d"}, {"u", "d"}) for a, b in zip(kinds, kinds[1:])) / (n - 1))
+        assert np.isclose(row[8], len(set(v)) / n)
+        longest = max(k for k in range(1, n + 1) if any(c * k in v for c in set(v)))
+        assert np.isclose(row[9], longest / n)
+        low, at, covered = v.lower(), 0, 0
+        while at < n:
+            step = 3 if low[at : at + 3] in ("abc", "cab") else 0
+            covered, at = covered + step, at + (step or 1)
+        assert np.isclose(row[10], covered / n)
+        assert list(row[17:22]) == [before[-3:] in ('= "',) or before == "id='" or before == "sha1: ", before[-1:] in ('"', "'") and before != "", after == '"', "token" in before, before.startswith(("sha", "id"))]
+        assert list(row[22:]) == [1, 0, 0, 0]
 
 
 def test_only_empty_texts(spark):
