@@ -2,16 +2,19 @@
 
 1. A logistic regression on shares of byte classes and word statistics of the whole text gives each document's evidence
    p. It is fitted in numpy on at most ``most_labels`` labelled documents (smallest hash of doc_id).
-2. Grouped sums of p give each host's posterior mean, shrunk toward the global mean, and each path's, shrunk toward its host's.
-   How strongly is estimated from all sites by moments: the less sites differ beyond chance, the stronger.
-3. The document's log-odds swap the global prior for its path's posterior: logit q = logit p - logit global + logit path.
+2. Grouped sums of p and p squared give each host's posterior mean, shrunk toward the global mean, and each path's, shrunk toward its
+   host's. How strongly is estimated by moments: a prior is worth k = within / between documents, the variance of p within sites over that
+   of the sites' means beyond it (analysis of variance with unequal group sizes). The less sites differ, the stronger.
+3. A document's sites are taken without itself, so its evidence counts once; its log-odds swap the global prior for its path's
+   posterior: logit q = logit p - logit global + logit path.
 
 Sums leave one partial row per task and site, so a host with a third of all rows is no hot group; its posterior is joined
 back (Spark broadcasts or splits that join by size).
 
 Cases: null and empty texts have features of an empty text; null hosts and paths are sites of their own; labels without a
 document or value are ignored, and a doc_id labelled twice counts by its mean; with fewer than two classes of labels p is
-their rate, or 0.5; repeated rows are scored each; an empty table gives an empty result; other columns are ignored.
+their rate, or 0.5; repeated rows are scored each (and learned from once); a path without other documents has its host's posterior, a host without others the
+global one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,8 +101,8 @@ def document_evidence(docs: DataFrame, labels: DataFrame, label: str = "quality"
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("y"))
     chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("host", F.lit(None).cast("string"))
-    listed = _mapped(rows, ["doc_id", "y"], "doc_id long, y double, x array<double>", lambda x: pa.array(list(x), pa.list_(pa.float64()))).toPandas()
-    listed = listed.drop_duplicates("doc_id").sort_values("doc_id")
+    listed = _mapped(rows, ["doc_id", "y"], "doc_id long, y double, x array<double>", lambda x: pa.array(list(x), pa.list_(pa.float64())))
+    listed = listed.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("doc_id")  # one row an id
     width = 12 + len(_MARKS)
     x = np.array(listed["x"].tolist()).reshape(-1, width)
     centre, scale, weights, bias = fit(x, (listed["y"].to_numpy(float) >= 0.5).astype(float))
@@ -111,34 +114,43 @@ def document_evidence(docs: DataFrame, labels: DataFrame, label: str = "quality"
     return _mapped(docs, ["doc_id", "host", "path"], "doc_id long, host string, path string, p double", probability)
 
 
-def _strength(sites: DataFrame, prior) -> DataFrame:
-    """One row, ``k``: how many documents the prior is worth, by moments over sites of n documents with mean ``site``."""
-    spread = F.col("n") * (F.col("site") - prior) ** 2
-    chance = prior * (1 - prior)
-    between = (F.sum(spread) - F.sum(chance)) / F.sum("n")
-    k = F.avg(chance) / F.greatest(between, F.lit(1e-6)) - 1
-    return sites.agg(F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.coalesce(k, F.lit(1.0)))).alias("k"))
+def _strength(sites: DataFrame, group, total, n, prior) -> DataFrame:
+    """One row, ``k``: how many documents the prior is worth; sites are rows with ``total`` and ``squares`` of p over n documents."""
+    mean = total / n
+    within = F.sum(F.col("squares") - total * mean) / F.greatest(F.sum(n) - F.count(F.lit(1)), F.lit(1))
+    groups = F.count(F.lit(1)) - F.count_distinct(group)  # each group's prior takes one site's freedom
+    spread = F.sum(n * (mean - prior) ** 2)
+    weight = F.sum(n) - F.sum(n * n / F.col("of"))
+    found = sites.agg(within.alias("within"), groups.alias("free"), spread.alias("spread"), weight.alias("weight"))
+    between = (F.col("spread") - F.col("free") * F.col("within")) / F.col("weight")
+    k = F.when((F.col("weight") > 0) & (between > 0), F.col("within") / between)
+    return found.select(F.greatest(F.lit(0.01), F.least(F.lit(1e6), F.coalesce(k, F.lit(1e6)))).alias("k"))
 
 
 def posteriors(evidence: DataFrame) -> DataFrame:
-    """host, path, overall, host_posterior, path_posterior: a row per path. All are shrunk means of p."""
-    paths = written(evidence.groupBy("host", "path").agg(F.sum("p").alias("total"), F.count(F.lit(1)).alias("n")), "paths")
-    overall = paths.agg((F.sum("total") / F.sum("n")).alias("overall"))
-    hosts = paths.groupBy("host").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).crossJoin(F.broadcast(overall)).withColumn("site", F.col("total") / F.col("n"))
-    k = _strength(hosts, F.col("overall"))
-    hosts = hosts.crossJoin(F.broadcast(k)).select("host", "overall", ((F.col("total") + F.col("k") * F.col("overall")) / (F.col("n") + F.col("k"))).alias("host_posterior"))
-    joined = paths.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host").withColumn("site", F.col("total") / F.col("n"))
-    k = _strength(joined, F.col("host_posterior"))
-    shrunk = (F.col("total") + F.col("k") * F.col("host_posterior")) / (F.col("n") + F.col("k"))
-    return joined.crossJoin(F.broadcast(k)).select("host", "path", "overall", "host_posterior", shrunk.alias("path_posterior"))
+    """A row per path: host, path, overall, host_total, host_n, host_k, total, n, k."""
+    paths = written(evidence.groupBy("host", "path").agg(F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("squares"), F.count(F.lit(1)).cast("double").alias("n")), "paths")
+    overall = paths.agg((F.sum("total") / F.sum("n")).alias("overall"), F.sum("n").alias("of"))
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("total", "squares", "n")]).crossJoin(F.broadcast(overall))
+    host_k = _strength(hosts, F.lit(1), F.col("total"), F.col("n"), F.col("overall")).withColumnRenamed("k", "host_k")
+    hosts = hosts.select(F.col("host").alias("_host"), "overall", F.col("total").alias("host_total"), F.col("n").alias("host_n"))
+    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host").withColumn("of", F.col("host_n"))
+    k = _strength(joined, F.struct("host"), F.col("total"), F.col("n"), F.col("host_total") / F.col("host_n"))
+    return joined.crossJoin(F.broadcast(host_k)).crossJoin(F.broadcast(k)).drop("squares", "of")
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", least: float = LEAST_QUALITY) -> DataFrame:
     """doc_id, host, path, p, host_posterior, path_posterior, quality, keep: one row per document."""
-    logit = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     evidence = written(document_evidence(docs, labels, label), "evidence")
+    return combined(evidence, least).select("doc_id", "host", "path", "p", "host_posterior", "path_posterior", "quality", "keep")
+
+
+def combined(evidence: DataFrame, least: float = LEAST_QUALITY) -> DataFrame:
+    """``evidence`` (host, path, p and others) with the posteriors of its sites without the row itself, quality and keep."""
+    logit = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     sites = posteriors(evidence).withColumnsRenamed({"host": "_host", "path": "_path"})
     joined = evidence.join(sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
-    odds = logit("p") - logit("overall") + logit("path_posterior")
-    found = joined.withColumn("quality", 1 / (1 + F.exp(-odds)))
-    return found.select("doc_id", "host", "path", "p", "host_posterior", "path_posterior", "quality", (F.col("quality") >= least).alias("keep"))
+    without = lambda total, n, k, prior: F.least(F.greatest((F.col(total) - F.col("p") + F.col(k) * F.col(prior)) / (F.col(n) - 1 + F.col(k)), F.lit(1e-6)), F.lit(1 - 1e-6))
+    found = joined.withColumn("host_posterior", without("host_total", "host_n", "host_k", "overall")).withColumn("path_posterior", without("total", "n", "k", "host_posterior"))
+    found = found.withColumn("quality", 1 / (1 + F.exp(-(logit("p") - logit("overall") + logit("path_posterior")))))
+    return found.select(*evidence.columns, "host_posterior", "path_posterior", "quality", (F.col("quality") >= least).alias("keep"))

@@ -393,11 +393,50 @@ def test_quality(spark):
     labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(0, 240, 2)] + [(9999, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     found = {x.doc_id: x for x in m.quality(docs, labels).collect()}
     assert len(found) == 242 and all(found[k].keep == (k % 3 != 0) for k in range(240))
-    # a sparse site lies nearer to the prior than its own mean
-    p = m.posteriors(spark.createDataFrame([("a", "a/1", 1.0, k) for k in range(200)] + [("a", "a/2", 0.0, 0)], "host string, path string, p double, doc_id long")).where("path = 'a/2'").first()
-    assert 0.0 < p.path_posterior < p.host_posterior
     assert m.quality(docs.where("false"), labels).collect() == []
     assert m.quality(docs, labels.where("false")).count() == 242
+    again = docs.unionByName(docs.where("doc_id < 5")).withColumns({"p": F.lit(9), "keep": F.lit("x")})  # repeated rows, clashing columns
+    assert m.quality(again, labels).count() == 247
+
+
+def test_quality_posteriors(spark):
+    """By loops: every site without the row itself, k by analysis of variance."""
+    from fringeworks.llm import quality as m
+
+    r, some = random.Random(12), []
+    for h in range(12):
+        base = r.uniform(0.2, 0.8)
+        for k in range(r.choice((1, 2, 9))):
+            shift = r.uniform(-0.15, 0.15)
+            some += [(h if h else None, f"{h}/{k}" if k else None, min(0.99, max(0.01, base + shift + r.uniform(-0.1, 0.1)))) for _ in range(r.choice((1, 3, 30)))]
+    found = m.combined(spark.createDataFrame([(k, None if h is None else f"h{h}", q, p) for k, (h, q, p) in enumerate(some)], "doc_id long, host string, path string, p double")).collect()
+
+    def strength(groups):  # groups of sites, each with the documents' values
+        sites = [s for g in groups for s in g]
+        n = sum(map(len, sites))
+        within = sum(sum((p - sum(s) / len(s)) ** 2 for p in s) for s in sites) / max(1, n - len(sites))
+        spread, weight = 0.0, float(n)
+        for g in groups:
+            of = sum(map(len, g))
+            prior = sum(map(sum, g)) / of
+            spread += sum(len(s) * (sum(s) / len(s) - prior) ** 2 for s in g)
+            weight -= sum(len(s) ** 2 for s in g) / of
+        between = (spread - (len(sites) - len(groups)) * within) / weight
+        return within / between
+
+    hosts, paths = defaultdict(list), defaultdict(lambda: defaultdict(list))
+    for h, q, p in some:
+        hosts[h].append(p)
+        paths[h][q].append(p)
+    overall = sum(p for _, _, p in some) / len(some)
+    host_k, k = strength([list(hosts.values())]), strength([list(x.values()) for x in paths.values()])
+    assert len(found) == len(some)
+    for x in found:
+        h, q, p = some[x.doc_id]
+        host = (sum(hosts[h]) - p + host_k * overall) / (len(hosts[h]) - 1 + host_k)
+        path = (sum(paths[h][q]) - p + k * host) / (len(paths[h][q]) - 1 + k)
+        odds = np.log(p / (1 - p)) - np.log(overall / (1 - overall)) + np.log(path / (1 - path))
+        assert np.allclose((x.host_posterior, x.path_posterior, x.quality), (host, path, 1 / (1 + np.exp(-odds))), atol=1e-9)
 
 
 def test_secret_scan(spark):
