@@ -382,6 +382,37 @@ def test_language_id(spark):
     assert m.predict(cases.documents(spark), m.train([]), "doc_id").columns == ["doc_id", "lang_pred", "score"]
 
 
+def test_language_network_by_direct_convolution():
+    from fringeworks.llm import language_id as m
+
+    r = np.random.default_rng(2)
+    net = m.train([("aa", b"bam tok rin " * 9), ("bb", "ülü öre sää ".encode() * 7)] * 20, epochs=2)
+    x = r.integers(0, 256, (5, m.WINDOW)).astype(np.uint8)
+    x[3, 40:] = 0
+    want = []
+    for row in x:
+        h = []
+        for f in net.filters:
+            out = np.array([[sum(f[j, row[i + j], c] for j in range(len(f))) for c in range(m.FILTERS)] for i in range(m.WINDOW - len(f) + 1)])
+            h += [max(0.0, v) for v in out.max(0)]
+        z = np.array(h) @ net.dense + net.bias
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(m.probabilities(net, net.tables(), x), want, atol=1e-4)
+
+
+def test_language_repeated_rows_and_columns(spark):
+    from fringeworks.llm import language_id as m
+
+    some = [(k % 40, "bam tok rin " * 9, "aa", 0.5) for k in range(400)] + [(40 + k, "ülü öre sää " * 9, "bb", 0.5) for k in range(60)] + [(None, "bam tok", "aa", 0.1)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string, score double").withColumn("lang_pred", F.lit("x"))
+    picked = m.sample(docs, ~m.held_out())
+    fresh = docs.where(~m.held_out()).where("doc_id is not null").select("doc_id").distinct().count()
+    assert len(picked) == fresh  # short texts have one window each
+    kept = m.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == len(some) and {x.lang_pred for x in kept.collect()} == {"x"}
+    assert Counter(x.lang_pred for x in m.identify(docs).collect()) == {"aa": 401, "bb": 60}
+
+
 def test_quality(spark):
     from fringeworks.llm import quality as m
 
