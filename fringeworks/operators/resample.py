@@ -51,19 +51,33 @@ def decimated(x: np.ndarray, q: int) -> np.ndarray:
 
 
 def decimate(df: DataFrame, q: int, key: str = "trace_id", value: str = "x", block: int = BLOCK) -> DataFrame:
-    """key, sample_idx (of the decimated trace), x: FIR decimation over whole traces in blocks with a halo.
+    """key, sample_idx (of the decimated trace), x: FIR decimation over whole traces, zeros beyond their ends.
 
-    A tap reaches ten samples of the result to either side, so a block of inputs is joined with that halo and filtered in
-    SQL as a sum of products with a table of 20 q + 1 taps: for a sample, the outputs it reaches.
+    A tap reaches 10 q samples to either side: a block of inputs gets that halo from its neighbours and is filtered by strided
+    products in one task, so a sample is shuffled once (in a halo, twice) and a long trace is many tasks.
     """
-    taps = fir_taps(q)
-    half = len(taps) // 2
-    spark = df.sparkSession
-    table = spark.createDataFrame([(int(k - half), float(t)) for k, t in enumerate(taps)], "k int, tap double")
-    # output j takes x[q j + k]; a sample reaches the outputs with |sample - q j| <= half
-    first, last = F.ceil((F.col("sample_idx") - half) / q), F.floor((F.col("sample_idx") + half) / q)
-    sizes = df.groupBy(key).agg((F.max("sample_idx") + 1).alias("_n"))
-    reach = df.join(sizes, key).select(key, "sample_idx", value, "_n", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("j"))
-    reach = reach.where(F.col("j") * q < F.col("_n")).withColumn("k", (F.col("sample_idx") - F.col("j") * q).cast("int"))
-    made = reach.join(F.broadcast(table), "k").groupBy(key, "j").agg(F.sum(F.col(value) * F.col("tap")).alias("x"))
-    return made.select(key, F.col("j").alias("sample_idx"), "x")
+    from fringeworks.operators.stats import haloed
+
+    half = 10 * q
+    block = max(block // q, -(-half // q)) * q  # blocks begin at samples that are kept
+    taps = fir_taps(q)[::-1]
+    kind = dict(df.dtypes)[key]
+
+    def run(table):
+        import pyarrow as pa
+
+        own = table.column("_own").to_numpy(zero_copy_only=False)
+        at = table.column("sample_idx").to_numpy()
+        begin = table.column("block")[0].as_py() * block
+        if not own.any():  # the halo of a block that the trace doesn't reach
+            return pa.table({key: table.column(key)[:0], "sample_idx": pa.array([], pa.int64()), "x": pa.array([], pa.float64())})
+        n = int(at[own].max()) + 1 - begin
+        x = np.zeros(block + 2 * half)
+        x[at - begin + half] = table.column(value).to_numpy()
+        rows = -(-n // q)
+        made = np.lib.stride_tricks.sliding_window_view(x, len(taps))[: rows * q : q] @ taps
+        names = pa.array([table.column(key)[0].as_py()] * rows, table.column(key).type)
+        return pa.table({key: names, "sample_idx": pa.array(begin // q + np.arange(rows)), "x": pa.array(made)})
+
+    cut = haloed(df.select(key, "sample_idx", F.col(value).cast("double").alias(value)), key, block, half, half)
+    return cut.groupBy(key, "block").applyInArrow(run, f"{key} {kind}, sample_idx long, x double")

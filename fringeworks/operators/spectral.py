@@ -1,7 +1,8 @@
 """Windows, detrending, tapers and spectra.
 
-Overlapped windows are made by Spark (each sample goes to the windows that hold it), so windows are dealt over the cluster
-whatever a trace's length; a window's spectrum is then a small numpy step on Arrow batches, without a further shuffle.
+A trace is cut into blocks that get the samples their last windows need from the next block; a block's overlapped windows are views of
+one array, so a sample is shuffled once or twice whatever the overlap. A window's spectrum is then a small numpy step on Arrow
+batches, without a further shuffle.
 """
 
 from __future__ import annotations
@@ -20,16 +21,29 @@ def nearest_power_of_two(x: float) -> int:
     return low if x - low <= 2 * low - x else 2 * low
 
 
-def frames(df: DataFrame, nfft: int, hop: int, key: str = "trace_id", value: str = "x") -> DataFrame:
+def frames(df: DataFrame, nfft: int, hop: int, key: str = "trace_id", value: str = "x", block: int = 1 << 17) -> DataFrame:
     """key, win_idx, samples (array in order): the whole windows of ``nfft`` samples, ``hop`` apart."""
+    from fringeworks.operators.stats import haloed
+
     if not 0 < hop <= nfft:
         raise ValueError("windows must overlap by less than their length")
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    first = F.greatest(F.ceil((F.col("sample_idx") - nfft + 1) / hop), F.lit(0))
-    last = F.least(F.floor(F.col("sample_idx") / hop), F.floor((F.col("_n") - nfft) / hop))
-    dealt = df.join(sizes, key).where(F.col("_n") >= nfft).where(first <= last).select(key, "sample_idx", value, F.explode(F.sequence(first, last)).alias("win_idx"))
-    rows = dealt.groupBy(key, "win_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", F.col(value).alias("v")))).alias("s"))
-    return rows.select(key, "win_idx", F.col("s.v").alias("samples"))
+    count = max(block // hop, -(-nfft // hop))  # windows that begin in a block
+    block = count * hop
+    kind = dict(df.dtypes)[key]
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by("sample_idx")
+        x, first = table.column(value).to_numpy(), table.column("block")[0].as_py()
+        whole = min(count, (len(x) - nfft) // hop + 1) if len(x) >= nfft and table.column("sample_idx")[0].as_py() == first * block else 0
+        windows = np.lib.stride_tricks.sliding_window_view(x, nfft)[: whole * hop : hop] if whole else np.empty((0, nfft))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(whole + 1, dtype=np.int32) * nfft), pa.array(np.ascontiguousarray(windows).ravel()))
+        names = pa.array([table.column(key)[0].as_py()] * whole, table.column(key).type)
+        return pa.table({key: names, "win_idx": pa.array(first * count + np.arange(whole)), "samples": lists})
+
+    cut = haloed(df.select(key, "sample_idx", F.col(value).cast("double").alias(value)), key, block, 0, nfft - hop)
+    return cut.groupBy(key, "block").applyInArrow(run, f"{key} {kind}, win_idx long, samples array<double>")
 
 
 def centre_time(nfft: int, hop: int, fs: float):
@@ -215,15 +229,31 @@ def butterworth_bandpass(low: float, high: float, fs: float, corners: int = 4) -
     return sections
 
 
-def _filtered(x: np.ndarray, sections: list[np.ndarray]) -> np.ndarray:
+def _filtered(x: np.ndarray, sections: list[np.ndarray], block: int = 256) -> np.ndarray:
+    """Each row of ``x`` through the sections from rest, ``block`` samples at a time.
+
+    A section is a linear system with a state of two numbers: a block's output is its input through the impulse response plus what
+    its first state fades out to, so only the states go from block to block one after the other.
+    """
+    rows, n = x.shape
+    count = -(-n // block)
+    x = np.concatenate([x, np.zeros((rows, count * block - n))], 1).reshape(rows, count, block)
     for b0, b1, b2, _, a1, a2 in sections:
-        y, s1, s2 = np.empty_like(x), 0.0, 0.0
-        for k, v in enumerate(x.tolist()):
-            o = b0 * v + s1
-            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-            y[k] = o
-        x = y
-    return x
+        a, b = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+        fades, reaches = np.empty((block, 2)), np.empty((block, 2))
+        row, column = np.array([1.0, 0.0]), b
+        for k in range(block):
+            fades[k], reaches[block - 1 - k] = row, column
+            row, column = row @ a, a @ column
+        response = np.r_[b0, reaches[::-1, 0][: block - 1]]
+        at = np.arange(block)[:, None] - np.arange(block)[None, :]
+        y = x @ np.where(at >= 0, response[np.maximum(at, 0)], 0.0).T
+        gained, power = x @ reaches, np.linalg.matrix_power(a, block)
+        state = np.zeros((rows, count, 2))
+        for k in range(1, count):
+            state[:, k] = state[:, k - 1] @ power.T + gained[:, k - 1]
+        x = y + state @ fades.T
+    return x.reshape(rows, -1)[:, :n]
 
 
 def settling(low: float, high: float, fs: float, corners: int = 4, tolerance: float = 1e-10) -> int:
@@ -239,10 +269,10 @@ def bandpass(rows: DataFrame, keys: list[str], low: float, high: float, fs: floa
     are then those of the whole trace to 1e-8 of its largest sample, whatever the segments' length. Later segments without halo are refused.
     """
     sections = butterworth_bandpass(low, high, fs, corners)
-    both = lambda x: _filtered(_filtered(x, sections)[::-1], sections)[::-1]
+    both = lambda x: _filtered(_filtered(x, sections)[:, ::-1], sections)[:, ::-1]
     halo = ["before", "own"] if {"before", "own"} <= set(rows.columns) else []
     if not halo and "segment" in rows.columns:
         refused = F.raise_error(F.lit("segments of a longer trace need a halo")).cast("array<double>")
         rows = rows.withColumn("samples", F.when(F.col("segment") > 0, refused).otherwise(F.col("samples")))
-    found = _by_row(rows, [*keys, *halo], "samples", lambda x: np.stack([both(r) for r in x]), "filtered")
+    found = _by_row(rows, [*keys, *halo], "samples", both, "filtered")
     return found.select(*keys, (F.slice("filtered", F.col("before") + 1, F.col("own")) if halo else F.col("filtered")).alias("samples"))

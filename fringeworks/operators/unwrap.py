@@ -15,13 +15,17 @@ from fringeworks.functions.decode import WRAP
 BLOCK = 1 << 17
 
 
-def deltas(iqm: DataFrame, block: int = BLOCK, key: str = "trace_id") -> DataFrame:
-    """``iqm`` with block and delta: +1 where the counter has jumped up by more than WRAP, -1 where down, else 0."""
+def _steps(iqm: DataFrame, block: int, key: str) -> DataFrame:
+    """``iqm`` with block and step: the counter less the one of the sample before, null at a trace's first."""
     cut = iqm.withColumn("block", F.expr(f"sample_idx div {block}"))
     last = cut.groupBy(key, "block").agg(F.max_by("m", "sample_idx").alias("_carry")).withColumn("block", F.col("block") + 1)
     inside = Window.partitionBy(key, "block").orderBy("sample_idx")
-    step = F.col("m") - F.coalesce(F.lag("m").over(inside), F.col("_carry"))
-    return cut.join(last, [key, "block"], "left").withColumn("delta", F.when(step > WRAP, 1).when(step < -WRAP, -1).otherwise(0)).drop("_carry")
+    return cut.join(last, [key, "block"], "left").withColumn("step", F.col("m") - F.coalesce(F.lag("m").over(inside), F.col("_carry"))).drop("_carry")
+
+
+def deltas(iqm: DataFrame, block: int = BLOCK, key: str = "trace_id") -> DataFrame:
+    """``iqm`` with block and delta: +1 where the counter has jumped up by more than WRAP, -1 where down, else 0."""
+    return _steps(iqm, block, key).withColumn("delta", F.when(F.col("step") > WRAP, 1).when(F.col("step") < -WRAP, -1).otherwise(0)).drop("step")
 
 
 def rollovers(iqm: DataFrame, block: int = BLOCK, key: str = "trace_id") -> DataFrame:
@@ -31,36 +35,50 @@ def rollovers(iqm: DataFrame, block: int = BLOCK, key: str = "trace_id") -> Data
 
 def suspicious(iqm: DataFrame, block: int = BLOCK, key: str = "trace_id") -> DataFrame:
     """key, sample_idx, step: steps above half the range that are not taken for wraps."""
-    cut = iqm.withColumn("block", F.expr(f"sample_idx div {block}"))
-    last = cut.groupBy(key, "block").agg(F.max_by("m", "sample_idx").alias("_carry")).withColumn("block", F.col("block") + 1)
-    inside = Window.partitionBy(key, "block").orderBy("sample_idx")
-    steps = cut.join(last, [key, "block"], "left").withColumn("step", F.col("m") - F.coalesce(F.lag("m").over(inside), F.col("_carry")))
-    return steps.where((F.abs("step") > 0x8000) & (F.abs("step") <= WRAP)).select(key, "sample_idx", "step")
+    return _steps(iqm, block, key).where((F.abs("step") > 0x8000) & (F.abs("step") <= WRAP)).select(key, "sample_idx", "step")
 
 
-def _block_offsets(per_block: DataFrame, key: str) -> DataFrame:
-    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return per_block.select(key, "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("_before"))
-
+def _unwrapped(rows: DataFrame, key: str, anchor: str, bounds: DataFrame | None) -> DataFrame:
+    """Rows with block and delta (those without m are stored wraps) -> m_unwrapped, inside ``bounds``.
 
-def unwrap(iqm: DataFrame, block: int = BLOCK, key: str = "trace_id", anchor: str = "trace") -> DataFrame:
-    """``iqm`` with m_unwrapped. ``anchor='window'`` counts turns from the first sample given, ``'trace'`` likewise but with wraps before it if they are given."""
+    A block's running sum and its offset, from one row for each block that is summed along the trace.
+    """
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(key, "block").agg(F.sum("delta").alias("_total")).select(key, "block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "block").orderBy("sample_idx").rangeBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_turns", F.sum("delta").over(inside)).where("m is not null").join(offsets, [key, "block"]).withColumn("_turns", F.col("_turns") + F.col("_before"))
+    if bounds is not None:
+        found = found.join(bounds.select(key, "start_idx", "end_idx"), key).where("sample_idx >= start_idx and sample_idx < end_idx").drop("start_idx", "end_idx")
+    turns = F.col("_turns")
+    if anchor == "window":  # a wrap on the first sample of the window counts, those before it don't
+        begin = found.groupBy(key).agg(F.min_by(F.col("_turns") - F.col("_here"), "sample_idx").alias("_begin"))
+        found, turns = found.join(begin, key), turns - F.col("_begin")
+    return found.withColumn("m_unwrapped", F.col("m") - 65536 * turns).drop("_turns", "_before", "_begin", "_here", "delta", "block")
+
+
+def _anchored(anchor: str) -> None:
     if anchor not in ("trace", "window"):
         raise ValueError("anchor is 'trace' or 'window'")
-    found = deltas(iqm, block, key)
-    offsets = _block_offsets(found.groupBy(key, "block").agg(F.sum("delta").alias("total")), key)
-    inside = Window.partitionBy(key, "block").orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, 0)
-    turns = F.sum("delta").over(inside)
-    return found.withColumn("_turns", turns).join(offsets, [key, "block"]).withColumn("m_unwrapped", F.col("m") - 65536 * (F.col("_before") + F.col("_turns"))).drop("_turns", "_before", "delta", "block")
 
 
-def apply_rollovers(iqm: DataFrame, wraps: DataFrame, block: int = BLOCK, key: str = "trace_id") -> DataFrame:
-    """``iqm`` with m_unwrapped from a stored table of wraps: each block gets its own short list and the sum before it."""
-    placed = wraps.withColumn("block", F.expr(f"sample_idx div {block}"))
-    lists = placed.groupBy(key, "block").agg(F.sum("delta").alias("total"), F.collect_list(F.struct("sample_idx", F.col("delta").cast("long").alias("delta"))).alias("_own"))
-    cut = iqm.withColumn("block", F.expr(f"sample_idx div {block}"))
-    blocks = cut.select(key, "block").distinct().join(lists, [key, "block"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    blocks = _block_offsets(blocks, key).join(lists.select(key, "block", "_own"), [key, "block"], "left")
-    upto = F.aggregate(F.filter("_own", lambda x: x["sample_idx"] <= F.col("sample_idx")), F.lit(0).cast("long"), lambda a, x: a + x["delta"])
-    turns = F.col("_before") + F.coalesce(upto, F.lit(0))
-    return cut.join(blocks, [key, "block"]).withColumn("m_unwrapped", F.col("m") - 65536 * turns).drop("block", "_own", "_before")
+def unwrap(iqm: DataFrame, block: int = BLOCK, key: str = "trace_id", anchor: str = "trace", bounds: DataFrame | None = None) -> DataFrame:
+    """``iqm`` with m_unwrapped, only inside ``bounds`` (key, start_idx, end_idx) if they are given.
+
+    Turns are counted from the trace's first sample, or with ``anchor='window'`` from each window's: the two differ by a multiple of
+    65536 in a window. Wraps are looked for in all that ``iqm`` holds.
+    """
+    _anchored(anchor)
+    return _unwrapped(deltas(iqm, block, key).withColumn("_here", F.col("delta")), key, anchor, bounds)
+
+
+def apply_rollovers(iqm: DataFrame, wraps: DataFrame, block: int = BLOCK, key: str = "trace_id", anchor: str = "trace", bounds: DataFrame | None = None) -> DataFrame:
+    """``iqm`` with m_unwrapped from a stored table of wraps, as ``unwrap``: samples and wraps of a block are sorted together and summed on the way.
+
+    ``iqm`` may hold the samples of a window only; turns before it count with ``anchor='trace'``.
+    """
+    _anchored(anchor)
+    samples = iqm.withColumns({"block": F.expr(f"sample_idx div {block}"), "delta": F.lit(0)})
+    stored = wraps.select(key, "sample_idx", F.col("delta").cast("int").alias("delta"), F.expr(f"sample_idx div {block}").alias("block"))
+    rows = samples.unionByName(stored, allowMissingColumns=True)
+    same = Window.partitionBy(key, "block").orderBy("sample_idx").rangeBetween(0, 0)
+    return _unwrapped(rows.withColumn("_here", F.sum("delta").over(same)), key, anchor, bounds)

@@ -40,6 +40,31 @@ def test_unwrap_recovers_a_ramp(spark, block):
     assert unwrap.suspicious(iqm, block).count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 1 << 17])
+def test_turns_counted_from_a_window(spark, block):
+    """A wrap on the window's first sample counts in either anchor; windows of two traces, one without a wrap before it."""
+    true = {1: np.cumsum(np.random.default_rng(4).integers(-4000, 4001, 300)), 2: np.arange(200) * 3000}
+    rows = [(k, i, int((v + 32768) % 65536 - 32768)) for k, t in true.items() for i, v in enumerate(t)]
+    iqm = spark.createDataFrame(rows, "trace_id long, sample_idx long, m long").repartition(3)
+    wraps = unwrap.rollovers(iqm, block)
+    on_wrap = wraps.where("trace_id = 2 and sample_idx > 60").agg(F.min("sample_idx")).first()[0]
+    places = {1: (37, 250), 2: (on_wrap, 180)}
+    bounds = spark.createDataFrame([(k, a, b) for k, (a, b) in places.items()], "trace_id long, start_idx long, end_idx long")
+    part = times.in_window(iqm, bounds)
+    by_hand = {}
+    for k, (a, b) in places.items():
+        stored = sorted((r.sample_idx, r.delta) for r in wraps.where(F.col("trace_id") == k).collect())
+        for i in range(a, b):
+            m = int((true[k][i] + 32768) % 65536 - 32768)
+            by_hand[k, i] = (m - 65536 * sum(d for at, d in stored if at <= i), m - 65536 * sum(d for at, d in stored if a <= at <= i))
+    for n, anchor in enumerate(("trace", "window")):
+        for found in (unwrap.unwrap(iqm, block, anchor=anchor, bounds=bounds), unwrap.apply_rollovers(iqm, wraps, block, anchor=anchor, bounds=bounds), unwrap.apply_rollovers(part, wraps, block, anchor=anchor, bounds=bounds)):
+            assert {(r.trace_id, r.sample_idx): r.m_unwrapped for r in found.collect()} == {at: v[n] for at, v in by_hand.items()}
+    assert any(v[0] != v[1] for v in by_hand.values())
+    with pytest.raises(ValueError):
+        unwrap.unwrap(iqm, anchor="file")
+
+
 def test_steps_below_the_threshold_are_told(spark):
     iqm = trace(spark, [0, 30000, -15536, 0], name="m", kind="long")
     assert unwrap.rollovers(iqm, 2).count() == 0
@@ -103,7 +128,8 @@ def test_resampling(spark):
         taps = resample.fir_taps(q)
         full = np.convolve(x, taps)[len(taps) // 2 :][: len(x)][::q]
         assert np.allclose(resample.decimated(x, q), full)
-        assert np.allclose(ordered(resample.decimate(df, q), "x"), full)
+        for block in (50, 431, 1 << 17):
+            assert np.allclose(ordered(resample.decimate(df, q, block=block), "x"), full)
 
 
 def test_spectra(spark):
@@ -159,6 +185,29 @@ def test_bandpass_is_the_same_in_any_segments(spark, low, high, length):
     assert np.abs(np.concatenate([r.samples for r in cut]) - whole).max() < 1e-8 * np.abs(x).max()
 
 
+def test_filter_against_a_loop():
+    sections, x = spectral.butterworth_bandpass(0.5, 15.0, 40.0), np.random.default_rng(5).normal(size=(3, 700))
+    want = x.copy()
+    for b0, b1, b2, _, a1, a2 in sections:
+        for row in want:
+            s1 = s2 = 0.0
+            for k, v in enumerate(row.tolist()):
+                row[k] = b0 * v + s1
+                s1, s2 = b1 * v - a1 * row[k] + s2, b2 * v - a2 * row[k]
+    for block in (1, 7, 256, 1000):
+        assert np.allclose(spectral._filtered(x, sections, block), want)
+
+
+@pytest.mark.parametrize("block", [20, 100, 1 << 17])
+@pytest.mark.parametrize(("nfft", "hop"), [(64, 7), (64, 64), (16, 1)])
+def test_frames_in_any_blocks(spark, block, nfft, hop):
+    x = np.random.default_rng(7).normal(size=331)
+    df = trace(spark, x).unionByName(trace(spark, x[: nfft - 1], 2)).unionByName(trace(spark, x[:nfft], 3))
+    found = {(r.trace_id, r.win_idx): r.samples for r in spectral.frames(df, nfft, hop, block=block).collect()}
+    want = {(1, k): x[k * hop : k * hop + nfft] for k in range((331 - nfft) // hop + 1)} | {(3, 0): x[:nfft]}
+    assert found.keys() == want.keys() and all(np.array_equal(found[k], want[k]) for k in want)
+
+
 def test_bandpass_refuses_segments_without_halo(spark):
     with pytest.raises(Exception, match="need a halo"):
         spectral.bandpass(spectral.segments(trace(spark, np.zeros(20)), length=10), ["trace_id", "segment"], 2.0, 10.0, 40.0).collect()
