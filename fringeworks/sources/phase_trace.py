@@ -17,7 +17,7 @@ import fnmatch
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 #: The magic number above the low 16 bits, and its mask.
 MAGIC, MAGIC_MASK = 0x123456ABCDEF0000, 0xFFFFFFFFFFFF0000
@@ -75,11 +75,11 @@ class PhaseTraceReader(DataSourceReader):
             elif column == ("sample_idx",) and isinstance(f, LessThanOrEqual):
                 self.high = min(self.high, f.value + 1)
             elif column == ("trace_id",) and isinstance(f, EqualTo):
-                self.names = {f.value} & (self.names or {f.value})
+                self.names = {f.value} if self.names is None else self.names & {f.value}
             elif column == ("trace_id",) and isinstance(f, In):
-                self.names = set(f.value) & (self.names or set(f.value))
+                self.names = set(f.value) if self.names is None else self.names & set(f.value)
             else:
-                yield f
+                yield f  # those that are kept back are met by the ranges and names
 
     def partitions(self) -> list[Range]:
         files = [(p, n) for p, n in _files(self.path, self.glob) if self.names is None or name_of(p) in self.names]
@@ -120,29 +120,35 @@ class PhaseTraceReader(DataSourceReader):
                 begin += n
 
 
-class PhaseTraceWriter(DataSourceWriter):
-    """Rows (trace_id, header, sample_idx, word) that come sorted within a partition, each trace whole in one."""
+class PhaseTraceWriter(DataSourceArrowWriter):
+    """Rows (trace_id, header, sample_idx, word) that come sorted within a partition, each trace whole in one; written column by column."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
+        import numpy as np
         from pyarrow import fs
 
         system, root = _filesystem(self.path)
         system.create_dir(root, recursive=True)
         name, out, made = None, None, []
-        for row in rows:
-            if row["trace_id"] != name:
-                if out is not None:
-                    out.close()
-                name = row["trace_id"]
-                text = row["header"].encode()
-                words = 1 + -(-len(text) // 8)
-                made.append(f"{root}/{name}.bin")
-                out = system.open_output_stream(f"{root}/{name}.bin.part")
-                out.write((MAGIC | words).to_bytes(8, "little") + text.ljust(8 * words - 8, b"\0"))
-            out.write((row["word"] & (2**64 - 1)).to_bytes(8, "little"))
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            code = names.indices.to_numpy()
+            word = batch.column(3).to_numpy().astype("<i8")
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else []
+            for i, j in zip(starts, [*starts[1:], len(code)], strict=True):
+                if (new := names.dictionary[int(code[i])].as_py()) != name:
+                    if out is not None:
+                        out.close()
+                    name = new
+                    text = batch.column(1)[int(i)].as_py().encode()
+                    words = 1 + -(-len(text) // 8)
+                    made.append(f"{root}/{name}.bin")
+                    out = system.open_output_stream(f"{root}/{name}.bin.part")
+                    out.write((MAGIC | words).to_bytes(8, "little") + text.ljust(8 * words - 8, b"\0"))
+                out.write(word[i:j].tobytes())
         if out is not None:
             out.close()
         for path in made:  # a name without .part is a whole file

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fringeworks.functions.decode import WRAP
+from fringeworks.sources.captures import read_headers, read_ranges
+from fringeworks.sources.phase_trace import BLOCK
 
 
 def running_moments(stream: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
@@ -49,26 +51,6 @@ def unwrapped(stream: DataFrame) -> DataFrame:
     return stream.groupBy("trace_id").applyInPandasWithState(step, "trace_id long, sample_idx long, m_unwrapped long", "last long, turns long, following long", "append", GroupStateTimeout.NoTimeout)
 
 
-def capture_words(files: DataFrame) -> DataFrame:
-    """trace_id, sample_idx, word of rows of the binaryFile source (streaming or not)."""
-
-    def run(batches) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        from fringeworks.sources.phase_trace import header_words, name_of
-
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                head = header_words(content[:8])
-                if head is None:
-                    continue
-                word = np.frombuffer(content, "<i8", offset=8 * head, count=len(content) // 8 - head)
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(path)] * len(word)), pa.array(np.arange(len(word))), pa.array(word)], names=["trace_id", "sample_idx", "word"])
-
-    return files.select("path", "content").mapInArrow(run, "trace_id string, sample_idx long, word long")
-
-
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append") -> None:
     """Process what is there and stop: to ``each`` micro-batch, or appended to Parquet at ``path``."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -76,7 +58,17 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     query.awaitTermination()
 
 
-def captures(spark: SparkSession, folder: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame, int], None]) -> None:
-    """New capture files -> words -> ``transform`` -> ``each``; a restart goes on where the checkpoint says."""
+def captures(spark: SparkSession, folder: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None] | None = None, block: int = BLOCK) -> None:
+    """New capture files -> words -> ``transform`` -> ``each``; a restart goes on where the checkpoint says.
+
+    Only paths and lengths are streamed; a batch's files are read in ranges of ``block`` samples, so a capture may be of any length.
+    ``bad`` gets the batch's files that are no whole traces, with the reason.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.bin").load(folder)
-    run_available(files, checkpoint, lambda batch, k: each(transform(capture_words(batch)), k))
+
+    def batch(rows: DataFrame, k: int) -> None:
+        each(transform(read_ranges(rows, block)), k)
+        if bad is not None:
+            bad(read_headers(rows).where("error is not null"), k)
+
+    run_available(files.select("path", "length"), checkpoint, batch)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fringeworks.functions import decode
 from fringeworks.plans.queries import QUERIES
+from fringeworks.sources import captures
 from fringeworks.sources import catalog as catalogs
 from fringeworks.sources.phase_trace import register, write_traces
 from fringeworks.sources.sinks import append_bins, upsert_cells, write_bins
@@ -34,6 +35,38 @@ def test_files_read_back(spark, folder, block):
     assert "PushedFilters" in part._jdf.queryExecution().toString() or part.count() == 50
 
 
+def test_names_that_exclude_each_other(spark, folder):
+    found = spark.read.format("phase_trace").load(str(folder[0]))
+    assert found.where("trace_id = 't0' and trace_id = 't1'").count() == 0
+    assert found.where("trace_id = 't0' and trace_id in ('t1', 't2') and trace_id = 't1'").count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 100, 1 << 22])
+def test_ranges_of_windows(spark, folder, block):
+    path, words = folder
+    (path / "bad.bin").write_bytes(b"not a trace at all")
+    (path / "short.bin").write_bytes(b"abc")
+    files = captures.list_captures(spark, str(path), ["t*.bin", "*.bin"])
+    assert files.count() == 4
+    whole = captures.read_ranges(files, block)
+    assert {(r.trace_id, r.sample_idx): r.word for r in whole.collect()} == words
+    bounds = spark.createDataFrame([("t0", 0, 9), ("t1", 450, 9999), ("bad", 0, 5)], "trace_id string, start_idx long, end_idx long")
+    name = F.regexp_extract("path", "([^/]+)[.]bin$", 1)
+    part = captures.read_ranges(files.withColumn("trace_id", name).join(bounds, "trace_id"), block)
+    assert {(r.trace_id, r.sample_idx): r.word for r in part.collect()} == {k: w for k, w in words.items() if (k[1] < 9 if k[0] == "t0" else k[1] >= 450)}
+    assert {r.trace_id: r.error for r in captures.read_headers(files).collect()} == {"t0": None, "t1": None, "bad": "not a trace", "short": "not a trace"}
+
+
+def test_captures_by_glob_and_date(spark, tmp_path):
+    for name in ("2024-01-19T00:34:36_s1_q8_a", "2024-01-20T00:00:00_s1_q8_a", "2024-02-01T00:00:00_s1_q8_b", "undated"):
+        rows = spark.createDataFrame([(name, HEADER, k, k) for k in range(8)], "trace_id string, header string, sample_idx long, word long")
+        write_traces(rows, str(tmp_path))
+    listed = lambda *a: sorted(r.path.rsplit("/", 1)[1][:10] for r in captures.list_captures(spark, *a).collect())
+    assert listed(str(tmp_path), ["*_a.bin", "*_b.bin"]) == ["2024-01-19", "2024-01-20", "2024-02-01"]
+    assert listed(str(tmp_path), "*.bin", "2024-01-20", "2024-02-01") == ["2024-01-20"]
+    assert len(listed(str(tmp_path))) == 4
+
+
 def test_headers(spark, folder):
     path, _ = folder
     (path / "bad.bin").write_bytes(b"not a trace at all")
@@ -78,10 +111,12 @@ def test_sinks(spark, tmp_path):
 
 def test_captures_arrive(spark, folder, tmp_path):
     path, words = folder
-    made = []
+    (path / "bad.bin").write_bytes(b"no trace")
+    made, put_aside = [], []
     count = lambda w: decode.decode(w).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("s"))
     for _ in range(2):  # the second start finds nothing new
-        stream.captures(spark, str(path), f"{tmp_path}/ck-captures", count, lambda b, k: made.extend(b.collect()))
+        stream.captures(spark, str(path), f"{tmp_path}/ck-captures", count, lambda b, k: made.extend(b.collect()), lambda b, k: put_aside.extend(b.collect()), block=64)
+    assert [(r.trace_id, r.error) for r in put_aside] == [("bad", "not a trace")]
     assert sorted((r.trace_id, r.n) for r in made) == [("t0", 500), ("t1", 500)]
     assert os.path.isdir(f"{tmp_path}/ck-captures") and len(words) == 1000
 
