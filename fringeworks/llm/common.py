@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +36,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: list[list[str]] = []  # for each open ``temporaries``, what was written in it
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those written by the function that this gives."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        path = _MADE[-1].pop()
+        if len(_MADE) > 1:  # a step's result goes when what it is a step of has ended
+            _MADE[-2].append(path)
+        return out
+
+    _MADE.append([])
+    try:
+        yield kept
+    finally:
+        for path in _MADE.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def refuse_own(docs: DataFrame) -> DataFrame:
     if own := [c for c in docs.columns if c.lower().startswith(OWN)]:
         raise ValueError(f"columns that start with {OWN} are reserved: {own}")
@@ -56,7 +83,7 @@ def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     """
     refuse_own(docs)
     rows = docs.select(*columns) if columns else docs
-    return written(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered", "lz4")
+    return written(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def buckets_for(docs: DataFrame, share: float = 1.0) -> int:

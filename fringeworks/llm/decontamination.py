@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import ROW, numbered, refuse_own, written
+from fringeworks.llm.common import ROW, numbered, refuse_own, temporaries, written
 
 #: Words of a window, terms of a vocabulary that is broadcast, probes that are broadcast.
 WINDOW, MOST_TERMS, MOST_PROBES = 10, 4_000_000, 1_000_000
@@ -189,7 +189,8 @@ def proximity_matches(index: Index, items: DataFrame, slop: int = 5, share: floa
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document."""
-    return _contamination(refuse_own(docs), benchmark, window)
+    with temporaries(docs.sparkSession) as kept:
+        return kept(_contamination(refuse_own(docs), benchmark, window), "contamination")
 
 
 def _contamination(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
@@ -211,5 +212,6 @@ def _contamination(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFr
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents in which a window of a benchmark item occurs; columns as given."""
     rows = numbered(docs)
-    hit = written(_contamination(rows, benchmark, window).where("contaminated").select(F.col("row").alias(ROW)), "contaminated")
+    with temporaries(docs.sparkSession) as kept:
+        hit = kept(_contamination(rows, benchmark, window).where("contaminated").select(F.col("row").alias(ROW)), "contaminated")
     return rows.join(hit, ROW, "left_anti").drop(ROW)

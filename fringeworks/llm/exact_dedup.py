@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import ROW, numbered, refuse_own, text_or_empty, written
+from fringeworks.llm.common import ROW, numbered, refuse_own, temporaries, text_or_empty, written
 
 #: A digest is frequent above this share of the rows; 1 / SUPPORT bounds what is broadcast.
 SUPPORT = 0.001
@@ -52,5 +52,6 @@ def _decided(rows: DataFrame, support: float) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns as given."""
     rows = numbered(docs)
-    dropped = written(_decided(rows, support).where(~F.col("kept")).select(ROW), "copies")
+    with temporaries(docs.sparkSession) as kept:
+        dropped = kept(_decided(rows, support).where(~F.col("kept")).select(ROW), "copies")
     return rows.join(dropped, ROW, "left_anti").drop(ROW)

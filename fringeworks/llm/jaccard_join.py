@@ -38,12 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import ROW, buckets_for, numbered, written
+from fringeworks.llm.common import ROW, buckets_for, numbered, temporaries, written
 from fringeworks.llm.components import components
 from fringeworks.llm.words import NOT_BLANK, mixed, numbered_words, slices
 
 #: Documents and postings of a block; classes of a shard that one task searches; classes whose rows are broadcast.
-BLOCK_DOCS, BLOCK_POSTINGS, MOST, MOST_SENT = 8192, 1_000_000, 4000, 2_000_000
+BLOCK_DOCS, BLOCK_POSTINGS, MOST, MOST_SENT = 8192, 1_000_000, 2000, 2_000_000
 _ROW = "bucket int, block long, kind int, a binary, b binary, c binary"
 
 
@@ -219,11 +219,12 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, parts: list[int] | N
         lists = [x[(x >= small) & (x < q)] for x in lists]
         while lists := [y for x in lists if len(y := x[part[x] != part[q]])]:
             for c, n in _merged(lists):
-                if n < t - n_long:
+                both = -(-num * (s + sizes[c]) // (num + den))  # what the two must share, never under t
+                if n < both - n_long:
                     continue
                 place = np.searchsorted(entry, long + c)
                 n += int((entry[np.minimum(place, len(entry) - 1)] == long + c).sum())
-                if den * n >= num * (s + sizes[c] - n):
+                if n >= both:
                     links.append((order[q], order[c]))
                     part[part == part[c]] = part[q]
                     left -= 1
@@ -336,7 +337,8 @@ def _searched(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int
 
 def similar_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, most: int = MOST) -> DataFrame:
     """row, doc_id, n_shingles, component_id (smallest doc_id that links reach), first (whether this row is the one that stays)."""
-    return _groups(numbered(docs, "doc_id", "text"), words, num, den, most)
+    with temporaries(docs.sparkSession) as kept:
+        return kept(_groups(numbered(docs, "doc_id", "text"), words, num, den, most), "groups")
 
 
 def _groups(docs: DataFrame, words: int, num: int, den: int, most: int) -> DataFrame:
@@ -356,5 +358,6 @@ def _groups(docs: DataFrame, words: int, num: int, den: int, most: int) -> DataF
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id; columns as given."""
     rows = numbered(docs)
-    dropped = written(_groups(rows, words, num, den, MOST).where(~F.col("first")).select(F.col("row").alias(ROW)), "near")
+    with temporaries(docs.sparkSession) as kept:
+        dropped = kept(_groups(rows, words, num, den, MOST).where(~F.col("first")).select(F.col("row").alias(ROW)), "near")
     return rows.join(dropped, ROW, "left_anti").drop(ROW)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import ROW, numbered, written
+from fringeworks.llm.common import ROW, numbered, temporaries, written
 
 #: Labels whose counts are broadcast.
 MOST_LABELS = 10_000
@@ -204,6 +204,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose language is unknown or less likely than ``least``; columns as given."""
     rows = numbered(docs)
-    net = train(sample(rows, ~held_out()))
+    with temporaries(docs.sparkSession):
+        net = train(sample(rows, ~held_out()))
     unknown = written(predict(rows, net, ROW).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(ROW), "unknown")
     return rows.join(unknown, ROW, "left_anti").drop(ROW)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import written
+from fringeworks.llm.common import temporaries, written
 
 MOST_LABELS, LEAST_QUALITY = 20_000, 0.5
 #: Byte classes: upper, lower, digits, blanks, line feeds, not ASCII, and each ASCII mark.
@@ -141,7 +141,8 @@ def posteriors(evidence: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", least: float = LEAST_QUALITY) -> DataFrame:
     """doc_id, host, path, p, host_posterior, path_posterior, quality, keep: one row per document."""
-    evidence = written(document_evidence(docs, labels, label), "evidence")
+    with temporaries(docs.sparkSession) as kept:
+        evidence = kept(document_evidence(docs, labels, label), "evidence")
     return combined(evidence, least).select("doc_id", "host", "path", "p", "host_posterior", "path_posterior", "quality", "keep")
 
 

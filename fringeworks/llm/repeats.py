@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import BUCKET_TEXT, ROW, buckets_for, numbered, written
+from fringeworks.llm.common import BUCKET_TEXT, ROW, buckets_for, numbered, temporaries, written
 from fringeworks.llm.words import _POWERS, _VALUES, mixed, numbers, slices
 
 #: Bytes of a repeat and of a minimizer's string; blocks of one minimizer that a task sorts; bytes of a table that is broadcast.
@@ -442,13 +442,14 @@ def _spans(docs: DataFrame, least: int, gram: int, hot: int) -> DataFrame:
         raise ValueError("removal compares prefixes of up to 192 bytes: least may be 124")
     covered, suffixes = _suffixes(docs, least, gram, hot)
     compared = suffixes.groupBy("bucket").applyInArrow(_compare(least), "part long, kind int, data binary")
-    return written(covered.unionByName(compared).groupBy("part").applyInArrow(_row_spans, f"{ROW} long, begins array<long>, lengths array<long>"), "spans")
+    return covered.unionByName(compared).groupBy("part").applyInArrow(_row_spans, f"{ROW} long, begins array<long>, lengths array<long>")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay): one row per document."""
     docs = numbered(docs, "doc_id", "text")
-    spans = _spans(docs, least, gram, hot)
+    with temporaries(docs.sparkSession) as kept:
+        spans = kept(_spans(docs, least, gram, hot), "spans")
     texts = docs.select(ROW, "doc_id", "text").join(_fitting(spans, F.size("begins") * 16 + 32), ROW, "left").select("doc_id", "text", "begins", "lengths")
 
     def run(batches) -> Iterator:

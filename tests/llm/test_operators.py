@@ -177,6 +177,18 @@ def test_words_of_equal_structure(spark):
     assert {r.doc_id for r in decontamination.contamination(docs, items).collect() if r.contaminated} == {0, 2, 4, 6}
 
 
+def test_tables_between_steps_go(spark, docs):
+    import os
+
+    from fringeworks.llm import common, exact_dedup, jaccard_join, repeats
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    outs = [exact_dedup.drop_exact_copies(docs), jaccard_join.drop_near_copies(docs), jaccard_join.similar_groups(docs), repeats.remove_repeats(docs)]
+    left = sorted(x.split("-")[0] for x in set(os.listdir(folder)) - before)
+    assert left == ["copies", "groups", "near", "numbered", "numbered", "numbered", "spans"] and all(o.count() for o in outs)
+
+
 @pytest.mark.parametrize("operator", ["exact", "near", "benchmark", "language", "repeats"])
 def test_rows_are_numbered_once(spark, operator):
     """A wide column and a shuffle before the operator: its passes plan the input differently."""
