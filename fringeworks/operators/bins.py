@@ -120,3 +120,11 @@ def diurnal_profile(spectrum: DataFrame, freq_idx: int, ts: str = "bin_start", d
 def nth_from_end(df: DataFrame, n: int, keys: list[str], ts: str = "bin_start") -> DataFrame:
     """The n-th last row by time for each key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))).where(F.col("_r") == n).drop("_r")
+
+
+def collated(spark: SparkSession, path: str, freqs: list[int]) -> DataFrame:
+    """bin_start, freq_idx, position (1 for the first by time), value, low, high (linear) of a stored table of bin spectra, ordered by frequency and time."""
+    rows = spark.read.parquet(path).where(F.col("freq_idx").isin(freqs))
+    m, s = F.col("mean_db"), F.col("std_db")
+    position = F.row_number().over(Window.partitionBy("freq_idx").orderBy("bin_start"))
+    return rows.select("bin_start", "freq_idx", position.alias("position"), from_db(m).alias("value"), from_db(m - s).alias("low"), from_db(m + s).alias("high")).orderBy("freq_idx", "bin_start")

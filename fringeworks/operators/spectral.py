@@ -21,6 +21,12 @@ def nearest_power_of_two(x: float) -> int:
     return low if x - low <= 2 * low - x else 2 * low
 
 
+def power_of_two_near(x):
+    """``nearest_power_of_two`` of a column."""
+    low = F.pow(F.lit(2.0), F.floor(F.log2(x)))
+    return F.when(x - low <= 2 * low - x, low).otherwise(2 * low).cast("long")
+
+
 def frames(df: DataFrame, nfft: int, hop: int, key: str = "trace_id", value: str = "x", block: int = 1 << 17) -> DataFrame:
     """key, win_idx, samples (array in order): the whole windows of ``nfft`` samples, ``hop`` apart."""
     from fringeworks.operators.stats import haloed

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeworks.functions import decode, times
+from fringeworks.functions import decode, hooks, times
 from fringeworks.operators import bins, events, resample, spectral, stats, sweep, unwrap
 from fringeworks.plans import fixtures as fx
 from fringeworks.sources import catalog as catalogs
@@ -15,8 +15,8 @@ from fringeworks.sources import catalog as catalogs
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SECOND = times.SECOND
-#: Parameters of the queries: samples dropped, block of the unwrap, tolerance of a single mode, rate of signals, frames' rate and band.
-DROP, BLOCK, TOLERANCE, FS, F1, F2, NFFT = 100, 64, 4000, 40.0, 1.5, 50.0, 64
+#: Parameters of the queries: samples dropped, tolerance of a single mode, rate of signals, frames' rate and band, rate of words.
+DROP, TOLERANCE, FS, F1, F2, NFFT, WORD_FS = 100, 4000, 40.0, 1.5, 50.0, 64, 2000.0
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -47,7 +47,7 @@ def _iqm(spark, d):
 
 def _samples(spark, d):
     """trace_id, sample_idx, cycles, radius of the unwrapped words."""
-    rows = unwrap.unwrap(_iqm(spark, d), BLOCK)
+    rows = unwrap.unwrap(_iqm(spark, d))
     return rows.select("trace_id", "sample_idx", decode.cycles(turns="m_unwrapped").alias("cycles"), decode.radius().alias("radius"))
 
 
@@ -61,15 +61,29 @@ def decode_iqm(spark, d):
 
 @query(_DECODED + "select trace_id, sample_idx, cast(case when step > 0 then 1 else -1 end as smallint) as delta from s where abs(step) > 61440")
 def rollovers(spark, d):
-    return unwrap.rollovers(_iqm(spark, d), BLOCK)
+    return unwrap.rollovers(_iqm(spark, d))
 
 
 @query(_DECODED + "select trace_id, sample_idx, m_true, mu as m_unwrapped, mu as m_from_rollovers from u", "unwrap")
 def unwrap_turns(spark, d):
+    """By the wraps themselves, and from a stored table of them."""
+    found = unwrap.unwrap(_iqm(spark, d)).select("trace_id", "sample_idx", "m_true", "m", "m_unwrapped")
+    stored = unwrap.apply_rollovers(found.withColumnRenamed("m_unwrapped", "_by_wraps"), unwrap.rollovers(_iqm(spark, d)))
+    return stored.select("trace_id", "sample_idx", "m_true", F.col("_by_wraps").alias("m_unwrapped"), F.col("m_unwrapped").alias("m_from_rollovers"))
+
+
+@query(_DECODED + """, c as (select trace_id, count(*) as n from u group by trace_id), v as (select u.*, sum(case when step > 61440 then 1 when step < -61440 then -1 else 0 end) over (partition by u.trace_id order by sample_idx) as turns from u),
+w0 as (select v.*, n // 3 as a, 2 * n // 3 as b from v join c using (trace_id)), base as (select trace_id, max(case when sample_idx = a - 1 then turns else -1000000 end) as before from w0 group by trace_id)
+select trace_id, sample_idx, mu as by_trace, cast(mu + 65536 * before as bigint) as by_window from w0 join base using (trace_id) where sample_idx >= a and sample_idx < b""")
+def unwrap_window(spark, d):
+    """The middle third of each trace, its turns counted from the trace's first sample and from the window's, by stored wraps."""
     iqm = _iqm(spark, d)
-    found = unwrap.unwrap(iqm, BLOCK).select("trace_id", "sample_idx", "m_true", "m_unwrapped")
-    stored = unwrap.apply_rollovers(iqm, unwrap.rollovers(iqm, BLOCK), BLOCK).select("trace_id", "sample_idx", F.col("m_unwrapped").alias("m_from_rollovers"))
-    return found.join(stored, ["trace_id", "sample_idx"])
+    bounds = iqm.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).select("trace_id", F.expr("n div 3").alias("start_idx"), F.expr("2 * n div 3").alias("end_idx"))
+    wraps = unwrap.rollovers(iqm)
+    part = times.in_window(iqm.select("trace_id", "sample_idx", "m"), bounds)
+    by_trace = unwrap.apply_rollovers(part, wraps, bounds=bounds).withColumnRenamed("m_unwrapped", "by_trace")
+    both = unwrap.apply_rollovers(by_trace, wraps, anchor="window", bounds=bounds)
+    return both.select("trace_id", "sample_idx", "by_trace", F.col("m_unwrapped").alias("by_window"))
 
 
 @query(_DECODED + f"select trace_id, sample_idx, sample_idx / {FS} as t_s, round(cycles, 6) as cycles from p")
@@ -82,9 +96,11 @@ def radius(spark, d):
     return _iqm(spark, d).select("trace_id", "sample_idx", F.round(decode.radius(), 2).alias("radius"))
 
 
-@query(_DECODED + "select trace_id, sample_idx, m - lag(m) over (partition by trace_id order by sample_idx) as step from d qualify abs(step) > 32768 and abs(step) <= 61440")
+@query(_DECODED + ", t as (select trace_id, sample_idx // 12 as sample_idx, m from d where sample_idx % 12 = 0) select trace_id, sample_idx, m - lag(m) over (partition by trace_id order by sample_idx) as step from t qualify abs(step) > 32768 and abs(step) <= 61440")
 def suspicious_steps(spark, d):
-    return unwrap.suspicious(_iqm(spark, d), BLOCK)
+    """Every twelfth word: the counter goes 36000 up or 29536 down, both under the threshold of a wrap."""
+    thin = _iqm(spark, d).where("sample_idx % 12 = 0").withColumn("sample_idx", F.expr("sample_idx div 12"))
+    return unwrap.suspicious(thin)
 
 
 # --- statistics
@@ -148,15 +164,16 @@ select trace_id, sample_idx, round(rms, 6) as rms from r where sample_idx >= 16
 
 @query(_MOVING)
 def sliding_rms(spark, d):
-    return stats.sliding_rms(fx.signal(spark, d), block=BLOCK).withColumn("rms", F.round("rms", 6))
+    return stats.sliding_rms(fx.signal(spark, d)).withColumn("rms", F.round("rms", 6))
 
 
 # --- along a trace
 
 
-@query(_DECODED + f", v as (select trace_id, sample_idx, round((lead(cycles) over (partition by trace_id order by sample_idx) - cycles) * {FS} * 1550e-9, 6) as metres_per_s from p) select * from v where metres_per_s is not null and sample_idx >= 0")
+@query(_DECODED + f", v as (select trace_id, sample_idx, round((lead(cycles) over (partition by trace_id order by sample_idx) - cycles) * {WORD_FS} * 1550e-9, 6) as metres_per_s from p) select * from v where metres_per_s is not null and sample_idx >= 5")
 def velocity(spark, d):
-    found = resample.difference(resample.settled(_samples(spark, d), FS), value="cycles", block=BLOCK, scale=FS)
+    """Without the samples of the first 3 ms at 2 kHz."""
+    found = resample.difference(resample.settled(_samples(spark, d), WORD_FS), value="cycles", scale=WORD_FS)
     return found.select("trace_id", "sample_idx", F.round(decode.metres(F.col("diff")), 6).alias("metres_per_s"))
 
 
@@ -238,15 +255,80 @@ def fft_amplitude(spark, d):
     return spectral.fft_amplitude(fx.vectors(spark, d), ["vec_id"], 128.0, 3.0, 50.0).select("vec_id", "freq_idx", "freq_hz", F.round("value", 7).alias("value"))
 
 
-@query()
+_LONG_WINDOWS = _SIGNAL + """, c as (select trace_id, count(*) as c, avg(x) as mean from g group by trace_id having count(*) >= 64), w as (select trace_id, mean, unnest(range(0, (c - 64) // 7 + 1)) as win_idx from c), k as (select unnest(range(1, 33)) as k)"""
+
+
+@query(_LONG_WINDOWS + """, z as (select w.trace_id, w.win_idx, k, sum((g.x - w.mean) * h * cos(2 * pi() * k * n / 64.0)) as re, sum((g.x - w.mean) * h * sin(2 * pi() * k * n / 64.0)) as im
+  from (select *, unnest(range(0, 64)) as n from w) w join g on g.trace_id = w.trace_id and g.sample_idx = w.win_idx * 7 + n, (select unnest(range(0, 64)) as t, 0.5 - 0.5 * cos(2 * pi() * t / 63.0) as h) t, k where t.t = n group by w.trace_id, w.win_idx, k),
+s as (select sum(pow(0.5 - 0.5 * cos(2 * pi() * t / 63.0), 2)) as s from (select unnest(range(0, 64)) as t) x)
+select trace_id, win_idx, cast(k - 1 as int) as freq_idx, k * 40.0 / 64 as freq_hz, round(sqrt((re * re + im * im) / 40.0 / s * case when k = 32 then 1 else 2 end), 6) as value from z, s""")
 def specgram(spark, d):
-    return spectral.full_spectrogram(fx.signal(spark, d), FS, 1.6)
+    return spectral.full_spectrogram(fx.signal(spark, d), FS, 1.6).withColumn("value", F.round("value", 6))
 
 
-@query()
+def _bandpass_sql(low: float, high: float) -> str:
+    """The same sections as a recursion over samples: forwards from rest, then the result backwards."""
+    sections = [list(map(float, s)) for s in spectral.butterworth_bandpass(low, high, FS)]
+
+    def step(v: str, states: str) -> tuple[str, list[str]]:
+        """The chain of sections of one sample as nested selects: (value, states) of each, the last first."""
+        sql, columns = f"select trace_id, k, n, {v} as v0, {states}", ["v0"]
+        for j, (b0, b1, b2, _, a1, a2) in enumerate(sections):
+            sql = f"select *, {b1!r} * v{j} - {a1!r} * v{j + 1} + q{j} as np{j}, {b2!r} * v{j} - {a2!r} * v{j + 1} as nq{j} from (select *, {b0!r} * v{j} + p{j} as v{j + 1} from ({sql}) y{j}) z{j}"
+        return sql, columns
+
+    number = len(sections)
+    old = ", ".join(f"r.np{j} as p{j}, r.nq{j} as q{j}" for j in range(number))
+    rest = ", ".join(f"0.0::double as p{j}, 0.0::double as q{j}" for j in range(number))
+    kept = f"trace_id, k, n, v{number} as y, " + ", ".join(f"np{j}, nq{j}" for j in range(number))
+    parts = []
+    for name, source in (("f", "g2"), ("b", "turned")):
+        first = step("x", rest)[0].replace("select trace_id, k, n, x as v0", f"select trace_id, k, n, x as v0", 1) + ""
+        begin = first.replace(f", {rest}", f", {rest} from {source} where k = 0", 1)
+        following = step("s.x", old)[0].replace("select trace_id, k, n, s.x as v0", "select s.trace_id, s.k, s.n, s.x as v0", 1).replace(old, f"{old} from {name} r join {source} s on s.trace_id = r.trace_id and s.k = r.k + 1", 1)
+        parts.append(f"{name} as (select {kept} from ({begin}) begun union all select {kept} from ({following}) went)")
+    return "with recursive " + _SIGNAL.removeprefix("with ") + f", g2 as (select trace_id, sample_idx as k, count(*) over (partition by trace_id) as n, x from g), {parts[0]}, turned as (select trace_id, n - 1 - k as k, n, y as x from f), {parts[1]} select trace_id, n - 1 - k as sample_idx, round(y, 6) as x from b"
+
+
+_BAND = (0.5, 15.0)
+
+
+@query(_bandpass_sql(*_BAND))
 def bandpass(spark, d):
-    low, high = 0.5, 15.0
-    return spectral.bandpass(spectral.segments(fx.signal(spark, d), halo=spectral.settling(low, high, FS)), ["trace_id", "segment"], low, high, FS)
+    rows = spectral.segments(fx.signal(spark, d), length=128, halo=spectral.settling(*_BAND, FS))
+    found = spectral.bandpass(rows, ["trace_id", "segment"], *_BAND, FS).select("trace_id", "segment", F.posexplode("samples").alias("k", "x"))
+    return found.select("trace_id", (F.col("segment") * 128 + F.col("k")).alias("sample_idx"), F.round("x", 6).alias("x"))
+
+
+@query(_DECODED + """, q as (select trace_id, sample_idx, count(*) over (partition by trace_id) as n, 2 * pi() * (cycles - avg(cycles) over (partition by trace_id)) as x from p),
+z as (select trace_id, n, k, sum(x * cos(2 * pi() * ((k * sample_idx) % n) / n)) as re, sum(x * sin(2 * pi() * ((k * sample_idx) % n) / n)) as im from (select *, unnest(range(0, n // 2 + 1)) as k from q) y group by trace_id, n, k)
+select trace_id, cast(k as int) as freq_idx, round(k * 2000.0 / n, 6) as freq_hz, round(log10(greatest((re * re + im * im) / (2000.0 * n) * case when k = 0 or 2 * k = n then 1 else 2 end, 1e-12)), 4) as log_value from z where k > 0""")
+def phase_periodogram(spark, d):
+    """The density of a trace's phase in radians, of which the ramp of its turns is part."""
+    samples = _samples(spark, d).select("trace_id", "sample_idx", (2 * F.pi() * F.col("cycles")).alias("x"))
+    made = spectral.periodogram(spectral.segments(samples), ["trace_id"], WORD_FS).where("freq_idx > 0")
+    return made.select("trace_id", "freq_idx", F.round("freq_hz", 6).alias("freq_hz"), F.round(F.log10(F.greatest("value", F.lit(1e-12))), 4).alias("log_value"))
+
+
+@query(_BLOCKS + ", m as (select vec_id, n, x - first(x order by n) over (partition by vec_id order by n) as x from f)" + _DFT.replace("range(0, 33)", "range(0, 64)").replace("128.0", "128").format(x="x").replace("k * n / 64.0", f"({F1} + k * {F2 - F1} / {NFFT}) * n / 128.0") + f"select vec_id, cast(k as int) as freq_idx, round((re * re + im * im) / 128.0 / 64 * case when k in (0, 63) then 1 else 2 end, 9) as value from z")
+def zoom_callables(spark, d):
+    """Detrending and taper given as functions: less the first sample, and none."""
+    made = spectral.zoom_spectrogram(fx.vectors(spark, d), ["vec_id"], F1, F2, 128.0, NFFT, detrend=lambda x: x - x[:, :1], window=lambda n: [1.0] * n)
+    return made.select("vec_id", "freq_idx", F.round("value", 9).alias("value"))
+
+
+@query(_DECODED + "select trace_id, count(*) as n, round(max(cycles) - min(cycles), 4) as span, max(sample_idx) as last_idx from p group by trace_id")
+def trace_hook(spark, d):
+    """A function of the user's on each trace."""
+
+    def about(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        x = table.column("cycles")
+        return pa.table({"trace_id": table.column("trace_id")[:1], "n": pa.array([table.num_rows], pa.int64()), "span": pa.array([pc.max(x).as_py() - pc.min(x).as_py()]), "last_idx": pa.array([pc.max(table.column("sample_idx")).as_py()], pa.int64())})
+
+    return hooks.analyse(_samples(spark, d), about, "trace_id long, n long, span double, last_idx long").withColumn("span", F.round("span", 4))
 
 
 # --- events
@@ -257,17 +339,17 @@ _STA = _SIGNAL + ", r as (select trace_id, sample_idx, case when sample_idx < 49
 
 @query(_STA + " select trace_id, sample_idx, round(ratio, 6) as ratio from r")
 def sta_lta(spark, d):
-    return events.sta_lta(fx.signal(spark, d), 5, 50, block=BLOCK).withColumn("ratio", F.round("ratio", 6))
+    return events.sta_lta(fx.signal(spark, d), 5, 50).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(_SIGNAL + ", s as (select trace_id, sample_idx, sum(x * x) over (partition by trace_id order by sample_idx rows between 69 preceding and current row) as s from g) select trace_id, sample_idx, round((s - avg(s) over (partition by trace_id)) / nullif(stddev_pop(s) over (partition by trace_id), 0), 6) as z from s")
 def z_detect(spark, d):
-    return events.z_detect(fx.signal(spark, d), 70, block=BLOCK).withColumn("z", F.round("z", 6))
+    return events.z_detect(fx.signal(spark, d), 70).withColumn("z", F.round("z", 6))
 
 
 @query(_STA + ", h as (select *, sample_idx - row_number() over (partition by trace_id order by sample_idx) as island from r where ratio >= 0.8) select trace_id, min(sample_idx) filter (ratio > 1.5) as onset, max(sample_idx) as \"end\" from h group by trace_id, island having count(*) filter (ratio > 1.5) > 0")
 def trigger_onset(spark, d):
-    return events.triggers(events.sta_lta(fx.signal(spark, d), 5, 50, block=BLOCK), 1.5, 0.8, block=BLOCK)
+    return events.triggers(events.sta_lta(fx.signal(spark, d), 5, 50), 1.5, 0.8)
 
 
 @query(_SPANS + """, p as (select *, case when b > lag(f) over w + 600 then 1 else 0 end as fresh from e window w as (partition by user_id, event_type order by b, f)),
@@ -365,6 +447,25 @@ def spectrum_at(spark, d):
     return bins.nth_from_end(fx.spectrum(spark, d), 39, ["freq_idx"]).select("bin_start", "freq_idx", F.round("mean_db", 9).alias("mean_db"))
 
 
+@query(_SPECTRUM + """, o as (select *, row_number() over (partition by freq_idx order by bin_start) as position from s)
+select bin_start, freq_idx, position, round(pow(10, m / 20), 6) as value from o where freq_idx in (2, 5)""")
+def stored_profile(spark, d):
+    """A collated store written and read back, two frequencies in the order of time."""
+    from fringeworks.sources.sinks import write_bins
+
+    path = work_path(spark, "store")
+    write_bins(fx.spectrum(spark, d).withColumn("bin_start_ns", times.epoch_ns(F.col("bin_start"))), path)
+    found = bins.collated(spark, path, [2, 5])
+    return found.select("bin_start", "freq_idx", F.col("position").cast("long").alias("position"), F.round("value", 6).alias("value"))
+
+
+@query(_HEADERS + " , x as (select trace_id, 0.0001 * 1e7 / (1 + k) * (1 + trace_id % 5) as x from h), y as (select *, pow(2, floor(log2(x))) as low from x) select trace_id, cast(case when x - low <= 2 * low - x then low else 2 * low end as bigint) as nfft from y")
+def window_lengths(spark, d):
+    """The power of two nearest to a window of 0.1 to 0.5 ms of each capture."""
+    rows = catalogs.catalog(fx.headers(spark, d))
+    return rows.select("trace_id", spectral.power_of_two_near(F.col("fs") * 0.0001 * (1 + F.col("trace_id") % 5)).alias("nfft"))
+
+
 @query("select event_id, ts + interval '8 hours' as local, ts as utc, cast(hour(ts + interval '8 hours') * 3600 + minute(ts) * 60 + second(ts) as int) as second_of_day from events")
 def local_time(spark, d):
     local = times.local_time(F.col("ts"), "Asia/Singapore")
@@ -449,12 +550,30 @@ def _trace_files(spark, d) -> str:
     return path
 
 
-@query(_DECODED + "select cast(trace_id as varchar) as trace_id, count(*) as n, cast(sum(i) as bigint) as sum_i, cast(sum(q) as bigint) as sum_q from d where sample_idx >= 10 and sample_idx < 200 group by trace_id")
+_SUMS = "count(*) as n, cast(sum(i) as bigint) as sum_i, cast(sum(q) as bigint) as sum_q, cast(sum(m) as bigint) as sum_m"
+
+
+@query(_DECODED + f"select cast(trace_id as varchar) as trace_id, {_SUMS}, cast(sum(case when sample_idx >= 10 and sample_idx < 200 then i end) as bigint) as part_i, count(*) filter (sample_idx >= 10 and sample_idx < 200) as part_n from d group by trace_id")
 def src_words(spark, d):
-    """Captures written to files and read back for a range of samples, which is pushed into the scan."""
+    """Captures written to files and read back: whole, and for a range of samples that is pushed into the scan."""
     path = _trace_files(spark, d)
-    words = spark.read.format("phase_trace").option("block", 128).load(path).where("sample_idx >= 10 and sample_idx < 200")
-    return decode.decode(words).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("sum_i"), F.sum("q").alias("sum_q"))
+    words = spark.read.format("phase_trace").option("block", 1 << 14).load(path)
+    whole = decode.decode(words).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in "iqm"])
+    words = spark.read.format("phase_trace").option("block", 1 << 14).option("pushdown", "true").load(path)
+    part = decode.decode(words.where("sample_idx >= 10 and sample_idx < 200")).groupBy("trace_id").agg(F.sum("i").alias("part_i"), F.count(F.lit(1)).alias("part_n"))
+    return whole.join(part, "trace_id")
+
+
+@query(_DECODED + f", e as (select d.*, count(*) over (partition by trace_id) as c from d) select cast(trace_id as varchar) as trace_id, {_SUMS} from e where sample_idx >= c // 4 and sample_idx < c // 2 and cast(trace_id as varchar)[1] in ('1', '2', '7') group by trace_id")
+def src_windows(spark, d):
+    """The second quarter of the traces that two globs name: windows of a catalog go to the files as ranges."""
+    from fringeworks.sources import captures
+
+    files = captures.list_captures(spark, _trace_files(spark, d), ["[12]*.bin", "7*.bin"])
+    about = captures.read_headers(files).select("trace_id", F.expr("n_samples div 4").alias("start_idx"), F.expr("n_samples div 2").alias("end_idx"))
+    named = files.withColumn("trace_id", F.regexp_extract("path", "([^/]+)[.]bin$", 1)).join(about, "trace_id")
+    words = captures.read_ranges(named, 100)
+    return decode.decode(words).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in "iqm"])
 
 
 @query(_DECODED + "select cast(trace_id as varchar) as trace_id, cast(40000 as double) as fs, count(*) as n_samples, true as ok from d group by trace_id")
@@ -499,7 +618,7 @@ def stream_captures(spark, d):
     return spark.read.parquet(out).select("trace_id", "n", *[F.round(c, 3).alias(c) for c in ("mean", "std_dev", "min")])
 
 
-@query()
+@query("select time_bucket(interval '15 minutes', ts) as bin_start, count(*) as n, round(avg(value), 6) as mean from events group by 1")
 def stream_bins(spark, d):
     """All bins of all events: files arrive in any order, so the last update of a bin stands."""
     from fringeworks.streaming import stream
@@ -509,7 +628,7 @@ def stream_bins(spark, d):
     source = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(chunks)
     stream.run_available(stream.binned(source, "ts"), work_path(spark, "checkpoint"), lambda b, k: b.withColumn("batch", F.lit(k)).write.mode("append").parquet(out), mode="update")
     latest = spark.read.parquet(out).groupBy("bin_start").agg(F.max_by(F.struct("n", "mean"), "batch").alias("s"))
-    return latest.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "s.n", "s.mean")
+    return latest.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "s.n", F.round("s.mean", 6).alias("mean"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

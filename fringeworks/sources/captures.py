@@ -15,12 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeworks.sources.catalog import file_meta
-from fringeworks.sources.phase_trace import BLOCK, header_words, name_of
+from fringeworks.sources.phase_trace import BLOCK, HEADERS_A_TASK, header_words, name_of
 
 _WORDS = "trace_id string, sample_idx long, word long"
 _HEADERS = "trace_id string, header string, n_samples long, error string"
-#: Headers that a task reads one after the other.
-HEADERS_A_TASK = 500
 
 
 def list_captures(spark: SparkSession, folders: str | list[str], globs: str | list[str] = "*.bin", recorded_from: str | None = None, recorded_to: str | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A file is header words and then samples, all little-endian 64-bit. The first word's upper 48 bits are a magic number, its
 low 16 the number of header words; header text follows. Reading is split into ranges of ``block`` words, so a capture of many
-GB is many tasks; bounds on sample_idx and on trace_id are pushed into the scan, and ranges outside them are never read.
-Files are opened through pyarrow.fs, so any of its file systems will do.
+GB is many tasks. With the option ``pushdown`` bounds on sample_idx and on trace_id go into the scan, and ranges outside them are never
+read; it is off unless asked for, because Spark keeps what was pushed for all uses of one loaded DataFrame: load the folder anew for
+each use then. Files are opened through pyarrow.fs, so any of its file systems will do.
 
     spark.dataSource.register(PhaseTraceSource)
     spark.read.format("phase_trace").load(folder)                        # trace_id, sample_idx, word
@@ -50,22 +51,23 @@ def header_words(first: bytes) -> int | None:
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    size: int
-    first: int
-    count: int
+class Ranges(InputPartition):
+    parts: list[tuple[str, int, int, int]]  # path, its bytes, first word, words
+
+
+#: Headers that a task reads.
+HEADERS_A_TASK = 500
 
 
 class PhaseTraceReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.glob = options["path"], options.get("glob", "*.bin")
         self.block, self.header = int(options.get("block", BLOCK)), options.get("mode") == "header"
-        self.low, self.high, self.names = 0, 1 << 62, None
+        self.low, self.high, self.names, self.push = 0, 1 << 62, None, options.get("pushdown", "false").lower() == "true"
 
     def pushFilters(self, filters) -> Iterator:
         for f in filters:
-            column = getattr(f, "attribute", None)
+            column = getattr(f, "attribute", None) if self.push else None
             if column == ("sample_idx",) and isinstance(f, GreaterThanOrEqual):
                 self.low = max(self.low, f.value)
             elif column == ("sample_idx",) and isinstance(f, GreaterThan):
@@ -78,46 +80,49 @@ class PhaseTraceReader(DataSourceReader):
                 self.names = {f.value} if self.names is None else self.names & {f.value}
             elif column == ("trace_id",) and isinstance(f, In):
                 self.names = set(f.value) if self.names is None else self.names & set(f.value)
-            else:
-                yield f  # those that are kept back are met by the ranges and names
+            yield f  # Spark filters again
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         files = [(p, n) for p, n in _files(self.path, self.glob) if self.names is None or name_of(p) in self.names]
         if self.header:
-            return [Range(p, n, 0, 0) for p, n in files] or [Range("", 0, 0, 0)]
-        # a sample lies behind at most 2**16 - 1 header words: ranges surely outside the bounds are left out
-        out = []
+            return [Ranges([(p, n, 0, 0) for p, n in files[k : k + HEADERS_A_TASK]]) for k in range(0, len(files), HEADERS_A_TASK)] or [Ranges([])]
+        # short files share a task, long ones are many; a sample lies behind at most 2**16 - 1 header words: ranges surely outside the bounds are left out
+        out, room = [Ranges([])], self.block
         for p, n in files:
             words = n // 8
             for first in range(0, words, self.block):
+                count = min(self.block, words - first)
                 if first + self.block > self.low and first - 0xFFFF < self.high:
-                    out.append(Range(p, n, first, min(self.block, words - first)))
-        return out or [Range("", 0, 0, 0)]
-
-    def read(self, part: Range) -> Iterator:
+                    if count > room:
+                        out.append(Ranges([]))
+                        room = self.block
+                    out[-1].parts.append((p, n, first, count))
+                    room -= count
+        return out
+
+    def read(self, ranges: Ranges) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        if not part.path:
-            return
-        system, _ = _filesystem(self.path)
-        with system.open_input_file(part.path) as f:
-            head = header_words(f.read_at(8, 0))
-            if self.header:
-                text = f.read_at(8 * head - 8, 8).rstrip(b"\0").decode("utf-8", "replace") if head else None
-                error = "not a trace" if head is None else "bytes left over" if part.size % 8 else None
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(part.path)]), pa.array([text], pa.string()), pa.array([part.size // 8 - head if head else None], pa.int64()), pa.array([error], pa.string())], names=["trace_id", "header", "n_samples", "error"])
-                return
-            if head is None:
-                return
-            begin = max(part.first, head, head + self.low)
-            end = min(part.first + part.count, head + self.high)
-            while begin < end:
-                n = min(1 << 17, end - begin)
-                word = np.frombuffer(f.read_at(8 * n, 8 * begin), "<i8")
-                name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([name_of(part.path)])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([name, pa.array(np.arange(begin - head, begin - head + n)), pa.array(word)], names=["trace_id", "sample_idx", "word"])
-                begin += n
+        system = _filesystem(self.path)[0]
+        for path, size, first, count in ranges.parts:
+            with system.open_input_file(path) as f:
+                head = header_words(f.read_at(8, 0))
+                if self.header:
+                    text = f.read_at(8 * head - 8, 8).rstrip(b"\0").decode("utf-8", "replace") if head else None
+                    error = "not a trace" if head is None else "bytes left over" if size % 8 else None
+                    yield pa.RecordBatch.from_arrays([pa.array([name_of(path)]), pa.array([text], pa.string()), pa.array([size // 8 - head if head else None], pa.int64()), pa.array([error], pa.string())], names=["trace_id", "header", "n_samples", "error"])
+                    continue
+                if head is None:
+                    continue
+                begin = max(first, head, head + self.low)
+                end = min(first + count, head + self.high)
+                while begin < end:
+                    n = min(1 << 17, end - begin)
+                    word = np.frombuffer(f.read_at(8 * n, 8 * begin), "<i8")
+                    name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([name_of(path)])).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([name, pa.array(np.arange(begin - head, begin - head + n)), pa.array(word)], names=["trace_id", "sample_idx", "word"])
+                    begin += n
 
 
 class PhaseTraceWriter(DataSourceArrowWriter):

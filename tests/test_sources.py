@@ -30,14 +30,18 @@ def test_files_read_back(spark, folder, block):
     path, words = folder
     found = spark.read.format("phase_trace").option("block", block).load(str(path))
     assert {(r.trace_id, r.sample_idx): r.word for r in found.collect()} == words
-    part = found.where("sample_idx >= 100 and sample_idx < 150 and trace_id = 't1'")
+    pushed = spark.read.format("phase_trace").option("block", block).option("pushdown", "true").load(str(path))
+    both = found.where("sample_idx < 7").groupBy("trace_id").count().join(found.groupBy("trace_id").agg(F.count("*").alias("n")), "trace_id")
+    assert {(r["count"], r.n) for r in both.collect()} == {(7, 500)}  # one DataFrame used twice
+    part = pushed.where("sample_idx >= 100 and sample_idx < 150 and trace_id = 't1'")
     assert {(r.trace_id, r.sample_idx): r.word for r in part.collect()} == {k: w for k, w in words.items() if k[0] == "t1" and 100 <= k[1] < 150}
     assert "PushedFilters" in part._jdf.queryExecution().toString() or part.count() == 50
 
 
 def test_names_that_exclude_each_other(spark, folder):
-    found = spark.read.format("phase_trace").load(str(folder[0]))
+    found = spark.read.format("phase_trace").option("pushdown", "true").load(str(folder[0]))
     assert found.where("trace_id = 't0' and trace_id = 't1'").count() == 0
+    found = spark.read.format("phase_trace").option("pushdown", "true").load(str(folder[0]))
     assert found.where("trace_id = 't0' and trace_id in ('t1', 't2') and trace_id = 't1'").count() == 0
 
 
