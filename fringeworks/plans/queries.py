@@ -484,12 +484,36 @@ def _bin_spectra(spark, d):
     return bins.averaged_spectrum(bins.batch_samples(samples, plan), (2,), 32.0, 0.9, 0.01, 0.2, least_s=32.0)
 
 
-@query()
+# seconds and tenths of them: batches of 128 s are 99.2 s apart; traces lie further apart than a bin is long
+_BIN_SPECTRA = _DECODED + """, c as (select trace_id, count(*) as n, trace_id * 1000 as st, trace_id * 1000 + count(*) as en from p group by trace_id),
+b as (select *, unnest(range(st // 256, (en + 255) // 256)) as bin from c), f as (select *, greatest(bin * 256, st + 1) as fr, least(en, bin * 256 + 256) as til from b),
+g as (select *, unnest(range(0, case when til > fr then cast(ceil((til - fr) * 10 / 992.0) as bigint) else 0 end)) as batch from f),
+h as (select trace_id, bin, batch, st, fr * 10 + batch * 992 as bb, least(fr * 10 + batch * 992 + 1280, en * 10) as ee from g),
+i as (select trace_id, bin, batch, (bb - st * 10) // 10 as i0, (bb - st * 10) // 10 + (ee - bb) // 10 as i1 from h),
+x as (select i.trace_id, bin, batch, i1 - i0 as len, p.sample_idx - i0 as j, p.radius as x from i join p on p.trace_id = i.trace_id and p.sample_idx >= i0 and p.sample_idx < i1),
+t0 as (select k, case when k = 20 then 0.5 else sin(pi() * (k - 20) / 2.0) / (pi() * (k - 20) / 2.0) / 2 end * (0.54 - 0.46 * cos(2 * pi() * k / 40.0)) as h from (select unnest(range(0, 41)) as k) a),
+t as (select k - 20 as k, h / (select sum(h) from t0) as h from t0),
+dd as (select trace_id, bin, batch, (len + 1) // 2 as m, (j - k) // 2 as o, sum(x * h) as y from x, t where j >= k and (j - k) % 2 = 0 and (j - k) // 2 < (len + 1) // 2 group by trace_id, bin, batch, len, (j - k) // 2),
+ww as (select *, unnest(range(0, (m - 16) // 2 + 1)) as w from (select distinct trace_id, bin, batch, m from dd where m >= 16) y),
+v as (select ww.trace_id, ww.bin, ww.batch, w, o - 2 * w as n, y from ww join dd on dd.trace_id = ww.trace_id and dd.bin = ww.bin and dd.batch = ww.batch and o >= 2 * w and o < 2 * w + 16),
+l as (select *, avg(y) over win as mean, sum((n - 7.5) * y) over win / 340.0 as slope from v window win as (partition by trace_id, bin, batch, w)),
+u0 as (select bin, trace_id, batch, w, n, (y - mean - slope * (n - 7.5)) * (0.5 - 0.5 * cos(2 * pi() * n / 15.0)) as x0 from l), k as (select unnest(range(0, 16)) as k),
+z as (select bin, trace_id, batch, w, k, sum(x0 * cos(2 * pi() * (0.01 + k * 0.19 / 16) * n / 0.5)) as re, sum(x0 * sin(2 * pi() * (0.01 + k * 0.19 / 16) * n / 0.5)) as im from u0, k group by bin, trace_id, batch, w, k),
+e as (select bin, k, 10 * log10(greatest((re * re + im * im) / 0.5 / (select sum(pow(0.5 - 0.5 * cos(2 * pi() * n / 15.0), 2)) from (select unnest(range(0, 16)) as n) q) * case when k in (0, 15) then 1 else 2 end, 1e-300)) as db from z)
+select bin * 256 * 1000000000 as bin_start_ns, cast(k as int) as freq_idx, round(0.01 + k * 0.19 / 16, 9) as freq_hz, round(0.01 + k * 0.19 / 15, 9) as freq_label_hz, count(*) as n_windows, round(avg(db), 5) as mean_db, round(stddev_pop(db), 4) as std_db"""
+
+
+def _rounded(found):
+    places = {"freq_hz": 9, "freq_label_hz": 9, "mean_db": 5, "std_db": 4}
+    return found.select(*[F.round(c, places[c]).alias(c) if c in places else c for c in found.columns])
+
+
+@query(_BIN_SPECTRA + " from e group by bin, k")
 def bin_spectrum(spark, d):
-    return _bin_spectra(spark, d)
+    return _rounded(_bin_spectra(spark, d))
 
 
-@query()
+@query(_BIN_SPECTRA + ", cast(epoch_ms(bin * 256 * 1000) as date) as date from e group by bin, k")
 def bin_spectrum_sink(spark, d):
     """Written twice: the second run finds nothing left to add."""
     from fringeworks.sources.sinks import append_bins
@@ -497,7 +521,7 @@ def bin_spectrum_sink(spark, d):
     spectra, path = _bin_spectra(spark, d), work_path(spark, "bins")
     append_bins(spectra, path)
     append_bins(spectra, path)
-    return spark.read.parquet(path)
+    return _rounded(spark.read.parquet(path))
 
 
 # --- sweeps
@@ -534,11 +558,15 @@ def sweep_upsert(spark, d):
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share, or a temporary one where none is named."""
+    """A new folder in the one that all executors share; a temporary one only on a local master without such a folder."""
     import tempfile
     import uuid
 
-    known = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-fringeworks-")
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        known = "file://" + tempfile.mkdtemp(prefix="spark-fringeworks-")
     return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
