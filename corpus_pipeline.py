@@ -10,7 +10,12 @@ drops is gone for the next:
 4. ``benchmark``: documents in which ten words of a benchmark item stand in a row (or a whole shorter item) go.
 5. ``pack``: one row per piece of a document in windows of 2048 tokens.
 
-Each stage's table is written as Parquet to the shared folder and read again. An empty table passes through as empty.
+Each stage's table is written as Parquet to the shared folder and read again; a stage reads its input once into a table of numbered
+rows, so that what it decides and what it keeps are the same rows.
+
+Cases: null texts are empty and go with the language stage, as do those without a letter; rows with a null doc_id are kept or dropped like others
+(of equal or near texts a row with an id is preferred); repeated rows are equal texts, of which one stays; further columns pass through all
+stages but the last, and one whose name starts with ``_fw_`` is refused; an empty table passes through as empty.
 """
 
 from __future__ import annotations
