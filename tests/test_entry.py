@@ -23,7 +23,7 @@ def plain(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL and not n.startswith(("stream", "src"))])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_sql_agrees(spark, name):
     import duckdb
 
