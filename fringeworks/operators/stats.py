@@ -29,10 +29,34 @@ def moments(df: DataFrame, keys: list[str], value: str = "x", orders: tuple[int,
     return centred.groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("std_dev").alias("std_dev"), *[F.avg(F.pow("_z", F.lit(k))).alias(f"m{k}") for k in orders])
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str = "x", at: tuple[float, ...] = (0.5, 0.75, 0.9, 1.0), exact: bool = True) -> DataFrame:
-    """p50, p75, ... per key by linear interpolation; ``exact=False`` uses bounded summaries for very large groups."""
-    made = (lambda p: F.percentile(value, F.lit(p))) if exact else (lambda p: F.percentile_approx(value, F.lit(p)))
-    return df.groupBy(*keys).agg(*[made(p).alias(f"p{round(100 * p)}") for p in at])
+def percentiles(df: DataFrame, keys: list[str], value: str = "x", at: tuple[float, ...] = (0.5, 0.75, 0.9, 1.0), exact: bool = True, bins: int = 4096) -> DataFrame:
+    """p50, p75, ... per key by linear interpolation; ``exact=False`` uses bounded summaries instead.
+
+    Exact values come from two passes: a histogram of each key tells the bins that hold the ranks asked for, and of those bins alone the
+    different values are counted and ordered. So no buffer holds a key's values, and equal ones are one row.
+    """
+    names = [f"p{round(100 * p)}" for p in at]
+    if not exact:
+        return df.groupBy(*keys).agg(*[F.percentile_approx(value, F.lit(p)).alias(name) for p, name in zip(at, names, strict=True)])
+    edges = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"), F.count(value).alias("_n")).where("_n > 0")
+    place = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins)
+    placed = _beside(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value)), edges, keys)
+    placed = placed.select(*keys, value, F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int").alias("_bin"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    rank = [(F.col("_n") - 1) * F.lit(float(p)) for p in at]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(r), F.ceil(r)) for r in rank])))
+    asked = edges.select(*keys, F.explode(ranks).alias("_rank"))
+    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_m"))
+    picked = (asked.join(counts, keys) if keys else asked.crossJoin(F.broadcast(counts))).where(inside).select(*keys, "_bin", "_rank", "_before")
+    values = placed.join(picked.select(*keys, "_bin").distinct(), [*keys, "_bin"]).groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_m"))
+    ahead = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_ahead", F.coalesce(F.sum("_m").over(ahead), F.lit(0)))
+    found = picked.join(values, [*keys, "_bin"]).where((F.col("_rank") >= F.col("_before") + F.col("_ahead")) & (F.col("_rank") < F.col("_before") + F.col("_ahead") + F.col("_m")))
+    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_values"))
+    found = _beside(found, edges.select(*keys, "_n"), keys)
+    low, high = (lambda r: F.col("_values")[F.floor(r)]), (lambda r: F.col("_values")[F.ceil(r)])
+    return found.select(*keys, *[(low(r) + (high(r) - low(r)) * (r - F.floor(r))).alias(name) for r, name in zip(rank, names, strict=True)])
 
 
 def mode_flag(df: DataFrame, keys: list[str], value: str = "x", tolerance: float = 4000) -> DataFrame:

@@ -86,9 +86,10 @@ def unwrap_window(spark, d):
     return both.select("trace_id", "sample_idx", "by_trace", F.col("m_unwrapped").alias("by_window"))
 
 
-@query(_DECODED + f"select trace_id, sample_idx, sample_idx / {FS} as t_s, round(cycles, 6) as cycles from p")
+@query(_DECODED + f"select trace_id, sample_idx, sample_idx / {FS} as t_s, round(cycles, 6) as cycles, round(cycles * 1.55 / 1.5, 5) as microns from p")
 def reduced_phase(spark, d):
-    return _samples(spark, d).select("trace_id", "sample_idx", (F.col("sample_idx") / FS).alias("t_s"), F.round("cycles", 6).alias("cycles"))
+    microns = F.round(decode.microns_in_fibre(F.col("cycles")), 5).alias("microns")
+    return _samples(spark, d).select("trace_id", "sample_idx", (F.col("sample_idx") / FS).alias("t_s"), F.round("cycles", 6).alias("cycles"), microns)
 
 
 @query(_DECODED + "select trace_id, sample_idx, round(radius, 2) as radius from p")
@@ -392,10 +393,12 @@ def trace_catalog(spark, d):
     return rows.select("trace_id", F.col("flags")["q"].alias("flag_q"), F.col("flags")["s"].alias("flag_s"), F.map_contains_key("flags", F.lit("l")).alias("low_rate"), "fs", "start_ns", "utc_offset_s", "end_ns", "expected_s", F.round("complete", 6).alias("complete"))
 
 
-@query(_HEADERS + """ select trace_id, 'no recording start' as problem from h where k = 7""")
+@query(_HEADERS + """ select trace_id, case k when 7 then 'no recording start' when 5 then 'bytes left over' when 4 then 'not a trace' else 'rate not valid' end as problem from h where k in (0, 4, 5, 7)""")
 def trace_validate(spark, d):
-    """Every eighth header has lost its second line; only those are put aside."""
-    rows = fx.headers(spark, d).withColumn("header", F.when(F.col("trace_id") % 8 == 7, F.regexp_replace("header", "# recording start.*", "")).otherwise(F.col("header")))
+    """Of eight headers one has lost its second line, one tells a rate of 20 MHz, two come from bad files; only those are put aside."""
+    k = F.col("trace_id") % 8
+    text = F.when(k == 7, F.regexp_replace("header", "# recording start.*", "")).when(k == 0, F.regexp_replace("header", " -l ", " ")).when(k == 4, None).otherwise(F.col("header"))
+    rows = fx.headers(spark, d).withColumn("header", text).withColumn("error", F.when(k == 5, "bytes left over").when(k == 4, "not a trace"))
     return catalogs.validated(rows)[1].select("trace_id", "problem")
 
 

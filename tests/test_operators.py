@@ -81,6 +81,11 @@ def test_statistics(spark):
     assert np.allclose([m.m3, m.m4, m.m5, m.m6], [(z**k).mean() for k in (3, 4, 5, 6)])
     p = stats.percentiles(df, ["trace_id"]).first()
     assert np.allclose([p.p50, p.p75, p.p90, p.p100], np.percentile(x, [50, 75, 90, 100]))
+    odd = np.r_[np.zeros(300), -np.geomspace(1e-9, 1e9, 100), [7.0]]
+    several = df.unionByName(trace(spark, odd, 2)).unionByName(trace(spark, [5.0], 3)).unionByName(trace(spark, [1.0, 1.0], 4))
+    for r in stats.percentiles(several, ["trace_id"], at=(0.0, 0.1, 0.5, 0.77, 1.0), bins=16).collect():
+        assert np.allclose(r[1:], np.percentile({1: x, 2: odd, 3: [5.0], 4: [1.0, 1.0]}[r.trace_id], [0, 10, 50, 77, 100]), rtol=1e-12, atol=0)
+    assert np.allclose(stats.percentiles(df, []).first(), np.percentile(x, [50, 75, 90, 100]))
     h = {r.bin: r.n for r in stats.histogram(df, ["trace_id"]).collect()}
     width = np.ptp(x) / 100
     expected, _ = np.histogram(x, np.linspace(x.min(), x.max(), 101))
