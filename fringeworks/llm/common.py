@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -36,15 +37,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_MADE: list[list[str]] = []  # for each open ``temporaries``, what was written in it
+class _Open(threading.local):
+    def __init__(self):
+        self.made: list[list[str]] = []  # for each open ``temporaries`` of the thread, what was written in it
+
+
+_OPEN = _Open()
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _MADE:
-        _MADE[-1].append(path)
+    if _OPEN.made:
+        _OPEN.made[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,16 +61,16 @@ def temporaries(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], Data
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         out = written(df, name)
-        path = _MADE[-1].pop()
-        if len(_MADE) > 1:  # a step's result goes when what it is a step of has ended
-            _MADE[-2].append(path)
+        path = _OPEN.made[-1].pop()
+        if len(_OPEN.made) > 1:  # a step's result goes when what it is a step of has ended
+            _OPEN.made[-2].append(path)
         return out
 
-    _MADE.append([])
+    _OPEN.made.append([])
     try:
         yield kept
     finally:
-        for path in _MADE.pop():
+        for path in _OPEN.made.pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
