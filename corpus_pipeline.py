@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fringeworks.llm.common import table, written
+from fringeworks.llm.common import table, temporaries
 from fringeworks.llm.decontamination import drop_contaminated
 from fringeworks.llm.exact_dedup import drop_exact_copies
 from fringeworks.llm.jaccard_join import drop_near_copies
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporaries(spark) as kept:  # what the stage has written goes when its result stands
+            docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
