@@ -115,6 +115,8 @@ def _records(docs: DataFrame, least: int, gram: int, buckets: int) -> DataFrame:
         def flushed():
             every = np.concatenate(held)
             rows, docs_, has = (np.concatenate([x[k] for x in ids]) for k in range(3))
+            ascending = np.argsort(rows)  # a task may read several files, in whatever order
+            rows, docs_, has = rows[ascending], docs_[ascending], has[ascending]
             about = zlib.compress(has.astype(np.uint8).tobytes(), 1)
             for b, part in _dealt(every, (every["a"] % np.uint64(buckets * 127)) // np.uint64(127), buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (_squeezed(rows), _squeezed(docs_), about, part.tobytes())]], names=["bucket", "rows", "docs", "has", "records"])

@@ -305,6 +305,19 @@ def test_repeats(spark, docs, least, hot):
     assert m.remove_repeats(cases.nothing(spark)).collect() == []
 
 
+def test_repeats_of_many_files(spark):
+    """More files than tasks: the rows of a task don't come in the order of their numbers."""
+    from fringeworks.llm import repeats as m
+
+    r, some = random.Random(21), {}
+    for k in range(160):
+        some[k] = (TEXTS[8] if k % 3 else "") + "".join(r.choice("abcdef ") for _ in range(r.randrange(20, 3000)))
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(40)
+    expected = cases.repeats(some, 100)
+    found = m.remove_repeats(docs).collect()
+    assert {x.doc_id: (x.n_removed, x.kept) for x in found} == {d: (sum(gone), bytes(b for b, g in zip(data, gone) if not g)) for d, (data, gone) in expected.items()}
+
+
 def test_repeats_of_repeated_rows(spark):
     from fringeworks.llm import repeats as m
 
