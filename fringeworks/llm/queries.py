@@ -81,6 +81,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(table(spark, sf_dir, "documents")).drop("_fw_row")
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fringeworks.llm.url_filters import Rule, judge, site
+
+    sites = [site("block", "net/"), site("allow", "example.net/en/"), site("block", "example.com/de/"), site("allow", "org/fr/")]
+    return judge(table(spark, sf_dir, "pages"), [*sites, *(Rule(glob, action) for glob, action in URL_GLOBS.items())])
+
+
+#: Hosts that advertise, copies for other devices or for print, pages deep in a listing, downloads.
+URL_GLOBS = {
+    "*spam*/**": "block", "*casino*/**": "block", "ads.*/**": "block", "m.**": "block", "**/print/**": "block", "**/9??": "block",
+    "**.exe": "block", "**.zip": "block", "blog.*/en/**": "allow", "**.html": "allow",
+}
+
+
 OP10_SQL = """
 select doc_id, max(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
        doc_id = max(doc_id) over (partition by text_sha256) as kept, text_sha256
@@ -114,9 +128,36 @@ select doc_id, coalesce(max(n), 0) as n_shingles, min(c) as component_id from re
 """
 
 
+def _regex(glob: str) -> str:
+    """A glob as a regular expression, for SQL."""
+    import re
+
+    parts = {"*": "[^/]*", "**": ".*", "?": "[^/]"}
+    return "".join(parts.get(x) or re.escape(x) for x in re.split(r"(\*\*|\*|\?)", glob))
+
+
+def _op12_sql() -> str:
+    literal = {g: len(g.replace("*", "").replace("?", "")) for g in URL_GLOBS}
+    first = sorted(URL_GLOBS, key=lambda g: (-literal[g], URL_GLOBS[g] != "block", g))
+    fits = {g: f"regexp_full_match(host || path, '{_regex(g)}', 's')" for g in first}
+    glob = "case " + " ".join(f"when {fits[g]} then '{g}'" for g in first) + " end"
+    return f"""
+with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+parts as (select page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from cut),
+rules(rule_host, rule_path, action) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fit as (select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(action, length(rule_host || rule_path)) as action
+        from parts join rules on (host = rule_host or host like '%.' || rule_host) and starts_with(path, rule_path) group by page_id),
+named as (select *, {glob} as found, {" + ".join(f"cast({f} as bigint)" for f in fits.values())} as n_globs from parts)
+select page_id, host, path, rule, coalesce(action, case {" ".join(f"when found = '{g}' then '{URL_GLOBS[g]}'" for g in first)} else 'allow' end) as verdict,
+       case when rule is null then found end as glob, n_globs
+from named left join fit using (page_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup, op12_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op12_url_filters": _op12_sql()}
