@@ -88,6 +88,12 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), [*sites, *(Rule(glob, action) for glob, action in URL_GLOBS.items())])
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fringeworks.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 #: Hosts that advertise, copies for other devices or for print, pages deep in a listing, downloads.
 URL_GLOBS = {
     "*spam*/**": "block", "*casino*/**": "block", "ads.*/**": "block", "m.**": "block", "**/print/**": "block", "**/9??": "block",
@@ -156,7 +162,7 @@ from named left join fit using (page_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup, op12_url_filters)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup, op12_url_filters, op13_cross_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
