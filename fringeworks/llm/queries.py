@@ -81,6 +81,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(table(spark, sf_dir, "documents")).drop("_fw_row")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fringeworks.llm.prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fringeworks.llm.url_filters import Rule, judge, site
 
@@ -134,6 +140,31 @@ select doc_id, coalesce(max(n), 0) as n_shingles, min(c) as component_id from re
 """
 
 
+#: crc32 is a fold of shifts; rows of the same conversation and turn number aren't in the given tables.
+OP11_SQL = """
+with turns as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) as k, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as t, length(coalesce(text, '')) as points from conversations),
+convs as (select conv_id as c, conv_id - conv_id % 100 as base,
+                 xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+                     lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 as h
+          from (select distinct conv_id from conversations) x),
+built as (select c, k as rank, t, points from convs join turns on conv_id = base and k <= h union all select c, k + 10 as rank, t, points from convs join turns on conv_id = c and k > h),
+placed as (select c, t, points, row_number() over (partition by c order by rank) as d from built),
+paths as (select c, 0 as d, 'root' as node, cast(null as varchar) as parent, 0 as points, not exists (select 1 from placed p where p.c = convs.c) as ends from convs
+          union all
+          select c, d, node, coalesce(lag(node) over (partition by c order by d), 'root') as parent, points, d = max(d) over (partition by c) as ends
+          from (select *, sha256(string_agg(t, '' order by d) over (partition by c order by d rows unbounded preceding)) as node from placed) x),
+nodes as (select node, d, min(parent) as parent, min(c) as keeper, count(*) as n, count(*) filter (ends) as n_ends, (count(*) - 1) * max(points) as saves,
+                 sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (ends), '')) as ends_sha256 from paths group by node, d),
+below as (select p.node, p.d, sum(m.saves) as saved, count(*) filter (m.n = m.n_ends) as leaves from paths p join nodes m on m.keeper = p.c and m.d >= p.d group by p.node, p.d),
+children as (select parent as node, count(*) as n from nodes where parent is not null group by parent),
+last as (select p.node, p.d, arg_min(case when p.d <= least(v.h, b.n) then v.base else p.c end, p.c) as turn_conv_id, arg_min(case when p.d <= least(v.h, b.n) then p.d else v.h + p.d - least(v.h, b.n) end, p.c) as turn_place
+         from paths p join convs v using (c) join (select c, count(conv_id) as n from convs left join turns on conv_id = base group by c) b using (c) where p.d > 0 group by p.node, p.d)
+select x.keeper as conv_id, cast(x.d as bigint) as depth, y.keeper as parent_conv_id, x.n as n_convs, coalesce(children.n, 0) as n_children, cast(below.leaves as bigint) as n_leaves, cast(below.saved as bigint) as saved_tokens, x.ends_sha256,
+       cast(turn_conv_id as bigint) as turn_conv_id, cast(turn_place as bigint) as turn_place
+from nodes x join below on below.node = x.node and below.d = x.d left join nodes y on y.node = x.parent and y.d = x.d - 1 left join children on children.node = x.node left join last on last.node = x.node and last.d = x.d
+"""
+
+
 def _regex(glob: str) -> str:
     """A glob as a regular expression, for SQL."""
     import re
@@ -162,8 +193,8 @@ from named left join fit using (page_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup, op12_url_filters, op13_cross_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_counts, op4_decontamination, op5_token_id_output, op6_quality, op7_jaccard_join, op8_repeats, op9_packing, op10_exact_dedup, op11_prefix_trie, op12_url_filters, op13_cross_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op12_url_filters": _op12_sql()}
+    return {"op4_decontamination": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_url_filters": _op12_sql()}
