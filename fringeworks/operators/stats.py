@@ -29,34 +29,72 @@ def moments(df: DataFrame, keys: list[str], value: str = "x", orders: tuple[int,
     return centred.groupBy(*keys).agg(F.first("mean").alias("mean"), F.first("std_dev").alias("std_dev"), *[F.avg(F.pow("_z", F.lit(k))).alias(f"m{k}") for k in orders])
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str = "x", at: tuple[float, ...] = (0.5, 0.75, 0.9, 1.0), exact: bool = True, bins: int = 4096) -> DataFrame:
+#: Depth of the digits of a value: twelve bits each, so five hold a double's 52.
+_BINS, _DEPTH = 4096, 5
+
+
+def _digits(x) -> list:
+    """Columns that order values as ``x`` does, each refining the one before: the power of two with its sign, then twelve bits of the rest at a time.
+
+    Multiplying and dividing by powers of two is exact, so is what is left after a digit. Where the logarithm rounds up to the
+    next power, the rest is a hair below zero and counts as zero: bins may then hold two values, and never change their order.
+    """
+    size = F.abs(x)
+    power = F.least(F.greatest(F.floor(F.log2(F.nullif(size, F.lit(0.0)))), F.lit(-1074)), F.lit(1023))
+    sign = F.when(x < 0, -1).otherwise(1)
+    special = F.when(F.isnan(x), 5000).when(size == float("inf"), 4000 * sign).when(x == 0, 0)
+    out = [F.coalesce(special, sign * (power + 1100)).cast("int")]
+    rest = F.when(special.isNull(), sign * F.least(F.greatest(size / F.pow(F.lit(2.0), power) - 1, F.lit(0.0)), F.lit(1 - 2.0**-53))).otherwise(0.0)
+    for _ in range(_DEPTH):
+        rest = rest * _BINS
+        out.append(F.floor(rest).cast("int"))
+        rest = rest - F.floor(rest)
+    return out
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str = "x", at: tuple[float, ...] = (0.5, 0.75, 0.9, 1.0), exact: bool = True, most: int = 100_000) -> DataFrame:
     """p50, p75, ... per key by linear interpolation; ``exact=False`` uses bounded summaries instead.
 
-    Exact values come from two passes: a histogram of each key tells the bins that hold the ranks asked for, and of those bins alone the
-    different values are counted and ordered. So no buffer holds a key's values, and equal ones are one row.
+    Exact values come by radix selection, all ranks of all keys at once: a histogram over a digit of the values tells the bins that hold the ranks
+    asked for, and what lies in these is counted by its next digit, until no bin asked for has over ``most`` values that differ or the digits end. Of those bins
+    alone the different values are ordered. So no task sorts more than a histogram (thousands of rows) or ``most`` different values, however skewed
+    they are. The values are written once, and read once for each digit.
     """
+    from fringeworks.sources.work import stored
+
     names = [f"p{round(100 * p)}" for p in at]
     if not exact:
         return df.groupBy(*keys).agg(*[F.percentile_approx(value, F.lit(p)).alias(name) for p, name in zip(at, names, strict=True)])
-    edges = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"), F.count(value).alias("_n")).where("_n > 0")
-    place = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins)
-    placed = _beside(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value)), edges, keys)
-    placed = placed.select(*keys, value, F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int").alias("_bin"))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    rows = stored(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")), "values")
+    digits = [f"_d{k}" for k in range(_DEPTH + 1)]
+    placed = rows.select(*keys, "_x", *[d.alias(n) for d, n in zip(_digits(F.col("_x")), digits, strict=True)])
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
     rank = [(F.col("_n") - 1) * F.lit(float(p)) for p in at]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(r), F.ceil(r)) for r in rank])))
-    asked = edges.select(*keys, F.explode(ranks).alias("_rank"))
-    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_m"))
-    picked = (asked.join(counts, keys) if keys else asked.crossJoin(F.broadcast(counts))).where(inside).select(*keys, "_bin", "_rank", "_before")
-    values = placed.join(picked.select(*keys, "_bin").distinct(), [*keys, "_bin"]).groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_m"))
-    ahead = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    asked = totals.select(*keys, F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_before"))
+    for depth in range(_DEPTH + 1):
+        prefix, digit = [*keys, *digits[:depth]], digits[depth]
+        inside = placed.select(*prefix, digit, "_x")
+        if depth:
+            inside = inside.join(asked.select(*prefix).distinct(), prefix, "left_semi")
+        ahead = Window.partitionBy(*prefix).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        counts = inside.groupBy(*prefix, digit).agg(F.count(F.lit(1)).alias("_m"), (F.min("_x") < F.max("_x")).alias("_several")).withColumn("_ahead", F.coalesce(F.sum("_m").over(ahead), F.lit(0)))
+        met = asked.drop("_m", "_several").join(counts, prefix) if prefix else asked.crossJoin(F.broadcast(counts))
+        place = F.col("_rank") - F.col("_before") - F.col("_ahead")
+        asked = stored(met.where((place >= 0) & (place < F.col("_m"))).select(*prefix, digit, "_rank", (F.col("_before") + F.col("_ahead")).alias("_before"), "_m", "_several"), "ranks")
+        if (asked.where("_several").agg(F.max("_m")).first()[0] or 0) <= most:
+            break
+    prefix = [*keys, *digits[: depth + 1]]
+    values = placed.select(*prefix, "_x").join(asked.select(*prefix).distinct(), prefix, "left_semi").groupBy(*prefix, "_x").agg(F.count(F.lit(1)).alias("_m"))
+    ahead = Window.partitionBy(*prefix).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("_ahead", F.coalesce(F.sum("_m").over(ahead), F.lit(0)))
-    found = picked.join(values, [*keys, "_bin"]).where((F.col("_rank") >= F.col("_before") + F.col("_ahead")) & (F.col("_rank") < F.col("_before") + F.col("_ahead") + F.col("_m")))
-    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_values"))
-    found = _beside(found, edges.select(*keys, "_n"), keys)
+    place = F.col("_rank") - F.col("_before") - F.col("_ahead")
+    found = asked.drop("_m", "_several").join(values, prefix).where((place >= 0) & (place < F.col("_m")))
+    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_values"))
+    found = _beside(found, totals, keys)
     low, high = (lambda r: F.col("_values")[F.floor(r)]), (lambda r: F.col("_values")[F.ceil(r)])
-    return found.select(*keys, *[(low(r) + (high(r) - low(r)) * (r - F.floor(r))).alias(name) for r, name in zip(rank, names, strict=True)])
+    between = lambda r: F.when(low(r) == high(r), low(r)).otherwise(low(r) + (high(r) - low(r)) * (r - F.floor(r)))
+    return found.select(*keys, *[between(r).alias(name) for r, name in zip(rank, names, strict=True)])
 
 
 def mode_flag(df: DataFrame, keys: list[str], value: str = "x", tolerance: float = 4000) -> DataFrame:

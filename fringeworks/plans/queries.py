@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeworks.functions import decode, hooks, times
-from fringeworks.operators import bins, events, resample, spectral, stats, sweep, unwrap
+from fringeworks.operators import bins, events, resample, spectral, stats, sweep, transform, unwrap
 from fringeworks.plans import fixtures as fx
 from fringeworks.sources import catalog as catalogs
+from fringeworks.sources.work import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -305,10 +306,20 @@ def bandpass(spark, d):
 z as (select trace_id, n, k, sum(x * cos(2 * pi() * ((k * sample_idx) % n) / n)) as re, sum(x * sin(2 * pi() * ((k * sample_idx) % n) / n)) as im from (select *, unnest(range(0, n // 2 + 1)) as k from q) y group by trace_id, n, k)
 select trace_id, cast(k as int) as freq_idx, round(k * 2000.0 / n, 6) as freq_hz, round(log10(greatest((re * re + im * im) / (2000.0 * n) * case when k = 0 or 2 * k = n then 1 else 2 end, 1e-12)), 4) as log_value from z where k > 0""")
 def phase_periodogram(spark, d):
-    """The density of a trace's phase in radians, of which the ramp of its turns is part."""
+    """The density of a trace's phase in radians, of which the ramp of its turns is part; in blocks of 256 samples, so most traces take several."""
     samples = _samples(spark, d).select("trace_id", "sample_idx", (2 * F.pi() * F.col("cycles")).alias("x"))
-    made = spectral.periodogram(spectral.segments(samples), ["trace_id"], WORD_FS).where("freq_idx > 0")
-    return made.select("trace_id", "freq_idx", F.round("freq_hz", 6).alias("freq_hz"), F.round(F.log10(F.greatest("value", F.lit(1e-12))), 4).alias("log_value"))
+    made = transform.whole_periodogram(samples, WORD_FS, block=256).where("freq_idx > 0")
+    return made.select("trace_id", F.col("freq_idx").cast("int").alias("freq_idx"), F.round("freq_hz", 6).alias("freq_hz"), F.round(F.log10(F.greatest("value", F.lit(1e-12))), 4).alias("log_value"))
+
+
+@query(_DECODED + f""", q as (select trace_id, sample_idx, count(*) over (partition by trace_id) as n, radius as x from p),
+z as (select trace_id, n, k, sum(x * cos(2 * pi() * ((k * sample_idx) % n) / n)) as re, sum(x * sin(2 * pi() * ((k * sample_idx) % n) / n)) as im from (select *, unnest(range(0, n // 2 + 1)) as k from q) y group by trace_id, n, k)
+select trace_id, k as freq_idx, round(k * {WORD_FS} / n, 6) as freq_hz, round(sqrt(re * re + im * im), 2) as value from z where k * {WORD_FS} / n between 100.0 and 400.0""")
+def radius_amplitude(spark, d):
+    """The amplitude of whole traces of the radius from 100 to 400 Hz."""
+    samples = _iqm(spark, d).select("trace_id", "sample_idx", decode.radius().alias("x"))
+    made = transform.whole_amplitude(samples, WORD_FS, 100.0, 400.0, block=256)
+    return made.select("trace_id", "freq_idx", F.round("freq_hz", 6).alias("freq_hz"), F.round("value", 2).alias("value"))
 
 
 @query(_BLOCKS + ", m as (select vec_id, n, x - first(x order by n) over (partition by vec_id order by n) as x from f)" + _DFT.replace("range(0, 33)", "range(0, 64)").replace("128.0", "128").format(x="x").replace("k * n / 64.0", f"({F1} + k * {F2 - F1} / {NFFT}) * n / 128.0") + f"select vec_id, cast(k as int) as freq_idx, round((re * re + im * im) / 128.0 / 64 * case when k in (0, 63) then 1 else 2 end, 9) as value from z")
@@ -560,19 +571,6 @@ def sweep_upsert(spark, d):
 # --- files and streams
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share; a temporary one only on a local master without such a folder."""
-    import tempfile
-    import uuid
-
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="spark-fringeworks-")
-    return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _trace_files(spark, d) -> str:
     from fringeworks.sources.phase_trace import write_traces
 

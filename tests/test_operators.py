@@ -83,7 +83,7 @@ def test_statistics(spark):
     assert np.allclose([p.p50, p.p75, p.p90, p.p100], np.percentile(x, [50, 75, 90, 100]))
     odd = np.r_[np.zeros(300), -np.geomspace(1e-9, 1e9, 100), [7.0]]
     several = df.unionByName(trace(spark, odd, 2)).unionByName(trace(spark, [5.0], 3)).unionByName(trace(spark, [1.0, 1.0], 4))
-    for r in stats.percentiles(several, ["trace_id"], at=(0.0, 0.1, 0.5, 0.77, 1.0), bins=16).collect():
+    for r in stats.percentiles(several, ["trace_id"], at=(0.0, 0.1, 0.5, 0.77, 1.0), most=16).collect():
         assert np.allclose(r[1:], np.percentile({1: x, 2: odd, 3: [5.0], 4: [1.0, 1.0]}[r.trace_id], [0, 10, 50, 77, 100]), rtol=1e-12, atol=0)
     assert np.allclose(stats.percentiles(df, []).first(), np.percentile(x, [50, 75, 90, 100]))
     h = {r.bin: r.n for r in stats.histogram(df, ["trace_id"]).collect()}
@@ -93,6 +93,32 @@ def test_statistics(spark):
     assert not stats.mode_flag(df, ["trace_id"], tolerance=1).first().single_mode
 
 
+def test_percentiles_of_skewed_values(spark, monkeypatch):
+    """Radix selection: an outlier, values that differ in their last bits, extremes; no bin over ``most`` values is ordered."""
+    from fringeworks.sources import work
+
+    r = np.random.default_rng(3)
+    tiny = 1 + np.arange(2000) * 2.0**-52
+    kinds = {"outlier": np.r_[r.normal(size=5000), 1e12], "bits": r.permutation(tiny), "range": np.r_[5e-324, -5e-324, 0.0, -0.0, 1.7e308, -1.7e308, 2.0**-1022, r.normal(size=500) * 10.0 ** r.integers(-300, 300, 500)], "equal": np.full(3000, 0.1), "edges": np.r_[[2.0**k for k in range(-30, 30)], [np.nextafter(2.0**k, 0) for k in range(-30, 30)]], "ends": [-np.inf, 1.0, 2.0, np.inf, np.inf]}
+    df = spark.createDataFrame([(k, float(v)) for k, x in kinds.items() for v in x], "k string, x double")
+    kept, old = {}, work.stored
+    monkeypatch.setattr(work, "stored", lambda df, name: kept.setdefault((name, len(kept)), old(df, name)))
+    at = (0.0, 0.1, 0.5, 0.77, 1.0)
+    for row in stats.percentiles(df, ["k"], at=at, most=64).collect():
+        with np.errstate(invalid="ignore", over="ignore"):
+            want = [np.percentile(kinds[row.k], 100 * p, method="linear") for p in at]
+        if row.k == "ends":
+            assert [row.p0, row.p50, row.p100] == [-np.inf, 2.0, np.inf]
+        else:
+            assert np.allclose(row[1:], want, rtol=1e-13, atol=0), row.k
+    last = list(kept.values())[-1]
+    assert last.where("_m > 64 and _several").count() == 0 and "_d4" in last.columns and len(kept) == 6
+    kept.clear()
+    assert stats.percentiles(df.where("k = 'equal'"), ["k"], most=64).first().p50 == 0.1 and len(kept) == 2  # one value needs no further digit
+    few = stats.percentiles(df.where("k = 'outlier'"), ["k"], most=10_000)
+    assert np.allclose(few.first()[1:], np.percentile(kinds["outlier"], [50, 75, 90, 100])) and stats.percentiles(df.where("k = 'no'"), ["k"]).collect() == []
+
+
 @pytest.mark.parametrize("kept", [[], ["a"], ["b"], ["a", "c"], ["a", "b", "c"]])
 def test_moments_over_any_axis(spark, kept):
     x = np.random.default_rng(2).random((4, 3, 5)) * 100
