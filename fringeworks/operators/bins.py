@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fringeworks.functions.decode import from_db
 from fringeworks.functions.times import SECOND, second_of_day
-from fringeworks.operators.resample import decimated
+from fringeworks.operators.resample import fir_taps
 from fringeworks.operators.spectral import zoom_density
 
 
@@ -66,41 +64,133 @@ def batches(bin_traces: DataFrame, catalog: DataFrame, bin_ns: int, batch_ns: in
     return rows.withColumn("end_idx", F.col("start_idx") + F.expr("(_e - _b) div interval_ns")).select("bin_start_ns", "trace_id", "batch", "start_idx", "end_idx", (F.lit(SECOND) / F.col("interval_ns")).alias("fs"))
 
 
-def batch_samples(samples: DataFrame, plan: DataFrame, value: str = "x", block: int = 1 << 17) -> DataFrame:
-    """The samples of each batch: an equi-join on (trace, block of indices), never a range join over whole traces."""
-    cut = plan.withColumn("block", F.explode(F.sequence(F.expr(f"start_idx div {block}"), F.expr(f"(end_idx - 1) div {block}"))))
-    joined = samples.withColumn("block", F.expr(f"sample_idx div {block}")).join(cut, ["trace_id", "block"])
-    return joined.where("sample_idx >= start_idx and sample_idx < end_idx").select("bin_start_ns", "trace_id", "batch", "fs", "sample_idx", value)
+def _halo(factors: tuple[int, ...]) -> int:
+    """Samples on either side that a cascade of decimations can reach: ten outputs of each step, at that step's rate."""
+    reach, rate = 0, 1
+    for q in factors:
+        reach, rate = reach + 10 * q * rate, rate * q
+    return reach
+
+
+def _needed(first: int, last: int, length: int, factors: tuple[int, ...]) -> list[tuple[int, int, int]]:
+    """For the outputs ``first`` to ``last`` (not included) of a cascade over ``length`` samples: what each step reads, and its input's length."""
+    lengths = [length]
+    for q in factors:
+        lengths.append(-(-lengths[-1] // q))
+    out = []
+    for q, n in zip(reversed(factors), reversed(lengths[:-1]), strict=True):
+        first, last = max(0, first * q - 10 * q), min(n, (last - 1) * q + 10 * q + 1)
+        out.append((first, last, n))
+    return out[::-1]
+
+
+def cascaded(x: np.ndarray, begin: int, first: int, last: int, length: int, factors: tuple[int, ...]) -> np.ndarray:
+    """The outputs ``first`` to ``last`` of the cascade over a batch of ``length`` samples, of which ``x`` has those from ``begin`` on that it needs.
+
+    Each step takes zeros beyond the ends of its own input, so the outputs are those of the whole batch to the last bit but for the order of sums.
+    """
+    reads = _needed(first, last, length, factors)
+    x = x[reads[0][0] - begin : reads[0][1] - begin]
+    for (low, _, _), q, (to_low, to_high) in zip(reads, factors, [*[r[:2] for r in reads[1:]], (first, last)], strict=True):
+        taps = fir_taps(q)
+        half = len(taps) // 2
+        at = to_low * q - half - low  # where the first output's taps begin in x
+        ahead = max(0, -at)
+        padded = np.concatenate([np.zeros(ahead), x, np.zeros(max(0, (to_high - 1) * q + half + 1 - low - len(x)))])
+        x = np.lib.stride_tricks.sliding_window_view(padded, len(taps))[at + ahead :: q][: to_high - to_low] @ taps[::-1]
+    return x
+
+
+def packed_samples(samples: DataFrame, value: str = "x", cell: int = 1 << 16) -> DataFrame:
+    """trace_id, cell, data (doubles): each trace's samples in cells of ``cell``, a row each; missing ones are zero. This is the only time that a sample is a row in a shuffle."""
+    kind = dict(samples.dtypes)["trace_id"]
+
+    def run(table):
+        import pyarrow as pa
+
+        at = table.column("sample_idx").to_numpy() % cell
+        x = np.zeros(int(at.max()) + 1)
+        x[at] = table.column("x").to_numpy()
+        return pa.table({"trace_id": table.column("trace_id")[:1], "cell": table.column("cell")[:1], "data": pa.array([x.tobytes()], pa.binary())})
+
+    rows = samples.select("trace_id", F.expr(f"sample_idx div {cell}").alias("cell"), "sample_idx", F.col(value).cast("double").alias("x")).where("x is not null")
+    return rows.groupBy("trace_id", "cell").applyInArrow(run, f"trace_id {kind}, cell long, data binary")
+
+
+def decimated_batches(samples: DataFrame, plan: DataFrame, factors: tuple[int, ...] = (2, 2, 5, 5), value: str = "x", block: int = 1 << 17, cell: int = 1 << 16) -> DataFrame:
+    """bin_start_ns, trace_id, batch, fs (after decimation), length (likewise), first, data: each batch through the cascade, in pieces of ``block`` samples before it.
+
+    A piece gets its halo from the packed samples, so a task's bytes are those of a block, whatever the rate; only packed rows are dealt to batches.
+    """
+    kind = dict(samples.dtypes)["trace_id"]
+    down = int(np.prod(factors)) if factors else 1
+    step = max(1, block // down)  # outputs of a piece
+    reach = _halo(factors)
+    n = F.col("end_idx") - F.col("start_idx")
+    pieces = plan.select("bin_start_ns", "trace_id", "batch", "fs", "start_idx", n.alias("n")).where("n > 0")
+    pieces = pieces.withColumn("length", F.expr(f"(n + {down - 1}) div {down}")).withColumn("first", F.explode(F.expr(f"sequence(0l, length - 1, {step}l)")))
+    low = F.greatest(F.col("first") * down - reach, F.lit(0))
+    high = F.least((F.least(F.col("first") + step, F.col("length")) - 1) * down + reach + 1, F.col("n"))
+    cells = F.explode(F.expr(f"sequence((start_idx + low) div {cell}, (start_idx + high - 1) div {cell})"))
+    wanted = pieces.withColumns({"low": low, "high": high}).withColumn("cell", cells)
+    joined = wanted.join(packed_samples(samples, value, cell), ["trace_id", "cell"])
+    schema = f"bin_start_ns long, trace_id {kind}, batch int, fs double, length long, first long, data binary"
+
+    def run(table):
+        import pyarrow as pa
+
+        row = {c: table.column(c)[0].as_py() for c in ("fs", "start_idx", "n", "length", "first", "low", "high")}
+        x = np.zeros(row["high"] - row["low"])
+        origin = row["start_idx"] + row["low"]  # the trace's sample at x[0]
+        for k, data in zip(table.column("cell").to_pylist(), table.column("data").to_pylist(), strict=True):
+            own = np.frombuffer(data)
+            a, b = max(origin, k * cell), min(origin + len(x), k * cell + len(own))
+            if a < b:
+                x[a - origin : b - origin] = own[a - k * cell : b - k * cell]
+        last = min(row["first"] + step, row["length"])
+        made = cascaded(x, row["low"], row["first"], last, row["n"], factors) if factors else x
+        keys = {c: table.column(c)[:1] for c in ("bin_start_ns", "trace_id", "batch")}
+        return pa.table({**keys, "fs": pa.array([row["fs"] / down]), "length": pa.array([row["length"]], pa.int64()), "first": pa.array([row["first"]], pa.int64()), "data": pa.array([made.tobytes()], pa.binary())})
+
+    return joined.groupBy("bin_start_ns", "trace_id", "batch", "first").applyInArrow(run, schema)
 
 
-def averaged_spectrum(batched: DataFrame, factors: tuple[int, ...] = (2, 2, 5, 5), window_s: float = 6.0, overlap: float = 0.9, f1: float = 1.5, f2: float = 50.0, value: str = "x", least_s: float = 6.0) -> DataFrame:
-    """bin_start_ns, freq_idx, freq_hz, freq_label_hz, n_windows, mean_db, std_db.
+def averaged_spectrum(pieces: DataFrame, window_s: float = 6.0, overlap: float = 0.9, f1: float = 1.5, f2: float = 50.0, least_s: float = 6.0, block: int = 1 << 17) -> DataFrame:
+    """bin_start_ns, freq_idx, freq_hz, freq_label_hz, n_windows, mean_db, std_db, from the pieces of ``decimated_batches``.
 
-    Each (bin, trace, batch) is decimated and transformed in one task, of bounded size; its windows' dB are reduced there to
-    count, mean and variance, and these are merged per (bin, frequency).
+    Windows are dealt in groups that span about ``block`` decimated samples, so a task has a few pieces and no batch; their dB are
+    reduced there to count, mean and variance, and these are merged per (bin, frequency).
     """
-    from fringeworks.operators.spectral import nearest_power_of_two
+    from fringeworks.operators.spectral import power_of_two_near
 
     schema = "bin_start_ns long, freq_idx int, freq_hz double, freq_label_hz double, n long, mean double, var double"
+    sized = pieces.withColumn("nfft", power_of_two_near(F.col("fs") * window_s))
+    sized = sized.where(F.col("length") >= F.greatest(F.col("nfft"), F.floor(F.col("fs") * least_s))).withColumn("hop", F.col("nfft") - F.floor(F.col("nfft") * overlap))
+    sized = sized.withColumn("many", F.greatest(F.expr(f"({block} - nfft) div hop"), F.lit(1))).withColumn("size", F.octet_length("data") / 8)
+    # of the windows j (from hop j to hop j + nfft) those that share samples with the piece, as groups of ``many``
+    windows = F.expr("(length - nfft) div hop")
+    low, high = F.greatest(F.ceil((F.col("first") - F.col("nfft") + 1) / F.col("hop")), F.lit(0)), F.least(F.floor((F.col("first") + F.col("size") - 1) / F.col("hop")), windows)
+    dealt = sized.withColumns({"a": low.cast("long"), "b": high.cast("long")}).where("a <= b").withColumn("part", F.explode(F.expr("sequence(a div many, b div many)")))
 
     def run(table):
         import pyarrow as pa
 
-        table = table.sort_by("sample_idx")
-        x, fs = table.column(value).to_numpy(), table.column("fs")[0].as_py()
-        for q in factors:
-            x, fs = decimated(x, q), fs / q
-        nfft = nearest_power_of_two(window_s * fs)
-        if len(x) < max(nfft, int(least_s * fs)):
-            return pa.table({n.split(" ")[0]: [] for n in schema.split(", ")}, schema=pa.schema([("bin_start_ns", pa.int64()), ("freq_idx", pa.int32()), ("freq_hz", pa.float64()), ("freq_label_hz", pa.float64()), ("n", pa.int64()), ("mean", pa.float64()), ("var", pa.float64())]))
-        hop = nfft - int(nfft * overlap)
+        fs, length, nfft, hop, many, part = (table.column(c)[0].as_py() for c in ("fs", "length", "nfft", "hop", "many", "part"))
+        begin = part * many * hop
+        count = min(many, (length - nfft) // hop + 1 - part * many)
+        x = np.zeros((count - 1) * hop + nfft)
+        for first, data in zip(table.column("first").to_pylist(), table.column("data").to_pylist(), strict=True):
+            own = np.frombuffer(data)
+            a, b = max(begin, first), min(begin + len(x), first + len(own))
+            if a < b:
+                x[a - begin : b - begin] = own[a - first : b - first]
         windows = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]
         db = 10 * np.log10(np.maximum(zoom_density(windows, f1, f2, fs, "linear"), 1e-300))
         k = np.arange(nfft)
         columns = [np.full(nfft, table.column("bin_start_ns")[0].as_py()), k.astype(np.int32), f1 + k * (f2 - f1) / nfft, np.linspace(f1, f2, nfft), np.full(nfft, len(db)), db.mean(0), db.var(0)]
         return pa.table([pa.array(c) for c in columns], names=[n.split(" ")[0] for n in schema.split(", ")])
 
-    parts = batched.groupBy("bin_start_ns", "trace_id", "batch").applyInArrow(run, schema)
+    parts = dealt.groupBy("bin_start_ns", "trace_id", "batch", "part").applyInArrow(run, schema)
     keys = ["bin_start_ns", "freq_idx", "freq_hz", "freq_label_hz"]
     sums = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("n") * (F.col("var") + F.col("mean") ** 2)).alias("q"))
     mean = F.col("s") / F.col("n")

@@ -495,7 +495,7 @@ def _bin_spectra(spark, d):
     last = found.agg(F.max("end_ns")).first()[0] or SECOND
     placed = bins.bin_files(found, 0, last, 256 * SECOND, "overlap")
     plan = bins.batches(placed, found, 256 * SECOND, 128 * SECOND, 32 * SECOND)
-    return bins.averaged_spectrum(bins.batch_samples(samples, plan), (2,), 32.0, 0.9, 0.01, 0.2, least_s=32.0)
+    return bins.averaged_spectrum(bins.decimated_batches(samples, plan, (2,)), 32.0, 0.9, 0.01, 0.2, least_s=32.0)
 
 
 # seconds and tenths of them: batches of 128 s are 99.2 s apart; traces lie further apart than a bin is long

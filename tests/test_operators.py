@@ -316,11 +316,54 @@ def test_averaged_spectrum(spark):
     x = np.sin(2 * np.pi * 5 * np.arange(n) / fs) + 0.01 * np.random.default_rng(1).normal(size=n)
     catalog = spark.createDataFrame([(1, 0, n * SECOND // fs, SECOND // fs)], "trace_id long, start_ns long, end_ns long, interval_ns long")
     plan = bins.batches(bins.bin_files(catalog, 0, 15 * SECOND, 15 * SECOND, "overlap"), catalog, 15 * SECOND, 6 * SECOND, 2 * SECOND)
-    found = bins.averaged_spectrum(bins.batch_samples(trace(spark, x), plan, block=64), (2,), 2.0, 0.9, 1.5, 9.0, least_s=2.0)
+    found = bins.averaged_spectrum(bins.decimated_batches(trace(spark, x), plan, (2,), block=64, cell=32), 2.0, 0.9, 1.5, 9.0, least_s=2.0)
     assert abs(found.agg(F.max_by("freq_hz", "mean_db")).first()[0] - 5) < 0.3
     assert found.agg(F.count_distinct("n_windows")).first()[0] == 1
 
 
+def test_cascade_in_pieces():
+    """The outputs of a whole batch, whatever part of it is asked for: zeros beyond each step's ends."""
+    r = np.random.default_rng(7)
+    for factors in ((2,), (2, 2, 5, 5), (5, 3)):
+        for n in (1, 7, 100, 2600, 5001):
+            x = r.normal(size=n) + 3
+            whole = x
+            for q in factors:
+                whole = resample.decimated(whole, q)
+            for step in (1, 3, len(whole)) if n < 200 else (7, 26, len(whole)):
+                for first in range(0, len(whole), step):
+                    last = min(first + step, len(whole))
+                    low, high, _ = bins._needed(first, last, n, factors)[0]
+                    reach, down = bins._halo(factors), int(np.prod(factors))
+                    assert low >= first * down - reach and high <= (last - 1) * down + reach + 1
+                    assert np.allclose(bins.cascaded(x[low:high], low, first, last, n, factors), whole[first:last], atol=1e-12)
+
+
+@pytest.mark.parametrize(("block", "cell", "windows"), [(100, 64, 150), (700, 1000, 40), (1 << 17, 1 << 16, 1 << 17)])
+def test_batches_are_the_same_for_any_block(spark, block, cell, windows):
+    fs, n, factors = 400, 9000, (2, 5)
+    r = np.random.default_rng(2)
+    x = np.sin(2 * np.pi * 5 * np.arange(n) / fs) + r.normal(size=n)
+    catalog = spark.createDataFrame([(1, 0, n * SECOND // fs, SECOND // fs)], "trace_id long, start_ns long, end_ns long, interval_ns long")
+    plan = bins.batches(bins.bin_files(catalog, 0, 15 * SECOND, 15 * SECOND, "overlap"), catalog, 15 * SECOND, 6 * SECOND, 2 * SECOND)
+    pieces = bins.decimated_batches(trace(spark, x), plan, factors, block=block, cell=cell)
+    found = {(r.bin_start_ns, r.freq_idx): r for r in bins.averaged_spectrum(pieces, 2.0, 0.9, 1.5, 9.0, 2.0, windows).collect()}
+    db = {}
+    for p in plan.collect():
+        y = x[p.start_idx : p.end_idx]
+        for q in factors:
+            y = resample.decimated(y, q)
+        nfft = spectral.nearest_power_of_two(2.0 * 40)
+        if len(y) >= max(nfft, 80):
+            w = np.lib.stride_tricks.sliding_window_view(y, nfft)[:: nfft - int(nfft * 0.9)]
+            db.setdefault(p.bin_start_ns, []).append(10 * np.log10(spectral.zoom_density(w, 1.5, 9.0, 40.0, "linear")))
+    assert len(found) == sum(x[0].shape[1] for x in db.values())
+    for b, own in db.items():
+        own = np.concatenate(own)
+        for k in range(own.shape[1]):
+            assert np.allclose([found[b, k].n_windows, found[b, k].mean_db, found[b, k].std_db], [len(own), own[:, k].mean(), own[:, k].std()], atol=1e-8)
+
+
 def test_sweeps_and_hooks(spark):
     grid = sweep.sweep_axis(spark, 5, 3, 0.2, 10.0)
     vpp = [r.vpp for r in grid.where("j = 0").orderBy("i").collect()]
