@@ -43,12 +43,23 @@ def triggers(df: DataFrame, on: float, off: float, key: str = "trace_id", value:
     return found.where("onset is not null").select(key, "onset", "end")
 
 
-def merge_events(events: DataFrame, gap: float, keys: list[str]) -> DataFrame:
-    """keys, begin, end, n: events that begin within ``gap`` of the end of the one before are one, ending where its last member does."""
-    order = Window.partitionBy(*keys).orderBy("begin", "end")
-    fresh = F.when(F.col("begin") > F.lag("end").over(order) + gap, 1).otherwise(0)
-    placed = events.withColumn("_fresh", fresh).withColumn("_group", F.sum("_fresh").over(order))
-    return placed.groupBy(*keys, "_group").agg(F.min("begin").alias("begin"), F.max_by("end", F.struct("begin", "end")).alias("end"), F.count(F.lit(1)).alias("n")).drop("_group")
+def merge_events(events: DataFrame, gap: float, keys: list[str], width: float = 4096.0) -> DataFrame:
+    """keys, begin, end, n: events that begin within ``gap`` of the end of the one before are one, ending where its last member does.
+
+    A segmented scan: events are ordered within time buckets of ``width``; a bucket's last end and how many groups begin in it are one row, and these rows
+    alone are scanned along a key. So no task orders a whole key, and a group may run over any number of buckets.
+    """
+    bucketed = events.withColumn("_bucket", F.floor(F.col("begin") / width))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("begin", "end")
+    fresh = lambda last: F.when(F.col("begin") > last + gap, 1).otherwise(0)
+    placed = bucketed.withColumn("_fresh", fresh(F.lag("end").over(inside)))  # the first of a bucket isn't known here
+    sums = placed.groupBy(*keys, "_bucket").agg(F.sum("_fresh").alias("_more"), F.min("begin").alias("begin"), F.max_by("end", F.struct("begin", "end")).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    sums = sums.withColumn("_first", fresh(F.lag("_last").over(along)))
+    before = F.coalesce(F.sum(F.col("_first") + F.col("_more")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*keys, "_bucket", (before + F.col("_first")).alias("_ahead"))
+    grouped = placed.withColumn("_within", F.sum("_fresh").over(inside)).join(sums, [*keys, "_bucket"]).withColumn("_group", F.col("_ahead") + F.col("_within"))
+    return grouped.groupBy(*keys, "_group").agg(F.min("begin").alias("begin"), F.max_by("end", F.struct("begin", "end")).alias("end"), F.count(F.lit(1)).alias("n")).drop("_group")
 
 
 def coincidences(a: DataFrame, b: DataFrame, keys: list[str], slack: float = 1.0, width: float = 64.0) -> DataFrame:

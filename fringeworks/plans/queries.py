@@ -331,16 +331,34 @@ def zoom_callables(spark, d):
 
 @query(_DECODED + "select trace_id, count(*) as n, round(max(cycles) - min(cycles), 4) as span, max(sample_idx) as last_idx from p group by trace_id")
 def trace_hook(spark, d):
-    """A function of the user's on each trace."""
+    """A function of the user's on each trace, which need not fit a task: by blocks of 128 samples, and merged."""
 
-    def about(table):
-        import pyarrow as pa
-        import pyarrow.compute as pc
+    def update(state, table):
+        x = table.column("cycles").to_numpy()
+        return merge(state, (len(x), x.min(), x.max(), table.column("sample_idx").to_numpy().max()))
 
-        x = table.column("cycles")
-        return pa.table({"trace_id": table.column("trace_id")[:1], "n": pa.array([table.num_rows], pa.int64()), "span": pa.array([pc.max(x).as_py() - pc.min(x).as_py()]), "last_idx": pa.array([pc.max(table.column("sample_idx")).as_py()], pa.int64())})
+    def merge(a, b):
+        return (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])) if a else b
 
-    return hooks.analyse(_samples(spark, d), about, "trace_id long, n long, span double, last_idx long").withColumn("span", F.round("span", 4))
+    about = hooks.Reduction(lambda: None, update, merge, lambda s: {"n": s[0], "span": float(s[2] - s[1]), "last_idx": int(s[3])}, "n long, span double, last_idx long")
+    return hooks.reduce_traces(_samples(spark, d), about, block=128, fan=4).withColumn("span", F.round("span", 4))
+
+
+@query(SQL["radius_moments"])
+def hook_moments(spark, d):
+    rows = _iqm(spark, d).select("trace_id", "sample_idx", decode.radius().alias("x"))
+    found = hooks.reduce_traces(rows, hooks.moments_hook(), block=128, fan=2)
+    return found.select("trace_id", *[F.round(f"m{k}", 6).alias(f"m{k}") for k in (3, 4, 5, 6)])
+
+
+@query(_DECODED + """, e as (select trace_id, min(radius) as least, (max(radius) - min(radius)) / 100 as width from p group by trace_id)
+select trace_id, cast(least(floor((radius - least) / width), 99) as int) as bin, count(*) as n from p join e using (trace_id) group by all""")
+def hook_histogram(spark, d):
+    """Two reductions: the ranges, then counts between them."""
+    rows = _iqm(spark, d).select("trace_id", "sample_idx", decode.radius().alias("x"))
+    ranges = hooks.reduce_traces(rows, hooks.range_hook(), block=128)
+    found = hooks.reduce_traces(rows.join(ranges.select("trace_id", "least", "most"), "trace_id"), hooks.histogram_hook(), block=128)
+    return found.select("trace_id", F.posexplode("counts").alias("bin", "n")).where("n > 0")
 
 
 # --- events

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fringeworks.functions import decode, times
+from fringeworks.functions import hooks
 from fringeworks.functions.hooks import analyse
 from fringeworks.operators import bins, events, resample, spectral, stats, sweep, unwrap
 
@@ -376,6 +377,38 @@ def test_sweeps_and_hooks(spark):
     assert out.count() == 1
 
 
+@pytest.mark.parametrize(("block", "fan"), [(7, 2), (64, 3), (1000, 256)])
+def test_reductions_by_blocks(spark, block, fan):
+    x = np.random.default_rng(9).gamma(2.0, size=333) * 5 + 100
+    df = trace(spark, x).unionByName(trace(spark, [4.0, 4.0], 2)).repartition(5)
+    found = {r.trace_id: r for r in hooks.reduce_traces(df, hooks.moments_hook(), block=block, fan=fan).collect()}
+    z = (x - x.mean()) / x.std()
+    assert np.allclose(found[1][1:], [333, x.mean(), x.std(), *((z**k).mean() for k in (3, 4, 5, 6))]) and found[2].m3 is None and found[2].n == 2
+    ranged = df.join(hooks.reduce_traces(df, hooks.range_hook(), block=block, fan=fan), "trace_id")
+    counts = {r.trace_id: r.counts for r in hooks.reduce_traces(ranged, hooks.histogram_hook(20), block=block, fan=fan).collect()}
+    assert counts[1] == np.histogram(x, 20)[0].tolist() and sum(counts[2]) == 2
+    # states merge in order, in whatever groups
+    order = hooks.Reduction(lambda: [], lambda s, t: s + t.column("sample_idx").to_pylist(), lambda a, b: a + b, lambda s: {"ok": s == sorted(s), "n": len(s)}, "ok boolean, n long")
+    assert sorted((r.trace_id, r.ok, r.n) for r in hooks.reduce_traces(df, order, block=block, fan=fan).collect()) == [(1, True, 333), (2, True, 2)]
+
+
+@pytest.mark.parametrize("width", [0.5, 10.0, 1e6])
+def test_events_merge_over_buckets(spark, width):
+    r = np.random.default_rng(5)
+    rows = [(k, float(b), float(b + abs(e))) for k, n in (("a", 400), ("b", 3), ("c", 1)) for b, e in zip(np.cumsum(r.exponential(3, n)), r.normal(0, 4, n))] + [("a", 5.0, 5.0), ("a", 5.0, 90.0)]
+    want = []
+    for key in "abc":
+        own, groups = sorted(x[1:] for x in rows if x[0] == key), []
+        for k, (b, e) in enumerate(own):
+            if k and b <= own[k - 1][1] + 2.0:
+                groups[-1].append((b, e))
+            else:
+                groups.append([(b, e)])
+        want += [(key, g[0][0], g[-1][1], len(g)) for g in groups]
+    found = events.merge_events(spark.createDataFrame(rows, "k string, begin double, end double"), 2.0, ["k"], width)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_local_time(spark):
     df = spark.sql("select timestamp_ntz'2024-01-19 00:34:36' as ts")
     r = df.select(times.local_time(F.col("ts"), "Asia/Singapore").alias("l")).select("l", times.instant(F.col("l"), "Asia/Singapore").alias("u"), times.second_of_day(F.col("l")).alias("s")).first()
