@@ -548,12 +548,12 @@ def bin_spectrum(spark, d):
 @query(_BIN_SPECTRA + ", cast(epoch_ms(bin * 256 * 1000) as date) as date from e group by bin, k")
 def bin_spectrum_sink(spark, d):
     """Written twice: the second run finds nothing left to add."""
-    from fringeworks.sources.sinks import append_bins
+    from fringeworks.sources.sinks import append_bins, read_bins
 
     spectra, path = _bin_spectra(spark, d), work_path(spark, "bins")
     append_bins(spectra, path)
     append_bins(spectra, path)
-    return _rounded(spark.read.parquet(path))
+    return _rounded(read_bins(spark, path))
 
 
 # --- sweeps
@@ -657,12 +657,15 @@ def stream_unwrap(spark, d):
 
 @query(_DECODED + f"select cast(trace_id as varchar) as trace_id, count(*) as n, round(avg(radius), 3) as mean, round(stddev_pop(radius), 3) as std_dev, round(min(radius), 3) as min {_KEEP}")
 def stream_captures(spark, d):
+    """Captures as they arrive, into a store that takes each batch once; all files come again to a second stream, whose rows take the place of the first's."""
+    from fringeworks.sources import store
     from fringeworks.streaming import stream
 
     path, out = _trace_files(spark, d), work_path(spark, "captured")
     made = lambda w: stats.summary(stats.skip_first(decode.decode(w), DROP).withColumn("x", decode.radius()), ["trace_id"])
-    stream.captures(spark, path, work_path(spark, "checkpoint"), made, lambda b, k: b.write.mode("append").parquet(out))
-    return spark.read.parquet(out).select("trace_id", "n", *[F.round(c, 3).alias(c) for c in ("mean", "std_dev", "min")])
+    for source in ("first", "second"):
+        stream.captures(spark, path, work_path(spark, "checkpoint"), made, lambda b, k, s=source: store.apply_batch(b, out, k, s))
+    return store.latest(spark, out, ["trace_id"]).select("trace_id", "n", *[F.round(c, 3).alias(c) for c in ("mean", "std_dev", "min")])
 
 
 @query("select time_bucket(interval '15 minutes', ts) as bin_start, count(*) as n, round(avg(value), 6) as mean from events group by 1")

@@ -1,11 +1,12 @@
-"""Result stores: partitioned Parquet with dynamic overwrite, and keyed upserts by staging."""
+"""Result stores: partitioned Parquet with dynamic overwrite, bins added by commits, and keyed upserts by staging."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeworks.operators.sweep import upserted
+from fringeworks.sources.store import append_new, read
 
 
 def write_bins(spectra: DataFrame, path: str) -> None:
@@ -14,16 +15,14 @@ def write_bins(spectra: DataFrame, path: str) -> None:
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
-def append_bins(spectra: DataFrame, path: str) -> None:
-    """Bins that aren't in the store yet are added to it; an empty folder is a new store."""
-    try:
-        done = spectra.sparkSession.read.parquet(path).select("bin_start_ns").distinct()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        done = None
-    fresh = spectra if done is None else spectra.join(done, "bin_start_ns", "left_anti")
-    fresh.withColumn("date", F.to_date(F.timestamp_micros(F.expr("bin_start_ns div 1000")))).write.mode("append").partitionBy("date").parquet(path)
+def append_bins(spectra: DataFrame, path: str) -> int:
+    """Bins that aren't in the store yet are added to it; how many. Others may add to it meanwhile: no bin is stored twice."""
+    dated = spectra.withColumn("date", F.to_date(F.timestamp_micros(F.expr("bin_start_ns div 1000"))))
+    return append_new(dated, path, "bin_start_ns", "date")
+
+
+def read_bins(spark: SparkSession, path: str) -> DataFrame:
+    return read(spark, path).drop("commit_name")
 
 
 def upsert_cells(cells: DataFrame, path: str, staging: str, keys: list[str] | None = None, by: str = "i") -> None:

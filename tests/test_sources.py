@@ -11,7 +11,7 @@ from fringeworks.plans.queries import QUERIES
 from fringeworks.sources import captures
 from fringeworks.sources import catalog as catalogs
 from fringeworks.sources.phase_trace import register, write_traces
-from fringeworks.sources.sinks import append_bins, upsert_cells, write_bins
+from fringeworks.sources.sinks import append_bins, read_bins, upsert_cells, write_bins
 from fringeworks.streaming import stream
 
 HEADER = "# command line: ./board -U /dev/x -q 268435456 -s 249 -l -b -v 3\n# recording start: 2023-11-23 17:03:08 +0800\n"
@@ -101,9 +101,9 @@ def test_file_names(spark):
 
 def test_sinks(spark, tmp_path):
     one = spark.createDataFrame([(0, 1, 2.0), (86400 * 10**9, 1, 3.0)], "bin_start_ns long, freq_idx int, mean_db double")
-    append_bins(one, f"{tmp_path}/a")
-    append_bins(one.unionByName(spark.createDataFrame([(5, 1, 9.0)], one.schema)), f"{tmp_path}/a")
-    assert spark.read.parquet(f"{tmp_path}/a").count() == 3
+    assert append_bins(one, f"{tmp_path}/a") == 2
+    assert append_bins(one.unionByName(spark.createDataFrame([(5, 1, 9.0)], one.schema)), f"{tmp_path}/a") == 1
+    assert append_bins(one, f"{tmp_path}/a") == 0 and read_bins(spark, f"{tmp_path}/a").count() == 3
     write_bins(one, f"{tmp_path}/b")
     write_bins(one.limit(1).withColumn("mean_db", F.lit(7.0)), f"{tmp_path}/b")
     assert spark.read.parquet(f"{tmp_path}/b").count() == 2
