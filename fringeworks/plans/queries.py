@@ -643,16 +643,16 @@ def stream_welford(spark, d):
 
 @query(_DECODED + "select trace_id, sample_idx, mu as m_unwrapped from u")
 def stream_unwrap(spark, d):
-    """Chunks of 128 samples that arrive one batch after the other."""
+    """Chunks of 128 samples that arrive out of order, a batch each: the first, fourth, seventh, third, sixth, second and fifth."""
     from fringeworks.streaming import stream
 
     chunks, out = work_path(spark, "chunks"), work_path(spark, "unwrapped")
-    rows = _iqm(spark, d).select("trace_id", "sample_idx", "m").withColumn("chunk", F.expr("sample_idx div 128"))
-    for k in range((rows.agg(F.max("chunk")).first()[0] or 0) + 1):
-        rows.where(F.col("chunk") == k).drop("chunk").coalesce(1).write.mode("append").parquet(chunks)
-    source = spark.readStream.schema("trace_id long, sample_idx long, m long").option("maxFilesPerTrigger", 1).parquet(chunks)
-    stream.run_available(stream.unwrapped(source), work_path(spark, "checkpoint"), path=out)
-    return spark.read.parquet(out)
+    rows = _iqm(spark, d).select("trace_id", "sample_idx", "m", F.expr("sample_idx div 128 * 3 % 7").cast("int").alias("arrival"))
+    rows.repartition("arrival").write.partitionBy("arrival").parquet(chunks)
+    stream.feed_by_name(spark, chunks)
+    source = spark.readStream.schema("trace_id long, sample_idx long, m long, arrival int").option("maxFilesPerTrigger", 1).parquet(chunks)
+    stream.run_available(stream.unwrapped(source.drop("arrival")), work_path(spark, "checkpoint"), path=out, rocks=True)
+    return spark.read.schema("trace_id long, sample_idx long, m_unwrapped long").parquet(out)
 
 
 @query(_DECODED + f"select cast(trace_id as varchar) as trace_id, count(*) as n, round(avg(radius), 3) as mean, round(stddev_pop(radius), 3) as std_dev, round(min(radius), 3) as min {_KEEP}")
@@ -681,6 +681,47 @@ def stream_bins(spark, d):
     return latest.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "s.n", F.round("s.mean", 6).alias("mean"))
 
 
+#: Events come in nine parts: eight of the order of time, then every 97th of them all.
+_LATE = """with e as (select *, time_bucket(interval '15 minutes', ts) as bin_start, event_id % 97 = 0 as tardy from events), w as (select max(ts) filter (not tardy) - interval '1 hour' as w0, max(ts) - interval '1 hour' as w1 from e),
+b as (select e.*, w1, tardy and bin_start + interval '15 minutes' <= w0 as late from e, w) """
+
+
+def _late_store(spark, d) -> str:
+    from fringeworks.streaming import stream
+
+    chunks, path = work_path(spark, "chunks"), work_path(spark, "late")
+    rows = fx.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    ends = rows.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    eighth = F.least(F.expr(f"(unix_micros(ts) - {ends['a'] or 0}) * 8 div {(ends['b'] or 0) - (ends['a'] or 0) + 1}"), F.lit(7))
+    rows = rows.withColumn("arrival", F.when(F.col("event_id") % 97 == 0, 8).otherwise(eighth).cast("int"))
+    rows.repartition("arrival").write.partitionBy("arrival").parquet(chunks)
+    stream.feed_by_name(spark, chunks)
+    source = spark.readStream.schema("event_id long, ts timestamp, value double, arrival int").option("maxFilesPerTrigger", 1).parquet(chunks)
+    stream.run_available(source.drop("arrival"), work_path(spark, "checkpoint"), lambda b, k: stream.split_late(b, k, path, "ts", "15 minutes", 3600.0))
+    return path
+
+
+@query(_LATE + "select bin_start, count(*) as n, round(avg(value), 6) as mean from b where not late and bin_start + interval '15 minutes' <= w1 group by bin_start")
+def stream_bins_final(spark, d):
+    """Bins that are final an hour after their end, each once; state of the others alone is kept."""
+    from fringeworks.streaming import stream
+
+    path, out = _late_store(spark, d), work_path(spark, "final")
+    stream.feed_by_name(spark, f"{path}/timely")
+    source = spark.readStream.schema("event_id long, ts timestamp, value double, part int").option("maxFilesPerTrigger", 1).parquet(f"{path}/timely")
+    stream.run_available(stream.binned(source, "ts", late="1 hour"), work_path(spark, "checkpoint"), path=out)
+    return spark.read.schema("bin_start timestamp, n long, mean double").parquet(out).select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query(_LATE + "select event_id, ts from b where late")
+def stream_late_rows(spark, d):
+    """Events that came when their bin was final."""
+    from fringeworks.sources import store
+
+    rows = store.read(spark, f"{_late_store(spark, d)}/late", "event_id long, ts timestamp, value double")
+    return rows.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each trace: samples, radius mean, deviation and least after the first ones, and the range of its phase."""
     samples = _samples(spark, sf_dir).where(F.col("sample_idx") >= DROP)

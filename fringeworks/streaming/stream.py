@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
 
 from fringeworks.functions.decode import WRAP
+from fringeworks.sources import store
 from fringeworks.sources.captures import read_headers, read_ranges
 from fringeworks.sources.phase_trace import BLOCK
 
@@ -19,43 +22,150 @@ def running_moments(stream: DataFrame, keys: list[str], value: str = "x") -> Dat
 
 
 def binned(stream: DataFrame, ts: str, width: str = "15 minutes", late: str | None = None, value: str = "value") -> DataFrame:
-    """bin_start, n, mean: fixed bins, for update mode: a bin's row comes again as events reach it, in whatever order they arrive.
+    """bin_start, n, mean: fixed bins. In update mode a bin's row comes again as events reach it, in whatever order they arrive; state holds a row for each bin.
 
-    State holds a row for each bin. With ``late`` bins are final, and their state is dropped, once the watermark has passed them; later events are lost.
+    With ``late``, in append mode, a bin comes once, when the watermark has passed its end, and its state is dropped; later events are lost (``split_late`` keeps them).
     """
     timed = stream if late is None else stream.withWatermark(ts, late)
     rows = timed.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     return rows.select(F.col("w.start").alias("bin_start"), "n", "mean")
 
 
-def unwrapped(stream: DataFrame) -> DataFrame:
-    """trace_id, sample_idx, m_unwrapped of a stream of (trace_id, sample_idx, m): state is the last counter, the turns so far and the next index.
+class _Repair(StatefulProcessor):
+    """The counter of one trace: what came last, and the chunks that wait for a gap to be filled."""
+
+    def __init__(self, patience_ms: int | None):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "last long, turns long, following long")
+        self.waiting = handle.getMapState("waiting", "first long", "m binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        last, turns, following = self.at.get() if self.at.exists() else (None, 0, 0)
+        new = pd.concat(list(rows)).sort_values("sample_idx").drop_duplicates("sample_idx")
+        index, m = new["sample_idx"].to_numpy(np.int64), new["m"].to_numpy(np.int64)
+        cuts = np.flatnonzero(np.diff(index) != 1) + 1
+        runs = {int(i[0]): x for i, x in zip(np.split(index, cuts), np.split(m, cuts), strict=True) if len(i)}
+        known = {k[0]: None for k in self.waiting.keys()}
+        out: list[tuple] = []
+        while usable := [k for k in (*runs, *known) if k <= following]:
+            for first in usable:
+                x = runs.pop(first, None)
+                if first in known:
+                    stored = np.frombuffer(self.waiting.getValue((first,))[0], "<i8")
+                    self.waiting.removeKey((first,))
+                    del known[first]
+                    x = stored if x is None or len(x) < len(stored) else x
+                x = x[following - first :]  # samples that have come before are left out
+                if len(x):
+                    jump = np.diff(x, prepend=x[0] if last is None else last)
+                    total = turns + np.cumsum((jump > WRAP).astype(np.int64) - (jump < -WRAP))
+                    out.append((following + np.arange(len(x)), x - 65536 * total))
+                    last, turns, following = int(x[-1]), int(total[-1]), following + len(x)
+        for first, x in runs.items():
+            if first not in known or len(x) * 8 > len(self.waiting.getValue((first,))[0]):
+                self.waiting.updateValue((first,), (x.astype("<i8").tobytes(),))
+        if last is not None:
+            self.at.update((last, turns, following))
+        if self.patience_ms is not None:
+            timers = list(self.handle.listTimers())
+            if (runs or known) and not timers:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+            elif not runs and not known:
+                for t in timers:
+                    self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        index, m = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(2))
+        yield pd.DataFrame({"trace_id": np.full(len(index), key[0]), "sample_idx": index, "m_unwrapped": pd.array(m, "Int64"), "gap_until": pd.array([None] * len(index), "Int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        """The gap that is still open, as a row."""
+        import pandas as pd
+
+        firsts = [k[0] for k in self.waiting.keys()]
+        following = self.at.get()[2] if self.at.exists() else 0
+        if firsts:
+            yield pd.DataFrame({"trace_id": [key[0]], "sample_idx": [following], "m_unwrapped": pd.array([None], "Int64"), "gap_until": pd.array([min(firsts)], "Int64")})
+        else:
+            yield pd.DataFrame({"trace_id": pd.Series(dtype="int64"), "sample_idx": pd.Series(dtype="int64"), "m_unwrapped": pd.Series(dtype="Int64"), "gap_until": pd.Series(dtype="Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def unwrapped(stream: DataFrame, patience_s: float | None = None) -> DataFrame:
+    """trace_id, sample_idx, m_unwrapped, gap_until of a stream of (trace_id, sample_idx, m), whose chunks may come in any order, more than once or overlapping.
+
+    State has the last counter, the turns so far and the next index of a trace, and the chunks that came early, which wait until what is missing has come; samples that
+    have been given are not given again. ``gaps`` reads the open gaps from a checkpoint. With ``patience_s`` a gap that is open for so long is also told in the stream, once,
+    as a row without m_unwrapped: the first sample that is missing and, in gap_until, the first that waits; the stream goes on, and the gap may
+    still be filled. Timers run with a stream that goes on, not with ``run_available``. Needs the RocksDB state store.
+    """
+    schema = "trace_id long, sample_idx long, m_unwrapped long, gap_until long"
+    timed = patience_s is not None
+    return stream.groupBy("trace_id").transformWithStateInPandas(_Repair(int(1000 * patience_s) if timed else None), schema, "append", "processingTime" if timed else "none")
+
+
+def gaps(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """trace_id, first_missing, first_waiting, n_waiting: the traces of an ``unwrapped`` stream in which chunks wait, from its checkpoint."""
+    of = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    waiting = of("waiting").select(F.col("key.trace_id").alias("trace_id"), F.col("user_map_key.first").alias("first")).groupBy("trace_id").agg(F.min("first").alias("first_waiting"), F.count(F.lit(1)).alias("n_waiting"))
+    at = of("at").select(F.col("key.trace_id").alias("trace_id"), F.col("value.following").alias("following"))
+    return waiting.join(at, "trace_id", "left").select("trace_id", F.coalesce("following", F.lit(0)).alias("first_missing"), "first_waiting", "n_waiting")
+
+
+def feed_by_name(spark: SparkSession, folder: str) -> None:
+    """Gives the files under ``folder`` times in the order of their paths, so that a stream takes them in that order."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    listed, paths = fs.listFiles(spark._jvm.org.apache.hadoop.fs.Path(folder), True), []
+    while listed.hasNext():
+        paths.append(listed.next().getPath())
+    begin = int(time.time()) * 1000 - 1000 * len(paths)
+    for k, path in enumerate(sorted(paths, key=lambda p: p.toString())):
+        fs.setTimes(path, begin + 1000 * k, -1)
+
+
+def split_late(rows: DataFrame, batch: int, path: str, ts: str, width: str, late_s: float) -> None:
+    """For ``foreachBatch``: rows whose bin was final when they came go to the store ``path/late``, all others to the folder ``path/timely``, each once.
 
-    A chunk may arrive in several batches, but a trace's chunks come in order; samples ahead of a gap are refused.
+    A bin is final for a batch when its end is at most ``late_s`` before the latest time of all batches before it. A stream over ``path/timely`` with that
+    watermark loses no row, as its own watermark is never ahead of this one.
     """
-    import numpy as np
-    import pandas as pd
-
-    def step(key, frames: Iterator, state: GroupState) -> Iterator:
-        last, turns, following = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("sample_idx")
-        if int(rows["sample_idx"].iloc[0]) != following:
-            raise ValueError(f"trace {key[0]}: sample {following} is missing")
-        m = rows["m"].to_numpy()
-        jump = np.diff(m, prepend=m[0] if last is None else last)
-        delta = (jump > WRAP).astype(np.int64) - (jump < -WRAP)
-        total = turns + np.cumsum(delta)
-        state.update((int(m[-1]), int(total[-1]), following + len(m)))
-        yield pd.DataFrame({"trace_id": key[0], "sample_idx": rows["sample_idx"].to_numpy(), "m_unwrapped": m - 65536 * total})
-
-    return stream.groupBy("trace_id").applyInPandasWithState(step, "trace_id long, sample_idx long, m_unwrapped long", "last long, turns long, following long", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append") -> None:
-    """Process what is there and stop: to ``each`` micro-batch, or appended to Parquet at ``path``."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = (writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)).start()
+    spark = rows.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = store.read(spark, f"{path}/marks", "batch long, top timestamp").where(F.col("batch") < batch)
+    final = F.lit(marks.agg(F.max("top")).first()[0]).cast("timestamp") - F.make_dt_interval(secs=F.lit(late_s))
+    judged = rows.withColumn("_late", F.coalesce(F.window(ts, width)["end"] <= final, F.lit(False))).select(*rows.columns, "_late")
+    store.apply_batch(judged.where("_late").drop("_late"), f"{path}/late", batch)
+    done, draft = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"timely/part={batch:09d}", f"_draft-{batch}"))
+    if not fs.exists(done):
+        judged.where("not _late").drop("_late").write.mode("overwrite").parquet(draft.toString())
+        fs.mkdirs(done.getParent())
+        fs.rename(draft, done)
+    store.apply_batch(rows.agg(F.lit(batch).cast("long").alias("batch"), F.max(ts).alias("top")), f"{path}/marks", batch)
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append", rocks: bool = False) -> StreamingQuery:
+    """Process what is there and stop: to ``each`` micro-batch, or appended to Parquet at ``path``. ``rocks``: state in RocksDB."""
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    if rocks:
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query = (writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)).start()
+    finally:
+        if rocks:
+            spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
     query.awaitTermination()
+    return query
 
 
 def captures(spark: SparkSession, folder: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None] | None = None, block: int = BLOCK) -> None:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from fringeworks.functions import decode
 from fringeworks.plans.queries import QUERIES
-from fringeworks.sources import captures
+from fringeworks.operators import unwrap
+from fringeworks.sources import captures, store
 from fringeworks.sources import catalog as catalogs
 from fringeworks.sources.phase_trace import register, write_traces
 from fringeworks.sources.sinks import append_bins, read_bins, upsert_cells, write_bins
@@ -125,14 +126,90 @@ def test_captures_arrive(spark, folder, tmp_path):
     assert os.path.isdir(f"{tmp_path}/ck-captures") and len(words) == 1000
 
 
-def test_stream_refuses_gaps(spark, tmp_path):
-    spark.createDataFrame([(1, 0, 0), (1, 1, 5)], "trace_id long, sample_idx long, m long").write.parquet(f"{tmp_path}/in")
-    read = lambda: spark.readStream.schema("trace_id long, sample_idx long, m long").parquet(f"{tmp_path}/in")
-    stream.run_available(stream.unwrapped(read()), f"{tmp_path}/ck", path=f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
-    spark.createDataFrame([(1, 7, 9)], "trace_id long, sample_idx long, m long").write.mode("append").parquet(f"{tmp_path}/in")
-    with pytest.raises(Exception, match="missing"):
-        stream.run_available(stream.unwrapped(read()), f"{tmp_path}/ck", path=f"{tmp_path}/out")
+CHUNK = "trace_id long, sample_idx long, m long"
+
+
+def _arrive(spark, folder, chunks):
+    """A file each, in this order."""
+    for k, rows in enumerate(chunks):
+        spark.createDataFrame(rows, CHUNK).coalesce(1).write.parquet(f"{folder}/arrival={k:04d}")
+    stream.feed_by_name(spark, folder)
+    return spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_stream_of_shuffled_chunks(spark, tmp_path):
+    """Chunks in any order, twice, and overlapping: each sample once, as from the whole trace."""
+    r = np.random.default_rng(4)
+    whole = {t: [(t, k, int((k * 3000 + t + 32768) % 65536) - 32768) for k in range(300)] for t in (1, 2)}
+    chunks = [rows[a : a + 40] for rows in whole.values() for a in range(0, 300, 40)] + [whole[1][100:170], whole[2][0:5], whole[1][80:120]]
+    chunks = [chunks[k] for k in r.permutation(len(chunks))]
+    chunks = [sum(chunks[k : k + 3], []) for k in range(0, len(chunks), 3)]
+    out = f"{tmp_path}/out"
+    stream.run_available(stream.unwrapped(_arrive(spark, f"{tmp_path}/in", chunks)), f"{tmp_path}/ck", path=out, rocks=True)
+    found = spark.read.parquet(out)
+    want = unwrap.unwrap(spark.createDataFrame(whole[1] + whole[2], CHUNK), 50).select("trace_id", "sample_idx", "m_unwrapped")
+    assert sorted(map(tuple, found.select("trace_id", "sample_idx", "m_unwrapped").collect())) == sorted(map(tuple, want.collect()))
+    assert found.where("gap_until is not null").count() == 0 and stream.gaps(spark, f"{tmp_path}/ck").count() == 0
+
+
+def test_stream_tells_gaps(spark, tmp_path):
+    """A gap stops neither the stream nor other traces; filled later, the samples follow."""
+    rows = lambda t, a, b: [(t, k, k) for k in range(a, b)]
+    chunks, out = [rows(1, 0, 5) + rows(2, 0, 5), rows(1, 8, 10), rows(2, 5, 9) + rows(1, 20, 22)], f"{tmp_path}/out"
+    read = _arrive(spark, f"{tmp_path}/in", chunks)
+    stream.run_available(stream.unwrapped(read), f"{tmp_path}/ck", path=out, rocks=True)
+    assert [tuple(r) for r in stream.gaps(spark, f"{tmp_path}/ck").collect()] == [(1, 5, 8, 2)]
+    assert spark.read.parquet(out).groupBy("trace_id").count().orderBy("trace_id").collect() == [(1, 5), (2, 9)]
+    spark.createDataFrame(rows(1, 5, 8), CHUNK).coalesce(1).write.parquet(f"{tmp_path}/in/arrival=0009")
+    stream.run_available(stream.unwrapped(read), f"{tmp_path}/ck", path=out, rocks=True)
+    assert [tuple(r) for r in stream.gaps(spark, f"{tmp_path}/ck").collect()] == [(1, 10, 20, 1)]
+    assert sorted(r.sample_idx for r in spark.read.parquet(out).where("trace_id = 1").collect()) == list(range(10))
+
+
+def test_stream_gap_by_timer(spark, tmp_path):
+    """In a stream that goes on, an open gap becomes a row after a while."""
+    import time
+
+    read = _arrive(spark, f"{tmp_path}/in", [[(1, 0, 0), (1, 4, 4)], [(2, 0, 0)]])
+    before = spark.conf.get(stream._PROVIDER)
+    spark.conf.set(stream._PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = stream.unwrapped(read, 0.5).writeStream.option("checkpointLocation", f"{tmp_path}/ck").format("parquet").option("path", f"{tmp_path}/out").trigger(processingTime="1 second").start()
+    spark.conf.set(stream._PROVIDER, before)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            assert query.exception() is None
+            told = spark.read.schema(CHUNK + ", gap_until long").parquet(f"{tmp_path}/out").where("gap_until is not null").collect() if os.path.isdir(f"{tmp_path}/out/_spark_metadata") else []
+            if told:
+                break
+    finally:
+        query.stop()
+    assert [(r.trace_id, r.sample_idx, r.gap_until) for r in told] == [(1, 1, 4)]
+
+
+def test_stream_of_final_bins(spark, tmp_path):
+    """A bin comes once, when the watermark has passed it; rows that come later are kept aside, and no state is left of it."""
+    minute = lambda *at: [(f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00", float(m)) for m in at]
+    batches = [minute(1, 2, 20), minute(50, 3), minute(130), minute(4, 100, 131), minute(300)]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ts string, value double").selectExpr("cast(ts as timestamp) as ts", "value").coalesce(1).write.parquet(f"{tmp_path}/in/arrival={k}")
+    stream.feed_by_name(spark, f"{tmp_path}/in")
+    source = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").drop("arrival")
+    for _ in range(2):  # the second run has nothing to do
+        stream.run_available(source, f"{tmp_path}/ck", lambda b, k: stream.split_late(b, k, f"{tmp_path}/s", "ts", "15 minutes", 3600.0))
+    # before the fourth batch 70 is final: 4 is late, 100 isn't
+    assert [r.value for r in store.read(spark, f"{tmp_path}/s/late").collect()] == [4.0]
+    timely = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/s/timely")
+    stream.feed_by_name(spark, f"{tmp_path}/s/timely")
+    query = stream.run_available(stream.binned(timely, "ts", late="1 hour"), f"{tmp_path}/ck2", path=f"{tmp_path}/out")
+    found = {r.bin_start.hour * 60 + r.bin_start.minute: (r.n, r["mean"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {0: (3, 2.0), 15: (1, 20.0), 45: (1, 50.0), 90: (1, 100.0), 120: (2, 130.5)}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5  # each once
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # the bin of 300 alone
+    again = [spark.createDataFrame([("2024-01-01 00:05:00", 5.0)], "ts string, value double").selectExpr("cast(ts as timestamp) as ts", "value")] * 2
+    for rows in again:  # the same batch comes twice
+        stream.split_late(rows, 5, f"{tmp_path}/s", "ts", "15 minutes", 3600.0)
+    assert sorted(r.value for r in store.read(spark, f"{tmp_path}/s/late").collect()) == [4.0, 5.0]
 
 
 DATA = "/root/testdata/sf0.001"
