@@ -11,7 +11,7 @@ from fringeworks.functions import decode, hooks, times
 from fringeworks.operators import bins, events, resample, spectral, stats, sweep, transform, unwrap
 from fringeworks.plans import fixtures as fx
 from fringeworks.sources import catalog as catalogs
-from fringeworks.sources.work import work_path
+from fringeworks.sources.work import stored, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,9 +68,10 @@ def rollovers(spark, d):
 @query(_DECODED + "select trace_id, sample_idx, m_true, mu as m_unwrapped, mu as m_from_rollovers from u", "unwrap")
 def unwrap_turns(spark, d):
     """By the wraps themselves, and from a stored table of them."""
-    found = unwrap.unwrap(_iqm(spark, d)).select("trace_id", "sample_idx", "m_true", "m", "m_unwrapped")
-    stored = unwrap.apply_rollovers(found.withColumnRenamed("m_unwrapped", "_by_wraps"), unwrap.rollovers(_iqm(spark, d)))
-    return stored.select("trace_id", "sample_idx", "m_true", F.col("_by_wraps").alias("m_unwrapped"), F.col("m_unwrapped").alias("m_from_rollovers"))
+    iqm = stored(_iqm(spark, d).select("trace_id", "sample_idx", "m_true", "m"), "counters")
+    wraps = stored(unwrap.rollovers(iqm), "wraps")
+    found = unwrap.apply_rollovers(unwrap.unwrap(iqm).withColumnRenamed("m_unwrapped", "_by_wraps"), wraps)
+    return found.select("trace_id", "sample_idx", "m_true", F.col("_by_wraps").alias("m_unwrapped"), F.col("m_unwrapped").alias("m_from_rollovers"))
 
 
 @query(_DECODED + """, c as (select trace_id, count(*) as n from u group by trace_id), v as (select u.*, sum(case when step > 61440 then 1 when step < -61440 then -1 else 0 end) over (partition by u.trace_id order by sample_idx) as turns from u),
@@ -78,9 +79,9 @@ w0 as (select v.*, n // 3 as a, 2 * n // 3 as b from v join c using (trace_id)),
 select trace_id, sample_idx, mu as by_trace, cast(mu + 65536 * before as bigint) as by_window from w0 join base using (trace_id) where sample_idx >= a and sample_idx < b""")
 def unwrap_window(spark, d):
     """The middle third of each trace, its turns counted from the trace's first sample and from the window's, by stored wraps."""
-    iqm = _iqm(spark, d)
-    bounds = iqm.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).select("trace_id", F.expr("n div 3").alias("start_idx"), F.expr("2 * n div 3").alias("end_idx"))
-    wraps = unwrap.rollovers(iqm)
+    iqm = stored(_iqm(spark, d).select("trace_id", "sample_idx", "m"), "counters")
+    bounds = stored(iqm.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).select("trace_id", F.expr("n div 3").alias("start_idx"), F.expr("2 * n div 3").alias("end_idx")), "bounds")
+    wraps = stored(unwrap.rollovers(iqm), "wraps")
     part = times.in_window(iqm.select("trace_id", "sample_idx", "m"), bounds)
     by_trace = unwrap.apply_rollovers(part, wraps, bounds=bounds).withColumnRenamed("m_unwrapped", "by_trace")
     both = unwrap.apply_rollovers(by_trace, wraps, anchor="window", bounds=bounds)
@@ -623,6 +624,38 @@ def src_windows(spark, d):
     return decode.decode(words).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in "iqm"])
 
 
+@query(SQL["unwrap_window"].replace("select trace_id, sample_idx, mu as by_trace", "select cast(trace_id as varchar) as trace_id, sample_idx, mu as by_trace"))
+def src_indexed_windows(spark, d):
+    """The middle third of each capture by a stored index of blocks of 100 samples: only these bytes are read."""
+    from fringeworks.sources import captures, index
+
+    files = captures.list_captures(spark, _trace_files(spark, d))
+    path = work_path(spark, "index")
+    index.add_captures(files, path, 100)
+    index.add_captures(files, path, 100)  # nothing is left to add
+    known = index.read_index(spark, path)
+    bounds = known.groupBy("trace_id").agg(F.sum("n").alias("n")).select("trace_id", F.expr("n div 3").alias("start_idx"), F.expr("2 * n div 3").alias("end_idx"))
+    by_trace, by_window = (index.read_windows(files, known, bounds, anchor, 100).select("trace_id", "sample_idx", F.col("m_unwrapped").alias(f"by_{anchor}")) for anchor in ("trace", "window"))
+    return by_trace.join(by_window, ["trace_id", "sample_idx"])
+
+
+@query(_DECODED + """, f as (select trace_id, timestamp '1995-01-01' + to_hours(cast(7 * trace_id as bigint)) as t, trace_id % 4 as k, count(*) as n from d group by trace_id)
+select strftime(t, '%Y-%m-%dT%H:%M:%S') || '_s' || k || '_' || trace_id as trace_id, t as recorded_local, n as n_samples from f where t >= timestamp '1995-01-02' and t < timestamp '1995-06-01' and k in (1, 3)""")
+def src_dated_captures(spark, d):
+    """Captures named by their time and skip, seven hours apart: those of two globs and five months."""
+    from fringeworks.sources import captures
+    from fringeworks.sources.phase_trace import write_traces
+
+    path, k = work_path(spark, "dated"), F.col("trace_id")
+    stamp = F.date_format(F.expr("timestamp_ntz'1995-01-01' + make_interval(0, 0, 0, 0, int(7 * trace_id))"), "yyyy-MM-dd'T'HH:mm:ss")
+    name = F.concat(stamp, F.lit("_s"), (k % 4).cast("string"), F.lit("_"), k.cast("string"))
+    write_traces(fx.words(spark, d).select(name.alias("trace_id"), F.lit("# recording\n").alias("header"), "sample_idx", "word"), path)
+    files = captures.list_captures(spark, path, ["*_s1_*.bin", "*_s3_*.bin"], "1995-01-02", "1995-06-01")
+    found = captures.read_headers(files)
+    named = files.withColumn("trace_id", F.url_decode(F.regexp_replace(F.regexp_extract("path", "([^/]+)[.]bin$", 1), "[+]", "%2B")))
+    return named.join(found, "trace_id").select("trace_id", "recorded_local", "n_samples")
+
+
 @query(_DECODED + "select cast(trace_id as varchar) as trace_id, cast(40000 as double) as fs, count(*) as n_samples, true as ok from d group by trace_id")
 def src_headers(spark, d):
     path = _trace_files(spark, d)

@@ -126,6 +126,37 @@ def test_captures_arrive(spark, folder, tmp_path):
     assert os.path.isdir(f"{tmp_path}/ck-captures") and len(words) == 1000
 
 
+def test_index_of_captures(spark, tmp_path):
+    """Windows by the stored index against the whole trace repaired: wraps at blocks' edges and at windows' first samples, dense ones, none."""
+    from fringeworks.sources import index
+
+    r, rows = np.random.default_rng(11), []
+    traces = {"dense": np.cumsum(r.integers(-9000, 9000, 500)) * 3, "ramp": np.arange(500) * 3000, "still": r.integers(-50, 50, 500), "one": np.array([5])}
+    for name, m in traces.items():
+        m16 = (m + 32768) % 65536 - 32768
+        rows += [(name, HEADER, k, int(v) << 48 | int(r.integers(0, 1 << 48))) for k, v in enumerate(m16)]
+    write_traces(spark.createDataFrame(rows, "trace_id string, header string, sample_idx long, word long"), str(tmp_path / "t"))
+    files = captures.list_captures(spark, str(tmp_path / "t"))
+    whole = unwrap.unwrap(spark.createDataFrame(rows, "trace_id string, header string, sample_idx long, word long").select("trace_id", "sample_idx", F.shiftright("word", 48).alias("m")), 64)
+    whole = {(x.trace_id, x.sample_idx): x.m_unwrapped for x in whole.collect()}
+    for block in (7, 64, 1000):
+        path = f"file://{tmp_path}/index{block}"
+        assert index.add_captures(files.where("path like '%ramp%'"), path, block) == 1 and index.add_captures(files, path, block) == 3 and index.add_captures(files, path, block) == 0
+        known = index.read_index(spark, path).cache()
+        assert known.count() == 3 * -(-500 // block) + 1
+        still = known.where("trace_id = 'still'").agg(F.min("least"), F.max("most"), F.max(F.size("wraps")), F.sum("n")).first()
+        assert tuple(still) == (np.abs(traces["still"]).min(), np.abs(traces["still"]).max(), 0, 500)
+        for low, high in ((0, 500), (63, 65), (64, 300), (21, 22), (499, 500), (126, 133)):
+            bounds = spark.createDataFrame([(t, low, min(high, len(m))) for t, m in traces.items() if low < len(m)], "trace_id string, start_idx long, end_idx long")
+            got = {(x.trace_id, x.sample_idx): x for x in index.read_windows(files, known, bounds, block=block).collect()}
+            assert {at: x.m_unwrapped for at, x in got.items()} == {at: v for at, v in whole.items() if low <= at[1] < high}
+            if block == 64:
+                iqm = spark.createDataFrame([(t, k, x.m) for (t, k), x in got.items()], "trace_id string, sample_idx long, m long")
+                wraps = unwrap.rollovers(spark.createDataFrame([(t, k, int((v + 32768) % 65536 - 32768)) for t, m in traces.items() for k, v in enumerate(m)], "trace_id string, sample_idx long, m long"))
+                want = {(x.trace_id, x.sample_idx): x.m_unwrapped for x in unwrap.apply_rollovers(iqm, wraps, anchor="window", bounds=bounds).collect()}
+                assert {(x.trace_id, x.sample_idx): x.m_unwrapped for x in index.read_windows(files, known, bounds, "window", block).collect()} == want
+
+
 CHUNK = "trace_id long, sample_idx long, m long"
 
 
