@@ -401,6 +401,15 @@ def event_coincidence(spark, d):
     return found.select("user_id", F.round("begin", 3).alias("begin"), F.round("end", 3).alias("end"))
 
 
+@query(SQL["event_coincidence"].replace("b1 - 1", "b1 - 43200").replace("e1 + 1", "e1 + 43200"))
+def event_coincidence_wide(spark, d):
+    """Clicks and views of a user within twelve hours of each other."""
+    every = fx.spans(spark, d)
+    kind = lambda t: every.where(F.col("event_type") == t).select("user_id", "begin", "end")
+    found = events.coincidences(kind("click"), kind("view"), ["user_id"], 43200.0, 86400.0)
+    return found.select("user_id", F.round("begin", 3).alias("begin"), F.round("end", 3).alias("end"))
+
+
 @query(_SPANS + ", x as (select user_id, epoch_us(ts) / 1000000 as t, value from events) select x.user_id, round(e.b, 3) as begin, round(e.f, 3) as \"end\", count(*) as n, round(sum(x.value), 4) as total from e join x on x.user_id = e.user_id and x.t between e.b - 900 and e.f + 900 where e.event_type = 'error' group by x.user_id, e.b, e.f")
 def event_trim(spark, d):
     """Samples from 15 minutes before each error to 15 minutes after it."""
@@ -714,6 +723,23 @@ def stream_bins(spark, d):
     return latest.select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "s.n", F.round("s.mean", 6).alias("mean"))
 
 
+@query(_SPANS + """, p as (select *, case when b > max(f) over (partition by user_id order by b, f rows between unbounded preceding and 1 preceding) + 600 then 1 else 0 end as fresh from e),
+g as (select *, sum(fresh) over (partition by user_id order by b, f rows unbounded preceding) as k from p)
+select user_id, round(min(b), 3) as begin, round(max(f), 3) as "end", count(*) as n from g group by user_id, k having max(f) + 600 <= (select max(b) from e) - 3600""")
+def stream_sessions(spark, d):
+    """Events of a user that begin within ten minutes of the end of all before them, as they arrive: those that are final an hour later."""
+    from fringeworks.streaming import stream
+
+    chunks, out = work_path(spark, "chunks"), work_path(spark, "sessions")
+    spans = fx.spans(spark, d).select("user_id", "begin", "end", F.timestamp_micros(F.round(F.col("begin") * 1000000).cast("long")).alias("at"))
+    spans.repartitionByRange(4, "at").write.parquet(chunks)  # parts by name are parts of time
+    stream.feed_by_name(spark, chunks)
+    source = spark.readStream.schema("user_id long, begin double, end double, at timestamp").option("maxFilesPerTrigger", 1).parquet(chunks)
+    stream.run_available(stream.sessions(source, ["user_id"], 600.0, "1 hour"), work_path(spark, "checkpoint"), path=out)
+    rows = spark.read.schema("user_id long, begin double, end double, n long").parquet(out)
+    return rows.select("user_id", F.round("begin", 3).alias("begin"), F.round("end", 3).alias("end"), "n")
+
+
 #: Events come in nine parts: eight of the order of time, then every 97th of them all.
 _LATE = """with e as (select *, time_bucket(interval '15 minutes', ts) as bin_start, event_id % 97 = 0 as tardy from events), w as (select max(ts) filter (not tardy) - interval '1 hour' as w0, max(ts) - interval '1 hour' as w1 from e),
 b as (select e.*, w1, tardy and bin_start + interval '15 minutes' <= w0 as late from e, w) """

@@ -31,6 +31,17 @@ def binned(stream: DataFrame, ts: str, width: str = "15 minutes", late: str | No
     return rows.select(F.col("w.start").alias("bin_start"), "n", "mean")
 
 
+def sessions(stream: DataFrame, keys: list[str], gap_s: float, late: str, ts: str = "at") -> DataFrame:
+    """keys, begin, end, n of a stream of events (begin and end in seconds, ``ts`` the time of begin), for append mode: an event that begins within ``gap_s`` of the end of
+    any before it is of the same session, which is final when the watermark has passed its end and the gap.
+
+    ``events.merge_events`` looks at the event before alone; the two differ where an event lies wholly in an earlier one.
+    """
+    lasts = F.concat(F.round((F.col("end") - F.col("begin") + gap_s) * 1000000).cast("long").cast("string"), F.lit(" microseconds"))
+    held = stream.withWatermark(ts, late).groupBy(F.session_window(ts, lasts), *keys)
+    return held.agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("session_window")
+
+
 class _Repair(StatefulProcessor):
     """The counter of one trace: what came last, and the chunks that wait for a gap to be filled."""
 
