@@ -7,7 +7,7 @@ Samples are real: only rows up to n1 / 2 are kept, from which all frequencies up
 A length without two factors of at most ``block`` (a large prime, say) goes by Bluestein's chirp: a circular convolution over a power of two, whose kernel each task
 makes for its own columns. The transform over rows of the one way and over columns of the way back are the same task, so that costs one more shuffle.
 
-Traces of at most ``block`` samples are transformed in one task. Samples that are missing count as the mean (or as zero where it isn't taken off). Every trace of up to
+The samples are written once. Traces of at most ``block`` samples are transformed in one task. Samples that are missing count as the mean (or as zero where it isn't taken off). Every trace of up to
 ``block ** 2 / 2`` samples will do.
 """
 
@@ -211,9 +211,11 @@ def _cut(sizes: DataFrame, key: str, kind: str, block: int) -> DataFrame:
 
 def whole_transform(df: DataFrame, key: str = "trace_id", value: str = "x", centred: bool = True, block: int = BLOCK) -> DataFrame:
     """key, n, freq_idx, re, im: the transform of each whole trace at freq_idx / n of the rate, up to the half; of the trace without its mean if ``centred``."""
+    from fringeworks.sources.work import stored
+
     kind = dict(df.dtypes)[key]
-    samples = df.select(key, F.col("sample_idx").cast("long").alias("sample_idx"), F.col(value).cast("double").alias("x")).where("x is not null")
-    sizes = samples.groupBy(key).agg((F.max("sample_idx") + 1).alias("n"), (F.avg("x") if centred else F.lit(0.0)).alias("mean"))
+    samples = stored(df.select(key, F.col("sample_idx").cast("long").alias("sample_idx"), F.col(value).cast("double").alias("x")).where("x is not null"), "samples")
+    sizes = stored(samples.groupBy(key).agg((F.max("sample_idx") + 1).alias("n"), (F.avg("x") if centred else F.lit(0.0)).alias("mean")), "sizes")
     centre = lambda rows: rows.withColumn("x", F.col("x") - F.col("mean"))
     short = centre(samples.join(sizes.where(F.col("n") <= block), key)).select(key, "n", "sample_idx", "x")
     found = short.groupBy(key, "n").applyInArrow(_in_one_task(key), _spectrum(key, kind))

@@ -517,7 +517,7 @@ def local_time(spark, d):
 
 def _bin_spectra(spark, d):
     """Traces of one sample a second that begin one after the other, in bins of 256 s."""
-    samples = _samples(spark, d).select("trace_id", "sample_idx", F.col("radius").alias("x"))
+    samples = stored(_samples(spark, d).select("trace_id", "sample_idx", F.col("radius").alias("x")), "samples")
     sizes = samples.groupBy("trace_id").agg((F.max("sample_idx") + 1).alias("n"))
     found = sizes.select("trace_id", (F.col("trace_id") * 1000 * SECOND).alias("start_ns"), ((F.col("trace_id") * 1000 + F.col("n")) * SECOND).alias("end_ns"), F.lit(SECOND).cast("long").alias("interval_ns"))
     last = found.agg(F.max("end_ns")).first()[0] or SECOND
