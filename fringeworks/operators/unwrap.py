@@ -47,6 +47,11 @@ def _unwrapped(rows: DataFrame, key: str, anchor: str, bounds: DataFrame | None)
     offsets = rows.groupBy(key, "block").agg(F.sum("delta").alias("_total")).select(key, "block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(key, "block").orderBy("sample_idx").rangeBetween(Window.unboundedPreceding, 0)
     found = rows.withColumn("_turns", F.sum("delta").over(inside)).where("m is not null").join(offsets, [key, "block"]).withColumn("_turns", F.col("_turns") + F.col("_before"))
+    return _counted(found, key, anchor, bounds)
+
+
+def _counted(found: DataFrame, key: str, anchor: str, bounds: DataFrame | None) -> DataFrame:
+    """m_unwrapped from the turns at each sample, inside ``bounds``."""
     if bounds is not None:
         found = found.join(bounds.select(key, "start_idx", "end_idx"), key).where("sample_idx >= start_idx and sample_idx < end_idx").drop("start_idx", "end_idx")
     turns = F.col("_turns")
@@ -65,10 +70,22 @@ def unwrap(iqm: DataFrame, block: int = BLOCK, key: str = "trace_id", anchor: st
     """``iqm`` with m_unwrapped, only inside ``bounds`` (key, start_idx, end_idx) if they are given.
 
     Turns are counted from the trace's first sample, or with ``anchor='window'`` from each window's: the two differ by a multiple of
-    65536 in a window. Wraps are looked for in all that ``iqm`` holds.
+    65536 in a window. Wraps are looked for in all that ``iqm`` holds. Samples are shuffled once, by (trace, block): steps inside blocks need no other block, and
+    those from block to block are found on one row for each block, with the turns before it.
     """
     _anchored(anchor)
-    return _unwrapped(deltas(iqm, block, key).withColumn("_here", F.col("delta")), key, anchor, bounds)
+    inside, along = Window.partitionBy(key, "block").orderBy("sample_idx"), Window.partitionBy(key).orderBy("block")
+    wrap = lambda step: F.when(step > WRAP, 1).when(step < -WRAP, -1).otherwise(0)
+    cut = iqm.withColumn("block", F.expr(f"sample_idx div {block}"))
+    inner = cut.withColumn("_ahead", F.lag("m").over(inside)).withColumn("delta", wrap(F.col("m") - F.col("_ahead")))
+    blocks = inner.groupBy(key, "block").agg(F.min_by("m", "sample_idx").alias("_first"), F.max_by("m", "sample_idx").alias("_last"), F.sum("delta").alias("_inner"))
+    carried = F.when(F.lag("block").over(along) == F.col("block") - 1, F.lag("_last").over(along))
+    blocks = blocks.withColumn("_edge", wrap(F.col("_first") - carried))
+    ahead = F.coalesce(F.sum(F.col("_edge") + F.col("_inner")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(key, "block", "_edge", (ahead + F.col("_edge")).alias("_before"))
+    found = inner.withColumn("_turns", F.sum("delta").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(blocks, [key, "block"])
+    found = found.withColumns({"_turns": F.col("_turns") + F.col("_before"), "_here": F.when(F.col("_ahead").isNull(), F.col("_edge")).otherwise(F.col("delta"))})
+    return _counted(found.drop("_ahead", "_edge"), key, anchor, bounds)
 
 
 def apply_rollovers(iqm: DataFrame, wraps: DataFrame, block: int = BLOCK, key: str = "trace_id", anchor: str = "trace", bounds: DataFrame | None = None) -> DataFrame:
