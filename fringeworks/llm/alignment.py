@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from fringeworks.llm.common import ROW, refuse_own, temporaries, written
 
-#: Rows of the table of pairs that is broadcast; bytes of windows that a task remembers; ids of such a window; pairs that a task counts before it sends them.
-MOST_PAIRS, MOST_WINDOWS, LONGEST, SEND = 1 << 20, 64 << 20, 64, 500_000
+#: Rows of the table of pairs that is broadcast; bytes of windows that a task remembers, and of pre-tokens of A in a generation; ids of such a window; pairs that a task counts before it sends them.
+MOST_PAIRS, MOST_WINDOWS, MOST_PIECES, LONGEST, SEND = 1 << 20, 48 << 20, 24 << 20, 64, 500_000
 SLICE = 1 << 20
 _PAIRS = "array<struct<a:int,b:int,n:int>>"
 _DOCUMENT = f"{ROW} long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs {_PAIRS}, counted array<struct<a:int,b:int,n:int>>"
@@ -66,7 +66,7 @@ class Encoders:
 
         from fringeworks.llm.tokens import PieceIds, _byte_letters
 
-        self.a = PieceIds(a_path, True)
+        self.a = PieceIds(a_path, True, MOST_PIECES)
         self.a.special, self.a.tok.encode_special_tokens = set(), True  # their strings are plain text
         vocabulary, letter = self.a.tok.get_vocab(with_added_tokens=False), {c: b for b, c in enumerate(_byte_letters())}
         entries = {k: bytes(letter[c] for c in piece) for piece, k in vocabulary.items() if all(c in letter for c in piece)}
@@ -110,7 +110,7 @@ class _Grown:
 
 
 class Windows:
-    """Distinct windows by number: the text of their groups, and the codes (A id << 32 | B id) of their links."""
+    """Distinct windows by number: the text of their groups, and their links as numbers of id pairs (``pair`` has each by its code, A id << 32 | B id)."""
 
     def __init__(self, tools: Encoders):
         self.tools = tools
@@ -118,6 +118,7 @@ class Windows:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.pair: dict[int, int] = {}
         self.text, self.links, self.groups = _Grown(np.uint8), _Grown(np.int64), _Grown(np.int64)
         self.count = self.bytes = 0
 
@@ -152,7 +153,9 @@ class Windows:
         cuts, shared = np.flatnonzero(ends.any(0)), np.flatnonzero(ends.all(0))
         links = (a[np.searchsorted(a_ends, cuts)] << 32) | b[np.searchsorted(b_ends, cuts)]
         per_window = lambda ends: np.diff(np.searchsorted(ends, window_ends, "right"), prepend=0)
-        self.links.add(links, per_window(cuts))
+        codes, which = np.unique(links, return_inverse=True)
+        pair = self.pair
+        self.links.add(np.array([pair.setdefault(c, len(pair)) for c in codes.tolist()], np.int64)[which], per_window(cuts))
         groups = per_window(shared)
         self.groups.add(groups, np.ones(len(groups), np.int64))
         # the text of groups: tokens by group, A's before B's, each with the mark that follows it
@@ -199,7 +202,8 @@ def _aligned(a_path: str, b_path: str, slice_: int, most: int, send: int):
 
         tools = kept(("align", a_path, b_path), lambda: Encoders(a_path, b_path))
         windows = Windows(tools)
-        seen: list[tuple] = []  # codes of pairs, and in how many documents
+        counts = np.zeros(0, np.int64)  # by number of a pair: in how many documents
+        seen: list[tuple] = []  # likewise by code, of windows that have been forgotten
         struct = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
         columns = [x.split(" ")[0] for x in _DOCUMENT.split(", ")]
 
@@ -207,6 +211,14 @@ def _aligned(a_path: str, b_path: str, slice_: int, most: int, send: int):
             parts = [pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int32))]
             return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(parts, fields=list(struct)))
 
+        def forgotten() -> None:
+            nonlocal counts
+            if len(counts):
+                seen.append((np.fromiter(windows.pair, np.int64, len(windows.pair)), counts))
+                seen[:] = [_summed(*(np.concatenate([x[k] for x in seen]) for k in range(2)))]
+            windows.clear()
+            counts = np.zeros(0, np.int64)
+
         def sent() -> Iterator:
             if seen:
                 codes, n = _summed(*(np.concatenate([x[k] for x in seen]) for k in range(2)))
@@ -215,6 +227,7 @@ def _aligned(a_path: str, b_path: str, slice_: int, most: int, send: int):
                 seen.clear()
 
         def sliced(rows: list, ids: list, texts: list[str]) -> Iterator:
+            nonlocal counts
             good, number = [], []
             full = [k for k, t in enumerate(texts) if t]
             for k, (a, b) in zip(full, tools.both([texts[k] for k in full]), strict=True):
@@ -236,24 +249,21 @@ def _aligned(a_path: str, b_path: str, slice_: int, most: int, send: int):
                 for k, x, y in zip(number, [0, *ends[:-1]], ends, strict=True):
                     sha[k] = hashlib.sha256(whole[x : y - 1]).hexdigest()
                 about[2] = np.bincount(doc, windows.groups.items(flat)[0], len(texts))
-                # (document, window) with how often, then (document, pair) likewise
-                key, n = np.unique(doc * windows.count + flat, return_counts=True)
-                links, many = windows.links.items(key % windows.count)
-                names, pair = np.unique(links, return_inverse=True)
-                key, n = _summed(np.repeat(key // windows.count, many) * len(names) + pair, np.repeat(n, many))
-                doc, codes = key // len(names), names[key % len(names)]
+                links, many = windows.links.items(flat)
+                key = np.sort(np.repeat(doc, many) * len(windows.pair) + links)
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                n, key = np.diff(np.r_[first, len(key)]), key[first]
+                doc, pair = key // len(windows.pair), key % len(windows.pair)
+                codes = np.fromiter(windows.pair, np.int64, len(windows.pair))[pair]
                 about[3] = np.bincount(doc, n, len(texts))
                 bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-                seen.append(_summed(codes, np.ones(len(codes))))
+                counts = np.r_[counts, np.zeros(len(windows.pair) - len(counts), np.int64)] + np.bincount(pair, minlength=len(windows.pair))
             pairs = lists(bounds, codes, n)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), *map(pa.array, about), pa.array(sha), pairs, pa.nulls(len(texts), pairs.type)], names=columns)
             if windows.bytes > most:
-                windows.clear()
-            if sum(len(x[0]) for x in seen) > send:
-                if sum(len(x[0]) for x in seen[:1]) * 2 > send:
+                forgotten()
+                if len(seen[0][0]) > send:
                     yield from sent()
-                else:
-                    seen[:] = [_summed(*(np.concatenate([x[k] for x in seen]) for k in range(2)))]
 
         rows, ids, texts, size = [], [], [], 0
         for batch in batches:
@@ -267,6 +277,7 @@ def _aligned(a_path: str, b_path: str, slice_: int, most: int, send: int):
                     rows, ids, texts, size = [], [], [], 0
         if rows:
             yield from sliced(rows, ids, texts)
+        forgotten()
         yield from sent()
 
     return run
