@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import written
+from fringeworks.llm.common import temporaries, written
 
 LEAST, MOST_FINDINGS, MOST_WORDS, BEFORE, EXAMPLES = 16, 4000, 20_000, 48, 3000
 RUN = r"[A-Za-z0-9+/_\-]{%d,}={0,2}"
@@ -275,18 +275,19 @@ def train(labelled: DataFrame, words: list[str], most_findings: int = MOST_FINDI
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, path, begin, length, value_sha256, score: the secrets of ``docs`` (doc_id, path, text), false positives removed."""
-    found = written(candidates(docs), "candidates")
-    words = dictionary(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((train(labelled_findings(docs.sparkSession) if findings is None else findings, words), set(words)))
-
-    def run(batches) -> Iterator:
-        import pyarrow as pa
-
-        forest, known = sent.value
-        for b in batches:
-            value, before, after, path = (b.column(k).to_pylist() for k in (4, 5, 6, 1))
-            score = scores(forest, features(value, before, after, path, known))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(5)] + [pa.array(score)], names=["doc_id", "path", "begin", "length", "value", "score"])
-
-    scored = found.mapInArrow(run, "doc_id long, path string, begin long, length long, value string, score double").where(F.col("score") >= threshold)
-    return scored.select("doc_id", "path", "begin", "length", F.sha2("value", 256).alias("value_sha256"), "score")
+    with temporaries(docs.sparkSession) as kept:  # candidates lie in clear on the shared disk until then
+        found = written(candidates(docs), "candidates")
+        words = dictionary(docs)
+        sent = docs.sparkSession.sparkContext.broadcast((train(labelled_findings(docs.sparkSession) if findings is None else findings, words), set(words)))
+
+        def run(batches) -> Iterator:
+            import pyarrow as pa
+
+            forest, known = sent.value
+            for b in batches:
+                value, before, after, path = (b.column(k).to_pylist() for k in (4, 5, 6, 1))
+                score = scores(forest, features(value, before, after, path, known))
+                yield pa.RecordBatch.from_arrays([b.column(k) for k in range(5)] + [pa.array(score)], names=["doc_id", "path", "begin", "length", "value", "score"])
+
+        scored = found.mapInArrow(run, "doc_id long, path string, begin long, length long, value string, score double").where(F.col("score") >= threshold)
+        return kept(scored.select("doc_id", "path", "begin", "length", F.sha2("value", 256).alias("value_sha256"), "score"), "secrets")
