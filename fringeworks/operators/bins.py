@@ -136,23 +136,27 @@ def decimated_batches(samples: DataFrame, plan: DataFrame, factors: tuple[int, .
     joined = wanted.join(packed_samples(samples, value, cell), ["trace_id", "cell"])
     schema = f"bin_start_ns long, trace_id {kind}, batch int, fs double, length long, first long, data binary"
 
-    def run(table):
+    def run(batches):
         import pyarrow as pa
 
-        row = {c: table.column(c)[0].as_py() for c in ("fs", "start_idx", "n", "length", "first", "low", "high")}
-        x = np.zeros(row["high"] - row["low"])
-        origin = row["start_idx"] + row["low"]  # the trace's sample at x[0]
-        for k, data in zip(table.column("cell").to_pylist(), table.column("data").to_pylist(), strict=True):
-            own = np.frombuffer(data)
-            a, b = max(origin, k * cell), min(origin + len(x), k * cell + len(own))
-            if a < b:
-                x[a - origin : b - origin] = own[a - k * cell : b - k * cell]
-        last = min(row["first"] + step, row["length"])
-        made = cascaded(x, row["low"], row["first"], last, row["n"], factors) if factors else x
-        keys = {c: table.column(c)[:1] for c in ("bin_start_ns", "trace_id", "batch")}
-        return pa.table({**keys, "fs": pa.array([row["fs"] / down]), "length": pa.array([row["length"]], pa.int64()), "first": pa.array([row["first"]], pa.int64()), "data": pa.array([made.tobytes()], pa.binary())})
-
-    return joined.groupBy("bin_start_ns", "trace_id", "batch", "first").applyInArrow(run, schema)
+        for b in batches:
+            made = []
+            for row in b.select(["start_idx", "n", "length", "first", "low", "high", "cells"]).to_pylist():
+                x = np.zeros(row["high"] - row["low"])
+                origin = row["start_idx"] + row["low"]  # the trace's sample at x[0]
+                for part in row["cells"]:
+                    own, at = np.frombuffer(part["data"]), part["cell"] * cell
+                    i, j = max(origin, at), min(origin + len(x), at + len(own))
+                    if i < j:
+                        x[i - origin : j - origin] = own[i - at : j - at]
+                last = min(row["first"] + step, row["length"])
+                made.append((cascaded(x, row["low"], row["first"], last, row["n"], factors) if factors else x).tobytes())
+            fs = pa.array(b.column("fs").to_numpy() / down)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bin_start_ns", "trace_id", "batch")), fs, b.column("length"), b.column("first"), pa.array(made, pa.binary())], names=["bin_start_ns", "trace_id", "batch", "fs", "length", "first", "data"])
+
+    # a piece has a few cells, so they are gathered by Spark and many pieces go to Python together
+    gathered = joined.groupBy("bin_start_ns", "trace_id", "batch", "first", "fs", "start_idx", "n", "length", "low", "high").agg(F.collect_list(F.struct("cell", "data")).alias("cells"))
+    return gathered.mapInArrow(run, schema)
 
 
 def averaged_spectrum(pieces: DataFrame, window_s: float = 6.0, overlap: float = 0.9, f1: float = 1.5, f2: float = 50.0, least_s: float = 6.0, block: int = 1 << 17) -> DataFrame:
@@ -172,25 +176,29 @@ def averaged_spectrum(pieces: DataFrame, window_s: float = 6.0, overlap: float =
     low, high = F.greatest(F.ceil((F.col("first") - F.col("nfft") + 1) / F.col("hop")), F.lit(0)), F.least(F.floor((F.col("first") + F.col("size") - 1) / F.col("hop")), windows)
     dealt = sized.withColumns({"a": low.cast("long"), "b": high.cast("long")}).where("a <= b").withColumn("part", F.explode(F.expr("sequence(a div many, b div many)")))
 
-    def run(table):
+    def run(batches):
         import pyarrow as pa
 
-        fs, length, nfft, hop, many, part = (table.column(c)[0].as_py() for c in ("fs", "length", "nfft", "hop", "many", "part"))
-        begin = part * many * hop
-        count = min(many, (length - nfft) // hop + 1 - part * many)
-        x = np.zeros((count - 1) * hop + nfft)
-        for first, data in zip(table.column("first").to_pylist(), table.column("data").to_pylist(), strict=True):
-            own = np.frombuffer(data)
-            a, b = max(begin, first), min(begin + len(x), first + len(own))
-            if a < b:
-                x[a - begin : b - begin] = own[a - first : b - first]
-        windows = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]
-        db = 10 * np.log10(np.maximum(zoom_density(windows, f1, f2, fs, "linear"), 1e-300))
-        k = np.arange(nfft)
-        columns = [np.full(nfft, table.column("bin_start_ns")[0].as_py()), k.astype(np.int32), f1 + k * (f2 - f1) / nfft, np.linspace(f1, f2, nfft), np.full(nfft, len(db)), db.mean(0), db.var(0)]
-        return pa.table([pa.array(c) for c in columns], names=[n.split(" ")[0] for n in schema.split(", ")])
-
-    parts = dealt.groupBy("bin_start_ns", "trace_id", "batch", "part").applyInArrow(run, schema)
+        names = [n.split(" ")[0] for n in schema.split(", ")]
+        for b in batches:
+            for row in b.to_pylist():
+                fs, nfft, hop = row["fs"], row["nfft"], row["hop"]
+                begin = row["part"] * row["many"] * hop
+                count = min(row["many"], (row["length"] - nfft) // hop + 1 - row["part"] * row["many"])
+                x = np.zeros((count - 1) * hop + nfft)
+                for piece in row["pieces"]:
+                    own = np.frombuffer(piece["data"])
+                    i, j = max(begin, piece["first"]), min(begin + len(x), piece["first"] + len(own))
+                    if i < j:
+                        x[i - begin : j - begin] = own[i - piece["first"] : j - piece["first"]]
+                windows = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]
+                db = 10 * np.log10(np.maximum(zoom_density(windows, f1, f2, fs, "linear"), 1e-300))
+                k = np.arange(nfft)
+                columns = [np.full(nfft, row["bin_start_ns"]), k.astype(np.int32), f1 + k * (f2 - f1) / nfft, np.linspace(f1, f2, nfft), np.full(nfft, len(db)), db.mean(0), db.var(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    grouped = dealt.groupBy("bin_start_ns", "trace_id", "batch", "part", "fs", "length", "nfft", "hop", "many").agg(F.collect_list(F.struct("first", "data")).alias("pieces"))
+    parts = grouped.mapInArrow(run, schema)
     keys = ["bin_start_ns", "freq_idx", "freq_hz", "freq_label_hz"]
     sums = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("n") * (F.col("var") + F.col("mean") ** 2)).alias("q"))
     mean = F.col("s") / F.col("n")
