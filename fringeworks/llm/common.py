@@ -92,10 +92,18 @@ def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     return written(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def buckets_of(spark: SparkSession, size: int, share: float = 1.0) -> int:
+    """Buckets of a shuffle of ``size`` bytes of text: one for each BUCKET_TEXT / ``share``, at least ``spark.sql.shuffle.partitions``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(share * size / BUCKET_TEXT))
+
+
 def buckets_for(docs: DataFrame, share: float = 1.0) -> int:
-    """Buckets of a shuffle by the bytes of text: one for each BUCKET_TEXT / ``share``, at least ``spark.sql.shuffle.partitions``."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(share * size / BUCKET_TEXT))
+    return buckets_of(docs.sparkSession, text_size(docs), share)
 
 
 def text_or_empty(col: str = "text"):

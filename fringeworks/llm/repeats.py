@@ -12,8 +12,10 @@ Removal (``remove_repeats``):
    occurrence is settled once, with the longest prefix it shares with an earlier one, so the scan is linear.
 4. What is covered goes back to the documents as spans.
 
-A minimizer with more than ``HOT`` different blocks is dealt by window instead: each task first settles its own equal windows,
-so no task holds more than a bucket and no bucket grows with the most frequent string. Nothing is capped or left out.
+A frequent minimizer, as a passage has that a third of the texts share, isn't one bucket's work: equal blocks are settled where they meet, first in the
+task that reads the texts, and the blocks of minimizers that fill a quarter of a bucket (``_frequent``) are dealt by their identity. A minimizer with more
+than ``HOT`` different blocks is compared by window: each task first settles its own equal windows. Over ``DEALT`` buckets records are dealt in two
+rounds, so that what a task sends grows with the root of the number of buckets. Nothing is capped or left out.
 
 Maximal repeats (``maximal_repeats``): every string of ``least`` bytes or more that occurs twice and whose occurrences neither all follow
 the same byte nor all go before the same byte, with all its occurrences, once and at its full length:
@@ -43,13 +45,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringeworks.llm.common import BUCKET_TEXT, ROW, buckets_for, numbered, temporaries, written
+from fringeworks.llm.common import BUCKET_TEXT, ROW, buckets_of, numbered, temporaries, text_size, written
 from fringeworks.llm.words import _POWERS, _VALUES, mixed, numbers, slices
 
 #: Bytes of a repeat and of a minimizer's string; blocks of one minimizer that a task sorts; bytes of a table that is broadcast.
 LEAST, GRAM, HOT, MOST_SENT = 100, 32, 50_000, 64 << 20
 #: Blocks that a task gathers before it sends them, and bytes of text likewise.
 BLOCK_RECORDS, BLOCK_BYTES = 1_500_000, 32 << 20
+#: Bytes of text to a block, about; sampled records of a bucket; records of a minimizer that is split at the least, and such minimizers at most
+#: (the most frequent ones); buckets that are dealt in one round.
+BLOCK_TEXT, SAMPLED, SPLIT, MOST_SPLIT, DEALT = 35, 200, 1000, 1 << 20, 4096
 _RECORD = np.dtype([("a", "<u8"), ("same", "<u8"), ("row", "<i8"), ("begin", "<i8"), ("extra", "<u2")])
 _FETCH = np.dtype([("a", "<u8"), ("begin", "<i8"), ("extra", "<u2"), ("hot", "u1")])
 _CONTEXT = np.dtype([("a", "<u8"), ("row", "<i8"), ("doc", "<i8"), ("has", "u1"), ("begin", "<i8"), ("extra", "<u2"), ("left", "<i2")])
@@ -103,42 +108,149 @@ def _squeezed(ids: np.ndarray) -> bytes:
     return zlib.compress(np.diff(ids, prepend=0).astype("<i8").tobytes(), 1)
 
 
-def _records(docs: DataFrame, least: int, gram: int, buckets: int) -> DataFrame:
+def _about(rows: np.ndarray, docs: np.ndarray, has: np.ndarray) -> list[bytes]:
+    return [_squeezed(rows), _squeezed(docs), zlib.compress(has.astype(np.uint8).tobytes(), 1)]
+
+
+def _combined(records: np.ndarray, rows: np.ndarray, docs: np.ndarray, has: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal blocks the first, and the spans of the others; ``rows`` ascend, with the doc_id of each."""
+    order = np.argsort(records["same"])
+    twice = records["same"][order]
+    twice = twice[1:] == twice[:-1]
+    some = np.zeros(len(records), bool)
+    some[order[1:][twice]] = some[order[:-1][twice]] = True
+    where = np.flatnonzero(some)
+    r = records[where]
+    at = np.searchsorted(rows, r["row"])
+    order = np.lexsort((r["begin"], r["row"], docs[at], has[at], r["same"], r["a"]))
+    r, where = r[order], where[order]
+    later = np.zeros(len(r), bool)
+    later[1:] = (r["a"][1:] == r["a"][:-1]) & (r["same"][1:] == r["same"][:-1])
+    spans = np.empty(int(later.sum()), _SPAN)
+    spans["row"], spans["begin"], spans["length"] = r["row"][later], r["begin"][later], r["extra"][later] + np.int64(least)
+    keep = np.ones(len(records), bool)
+    keep[where[later]] = False
+    return records[keep], _merged(spans)
+
+
+def _frequent_among(a: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``a`` are in the ascending ``frequent``, and where."""
+    if not len(frequent):
+        return np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+    at = np.minimum(np.searchsorted(frequent, a), len(frequent) - 1)
+    return frequent[at] == a, at
+
+
+class _Deal:
+    """Records on their way to buckets: by minimizer, those of a frequent one by block; equal blocks that meet on the way are settled."""
+
+    def __init__(self, least: int, buckets: int, frequent: np.ndarray):
+        self.least, self.buckets, self.frequent = least, buckets, frequent
+        self.clear()
+
+    def clear(self) -> None:
+        self.records: list[np.ndarray] = []
+        self.about: list[tuple] = []
+        self.count = 0
+
+    def add(self, records: np.ndarray) -> None:
+        self.records.append(records)
+        self.count += len(records)
+
+    def flushed(self, width: int = 1) -> Iterator:
+        """A message for each ``width`` buckets that have records, and one with the spans settled here."""
+        records = np.concatenate(self.records)
+        rows, docs, has = (np.concatenate([x[k] for x in self.about]) for k in range(3))
+        self.clear()
+        rows, first = np.unique(rows, return_index=True)  # a task may read several files, in whatever order
+        docs, has = docs[first], has[first]
+        records, spans = _combined(records, rows, docs, has, self.least)
+        key = records["a"].copy()
+        often, _ = _frequent_among(key, self.frequent)
+        key[often] = records["same"][often]
+        where = (key % np.uint64(self.buckets * 127)) // np.uint64(127) // np.uint64(width)
+        count = -(-self.buckets // width)
+        for b, part in _dealt(records, where, count):
+            own = np.unique(np.searchsorted(rows, part["row"]))
+            yield _message(b, *_about(rows[own], docs[own], has[own]), part.tobytes())
+        if len(spans):
+            yield _message(int(spans["row"][0]) % count, spans.tobytes(), b"", b"", b"")
+
+
+_MESSAGE = "bucket int, rows binary, docs binary, has binary, records binary"
+
+
+def _message(bucket: int, *data: bytes):
+    import pyarrow as pa
+
+    names = [x.split(" ")[0] for x in _MESSAGE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in data]], names=names)
+
+
+def _frequent(docs: DataFrame, least: int, gram: int, buckets: int, size: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimizers of about a quarter of a bucket's records or more (and ``split``), ascending, and how many each has.
+
+    Estimated on every so many-th text, a share that leaves about 200 records of each bucket however many there are. What it misses or adds
+    makes buckets less even and changes no result.
+    """
+    each = size // (BLOCK_TEXT * buckets)
+    step = max(1, each // SAMPLED)
+    enough = max(each // 4, split) // step
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        from fringeworks.llm.worker import kept
+        for b in batches:
+            for _, data, bounds in slices(b.column(0), 1 << 19):
+                a, n = np.unique(blocks_of(data, bounds, least, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n.astype(np.int64))], names=["a", "n"])
 
-        kept("blocks")
-        held, ids, count = [], [], 0
+    counts = docs.where(F.pmod(F.xxhash64(ROW), F.lit(step)) == 0).select("text").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= max(2, enough)).orderBy(F.desc("n"), "a").limit(MOST_SPLIT).collect()
+    a, n = np.array([r["a"] for r in found], np.int64).view(np.uint64), np.array([r["n"] * step for r in found], np.int64)
+    order = np.argsort(a)
+    return a[order], n[order]
 
-        def flushed():
-            every = np.concatenate(held)
-            rows, docs_, has = (np.concatenate([x[k] for x in ids]) for k in range(3))
-            ascending = np.argsort(rows)  # a task may read several files, in whatever order
-            rows, docs_, has = rows[ascending], docs_[ascending], has[ascending]
-            about = zlib.compress(has.astype(np.uint8).tobytes(), 1)
-            for b, part in _dealt(every, (every["a"] % np.uint64(buckets * 127)) // np.uint64(127), buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (_squeezed(rows), _squeezed(docs_), about, part.tobytes())]], names=["bucket", "rows", "docs", "has", "records"])
 
+def _records(docs: DataFrame, least: int, gram: int, buckets: int, frequent: np.ndarray, dealt: int = DEALT, gathered: int = BLOCK_RECORDS) -> DataFrame:
+    """Messages for buckets. Over ``dealt`` buckets they go in two rounds, first for about the root of their number together."""
+    width = 1 if buckets <= dealt else int(np.ceil(np.sqrt(buckets)))
+
+    def run(batches) -> Iterator:
+        from fringeworks.llm.worker import kept
+
+        kept("blocks")
+        deal = _Deal(least, buckets, frequent)
         for b in batches:
-            uid = b.column(0).to_numpy()
-            doc = b.column(1)
-            ids.append((uid, doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False)))
+            uid, doc = b.column(0).to_numpy(), b.column(1)
+            deal.about.append((uid, doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False)))
             for row, data, bounds in slices(b.column(2), 1 << 19):
                 at, begin, extra, a, same = blocks_of(data, bounds, least, gram)
                 records = np.empty(len(at), _RECORD)
                 for name, value in zip(_RECORD.names, (a, same, uid[row + at], begin, extra), strict=True):
                     records[name] = value
-                held.append(records)
-                count += len(records)
-            if count >= BLOCK_RECORDS:
-                yield from flushed()
-                held, ids, count = [], [], 0
-        if count:
-            yield from flushed()
+                deal.add(records)
+            if deal.count >= gathered:
+                yield from deal.flushed(width)
+        if deal.count:
+            yield from deal.flushed(width)
+
+    def again(batches) -> Iterator:
+        deal = _Deal(least, buckets, frequent)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if not r["records"]:  # spans, settled before
+                    yield _message(r["bucket"], r["rows"], b"", b"", b"")
+                    continue
+                deal.about.append((_unsqueezed(r["rows"]), _unsqueezed(r["docs"]), np.frombuffer(zlib.decompress(r["has"]), np.uint8)))
+                deal.add(np.frombuffer(r["records"], _RECORD))
+                if deal.count >= gathered:
+                    yield from deal.flushed()
+        if deal.count:
+            yield from deal.flushed()
 
-    return docs.select(ROW, "doc_id", "text").mapInArrow(run, "bucket int, rows binary, docs binary, has binary, records binary")
+    messages = docs.select(ROW, "doc_id", "text").mapInArrow(run, _MESSAGE)
+    return messages if width == 1 else messages.repartition(-(-buckets // width), "bucket").mapInArrow(again, _MESSAGE)
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
@@ -159,7 +271,7 @@ def _packed_by_part(spans: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(p), spans[order[i:j]].tobytes()) for p, i, j in zip(names, begins, [*begins[1:], len(order)], strict=True)]
 
 
-def _settle(least: int, hot: int):
+def _settle(least: int, hot: int, frequent: np.ndarray, counts: np.ndarray):
     def run(table):
         """In a bucket: blocks that an earlier equal one covers (kind 1), and those whose bytes must be compared (kind 2)."""
         import pyarrow as pa
@@ -168,18 +280,22 @@ def _settle(least: int, hot: int):
         found, docs, has = [], [], []
         for batch in table.to_batches():
             for r in batch.to_pylist():
+                if not r["records"]:
+                    out += [(p, 1, data) for p, data in _packed_by_part(np.frombuffer(r["rows"], _SPAN))]
+                    continue
                 records = np.frombuffer(r["records"], _RECORD)
                 rows = _unsqueezed(r["rows"])
                 at = np.searchsorted(rows, records["row"])
                 found.append(records)
                 docs.append(_unsqueezed(r["docs"])[at])
                 has.append(np.frombuffer(zlib.decompress(r["has"]), np.uint8)[at])
-        records, docs, has = np.concatenate(found), np.concatenate(docs), np.concatenate(has)
+        records, docs, has = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((found, _RECORD), (docs, np.int64), (has, np.uint8)))
         order = np.argsort(records["a"], kind="stable")
         a = records["a"][order]
-        twice = np.r_[False, a[1:] == a[:-1]]
+        twice = np.zeros(len(a), bool)
+        twice[1:] = a[1:] == a[:-1]
         twice[:-1] |= twice[1:]
-        order = order[twice]
+        order = order[twice | _frequent_among(a, frequent)[0]]  # a frequent minimizer's other blocks may be in other buckets
         if len(order):
             r = records[order]
             again = np.lexsort((r["begin"], r["row"], docs[order], has[order], r["same"], r["a"]))
@@ -191,8 +307,10 @@ def _settle(least: int, hot: int):
             spans = np.empty(int((~first).sum()), _SPAN)
             spans["row"], spans["begin"], spans["length"] = r["row"][~first], r["begin"][~first], r["extra"][~first] + np.int64(least)
             out += [(p, 1, data) for p, data in _packed_by_part(spans)]
-            open_ = r[first & (different > 1)]
-            many = different[first & (different > 1)] > hot
+            often, at = _frequent_among(r["a"], frequent)
+            open_ = first & (often | (different > 1))
+            many = np.where(often, counts[at] if len(counts) else 0, different)[open_] > hot
+            open_ = r[open_]
             part = _parts(open_["row"])
             for p in np.unique(part).tolist():
                 own = part == p
@@ -429,29 +547,32 @@ def _fitting(df: DataFrame, size) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= MOST_SENT else df
 
 
-def _suffixes(docs: DataFrame, least: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def _suffixes(docs: DataFrame, least: int, gram: int, hot: int, split: int = SPLIT, dealt: int = DEALT) -> tuple[DataFrame, DataFrame]:
     """What step 2 settles, and the suffixes for step 3."""
-    buckets = buckets_for(docs)
-    settled = written(_records(docs, least, gram, buckets).groupBy("bucket").applyInArrow(_settle(least, hot), "part long, kind int, data binary"), "settled")
+    size = text_size(docs)
+    buckets = buckets_of(docs.sparkSession, size)
+    frequent, counts = _frequent(docs, least, gram, buckets, size, split)
+    records = _records(docs, least, gram, buckets, frequent, dealt)
+    settled = written(records.groupBy("bucket").applyInArrow(_settle(least, hot, frequent, counts), "part long, kind int, data binary"), "settled")
     fetch = written(settled.where("kind = 2").groupBy("part").applyInArrow(_by_row, f"{ROW} long, fetch binary"), "fetch")
     texts = docs.select(ROW, "doc_id", "text").join(_fitting(fetch, F.octet_length("fetch") + 32), ROW).select(ROW, "doc_id", "text", "fetch")
     return settled.where("kind = 1"), texts.mapInArrow(_contexts(least, 4 * buckets), "bucket int, about binary, texts binary")
 
 
-def _spans(docs: DataFrame, least: int, gram: int, hot: int) -> DataFrame:
+def _spans(docs: DataFrame, least: int, gram: int, hot: int, split: int = SPLIT, dealt: int = DEALT) -> DataFrame:
     """_fw_row, begins, lengths: the bytes of each text that lie in a string of ``least`` bytes which also begins earlier, as longest spans."""
     if least > 124:
         raise ValueError("removal compares prefixes of up to 192 bytes: least may be 124")
-    covered, suffixes = _suffixes(docs, least, gram, hot)
+    covered, suffixes = _suffixes(docs, least, gram, hot, split, dealt)
     compared = suffixes.groupBy("bucket").applyInArrow(_compare(least), "part long, kind int, data binary")
     return covered.unionByName(compared).groupBy("part").applyInArrow(_row_spans, f"{ROW} long, begins array<long>, lengths array<long>")
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT, split: int = SPLIT, dealt: int = DEALT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay): one row per document."""
     docs = numbered(docs, "doc_id", "text")
     with temporaries(docs.sparkSession) as kept:
-        spans = kept(_spans(docs, least, gram, hot), "spans")
+        spans = kept(_spans(docs, least, gram, hot, split, dealt), "spans")
     texts = docs.select(ROW, "doc_id", "text").join(_fitting(spans, F.size("begins") * 16 + 32), ROW, "left").select("doc_id", "text", "begins", "lengths")
 
     def run(batches) -> Iterator:

@@ -290,12 +290,12 @@ def test_components(spark, monkeypatch, part):
     assert m.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-@pytest.mark.parametrize(("least", "hot"), [(100, 50_000), (60, 1), (40, 2)])
-def test_repeats(spark, docs, least, hot):
+@pytest.mark.parametrize(("least", "hot", "split", "dealt"), [(100, 50_000, 1000, 4096), (60, 1, 1000, 1), (40, 2, 1, 1), (50, 50_000, 1, 4096)])
+def test_repeats(spark, docs, least, hot, split, dealt):
     from fringeworks.llm import repeats as m
 
     expected = cases.repeats(TEXTS, least)
-    found = m.remove_repeats(docs, least, gram=24, hot=hot).collect()
+    found = m.remove_repeats(docs, least, gram=24, hot=hot, split=split, dealt=dealt).collect()
     assert len(found) == len(TEXTS)
     for r in found:
         data, gone = expected[r.doc_id]
@@ -318,6 +318,44 @@ def test_repeats_of_many_files(spark):
     assert {x.doc_id: (x.n_removed, x.kept) for x in found} == {d: (sum(gone), bytes(b for b, g in zip(data, gone) if not g)) for d, (data, gone) in expected.items()}
 
 
+def test_repeats_share_out_a_frequent_passage(spark):
+    """A passage that all documents share fills no bucket, and a task sends about two messages for each root of the buckets."""
+    from fringeworks.llm import repeats as m
+    from fringeworks.llm.common import numbered, text_size
+
+    r = random.Random(31)
+    draw = lambda n: "".join(r.choice("abcdefghij klm") for _ in range(n))
+    passage, buckets = draw(160), 64
+    some = {k: draw(120) + passage + draw(120) for k in range(6000)}
+    rows = numbered(spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(4))
+    frequent, counts = m._frequent(rows, 100, 32, buckets, text_size(rows), 1000)
+    assert 1 <= len(frequent) < 20 and min(counts) > 500
+
+    def sent(frequent, dealt, gathered=10_000):
+        got = m._records(rows, 100, 32, buckets, frequent, dealt, gathered).collect()
+        n = Counter()
+        for x in got:
+            n[x.bucket] += len(x.records) // m._RECORD.itemsize
+        return sorted(n.values()), len(got)
+
+    by_minimizer, _ = sent(frequent[:0], 4096)
+    one, messages = sent(frequent, 4096)
+    assert by_minimizer[-1] > 3 * by_minimizer[32] and one[-1] <= 3 * one[32]
+    assert sent(frequent, 1)[0][-1] <= 3 * one[32]
+    deal = m._Deal(100, 4096, frequent)
+    data = np.frombuffer("".join(some[k] for k in range(500)).encode(), np.uint8)
+    at, begin, extra, a, same = m.blocks_of(data, np.arange(501) * 400, 100, 32)
+    records = np.empty(len(at), m._RECORD)
+    for name, value in zip(m._RECORD.names, (a, same, at, begin, extra), strict=True):
+        records[name] = value
+    deal.add(records)
+    deal.about.append((np.arange(500), np.arange(500), np.ones(500, bool)))
+    assert len(list(deal.flushed(64))) <= 65
+    # the passage goes from all documents but the first
+    found = m.remove_repeats(rows.select("doc_id", "text"), split=1000, dealt=1)
+    assert found.where("doc_id > 0 and n_removed >= 160").count() == 5999 and found.where("doc_id = 0").first().n_removed == 0
+
+
 def test_repeats_of_repeated_rows(spark):
     from fringeworks.llm import repeats as m
 
