@@ -3,8 +3,8 @@
 Filters of several widths run over the bytes of fixed-length windows; each filter keeps its largest response, and a
 softmax layer turns the responses into language probabilities. A document's probabilities are the mean over all windows of
 its whole text, weighted by their bytes. Training needs a bounded sample: at most ``per_lang`` labelled documents for each
-label (those with the smallest hash of doc_id) and at most ``WINDOWS`` windows spread over each; only these windows reach the
-driver. The trained filters are folded into tables over byte pairs, so a window costs five table rows for each byte.
+label (those with the smallest hash of doc_id), at most ``most`` over all labels in equal shares, and at most ``WINDOWS`` windows spread over each; only
+these windows reach the driver, 16 MB at most. Of more than ``most`` labels the most frequent are learned, ties by name. The trained filters are folded into tables over byte pairs, so a window costs five table rows for each byte.
 
 Cases: ``und`` with score 0 if a text is null or has no letter, or if there was nothing to learn from; empty and very long
 texts, repeated rows and an empty table need nothing special, and of rows with the same doc_id one is learned from; null doc_ids are
@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 
 from fringeworks.llm.common import ROW, numbered, temporaries, written
 
-#: Labels whose counts are broadcast.
-MOST_LABELS = 10_000
-#: Bytes in a window, filters for each width, and the bounds of the training sample.
-WINDOW, WIDTHS, FILTERS, PER_LANG, WINDOWS = 256, (2, 3, 4), 16, 400, 4
+#: Bytes in a window, filters for each width, and the bounds of the training sample: documents of a label and in all, windows of a document.
+WINDOW, WIDTHS, FILTERS, PER_LANG, MOST_SAMPLED, WINDOWS = 256, (2, 3, 4), 16, 400, 16_000, 4
 UNKNOWN = "und"
 
 
@@ -118,14 +116,17 @@ def probabilities(net: Network, tables, x: np.ndarray) -> np.ndarray:
     return _softmax(np.maximum(pooled, 0) @ net.dense + net.bias)
 
 
-def sample(docs: DataFrame, train_rows, per_lang: int = PER_LANG, window: int = WINDOW) -> list[tuple[str, bytes]]:
-    """At most ``per_lang`` documents of each label under the condition ``train_rows``, as at most WINDOWS windows each."""
+def sample(docs: DataFrame, train_rows, per_lang: int = PER_LANG, window: int = WINDOW, most: int = MOST_SAMPLED) -> list[tuple[str, bytes]]:
+    """At most ``per_lang`` documents of each label under the condition ``train_rows``, and ``most`` in all, as at most WINDOWS windows each."""
     labelled = docs.where(train_rows & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    # counts first, sent to all tasks: then only about four times as many rows of a label as are wanted meet in a task, whatever its share
+    # counts first, sent to all tasks: then only some more rows of a label than are wanted meet in a task, whatever its share
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
     counts = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_li_n")), "labels")
-    counts = F.broadcast(counts) if counts.count() <= MOST_LABELS else counts
-    few = labelled.select("doc_id", "lang", draw.alias("draw")).join(counts, "lang").where(F.col("draw") * F.col("_li_n") < 4 * per_lang)
+    labels = counts.count()
+    if labels > most:
+        counts = counts.orderBy(F.desc("_li_n"), "lang").limit(most)
+    per_lang = max(1, min(per_lang, most // max(1, labels)))
+    few = labelled.select("doc_id", "lang", draw.alias("draw")).join(F.broadcast(counts), "lang").where(F.col("draw") * F.col("_li_n") < 4 * per_lang + 16)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     chosen = few.groupBy("lang", "doc_id").agg(F.min("draw").alias("draw")).withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
 
