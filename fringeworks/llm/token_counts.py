@@ -7,7 +7,8 @@
    distinct pre-token is encoded exactly once in the whole job, and a frequent one arrives as one list per block.
 3. Frequencies times piece counts, summed per document in the bucket, go back to the blocks as packed partial sums.
 
-What moves is proportional to (document, distinct pre-token) pairs; no task holds more than a bucket or a block.
+What moves is proportional to (document, distinct pre-token) pairs; no task holds more than a bucket or a block, and a block ends with the
+text that reaches one of its bounds (documents, distinct chunks, chunks in all), so it is a bounded table and one text.
 
 Cases: a null text is empty and has no tokens; special strings in a text count as the library counts them; repeated rows
 are counted each; an empty table gives an empty result; other columns are ignored.
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from fringeworks.llm.common import buckets_for
 
 LIMIT = 512
-#: A block ends at so many documents, or so many distinct chunks.
-BLOCK_DOCS, BLOCK_CHUNKS = 8192, 200_000
+#: A block ends at so many documents, so many distinct chunks, or so many chunks in all.
+BLOCK_DOCS, BLOCK_CHUNKS, BLOCK_OCCURRENCES = 8192, 200_000, 2_000_000
 _ROW = "bucket int, block long, docs binary, strings binary, lengths binary, df binary, doc binary, n binary"
 
 
@@ -56,6 +57,7 @@ class _Block:
         self.units: list[str] = []
         self.docs: list[tuple] = []
         self.found: list = []
+        self.occurrences = 0
 
     def _number(self, chunk: str, known: dict, space: str) -> int:
         k = known[chunk] = len(self.units)
@@ -67,13 +69,14 @@ class _Block:
 
         self.docs.append((doc_id, len(text.encode())))
         if not text:
-            self.found.append(np.empty(0, np.int64))
+            self.found.append(np.empty(0, np.int32))
             return
         first, *rest = self.cut(text, self.spaced)
         get, body = self.body.get, self.body
         numbers = [self.heads[first] if first in self.heads else self._number(first, self.heads, "")]
         numbers += [k if (k := get(c)) is not None else self._number(c, body, " ") for c in rest]
-        self.found.append(np.array(numbers, np.int64))
+        self.found.append(np.array(numbers, np.int32))
+        self.occurrences += len(numbers)
 
     def pretokens(self):
         """The distinct pre-tokens, and for each chunk where its own start in one flat list of their numbers."""
@@ -100,7 +103,7 @@ class _Block:
             return
         flat, ends = np.array(flat, np.int64), np.array(ends, np.int64)
         counts = np.diff(ends, prepend=0)
-        chunk = np.concatenate(self.found)
+        chunk = np.concatenate(self.found).astype(np.int64)
         doc = np.repeat(np.arange(len(self.docs)), [len(x) for x in self.found])
         # distinct (chunk, document) with their number, then the same by pre-token
         keys, n = np.unique(chunk * len(self.docs) + doc, return_counts=True)
@@ -144,7 +147,7 @@ def token_counts(docs: DataFrame, vocabulary: str, spaced: bool = True, limit: i
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.add(doc_id, text or "")
-                if len(held.docs) >= BLOCK_DOCS or len(held.units) >= BLOCK_CHUNKS:
+                if len(held.docs) >= BLOCK_DOCS or len(held.units) >= BLOCK_CHUNKS or held.occurrences >= BLOCK_OCCURRENCES:
                     yield from flushed()
                     number, held = number + 1, _Block(spaced, special)
         if held.docs:

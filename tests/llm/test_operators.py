@@ -55,6 +55,20 @@ def test_token_count_blocks(spark, docs, monkeypatch):
     assert m.token_counts(docs, BYTE).agg(F.sum("n_tokens")).first()[0] == sum(len(library(BYTE, t)) for t in TEXTS.values())
 
 
+def test_token_count_block_of_long_texts(spark, monkeypatch):
+    """A block ends by what it holds, also where its chunks are few and its documents are long."""
+    from fringeworks.llm import token_counts as m
+
+    text = " ".join(["the", "cat", "sat"] * 700)
+    docs = spark.createDataFrame([(k, text) for k in range(12)] + [(12, ""), (13, None)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(m, "BLOCK_OCCURRENCES", 5000)
+    assert {(r.doc_id, r.n_tokens) for r in m.token_counts(docs, BYTE).collect()} == {(k, len(library(BYTE, text if k < 12 else ""))) for k in range(14)}
+    block = m._Block(True, set())
+    for k in range(40):
+        block.add(k, text)
+    assert block.occurrences == 40 * 2100 and len(block.units) == 4 and sum(x.nbytes for x in block.found) == 4 * block.occurrences
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_id_store(spark, docs, bits):
     from fringeworks.llm import id_store as m
@@ -447,6 +461,18 @@ def test_language_id(spark):
     assert m.predict(cases.documents(spark), m.train([]), "doc_id").columns == ["doc_id", "lang_pred", "score"]
 
 
+def test_language_sample_is_bounded_over_all_labels(spark):
+    from fringeworks.llm import language_id as m
+
+    some = [(k, f"text number {k}", f"l{k % 60:02}") for k in range(1200)] + [(1200 + k, "more", "l07") for k in range(50)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    everything = F.lit(True)
+    of = lambda **bounds: Counter(lang for lang, _ in m.sample(docs, everything, **bounds))
+    assert set(of(most=120).values()) == {2} and len(of(most=120)) == 60
+    assert sum(of(most=30).values()) == 30 and "l07" in of(most=30)
+    assert of(per_lang=3)["l07"] == 3 and sum(of().values()) == 1250
+
+
 def test_language_network_by_direct_convolution():
     from fringeworks.llm import language_id as m
 
