@@ -16,17 +16,34 @@ from pyspark.sql import functions as F
 
 from fringeworks.sources.catalog import file_meta
 from fringeworks.sources.phase_trace import BLOCK, HEADERS_A_TASK, header_words, name_of
+from fringeworks.sources.work import stored
 
 _WORDS = "trace_id string, sample_idx long, word long"
 _HEADERS = "trace_id string, header string, n_samples long, error string"
+#: Ranges that a task reads at most, and words of a batch: short captures share both.
+RANGES_A_TASK, BATCH = 1000, 1 << 17
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """path and length of a ``binaryFile`` scan, listed once: Spark deals it a few files a task, of which there is nothing to read."""
+    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
+    return stored(files.select("path", "length").coalesce(tasks), "files")
+
+
+def dealt(ranges: DataFrame, words: Column) -> DataFrame:
+    """``ranges`` dealt out evenly, whatever file they are of: about BLOCK ``words`` and at most RANGES_A_TASK ranges a task, so long ones are a task each and short ones share it."""
+    number, total = ranges.agg(F.count(F.lit(1)), F.sum(words)).first()
+    return ranges.repartition(max(1, -(-number // RANGES_A_TASK), -(-(total or 0) // BLOCK)))
 
 
 def list_captures(spark: SparkSession, folders: str | list[str], globs: str | list[str] = "*.bin", recorded_from: str | None = None, recorded_to: str | None = None) -> DataFrame:
     """path, length, recorded_local of the files under ``folders`` whose name matches any of ``globs``, recorded from (included) to (not included) by their names.
 
     Names are matched here, as Hadoop's own globs don't take the colons of a recording time. Without dates files whose name has none are listed too.
+    The folders are listed once, now.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", "length").distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    files = listed(files).distinct()
     name = F.regexp_extract(F.url_decode(F.regexp_replace("path", "[+]", "%2B")), "[^/]*$", 0)
     patterns = [fnmatch.translate(g) for g in ([globs] if isinstance(globs, str) else globs)]
     found = file_meta(files.where(reduce(Column.__or__, [name.rlike(f"^{p}") for p in patterns]))).select("path", "length", "recorded_local")
@@ -82,18 +99,24 @@ def read_ranges(files: DataFrame, block: int = BLOCK) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        def table(found):
+            names = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(found), dtype=np.int32), [len(x[2]) for x in found])), pa.array([x[0] for x in found])).cast(pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], names=["trace_id", "sample_idx", "word"])
+
+        held, room = [], BATCH
         for b in batches:
             for path, length, first, end in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 with _open(path) as f:
                     head = header_words(f.read_at(min(8, length), 0))
                     end = min(end, length // 8 - (head or 0))
                     while head is not None and first < end:
-                        n = min(1 << 17, end - first)
-                        word = np.frombuffer(f.read_at(8 * n, 8 * (head + first)), "<i8")
-                        name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([name_of(path)])).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([name, pa.array(np.arange(first, first + n)), pa.array(word)], names=["trace_id", "sample_idx", "word"])
-                        first += n
-
-    # dealt out evenly, whatever file they are of
-    count = ranges.agg(F.sum(F.col("end") - F.col("first"))).first()[0] or 0
-    return ranges.repartition(max(1, -(-count // block))).mapInArrow(run, _WORDS)
+                        n = min(room, end - first)
+                        held.append((name_of(path), np.arange(first, first + n), np.frombuffer(f.read_at(8 * n, 8 * (head + first)), "<i8")))
+                        first, room = first + n, room - n
+                        if not room:
+                            yield table(held)
+                            held, room = [], BATCH
+        if held:
+            yield table(held)
+
+    return dealt(ranges, F.col("end") - F.col("first")).mapInArrow(run, _WORDS)
