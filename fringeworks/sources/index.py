@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fringeworks.functions.decode import WRAP
 from fringeworks.operators.unwrap import unwrap
 from fringeworks.sources import store
-from fringeworks.sources.captures import _open, read_ranges
+from fringeworks.sources.captures import _open, dealt, read_ranges
 from fringeworks.sources.phase_trace import BLOCK, header_words, name_of
 
 _WRAPS = "array<struct<sample_idx:bigint,delta:int>>"
@@ -33,6 +33,7 @@ def scan_blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
         kind = pa.list_(pa.struct([("sample_idx", pa.int64()), ("delta", pa.int32())]))
         types = [pa.string(), *[pa.int64()] * 7, kind]
         for b in batches:
+            rows = []
             for path, length, first in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 with _open(path) as f:
                     head = header_words(f.read_at(min(8, length), 0))
@@ -44,11 +45,11 @@ def scan_blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
                 delta = (step > WRAP).astype(np.int64) - (step < -WRAP)
                 at = np.flatnonzero(delta)
                 wraps = [{"sample_idx": int(first + k + 1), "delta": int(delta[k])} for k in at]
-                row = (name_of(path), first // block, n, int(m[0]), int(m[-1]), int(delta.sum()), int(np.abs(m).min()), int(np.abs(m).max()), wraps)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[x.split(" ")[0] for x in _SCANNED.split(", ")])
+                rows.append((name_of(path), first // block, n, int(m[0]), int(m[-1]), int(delta.sum()), int(np.abs(m).min()), int(np.abs(m).max()), wraps))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split(" ")[0] for x in _SCANNED.split(", ")])
 
-    tasks = max(1, ranges.count() // 8)
-    return ranges.repartition(tasks).mapInArrow(run, _SCANNED)
+    return dealt(ranges, F.least(F.expr("length div 8") - F.col("first"), F.lit(block))).mapInArrow(run, _SCANNED)
 
 
 def with_turns(scanned: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -62,6 +62,24 @@ def test_ranges_of_windows(spark, folder, block):
     assert {r.trace_id: r.error for r in captures.read_headers(files).collect()} == {"t0": None, "t1": None, "bad": "not a trace", "short": "not a trace"}
 
 
+def test_short_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """Tasks grow with samples and ranges, not with the block: 600 ranges of 5 samples are one, and of at most 100 ranges six; listing 60 files isn't a task each few files."""
+    from fringeworks.sources import index
+
+    rows = spark.range(3000).selectExpr("id div 50 as trace_id", "'# x' as header", "id % 50 as sample_idx", "id as word")
+    write_traces(rows, str(tmp_path / "t"))
+    tasks = lambda df: df.rdd.getNumPartitions()
+    files = captures.list_captures(spark, str(tmp_path / "t"))
+    assert tasks(files) <= 2 * spark.sparkContext.defaultParallelism and files.count() == 60
+    assert tasks(captures.read_ranges(files, 5)) == 1 and tasks(index.scan_blocks(files, 5)) == 1
+    monkeypatch.setattr(captures, "RANGES_A_TASK", 100)
+    monkeypatch.setattr(captures, "BATCH", 64)  # a batch holds parts of several files
+    bounds = files.withColumns({"start_idx": F.lit(0), "end_idx": F.lit(50)})
+    found = captures.read_ranges(bounds, 5)
+    assert tasks(found) == 6 and {(int(r.trace_id), r.sample_idx, r.word) for r in found.collect()} == {(k // 50, k % 50, k) for k in range(3000)}
+    assert tasks(index.scan_blocks(files, 5)) <= 7 and index.scan_blocks(files, 5).agg(F.sum("n")).first()[0] == 3000
+
+
 def test_captures_by_glob_and_date(spark, tmp_path):
     for name in ("2024-01-19T00:34:36_s1_q8_a", "2024-01-20T00:00:00_s1_q8_a", "2024-02-01T00:00:00_s1_q8_b", "undated"):
         rows = spark.createDataFrame([(name, HEADER, k, k) for k in range(8)], "trace_id string, header string, sample_idx long, word long")
