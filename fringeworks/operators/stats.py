@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringeworks.sources.work import spread
+
 
 def _beside(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with its key's row of ``found``; without keys that is one row."""
@@ -131,14 +131,22 @@ def same_shape(df: DataFrame, keys: list[str], array: str) -> DataFrame:
 
 
 def haloed(df: DataFrame, key: str, block: int, before: int, after: int) -> DataFrame:
-    """Each sample in its block, and again in neighbouring blocks that need it: _own tells which is which."""
-    cut = df.withColumn("block", F.expr(f"sample_idx div {block}"))
-    copies = [cut.withColumn("_own", F.lit(True))]
+    """Each sample in its block, and again in neighbouring blocks that need it: _own tells which is which. ``df`` is read once."""
+    own, at = F.expr(f"sample_idx div {block}"), F.col("sample_idx") % block
+    copies = [F.struct(own.alias("block"), F.lit(True).alias("_own"))]
     if after:
-        copies.append(cut.where(F.col("sample_idx") % block < after).where("block > 0").withColumn("block", F.col("block") - 1).withColumn("_own", F.lit(False)))
+        copies.append(F.when((at < after) & (own > 0), F.struct((own - 1).alias("block"), F.lit(False).alias("_own"))))
     if before:
-        copies.append(cut.where(F.col("sample_idx") % block >= block - before).withColumn("block", F.col("block") + 1).withColumn("_own", F.lit(False)))
-    return reduce(DataFrame.unionByName, copies)
+        copies.append(F.when(at >= block - before, F.struct((own + 1).alias("block"), F.lit(False).alias("_own"))))
+    return df.select("*", F.inline(F.array_compact(F.array(*copies))))
+
+
+def _mirrored(df: DataFrame, before: int, after: int, key: str) -> DataFrame:
+    """``df`` with _n (samples of the trace), and the samples at its ends again beyond them; sample_idx is ``before`` more, so none is negative."""
+    joined = df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+    at, n = F.col("sample_idx"), F.col("_n")
+    places = F.array_compact(F.array(at, F.when(at < before, -at - 1), F.when(at >= n - after, 2 * n - 1 - at)))
+    return joined.withColumn("_at", F.explode(places)).withColumn("sample_idx", F.col("_at") + before).drop("_at")
 
 
 def moving_mean(df: DataFrame, n: int = 32, key: str = "trace_id", value: str = "x", block: int = 1 << 17) -> DataFrame:
@@ -147,23 +155,21 @@ def moving_mean(df: DataFrame, n: int = 32, key: str = "trace_id", value: str =
     Blocks overlap by half a window, so a trace isn't sorted in one task. Traces shorter than half a window are not mirrored twice.
     """
     before, after = n // 2, n - n // 2 - 1
-    ends = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    joined = df.join(ends, key)
-    low = joined.where((F.col("sample_idx") < before)).withColumn("sample_idx", -F.col("sample_idx") - 1)
-    high = joined.where(F.col("sample_idx") >= F.col("_n") - after).withColumn("sample_idx", 2 * F.col("_n") - 1 - F.col("sample_idx"))
-    # shifted by half a window, indices of mirrored samples are not negative
-    every = joined.unionByName(low).unionByName(high).withColumn("sample_idx", F.col("sample_idx") + before)
     frame = Window.partitionBy(key, "block").orderBy("sample_idx").rowsBetween(-before, after)
-    made = haloed(every, key, block, before, after).withColumn("moving", F.avg(value).over(frame)).where("_own")
-    made = made.withColumn("sample_idx", F.col("sample_idx") - before)
+    cut = spread(haloed(_mirrored(df, before, after, key), key, block, before, after), df.count(), key, "block")
+    made = cut.withColumn("moving", F.avg(value).over(frame)).where("_own").withColumn("sample_idx", F.col("sample_idx") - before)
     return made.where((F.col("sample_idx") >= 0) & (F.col("sample_idx") < F.col("_n"))).drop("_n", "_own", "block")
 
 
 def sliding_rms(df: DataFrame, n: int = 32, key: str = "trace_id", value: str = "x", block: int = 1 << 17) -> DataFrame:
-    """key, sample_idx, rms of the residual about the moving mean, where the whole window lies in the trace."""
+    """key, sample_idx, rms of the residual about the moving mean, where the whole window lies in the trace.
+
+    Blocks overlap by a window, so one shuffle and one sort do for both windows. What a task sorts is about ROWS_A_TASK samples, or a block.
+    """
     before, after = n // 2, n - n // 2 - 1
-    ends = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rest = moving_mean(df, n, key, value, block).withColumn("_r2", F.pow(F.col(value) - F.col("moving"), F.lit(2))).join(ends, key)
+    block = max(block, n)  # a halo comes from the next block alone
     frame = Window.partitionBy(key, "block").orderBy("sample_idx").rowsBetween(-before, after)
-    made = haloed(rest, key, block, before, after).withColumn("rms", F.sqrt(F.avg("_r2").over(frame))).where("_own")
+    cut = spread(haloed(_mirrored(df, before, after, key), key, block, 2 * before, 2 * after), df.count(), key, "block")
+    made = cut.withColumn("_r2", F.pow(F.col(value) - F.avg(value).over(frame), F.lit(2))).withColumn("rms", F.sqrt(F.avg("_r2").over(frame))).where("_own")
+    made = made.withColumn("sample_idx", F.col("sample_idx") - before)
     return made.where((F.col("sample_idx") >= before) & (F.col("sample_idx") < F.col("_n") - after)).select(key, "sample_idx", "rms")

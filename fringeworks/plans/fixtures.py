@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeworks.sources.work import spread
+
 #: ``{lineitem}`` and so on are the tables.
 WORDS = """
 select trace_id, sample_idx, m_true, m16*281474976710656 + (i & 16777215)*16777216 + (q & 16777215) as word
@@ -22,12 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _by(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by the key that the SQL numbers them by, as many tasks as they need."""
+    return spread(rows, rows.count(), key)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(WORDS, lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(WORDS, lineitem=_by(table(spark, sf_dir, "lineitem"), "l_suppkey"))
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SIGNAL, events=table(spark, sf_dir, "events"))
+    return spark.sql(SIGNAL, events=_by(table(spark, sf_dir, "events"), "user_id"))
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:

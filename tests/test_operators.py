@@ -11,6 +11,8 @@ from fringeworks.operators import bins, events, resample, spectral, stats, sweep
 
 SECOND = times.SECOND
 
+DATA = "/root/testdata/sf0.001"
+
 
 def trace(spark, values, key=1, name="x", kind="double"):
     rows = [(key, k, float(v) if kind == "double" else int(v)) for k, v in enumerate(values)]
@@ -149,6 +151,20 @@ def test_sliding_windows(spark, block):
     assert np.allclose(ordered(stats.sliding_rms(trace(spark, x), block=block), "rms"), rms)
 
 
+def test_sorts_of_bounded_parts(spark, monkeypatch):
+    """Tasks grow with the rows, so a part to sort doesn't, however well it compresses; a halo reaches over a block shorter than the window."""
+    from fringeworks.plans import fixtures as fx
+    from fringeworks.sources import work
+
+    monkeypatch.setattr(work, "ROWS_A_TASK", 500)
+    rows = spark.range(6000).selectExpr("id div 100 as trace_id", "id % 100 as sample_idx", "sin(id) as x")
+    for made in (stats.moving_mean(rows), stats.sliding_rms(rows)):
+        assert made.rdd.getNumPartitions() == 12
+    assert fx.words(spark, DATA).rdd.getNumPartitions() == -(-fx.table(spark, DATA, "lineitem").count() // 500)
+    want, got = (sorted((r.trace_id, r.sample_idx, round(r.rms, 9)) for r in stats.sliding_rms(rows, block=b).collect()) for b in (1 << 17, 20))
+    assert want == got and len(got) == 60 * 69
+
+
 def test_resampling(spark):
     x = np.random.default_rng(5).normal(size=431)
     df = trace(spark, x)
