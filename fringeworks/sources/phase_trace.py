@@ -185,6 +185,8 @@ def register(spark) -> None:
 
 def write_traces(words, path: str) -> None:
     """(trace_id, header, sample_idx, word) as one file per trace."""
+    from fringeworks.sources.work import spread
+
     register(words.sparkSession)
     whole = words.selectExpr("cast(trace_id as string) as trace_id", "header", "sample_idx", "word")
-    whole.repartition("trace_id").sortWithinPartitions("trace_id", "sample_idx").select("trace_id", "header", "sample_idx", "word").write.format("phase_trace").mode("append").save(path)
+    spread(whole, words.count(), "trace_id").sortWithinPartitions("trace_id", "sample_idx").select("trace_id", "header", "sample_idx", "word").write.format("phase_trace").mode("append").save(path)
