@@ -42,67 +42,98 @@ def sessions(stream: DataFrame, keys: list[str], gap_s: float, late: str, ts: st
     return held.agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("session_window")
 
 
+#: Groups that the traces of a stream are dealt to: a call and its state are for a group.
+GROUPS = 1024
+
+
 class _Repair(StatefulProcessor):
-    """The counter of one trace: what came last, and the chunks that wait for a gap to be filled."""
+    """The counters of a group of traces: what came last of each, and the chunks that wait for a gap to be filled.
+
+    Each call on the state is a message to Spark, so there are a few for a group, however many traces it has. The chunks of a batch that wait are one part, which goes
+    when none of them waits any more; which chunk lies where is known without reading parts.
+    """
 
     def __init__(self, patience_ms: int | None):
         self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "last long, turns long, following long")
-        self.waiting = handle.getMapState("waiting", "first long", "m binary")
+        self.at = handle.getValueState("at", "traces array<struct<trace_id:bigint,last:bigint,turns:bigint,following:bigint>>, waits array<struct<trace_id:bigint,first:bigint,length:bigint,part:bigint>>, parts long")
+        self.waiting = handle.getMapState("waiting", "part long", "chunks array<struct<trace_id:bigint,first:bigint,m:binary>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        last, turns, following = self.at.get() if self.at.exists() else (None, 0, 0)
-        new = pd.concat(list(rows)).sort_values("sample_idx").drop_duplicates("sample_idx")
-        index, m = new["sample_idx"].to_numpy(np.int64), new["m"].to_numpy(np.int64)
-        cuts = np.flatnonzero(np.diff(index) != 1) + 1
-        runs = {int(i[0]): x for i, x in zip(np.split(index, cuts), np.split(m, cuts), strict=True) if len(i)}
-        known = {k[0]: None for k in self.waiting.keys()}
+        traces, waits, parts = self.at.get() or ([], [], 0)
+        at = {t: (last, turns, following) for t, last, turns, following in traces}
+        held: dict = {}  # trace -> first -> length, part
+        for t, first, length, part in waits:
+            held.setdefault(t, {})[first] = (length, part)
+        tables = list(rows)
+        trace, index, m = (np.concatenate([t[c].to_numpy(np.int64) for t in tables]) for c in ("trace_id", "sample_idx", "m"))
+        order = np.lexsort((index, trace))
+        trace, index, m = trace[order], index[order], m[order]
+        once = np.r_[True, (np.diff(trace) != 0) | (np.diff(index) != 0)]
+        trace, index, m = trace[once], index[once], m[once]
+        cuts = np.r_[0, np.flatnonzero((np.diff(trace) != 0) | (np.diff(index) != 1)) + 1, len(trace)]
+        new: dict = {}
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            new.setdefault(int(trace[a]), {})[int(index[a])] = m[a:b]
+        used: dict = {}
+        for t, runs in new.items():  # of chunks with the same first sample the longer
+            known = held.setdefault(t, {})
+            known |= {first: (len(x), None) for first, x in runs.items() if first not in known or len(x) >= known[first][0]}
+            following, used[t] = at.get(t, (None, 0, 0))[2], []
+            while usable := [k for k in known if k <= following]:
+                for first in usable:
+                    length, part = known.pop(first)
+                    used[t].append((first, part))
+                    following = max(following, first + length)
+        read = {part: {(t, first): x for t, first, x in self.waiting.getValue((part,))[0]} for part in {p for u in used.values() for _, p in u if p is not None}}
         out: list[tuple] = []
-        while usable := [k for k in (*runs, *known) if k <= following]:
-            for first in usable:
-                x = runs.pop(first, None)
-                if first in known:
-                    stored = np.frombuffer(self.waiting.getValue((first,))[0], "<i8")
-                    self.waiting.removeKey((first,))
-                    del known[first]
-                    x = stored if x is None or len(x) < len(stored) else x
+        for t, firsts in used.items():
+            last, turns, following = at.get(t, (None, 0, 0))
+            for first, part in firsts:
+                x = new[t][first] if part is None else np.frombuffer(read[part][t, first], "<i8")
                 x = x[following - first :]  # samples that have come before are left out
                 if len(x):
                     jump = np.diff(x, prepend=x[0] if last is None else last)
                     total = turns + np.cumsum((jump > WRAP).astype(np.int64) - (jump < -WRAP))
-                    out.append((following + np.arange(len(x)), x - 65536 * total))
+                    out.append((np.full(len(x), t), following + np.arange(len(x)), x - 65536 * total))
                     last, turns, following = int(x[-1]), int(total[-1]), following + len(x)
-        for first, x in runs.items():
-            if first not in known or len(x) * 8 > len(self.waiting.getValue((first,))[0]):
-                self.waiting.updateValue((first,), (x.astype("<i8").tobytes(),))
-        if last is not None:
-            self.at.update((last, turns, following))
+            if last is not None:
+                at[t] = (last, turns, following)
+        early = [(t, first, new[t][first].astype("<i8").tobytes()) for t in new for first, (_, part) in held[t].items() if part is None]
+        if early:
+            self.waiting.updateValue((parts,), (early,))
+        left = [(t, first, length, parts if part is None else part) for t, known in held.items() for first, (length, part) in known.items()]
+        for part in {w[3] for w in waits} - {w[3] for w in left}:
+            self.waiting.removeKey((part,))
+        self.at.update(([(t, *x) for t, x in at.items()], left, parts + bool(early)))
         if self.patience_ms is not None:
             timers = list(self.handle.listTimers())
-            if (runs or known) and not timers:
+            if left and not timers:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-            elif not runs and not known:
+            elif not left:
                 for t in timers:
                     self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-        index, m = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(2))
-        yield pd.DataFrame({"trace_id": np.full(len(index), key[0]), "sample_idx": index, "m_unwrapped": pd.array(m, "Int64"), "gap_until": pd.array([None] * len(index), "Int64")})
+        if out:
+            trace, index, m = (np.concatenate([x[k] for x in out]) for k in range(3))
+            none = pd.arrays.IntegerArray(np.zeros(len(index), np.int64), np.ones(len(index), bool))
+            yield pd.DataFrame({"trace_id": trace, "sample_idx": index, "m_unwrapped": m, "gap_until": none})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        """The gap that is still open, as a row."""
+        """The gaps that are still open, a row each."""
         import pandas as pd
 
-        firsts = [k[0] for k in self.waiting.keys()]
-        following = self.at.get()[2] if self.at.exists() else 0
+        traces, waits, _ = self.at.get() or ([], [], 0)
+        at = {t: following for t, _, _, following in traces}
+        firsts: dict = {}
+        for t, first, _, _ in waits:
+            firsts[t] = min(first, firsts.get(t, first))
         if firsts:
-            yield pd.DataFrame({"trace_id": [key[0]], "sample_idx": [following], "m_unwrapped": pd.array([None], "Int64"), "gap_until": pd.array([min(firsts)], "Int64")})
-        else:
-            yield pd.DataFrame({"trace_id": pd.Series(dtype="int64"), "sample_idx": pd.Series(dtype="int64"), "m_unwrapped": pd.Series(dtype="Int64"), "gap_until": pd.Series(dtype="Int64")})
+            yield pd.DataFrame({"trace_id": list(firsts), "sample_idx": [at.get(t, 0) for t in firsts], "m_unwrapped": pd.array([None] * len(firsts), "Int64"), "gap_until": pd.array(list(firsts.values()), "Int64")})
 
     def close(self) -> None:
         pass
@@ -114,18 +145,20 @@ def unwrapped(stream: DataFrame, patience_s: float | None = None) -> DataFrame:
     State has the last counter, the turns so far and the next index of a trace, and the chunks that came early, which wait until what is missing has come; samples that
     have been given are not given again. ``gaps`` reads the open gaps from a checkpoint. With ``patience_s`` a gap that is open for so long is also told in the stream, once,
     as a row without m_unwrapped: the first sample that is missing and, in gap_until, the first that waits; the stream goes on, and the gap may
-    still be filled. Timers run with a stream that goes on, not with ``run_available``. Needs the RocksDB state store.
+    still be filled. Timers run with a stream that goes on, not with ``run_available``, and each trace has its own; without them traces share the calls of one of GROUPS groups.
+    Needs the RocksDB state store.
     """
     schema = "trace_id long, sample_idx long, m_unwrapped long, gap_until long"
     timed = patience_s is not None
-    return stream.groupBy("trace_id").transformWithStateInPandas(_Repair(int(1000 * patience_s) if timed else None), schema, "append", "processingTime" if timed else "none")
+    group = F.col("trace_id") if timed else F.pmod(F.xxhash64("trace_id"), F.lit(GROUPS))
+    return stream.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(_Repair(int(1000 * patience_s) if timed else None), schema, "append", "processingTime" if timed else "none")
 
 
 def gaps(spark: SparkSession, checkpoint: str) -> DataFrame:
     """trace_id, first_missing, first_waiting, n_waiting: the traces of an ``unwrapped`` stream in which chunks wait, from its checkpoint."""
-    of = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
-    waiting = of("waiting").select(F.col("key.trace_id").alias("trace_id"), F.col("user_map_key.first").alias("first")).groupBy("trace_id").agg(F.min("first").alias("first_waiting"), F.count(F.lit(1)).alias("n_waiting"))
-    at = of("at").select(F.col("key.trace_id").alias("trace_id"), F.col("value.following").alias("following"))
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "at").load().select("value.*")
+    waiting = state.select(F.inline("waits")).groupBy("trace_id").agg(F.min("first").alias("first_waiting"), F.count(F.lit(1)).alias("n_waiting"))
+    at = state.select(F.inline("traces")).select("trace_id", "following")
     return waiting.join(at, "trace_id", "left").select("trace_id", F.coalesce("following", F.lit(0)).alias("first_missing"), "first_waiting", "n_waiting")
 
 
