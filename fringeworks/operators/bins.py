@@ -180,8 +180,22 @@ def averaged_spectrum(pieces: DataFrame, window_s: float = 6.0, overlap: float =
         import pyarrow as pa
 
         names = [n.split(" ")[0] for n in schema.split(", ")]
+
+        def reduced(fs, nfft, held):
+            """The groups of windows of one rate, a row for each and frequency; one transform is for all."""
+            counts = np.array([len(w) for _, w in held])
+            starts = np.cumsum(counts) - counts
+            db = 10 * np.log10(np.maximum(zoom_density(np.concatenate([w for _, w in held]), f1, f2, fs, "linear"), 1e-300))
+            mean = np.add.reduceat(db, starts) / counts[:, None]
+            var = np.add.reduceat((db - np.repeat(mean, counts, 0)) ** 2, starts) / counts[:, None]
+            k = np.tile(np.arange(nfft), len(held))
+            columns = [np.repeat([b for b, _ in held], nfft), k.astype(np.int32), f1 + k * (f2 - f1) / nfft, np.tile(np.linspace(f1, f2, nfft), len(held)), np.repeat(counts, nfft), mean.ravel(), var.ravel()]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
         for b in batches:
-            for row in b.to_pylist():
+            held: dict = {}
+            for r in range(b.num_rows):
+                row = {c: b.column(c)[r].as_py() for c in ("bin_start_ns", "part", "fs", "length", "nfft", "hop", "many", "pieces")}
                 fs, nfft, hop = row["fs"], row["nfft"], row["hop"]
                 begin = row["part"] * row["many"] * hop
                 count = min(row["many"], (row["length"] - nfft) // hop + 1 - row["part"] * row["many"])
@@ -191,11 +205,12 @@ def averaged_spectrum(pieces: DataFrame, window_s: float = 6.0, overlap: float =
                     i, j = max(begin, piece["first"]), min(begin + len(x), piece["first"] + len(own))
                     if i < j:
                         x[i - begin : j - begin] = own[i - piece["first"] : j - piece["first"]]
-                windows = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]
-                db = 10 * np.log10(np.maximum(zoom_density(windows, f1, f2, fs, "linear"), 1e-300))
-                k = np.arange(nfft)
-                columns = [np.full(nfft, row["bin_start_ns"]), k.astype(np.int32), f1 + k * (f2 - f1) / nfft, np.linspace(f1, f2, nfft), np.full(nfft, len(db)), db.mean(0), db.var(0)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                same = held.setdefault((fs, nfft), [])
+                same.append((row["bin_start_ns"], np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop]))
+                if sum(w.size for _, w in same[-64:]) > 1 << 16 or len(same) == 1024:
+                    yield reduced(fs, nfft, held.pop((fs, nfft)))
+            for (fs, nfft), same in held.items():
+                yield reduced(fs, nfft, same)
 
     grouped = dealt.groupBy("bin_start_ns", "trace_id", "batch", "part", "fs", "length", "nfft", "hop", "many").agg(F.collect_list(F.struct("first", "data")).alias("pieces"))
     parts = grouped.mapInArrow(run, schema)

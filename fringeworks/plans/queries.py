@@ -560,7 +560,7 @@ def bin_spectrum_sink(spark, d):
     """Written twice: the second run finds nothing left to add."""
     from fringeworks.sources.sinks import append_bins, read_bins
 
-    spectra, path = _bin_spectra(spark, d), work_path(spark, "bins")
+    spectra, path = stored(_bin_spectra(spark, d), "spectra"), work_path(spark, "bins")
     append_bins(spectra, path)
     append_bins(spectra, path)
     return _rounded(read_bins(spark, path))

@@ -66,10 +66,10 @@ def with_turns(scanned: DataFrame, block: int = BLOCK) -> DataFrame:
 def add_captures(files: DataFrame, path: str, block: int = BLOCK) -> int:
     """Indexes the captures of ``files`` (path, length) that the index at ``path`` hasn't got; how many. Others may do so meanwhile: each is in it once."""
     spark = files.sparkSession
-    known = {k for c in store.commits(spark, path) for k in c["keys"]}
+    known = store.committed_keys(spark, path, "trace_id string").withColumnRenamed("trace_id", "_name")
     name = F.regexp_extract("path", "([^/]+?)([.]bin)?$", 1)
     fresh = files.withColumn("_name", F.url_decode(F.regexp_replace(name, "[+]", "%2B")))
-    fresh = fresh.join(spark.createDataFrame([(k,) for k in sorted(known)], "_name string"), "_name", "left_anti").drop("_name")
+    fresh = fresh.join(known, "_name", "left_anti").drop("_name")
     return store.append_new(with_turns(scan_blocks(fresh, block), block), path, "trace_id")
 
 

@@ -1,10 +1,10 @@
 """A store that several writers may add to at once, and that a writer may leave at any moment.
 
-A store is a folder with ``data`` (a folder of Parquet files for each commit, written before it) and ``commits`` (a small JSON file each). A file in
+A store is a folder with ``data`` (a folder of Parquet files for each commit, written before it), ``keys`` (likewise) and ``commits`` (a small JSON file each). A file in
 ``commits`` appears at once and whole, and only if none has its name; until then nobody reads what was written. So a writer that
 dies leaves files that no one reads, and of two writers that want the same name one finds it taken.
 
-* ``append_new``: commits are numbered. A writer names the keys that it brings; if its number is taken, it drops those keys that have been
+* ``append_new``: commits are numbered. A writer names the table of the keys that it brings; if its number is taken, it drops those keys that have been
   committed meanwhile and tries the next. No key is stored twice, and nobody waits for a lock.
 * ``apply_batch``: commits are named by a stream's batch. A batch that comes again after a restart finds its name taken.
 * ``latest``: of rows with the same key those of the last batch; ``compact`` makes a store of these alone, staged and swapped by one commit.
@@ -69,13 +69,20 @@ def commits(spark: SparkSession, path: str) -> list[dict]:
     return [c for c in out if c["name"] not in gone]
 
 
-def _written(rows: DataFrame, path: str, by: str | None) -> str:
-    folder = f"data/{uuid.uuid4().hex}"
-    writer = rows.write
-    (writer.partitionBy(by) if by else writer).parquet(f"{path}/{folder}")
+def _written(rows: DataFrame, path: str, by: str | None, kind: str = "data") -> str:
+    """``rows`` in a new folder; those of a value of ``by`` are brought together first (large values in parts), or each task would write a file for each value that it meets."""
+    folder = f"{kind}/{uuid.uuid4().hex}"
+    writer = rows.hint("rebalance", by).write.partitionBy(by) if by else rows.write
+    writer.parquet(f"{path}/{folder}")
     return folder
 
 
+def committed_keys(spark: SparkSession, path: str, schema, among: list[dict] | None = None) -> DataFrame:
+    """The keys of the commits of ``append_new``, of all or of those ``among`` them; ``schema`` has the key's column."""
+    folders = [f"{path}/{c['keys']}" for c in (commits(spark, path) if among is None else among)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """All committed rows, with ``commit_name``; a store without commits needs the ``schema`` of its rows."""
     parts = [spark.read.parquet(f"{path}/{c['folder']}").withColumn("commit_name", F.lit(c["name"])) for c in commits(spark, path) if c.get("rows", 1)]
@@ -92,26 +99,28 @@ def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def append_new(rows: DataFrame, path: str, key: str, by: str | None = None) -> int:
     """Adds the rows whose ``key`` the store hasn't got; how many keys that were. ``by`` is a column to partition each commit's files by.
 
-    The keys of a commit are in its file (bins of a time grid are some ten thousand a year), so a conflict is found without reading data.
+    The keys of a commit are a table beside its data that its file names, so a conflict is found without reading data, and no number of keys goes through the driver.
     """
     spark = rows.sparkSession
     kind = rows.select(key).schema
-    done: set = set()
-    folder = None
+    seen: set[str] = set()
+    folder = keys = None
     for _ in range(_TRIES):
         known = commits(spark, path)
-        fresh = {k for c in known for k in c["keys"]} - done
-        done |= fresh
-        if folder is None or fresh & mine:  # first, or keys of ours have been committed by another
+        fresh = [c for c in known if c["name"] not in seen]
+        seen |= {c["name"] for c in fresh}
+        gone = committed_keys(spark, path, kind, fresh)
+        if folder is None or fresh and not mine.join(gone, key, "left_semi").isEmpty():  # first, or keys of ours have been committed by another
             source = rows if folder is None else spark.read.schema(rows.schema).parquet(f"{path}/{folder}")
-            gone = spark.createDataFrame([(k,) for k in done], kind)
-            folder = _written(source.join(gone, key, "left_anti").select(rows.columns), path, by)
-            mine = {r[0] for r in spark.read.schema(rows.schema).parquet(f"{path}/{folder}").select(key).distinct().collect()}
-        if not mine:
+            folder = _written(source.join(gone, key, "left_anti").select(rows.columns) if fresh else source, path, by)
+            keys = _written(spark.read.schema(rows.schema).parquet(f"{path}/{folder}").select(key).distinct(), path, None, "keys")
+            mine = spark.read.schema(kind).parquet(f"{path}/{keys}")
+            number_of = mine.count()
+        if not number_of:
             return 0
         number = max([int(c["name"]) for c in known], default=-1) + 1
-        if _put_if_absent(spark, f"{path}/commits", f"{number:012d}.json", json.dumps({"folder": folder, "keys": sorted(mine)})):
-            return len(mine)
+        if _put_if_absent(spark, f"{path}/commits", f"{number:012d}.json", json.dumps({"folder": folder, "keys": keys})):
+            return number_of
     raise RuntimeError(f"{path}: others have committed {_TRIES} times meanwhile")
 
 

@@ -201,6 +201,21 @@ def test_stream_of_shuffled_chunks(spark, tmp_path):
     assert found.where("gap_until is not null").count() == 0 and stream.gaps(spark, f"{tmp_path}/ck").count() == 0
 
 
+def test_stream_groups_share_state(spark, tmp_path, monkeypatch):
+    """Sixty traces in three groups: a state for each group, parts of waiting chunks that go when all of a part is used, and the same samples."""
+    monkeypatch.setattr(stream, "GROUPS", 3)
+    r = np.random.default_rng(5)
+    rows = [(t, k, int((k * 3000 * (t % 3) + t + 32768) % 65536) - 32768) for t in range(60) for k in range(40 + t)]
+    chunks = [[x for x in rows if (x[1] // 10 * 3 + x[0]) % 7 == a] for a in range(7)] + [[x for x in rows if x[1] % 17 < 5]]
+    chunks = [chunks[k] for k in r.permutation(len(chunks))]
+    out = f"{tmp_path}/out"
+    query = stream.run_available(stream.unwrapped(_arrive(spark, f"{tmp_path}/in", chunks)), f"{tmp_path}/ck", path=out, rocks=True)
+    want = unwrap.unwrap(spark.createDataFrame(rows, CHUNK), 50).select("trace_id", "sample_idx", "m_unwrapped")
+    assert sorted(map(tuple, spark.read.parquet(out).select("trace_id", "sample_idx", "m_unwrapped").collect())) == sorted(map(tuple, want.collect()))
+    assert stream.gaps(spark, f"{tmp_path}/ck").count() == 0
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]][-1] == 3
+
+
 def test_stream_tells_gaps(spark, tmp_path):
     """A gap stops neither the stream nor other traces; filled later, the samples follow."""
     rows = lambda t, a, b: [(t, k, k) for k in range(a, b)]

@@ -53,6 +53,19 @@ def test_a_conflict_at_the_last_moment(spark, tmp_path, monkeypatch):
     assert [c["name"] for c in store.commits(spark, path)] == ["000000000000", "000000000001"]
 
 
+def test_commits_stay_small(spark, tmp_path):
+    """A commit names the table of its keys, not each key; parts of a table that all hold the same dates become a file for each date."""
+    path = f"file://{tmp_path}/s"
+    rows = spark.range(0, 4000, 1, 16).select(F.col("id").alias("bin_start_ns"), (F.col("id") % 5).alias("date"))
+    assert store.append_new(rows, path, "bin_start_ns", "date") == 4000 and store.append_new(rows, path, "bin_start_ns", "date") == 0
+    assert store.append_new(rows.union(rows.selectExpr("bin_start_ns + 2000", "date")), path, "bin_start_ns", "date") == 2000
+    assert store.read(spark, path).select("bin_start_ns").distinct().count() == 6000 == store.read(spark, path).count()
+    (first, second) = store.commits(spark, path)
+    assert len((tmp_path / "s" / "commits" / f"{first['name']}.json").read_text()) < 300
+    assert len(list((tmp_path / "s" / first["folder"]).rglob("*.parquet"))) == 5
+    assert store.committed_keys(spark, path, "bin_start_ns long").count() == 6000 and second["folder"] != first["folder"]
+
+
 def test_a_writer_that_dies(spark, tmp_path, monkeypatch):
     """Data without a commit is never read, and doesn't hinder the next run."""
     path = f"file://{tmp_path}/s"
