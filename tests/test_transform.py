@@ -59,3 +59,35 @@ def test_nothing(spark):
     assert m.whole_periodogram(empty, 1.0).collect() == []
     nulls = spark.createDataFrame([(1, 0, None), (1, 1, 2.0)], "trace_id long, sample_idx long, x double")
     assert [(r.freq_idx, r.re) for r in m.whole_transform(nulls, centred=False).orderBy("freq_idx").collect()] == [(0, 2.0), (1, -2.0)]
+
+
+@pytest.mark.parametrize("lot", [1, 1 << 23])
+def test_tiles_together(monkeypatch, lot):
+    """Tiles of many traces take a few transforms; a lot ends with a tile, wherever batches do."""
+    import pyarrow as pa
+
+    r, block, calls = np.random.default_rng(1), 256, []
+    for name in ("fft", "ifft", "rfft"):
+        monkeypatch.setattr(np.fft, name, lambda *a, f=getattr(np.fft, name), **b: (calls.append(1), f(*a, **b))[1])
+    monkeypatch.setattr(m, "LOT", lot)
+    traces = {f"t{k}": r.normal(size=n) for k, n in enumerate([40, 521, 600, 613] * 10)}
+    rows = []
+    for k, x in traces.items():
+        g = m.grid(len(x), block)
+        rows += [(k, len(x), 0 if len(x) <= block else i % g.columns // g.width, i, v) for i, v in enumerate(x.tolist())]
+
+    def dealt(table, *order):
+        table = table.sort_by([(c, "ascending") for c in ("n", "tile", "trace_id", *order)])
+        return iter(table.to_batches(max_chunksize=100))
+
+    table = pa.table(dict(zip(("trace_id", "n", "tile", "sample_idx", "x"), map(list, zip(*rows, strict=True)), strict=True)))
+    tiles = len({row[:3] for row in rows})
+    down = pa.Table.from_batches(m._down_columns("trace_id", block)(dealt(table)))
+    assert lot == 1 or len(calls) < tiles / 10
+    along = pa.Table.from_batches(m._along_rows("trace_id", block)(dealt(down, "at")))
+    found = pa.Table.from_batches(m._up_columns("trace_id", block)(dealt(along, "at"))).to_pylist()
+    assert lot == 1 or len(calls) < tiles / 4
+    assert len(found) == sum(len(x) // 2 + 1 for x in traces.values())
+    got = {(row["trace_id"], row["freq_idx"]): complex(row["re"], row["im"]) for row in found}
+    for k, x in traces.items():
+        assert np.allclose([got[k, i] for i in range(len(x) // 2 + 1)], np.fft.rfft(x), atol=1e-8)
