@@ -748,15 +748,16 @@ b as (select e.*, w1, tardy and bin_start + interval '15 minutes' <= w0 as late
 def _late_store(spark, d) -> str:
     from fringeworks.streaming import stream
 
-    chunks, path = work_path(spark, "chunks"), work_path(spark, "late")
+    staged, chunks, path = (work_path(spark, name) for name in ("staged", "chunks", "late"))
     rows = fx.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     ends = rows.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
     eighth = F.least(F.expr(f"(unix_micros(ts) - {ends['a'] or 0}) * 8 div {(ends['b'] or 0) - (ends['a'] or 0) + 1}"), F.lit(7))
     rows = rows.withColumn("arrival", F.when(F.col("event_id") % 97 == 0, 8).otherwise(eighth).cast("int"))
-    rows.repartition("arrival").write.partitionBy("arrival").parquet(chunks)
-    stream.feed_by_name(spark, chunks)
-    source = spark.readStream.schema("event_id long, ts timestamp, value double, arrival int").option("maxFilesPerTrigger", 1).parquet(chunks)
-    stream.run_available(source.drop("arrival"), work_path(spark, "checkpoint"), lambda b, k: stream.split_late(b, k, path, "ts", "15 minutes", 3600.0))
+    rows.write.partitionBy("arrival").parquet(staged)  # a part has a file of each task
+    checkpoint = work_path(spark, "checkpoint")
+    for _ in stream.arrivals(spark, staged, chunks):
+        source = spark.readStream.schema("event_id long, ts timestamp, value double, arrival int").parquet(chunks)
+        stream.run_available(source.drop("arrival"), checkpoint, lambda b, k: stream.split_late(b, k, path, "ts", "15 minutes", 3600.0))
     return path
 
 
@@ -767,8 +768,9 @@ def stream_bins_final(spark, d):
 
     path, out = _late_store(spark, d), work_path(spark, "final")
     stream.feed_by_name(spark, f"{path}/timely")
-    source = spark.readStream.schema("event_id long, ts timestamp, value double, part int").option("maxFilesPerTrigger", 1).parquet(f"{path}/timely")
-    stream.run_available(stream.binned(source, "ts", late="1 hour"), work_path(spark, "checkpoint"), path=out)
+    parts = spark.sparkContext.defaultParallelism
+    source = spark.readStream.schema("event_id long, ts timestamp, value double, part int").option("maxFilesPerTrigger", parts).parquet(f"{path}/timely")
+    stream.run_available(stream.binned(source, "ts", late="1 hour"), work_path(spark, "checkpoint"), path=out, parts=parts)
     return spark.read.schema("bin_start timestamp, n long, mean double").parquet(out).select(F.col("bin_start").cast("timestamp_ntz").alias("bin_start"), "n", F.round("mean", 6).alias("mean"))
 
 

@@ -84,8 +84,9 @@ def committed_keys(spark: SparkSession, path: str, schema, among: list[dict] | N
 
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """All committed rows, with ``commit_name``; a store without commits needs the ``schema`` of its rows."""
-    parts = [spark.read.parquet(f"{path}/{c['folder']}").withColumn("commit_name", F.lit(c["name"])) for c in commits(spark, path) if c.get("rows", 1)]
+    """All committed rows, with ``commit_name``; a store without commits needs the ``schema`` of its rows, with which Spark looks into no file to plan."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    parts = [reader.parquet(f"{path}/{c['folder']}").withColumn("commit_name", F.lit(c["name"])) for c in commits(spark, path) if c.get("rows", 1)]
     if not parts:
         if schema is None:
             raise ValueError(f"nothing is committed at {path}")

@@ -14,6 +14,7 @@ from fringeworks.functions.decode import WRAP
 from fringeworks.sources import store
 from fringeworks.sources.captures import read_headers, read_ranges
 from fringeworks.sources.phase_trace import BLOCK
+from fringeworks.sources.work import ROWS_A_TASK
 
 
 def running_moments(stream: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
@@ -173,11 +174,23 @@ def feed_by_name(spark: SparkSession, folder: str) -> None:
         fs.setTimes(path, begin + 1000 * k, -1)
 
 
+def arrivals(spark: SparkSession, staged: str, folder: str) -> Iterator[str]:
+    """Moves what lies under ``staged`` to ``folder``, a folder at a time in the order of names: its files appear at once, and a stream that has no limit of files takes them as one batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for name in sorted(s.getPath().getName() for s in fs.listStatus(path(staged)) if s.isDirectory()):
+        if not fs.rename(path(f"{staged}/{name}"), path(f"{folder}/{name}")):
+            raise OSError(f"{staged}/{name} can't be moved to {folder}")
+        yield name
+
+
 def split_late(rows: DataFrame, batch: int, path: str, ts: str, width: str, late_s: float) -> None:
     """For ``foreachBatch``: rows whose bin was final when they came go to the store ``path/late``, all others to the folder ``path/timely``, each once.
 
-    A bin is final for a batch when its end is at most ``late_s`` before the latest time of all batches before it. A stream over ``path/timely`` with that
-    watermark loses no row, as its own watermark is never ahead of this one.
+    A bin is final for a batch when its end is at most ``late_s`` before the latest time of all batches before it. A batch of any size is a folder of
+    ``path/timely``, whose files are ranges of time in the order of their names. So a stream over them in that order (``feed_by_name``) with that watermark loses no row, however many files
+    it takes at a time: its own watermark is ahead of this one only by rows of the same batch, and none of those that are to come is earlier than they are.
     """
     spark = rows.sparkSession
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -187,27 +200,32 @@ def split_late(rows: DataFrame, batch: int, path: str, ts: str, width: str, late
     store.apply_batch(judged.where("_late").drop("_late"), f"{path}/late", batch)
     done, draft = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"timely/part={batch:09d}", f"_draft-{batch}"))
     if not fs.exists(done):
-        judged.where("not _late").drop("_late").write.mode("overwrite").parquet(draft.toString())
+        timely = judged.where("not _late").drop("_late")
+        timely.repartitionByRange(max(1, -(-timely.count() // ROWS_A_TASK)), ts).write.mode("overwrite").parquet(draft.toString())
         fs.mkdirs(done.getParent())
         fs.rename(draft, done)
     store.apply_batch(rows.agg(F.lit(batch).cast("long").alias("batch"), F.max(ts).alias("top")), f"{path}/marks", batch)
 
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _PARTS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 
 
-def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append", rocks: bool = False) -> StreamingQuery:
-    """Process what is there and stop: to ``each`` micro-batch, or appended to Parquet at ``path``. ``rocks``: state in RocksDB."""
+def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append", rocks: bool = False, parts: int | None = None) -> StreamingQuery:
+    """Process what is there and stop: to ``each`` micro-batch, or appended to Parquet at ``path``. ``rocks``: state in RocksDB.
+
+    ``parts``: into how many stores state is dealt, for the checkpoint's life; each is a task and a few files a batch, however little it holds, so few keys want few. Else it is the session's number of shuffle partitions.
+    """
     spark = stream.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    if rocks:
-        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    wanted = ({_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"} if rocks else {}) | ({_PARTS: str(parts)} if parts else {})
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, x in wanted.items():
+        spark.conf.set(name, x)
     try:
         writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
         query = (writer.foreachBatch(each) if each else writer.format("parquet").option("path", path)).start()
     finally:
-        if rocks:
-            spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for name, x in before.items():
+            spark.conf.set(name, x) if x else spark.conf.unset(name)
     query.awaitTermination()
     return query
 

@@ -276,6 +276,33 @@ def test_stream_of_final_bins(spark, tmp_path):
     assert sorted(r.value for r in store.read(spark, f"{tmp_path}/s/late").collect()) == [4.0, 5.0]
 
 
+def test_stream_of_final_bins_in_several_files(spark, tmp_path, monkeypatch):
+    """A batch may have files in any order of time: no timely row is lost by a stream that takes the batch's files apart, and its state is dealt to as many stores as asked for."""
+    monkeypatch.setattr(stream, "ROWS_A_TASK", 3)
+    schema = "ts timestamp, value double"
+    for k, minutes in enumerate([range(599, -1, -20), range(1200, 600, -20), [1999, 700]]):
+        rows = spark.createDataFrame([(f"2024-01-01 {m // 60 % 24:02d}:{m % 60:02d}:00" if m < 1440 else "2024-01-02 09:19:00", float(m)) for m in minutes], "ts string, value double")
+        rows.selectExpr("cast(ts as timestamp) as ts", "value").repartitionByRange(4, F.col("ts").desc()).write.parquet(f"{tmp_path}/staged/arrival={k}")  # the first file is the latest
+    taken = []
+    for name in stream.arrivals(spark, f"{tmp_path}/staged", f"{tmp_path}/in"):
+        taken.append(name)
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").drop("arrival")
+        stream.run_available(source, f"{tmp_path}/ck", lambda b, k: stream.split_late(b, k, f"{tmp_path}/s", "ts", "15 minutes", 3600.0))
+    assert taken == ["arrival=0", "arrival=1", "arrival=2"] == sorted(os.listdir(f"{tmp_path}/in")) and len(store.commits(spark, f"{tmp_path}/s/marks")) == 3
+    assert [r.value for r in store.read(spark, f"{tmp_path}/s/late").collect()] == [700.0]
+    stream.feed_by_name(spark, f"{tmp_path}/s/timely")
+    assert len([f for f in os.listdir(f"{tmp_path}/s/timely/part=000000000") if f.endswith(".parquet")]) > 3
+    wanted = spark.conf.get("spark.sql.shuffle.partitions")
+    timely = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/s/timely")
+    query = stream.run_available(stream.binned(timely, "ts", late="1 hour"), f"{tmp_path}/ck2", path=f"{tmp_path}/out", parts=2)
+    found = {(r.bin_start.day, r.bin_start.hour * 60 + r.bin_start.minute): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {}
+    for m in [*range(599, -1, -20), *range(1200, 600, -20)]:
+        want[1, m // 15 * 15] = want.get((1, m // 15 * 15), 0) + 1
+    assert found == want
+    assert query.recentProgress[-1]["stateOperators"][0]["numShufflePartitions"] == 2 and spark.conf.get("spark.sql.shuffle.partitions") == wanted
+
+
 DATA = "/root/testdata/sf0.001"
 
 
